@@ -6,7 +6,7 @@ import importlib
 
 from tidemark.plans.registry import QUERIES, SQL
 
-MODULES = ["indicators"]
+MODULES = ["indicators", "atoms"]
 
 
 def _load() -> None:

@@ -104,3 +104,21 @@ def trades(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("l_extendedprice") * F.col("l_tax")).alias("fees"),
         F.col("l_linestatus").alias("precision"),
     )
+
+
+def listed_code(instrument: Column | str = "instrument") -> Column:
+    """Six-digit code whose prefix spreads the instruments over the four boards."""
+    i = F.col(instrument) if isinstance(instrument, str) else instrument
+    prefix = F.element_at(F.array(*[F.lit(p) for p in ("600", "300", "688", "830")]), (i % 4 + 1).cast("int"))
+    return F.concat(prefix, F.lpad((i % 1000).cast("string"), 3, "0"))
+
+
+def valuation(spark: SparkSession, folder: str) -> DataFrame:
+    """Dated valuation ratios; many sessions have none, some ratios are not positive."""
+    li = table(spark, folder, "lineitem").filter(F.col("l_returnflag") == "A").select(
+        "l_partkey", F.col("l_suppkey").alias("instrument"), F.to_date("l_shipdate").alias("session_date")
+    )
+    part = table(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"), "p_retailprice")
+    return li.join(part, "l_partkey").groupBy("instrument", "session_date").agg(
+        (F.min("p_retailprice") - 950).alias("pe_ttm"), (F.max("p_retailprice") / 500).alias("pb")
+    )
