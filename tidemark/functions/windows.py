@@ -38,6 +38,10 @@ class Axis:
     def ahead(self, first: int = 0) -> WindowSpec:
         return self.w.rowsBetween(first, Window.unboundedFollowing)
 
+    @property
+    def whole(self) -> WindowSpec:
+        return self.w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
     def row(self) -> Column:
         return F.row_number().over(self.w)
 

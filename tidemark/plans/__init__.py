@@ -6,7 +6,7 @@ import importlib
 
 from tidemark.plans.registry import QUERIES, SQL
 
-MODULES = ["indicators", "atoms"]
+MODULES = ["indicators", "atoms", "outcomes", "joins"]
 
 
 def _load() -> None:

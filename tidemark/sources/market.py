@@ -122,3 +122,45 @@ def valuation(spark: SparkSession, folder: str) -> DataFrame:
     return li.join(part, "l_partkey").groupBy("instrument", "session_date").agg(
         (F.min("p_retailprice") - 950).alias("pe_ttm"), (F.max("p_retailprice") / 500).alias("pb")
     )
+
+
+def bars_of(spark: SparkSession, folder: str, condition: Column) -> DataFrame:
+    """Daily bars over the trades that satisfy a condition, with the number of the last tick."""
+    rows = table(spark, folder, "lineitem").filter(condition).select(
+        F.col("l_suppkey").alias("instrument"),
+        F.to_date("l_shipdate").alias("session_date"),
+        tick_order().alias("tick_no"),
+        unit_price().alias("price"),
+        F.col("l_quantity").alias("quantity"),
+        F.col("l_extendedprice").cast(CENTS).alias("amount"),
+    )
+    return rows.groupBy("instrument", "session_date").agg(
+        F.min_by("price", "tick_no").alias("open"),
+        F.max("price").alias("high"),
+        F.min("price").alias("low"),
+        F.max_by("price", "tick_no").alias("close"),
+        F.sum("quantity").alias("volume"),
+        F.sum("amount").cast("double").alias("amount"),
+        F.count(F.lit(1)).alias("ticks"),
+        F.max("tick_no").alias("available_no"),
+    )
+
+
+def corporate_actions(spark: SparkSession, folder: str) -> DataFrame:
+    """Urgent orders read as corporate actions of an instrument, several kinds and terms."""
+    f = facts(spark, folder).filter(F.col("priority") == "1-URGENT")
+    return f.select(
+        "instrument",
+        F.col("revision_id").alias("action_id"),
+        F.element_at(
+            F.array(*[F.lit(k) for k in ("cash", "bonus", "split", "rights", "transfer")]),
+            (F.col("revision_id") % 5 + 1).cast("int"),
+        ).alias("kind"),
+        F.col("notice_date").alias("record_date"),
+        F.date_add("notice_date", 1).alias("ex_date"),
+        F.date_add("notice_date", 10).alias("pay_date"),
+        F.date_sub("notice_date", 7).alias("known_date"),
+        (F.col("revision_id") % 100 / 100).alias("gross_cash"),
+        (1 + F.col("revision_id") % 3 * 0.5).alias("multiplier"),
+        "status",
+    )
