@@ -232,15 +232,15 @@ def p23(spark, folder):
 
 @query("p24_friction_price", f"""{B}, {BAND}, x AS (SELECT *, CAST({BAND_COLS.split(' AS upper_limit')[0]} AS DOUBLE) AS hi,
  CAST({BAND_COLS.split('upper_limit,')[1].split(' AS lower_limit')[0]} AS DOUBLE) AS lo FROM bd)
-SELECT instrument, session_date, round(open * 1.5 * greatest(least(open * (1 + CAST(15 AS DOUBLE) / 10000) + 0.02, hi), lo) / open, 4) AS buy_price,
- round(open * 1.5 * greatest(least(open * (1 - CAST(15 AS DOUBLE) / 10000) - 0.02, hi), lo) / open, 4) AS sell_price FROM x""")
+SELECT instrument, session_date, round(open * 1.5 * greatest(least(open * (1 + CAST(15 AS DOUBLE) / 10000) + 0.02, hi), lo) / open, 7) AS buy_price,
+ round(open * 1.5 * greatest(least(open * (1 - CAST(15 AS DOUBLE) / 10000) - 0.02, hi), lo) / open, 7) AS sell_price FROM x""")
 def p24(spark, folder):
     """Friction applied in the raw price domain, then carried over by the bar's adjustment ratio."""
     s = session_rows(spark, folder)
     hi, lo = F.col("upper_limit").cast("double"), F.col("lower_limit").cast("double")
     adjusted = F.col("open") * 1.5
     return s.select(*KEYS, *[
-        F.round(adjusted * R.friction_price(F.col("open"), side, 15.0, 0.02, hi, lo) / F.col("open"), 4).alias(f"{side}_price")
+        F.round(adjusted * R.friction_price(F.col("open"), side, 15.0, 0.02, hi, lo) / F.col("open"), 7).alias(f"{side}_price")
         for side in ("buy", "sell")])
 
 

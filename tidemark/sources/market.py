@@ -102,7 +102,7 @@ def trades(spark: SparkSession, folder: str) -> DataFrame:
         unit_price().alias("price"),
         F.col("l_extendedprice").alias("amount"),
         (F.col("l_extendedprice") * F.col("l_tax")).alias("fees"),
-        F.col("l_linestatus").alias("precision"),
+        F.when(F.col("l_linestatus") == "O", "date_only").otherwise("exact").alias("precision"),
     )
 
 
@@ -164,3 +164,15 @@ def corporate_actions(spark: SparkSession, folder: str) -> DataFrame:
         (1 + F.col("revision_id") % 3 * 0.5).alias("multiplier"),
         "status",
     )
+
+
+def bars_hour(spark: SparkSession, folder: str) -> DataFrame:
+    """Hourly bars of event values per event type."""
+    return table(spark, folder, "events").groupBy("event_type", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("bar_start")).agg(
+        F.min_by("value", "event_id").alias("open"),
+        F.max("value").alias("high"),
+        F.min("value").alias("low"),
+        F.max_by("value", "event_id").alias("close"),
+        F.count(F.lit(1)).alias("volume"),
+        F.sum(F.col("value").cast(CENTS)).alias("amount"),
+    )
