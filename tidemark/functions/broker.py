@@ -124,14 +124,17 @@ def market_hint(text: Column) -> tuple[Column, Column]:
     return market, suffix
 
 
+# Code spaces of the three exchanges.
+CODE_SPACES = {
+    "SH": r"^(600|601|603|605|688|689)\d{3}$",
+    "SZ": r"^((000|001|002|003|300|301)\d{3}|302132)$",
+    "BJ": r"^([48]\d{5}|920\d{3})$",
+}
+
+
 def exchange_of(code: Column) -> Column:
-    """Exchange implied by a six-digit mainland code."""
-    two, one = F.substring(code, 1, 2), F.substring(code, 1, 1)
-    return (
-        F.when(two.isin("43", "82", "83", "87", "88", "92"), "BJ")
-        .when(one.isin("5", "6", "9"), "SH")
-        .when(one.isin("0", "1", "2", "3"), "SZ")
-    )
+    """Exchange implied by a six-digit mainland code; NULL outside the known spaces."""
+    return F.coalesce(*[F.when(code.rlike(p), F.lit(x)) for x, p in CODE_SPACES.items()])
 
 
 def normalize_code(text: Column) -> Column:
@@ -140,3 +143,32 @@ def normalize_code(text: Column) -> Column:
     code, given = F.regexp_extract(t, r"^(\d{6})(?:\.(SH|SZ|BJ))?$", 1), F.regexp_extract(t, r"^(\d{6})(?:\.(SH|SZ|BJ))?$", 2)
     implied = exchange_of(code)
     return F.when((code != "") & implied.isNotNull() & ((given == "") | (given == implied)), F.concat(code, F.lit("."), implied))
+
+
+def infer_market(raw_symbol: Column, raw_market: Column) -> tuple[Column, Column]:
+    """(market, symbol) from a raw code and a market hint; both NULL when they conflict or stay unclear."""
+    s = F.regexp_replace(F.upper(F.trim(raw_symbol)), r"^(\d+)\.0+$", "$1")
+    given = F.regexp_extract(s, r"\.([^.]*)$", 1)
+    code = F.when(given != "", F.regexp_extract(s, r"^(.*)\.[^.]*$", 1)).otherwise(s)
+    own = F.when(given == "HK", "HK").when(given.isin("SH", "SZ", "BJ"), "CN_A")
+    hinted, hint_suffix = market_hint(raw_market)
+    blank = raw_market.isNull() | (F.trim(raw_market) == "")
+    conflict = (
+        ((given != "") & own.isNull())
+        | (~blank & hinted.isNull())
+        | F.coalesce(own != hinted, F.lit(False))
+        | F.coalesce(given.isin("SH", "SZ", "BJ") & (hint_suffix != given), F.lit(False))
+    )
+    market = F.coalesce(own, hinted)
+    digits = code.rlike(r"^\d+$")
+    hk = F.when(digits & (F.length(code) <= 5), F.concat(F.lpad(code, 5, "0"), F.lit(".HK")))
+    suffix = F.coalesce(F.when(given != "", given), hint_suffix)
+    padded = F.lpad(code, 6, "0")
+    mainland = F.when(
+        digits & (F.length(code) <= 6),
+        normalize_code(F.when(suffix.isNotNull(), F.concat(padded, F.lit("."), suffix)).otherwise(padded)),
+    )
+    bare = F.coalesce(normalize_code(s), F.when(code.rlike(r"^\d{5}$"), F.concat(code, F.lit(".HK"))))
+    symbol = F.when(~conflict, F.when(market == "HK", hk).when(market == "CN_A", mainland).otherwise(bare))
+    found = F.when(symbol.endswith(".HK"), "HK").when(symbol.isNotNull(), "CN_A")
+    return found, symbol

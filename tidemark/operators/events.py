@@ -13,3 +13,14 @@ DEFAULT_PRIORITY = ("purchase", "signup", "view", "click", "error")
 
 def provider_rank(provider: Column, priority: tuple[str, ...] = DEFAULT_PRIORITY) -> Column:
     return reduce(lambda acc, p: acc.when(provider == p[1], p[0]), enumerate(priority[1:], 1), F.when(provider == priority[0], 0))
+
+
+def first_by_priority(rows: DataFrame, keys: list[str], order: list[str], names: list[str]) -> DataFrame:
+    """Per key and attribute, the first non-null value in priority order.
+
+    A minimum over structs aggregates on the map side, so no group is ever
+    collected into a list.
+    """
+    return rows.groupBy(*keys).agg(
+        *[F.min(F.when(F.col(n).isNotNull(), F.struct(*order, F.col(n)))).alias(n) for n in names]
+    ).select(*keys, *[F.col(f"{n}.{n}").alias(n) for n in names])
