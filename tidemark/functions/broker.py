@@ -145,30 +145,48 @@ def normalize_code(text: Column) -> Column:
     return F.when((code != "") & implied.isNotNull() & ((given == "") | (given == implied)), F.concat(code, F.lit("."), implied))
 
 
-def infer_market(raw_symbol: Column, raw_market: Column) -> tuple[Column, Column]:
-    """(market, symbol) from a raw code and a market hint; both NULL when they conflict or stay unclear."""
-    s = F.regexp_replace(F.upper(F.trim(raw_symbol)), r"^(\d+)\.0+$", "$1")
-    given = F.regexp_extract(s, r"\.([^.]*)$", 1)
-    code = F.when(given != "", F.regexp_extract(s, r"^(.*)\.[^.]*$", 1)).otherwise(s)
-    own = F.when(given == "HK", "HK").when(given.isin("SH", "SZ", "BJ"), "CN_A")
-    hinted, hint_suffix = market_hint(raw_market)
-    blank = raw_market.isNull() | (F.trim(raw_market) == "")
+def infer_market(rows: DataFrame, code: str, market: str) -> DataFrame:
+    """Add ``market`` and ``symbol`` from a raw code and a market hint; NULL when they conflict or stay unclear.
+
+    Staged as columns instead of one nested expression, so generated code stays small.
+    """
+    hinted, hint_suffix = market_hint(F.col(f"`{market}`"))
+    df = rows.withColumns(
+        {
+            "_s": F.regexp_replace(F.upper(F.trim(F.col(f"`{code}`"))), r"^(\d+)\.0+$", "$1"),
+            "_hm": hinted,
+            "_hs": hint_suffix,
+        }
+    )
+    df = df.withColumn("_given", F.regexp_extract("_s", r"\.([^.]*)$", 1))
+    given, s = F.col("_given"), F.col("_s")
+    df = df.withColumns(
+        {
+            "_code": F.when(given != "", F.regexp_extract(s, r"^(.*)\.[^.]*$", 1)).otherwise(s),
+            "_own": F.when(given == "HK", "HK").when(given.isin("SH", "SZ", "BJ"), "CN_A"),
+        }
+    )
+    c, own, hm, hs = F.col("_code"), F.col("_own"), F.col("_hm"), F.col("_hs")
+    blank = F.col(f"`{market}`").isNull() | (F.trim(F.col(f"`{market}`")) == "")
     conflict = (
         ((given != "") & own.isNull())
-        | (~blank & hinted.isNull())
-        | F.coalesce(own != hinted, F.lit(False))
-        | F.coalesce(given.isin("SH", "SZ", "BJ") & (hint_suffix != given), F.lit(False))
+        | (~blank & hm.isNull())
+        | F.coalesce(own != hm, F.lit(False))
+        | F.coalesce(given.isin("SH", "SZ", "BJ") & (hs != given), F.lit(False))
     )
-    market = F.coalesce(own, hinted)
-    digits = code.rlike(r"^\d+$")
-    hk = F.when(digits & (F.length(code) <= 5), F.concat(F.lpad(code, 5, "0"), F.lit(".HK")))
-    suffix = F.coalesce(F.when(given != "", given), hint_suffix)
-    padded = F.lpad(code, 6, "0")
-    mainland = F.when(
-        digits & (F.length(code) <= 6),
-        normalize_code(F.when(suffix.isNotNull(), F.concat(padded, F.lit("."), suffix)).otherwise(padded)),
+    digits = c.rlike(r"^\d+$")
+    suffix = F.coalesce(F.when(given != "", given), hs)
+    padded = F.when(digits & (F.length(c) <= 6), F.lpad(c, 6, "0"))
+    df = df.withColumns(
+        {
+            "_market": F.when(~conflict, F.coalesce(own, hm, F.lit("?"))),
+            "_hk": F.when(digits & (F.length(c) <= 5), F.concat(F.lpad(c, 5, "0"), F.lit(".HK"))),
+            "_full": F.when(suffix.isNotNull(), F.concat(padded, F.lit("."), suffix)).otherwise(padded),
+        }
     )
-    bare = F.coalesce(normalize_code(s), F.when(code.rlike(r"^\d{5}$"), F.concat(code, F.lit(".HK"))))
-    symbol = F.when(~conflict, F.when(market == "HK", hk).when(market == "CN_A", mainland).otherwise(bare))
-    found = F.when(symbol.endswith(".HK"), "HK").when(symbol.isNotNull(), "CN_A")
-    return found, symbol
+    m = F.col("_market")
+    df = df.withColumn("_cn", normalize_code(F.when(m == "CN_A", F.col("_full")).when(m == "?", s)))
+    bare = F.coalesce(F.col("_cn"), F.when(c.rlike(r"^\d{5}$"), F.concat(c, F.lit(".HK"))))
+    df = df.withColumn("symbol", F.when(m == "HK", F.col("_hk")).when(m == "CN_A", F.col("_cn")).when(m == "?", bare))
+    df = df.withColumn("market", F.when(F.col("symbol").endswith(".HK"), "HK").when(F.col("symbol").isNotNull(), "CN_A"))
+    return df.drop("_s", "_hm", "_hs", "_given", "_code", "_own", "_market", "_hk", "_full", "_cn")

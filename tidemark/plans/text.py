@@ -183,8 +183,7 @@ e AS (SELECT *, CASE WHEN conflict THEN NULL WHEN mk = 'HK' THEN CASE WHEN lengt
 
 @query("x12_market_inference", f"WITH {RAW_SQL}, {MARKET_SQL} SELECT {ROWS}, symbol, CASE WHEN symbol LIKE '%.HK' THEN 'HK' WHEN symbol IS NOT NULL THEN 'CN_A' END AS market FROM e")
 def x12(spark, folder):
-    market, symbol = BK.infer_market(F.col("证券代码"), F.col("市场"))
-    return raw_rows(spark, folder).select(*ROW, symbol.alias("symbol"), market.alias("market"))
+    return BK.infer_market(raw_rows(spark, folder), "证券代码", "市场").select(*ROW, "symbol", "market")
 
 
 SIDE = "CASE WHEN business IN ('买入', 'Buy', '融资买入') THEN 'buy' WHEN business IN ('证券卖出', ' sell ') THEN 'sell' END"
@@ -221,17 +220,17 @@ SELECT {ROWS}, CASE WHEN business LIKE '%融资%' OR business LIKE '%送股%' TH
  WHEN flow IS NULL THEN 'unrecognized_business' END AS reason FROM k""")
 def l01(spark, folder):
     """Broker rows become trades, flows or unresolved rows with the reason."""
-    r = raw_rows(spark, folder)
-    b, key = F.col("业务名称"), BK.business_key(F.col("业务名称"))
-    _, symbol = BK.infer_market(F.col("证券代码"), F.col("市场"))
-    side, flow = BK.side_of(b), BK.flow_of(b)
-    amount, quantity, price = (BK.number(F.col(c)) for c in ("发生金额", "成交数量", "成交价格"))
+    b = F.col("业务名称")
+    r = BK.infer_market(raw_rows(spark, folder), "证券代码", "市场").withColumns({
+        "key": BK.business_key(b), "side": BK.side_of(b), "flow": BK.flow_of(b), "amount": BK.number(F.col("发生金额")),
+        "quantity": BK.number(F.col("成交数量")), "price": BK.number(F.col("成交价格"))})
+    key, side, flow, amount, quantity, price, symbol = (F.col(c) for c in ("key", "side", "flow", "amount", "quantity", "price", "symbol"))
     missing = F.concat_ws(
         ",", F.when(BK.normal_date_text(F.col("成交时间")).try_cast("timestamp_ntz").isNull(), "date"), F.when(symbol.isNull(), "symbol"),
         F.when(quantity.isNull() | (quantity <= 0), "quantity"), F.when(price.isNull() | (price <= 0), "price"))
     reason = (F.when(BK.has_any(key, BK.MARGIN_WORDS), "margin_unsupported").when(BK.has_any(key, BK.CORPORATE_WORDS), "corporate_action")
               .when(side.isNotNull(), F.when(missing != "", missing)).when(flow.isNotNull(), F.when(amount.isNull() | (amount == 0), "amount")).otherwise("unrecognized_business"))
-    r = r.select(*ROW, side.alias("side"), reason.alias("reason"))
+    r = r.select(*ROW, "side", reason.alias("reason"))
     return r.select(*ROW, F.when(F.col("reason").isNotNull(), "unresolved").when(F.col("side").isNotNull(), "trade").otherwise("flow").alias("kind"), "reason")
 
 
