@@ -6,7 +6,7 @@ import importlib
 
 from tidemark.plans.registry import QUERIES, SQL
 
-MODULES = ["indicators", "atoms", "outcomes", "joins", "rules", "ledger", "text", "events"]
+MODULES = ["indicators", "atoms", "outcomes", "joins", "rules", "ledger", "text", "events", "streams"]
 
 
 def _load() -> None:

@@ -193,20 +193,23 @@ def e11(spark, folder):
 B = f"WITH RECURSIVE {BARS}, {NUMBERED}"
 
 
-@query("d03_adjusted_rsi", f"""{B}, c AS (SELECT *, close - {lag('close')} AS d FROM v), g AS (SELECT instrument, session_date, rn, greatest(d, 0.0) AS up, greatest(-d, 0.0) AS dn FROM c WHERE rn > 1),
-r AS (SELECT instrument, rn, session_date, up AS n1, dn AS n2, CAST(1 AS DOUBLE) AS w FROM g WHERE rn = 2 UNION ALL
- SELECT g.instrument, g.rn, g.session_date, r.n1 * 13 / 14 + g.up, r.n2 * 13 / 14 + g.dn, r.w * 13 / 14 + 1 FROM r JOIN g ON g.instrument = r.instrument AND g.rn = r.rn + 1)
-SELECT v.instrument, v.session_date, CASE WHEN v.rn > 14 AND n2 > 0 THEN round(100 - 100 / (1 + (n1 / w) / (n2 / w)), 4) END AS rsi_adjusted FROM v LEFT JOIN r USING (instrument, rn)""")
+@query("d03_adjusted_rsi", f"""{B}, c AS (SELECT *, close - {lag('close')} AS d FROM v), g AS (SELECT instrument, session_date, rn, CASE WHEN d > 0 THEN d ELSE 0 END AS up, CASE WHEN d < 0 THEN -d ELSE 0 END AS dn FROM c),
+r AS (SELECT instrument, rn, CAST(up AS DOUBLE) AS n1, CAST(dn AS DOUBLE) AS n2, CAST(1 AS DOUBLE) AS w FROM g WHERE rn = 1 UNION ALL
+ SELECT g.instrument, g.rn, r.n1 * 13 / 14 + g.up, r.n2 * 13 / 14 + g.dn, r.w * 13 / 14 + 1 FROM r JOIN g ON g.instrument = r.instrument AND g.rn = r.rn + 1)
+SELECT v.instrument, v.session_date, CASE WHEN v.rn >= 14 AND n2 > 0 THEN round(100 - 100 / (1 + (n1 / w) / (n2 / w)), 4) END AS rsi_adjusted FROM v LEFT JOIN r USING (instrument, rn)""")
 def d03(spark, folder):
-    """RSI over bias-adjusted exponential means: weighted sum over sum of weights."""
+    """RSI over bias-adjusted exponential means: weighted sum over sum of weights.
+
+    The first row counts as no change; a zero mean loss leaves the value unknown.
+    """
     ax = DAILY
     df = mk.bars_daily(spark, folder).withColumns({"rn": ax.row(), "_d": F.col("close") - ax.lag("close")})
-    seen = F.col("_d").isNotNull()
-    a = 13 / 14
+    a, zero = 13 / 14, F.lit(0.0)
     df = discounted_sums(df, ax, {
-        "_g": (F.when(seen, F.greatest("_d", F.lit(0.0))), a), "_l": (F.when(seen, F.greatest(-F.col("_d"), F.lit(0.0))), a), "_w": (F.when(seen, F.lit(1.0)), a)}, "rn")
+        "_g": (F.when(F.col("_d") > 0, F.col("_d")).otherwise(zero), a),
+        "_l": (F.when(F.col("_d") < 0, -F.col("_d")).otherwise(zero), a), "_w": (F.lit(1.0), a)}, "rn")
     rs = F.try_divide(F.col("_g") / F.col("_w"), F.col("_l") / F.col("_w"))
-    return df.select(*KEYS, F.when((F.col("rn") > 14) & (F.col("_l") > 0), F.round(100 - 100 / (1 + rs), 4)).alias("rsi_adjusted"))
+    return df.select(*KEYS, F.when((F.col("rn") >= 14) & (F.col("_l") > 0), F.round(100 - 100 / (1 + rs), 4)).alias("rsi_adjusted"))
 
 
 @query("d05_custom_atom", f"{B}, {FFILL_PE} SELECT instrument, session_date, CAST(rn > 20 AND coalesce(pe BETWEEN 1 AND 60 AND close > ({roll('avg', 'close', 20)}), false) AS INT) AS cheap_uptrend FROM vp")
