@@ -60,15 +60,15 @@ def has_any(key: Column, words: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(key, F.lit(w)) for w in words])
 
 
-def side_of(text: Column) -> Column:
-    k = business_key(text)
+def side_of(k: Column) -> Column:
+    """Side named by a folded business key."""
     return F.when(k.isin(*BUY_WORDS) | F.contains(k, F.lit("买入")), "buy").when(
         k.isin(*SELL_WORDS) | F.contains(k, F.lit("卖出")), "sell"
     )
 
 
-def flow_of(text: Column) -> Column:
-    k = business_key(text)
+def flow_of(k: Column) -> Column:
+    """Cash-flow kind named by a folded business key."""
     branches = [(k.isin(*w) | has_any(k, tuple(x for x in w if len(x) >= 2)), F.lit(n)) for n, w in FLOW_WORDS.items()]
     return F.coalesce(*[F.when(c, v) for c, v in branches])
 
@@ -78,8 +78,8 @@ def number(text: Column) -> Column:
     t = F.trim(text)
     negative = t.startswith("(") & t.endswith(")")
     bare = F.regexp_replace(t, r"HK\$|RMB|CNY|HKD|[,，¥￥()\s]", "")
-    value = F.when(bare.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), bare.try_cast("decimal(24,6)"))
-    return F.when(negative, -value).otherwise(value)
+    value = bare.try_cast("decimal(24,6)")
+    return value * F.when(negative, -1).otherwise(1)
 
 
 def fee_total(columns: dict[str, Column]) -> Column:
@@ -111,9 +111,12 @@ def time_precision(text: Column) -> Column:
     return F.when(F.coalesce(normal_date_text(text).rlike(r"^\d{4}-\d{2}-\d{2}$"), F.lit(True)), "date_only").otherwise("exact")
 
 
-def market_hint(text: Column) -> tuple[Column, Column]:
-    """(market, exchange suffix) of a hint text; both NULL when it says nothing usable."""
-    k = F.lower(F.regexp_replace(text, r"[\s_\-]+", ""))
+def hint_key(text: Column) -> Column:
+    return F.lower(F.regexp_replace(text, r"[\s_\-]+", ""))
+
+
+def market_hint(k: Column) -> tuple[Column, Column]:
+    """(market, exchange suffix) of a folded hint; both NULL when it says nothing usable."""
     hk = k.isin("hk", "hkg", "hkex", "sehk", "xhongkong") | has_any(k, ("香港", "港股", "港交所"))
     sh = k.isin("sh", "sha", "sse", "xshg") | has_any(k, ("上海", "沪市", "沪a", "上交所", "科创"))
     sz = k.isin("sz", "sza", "szse", "xshe") | has_any(k, ("深圳", "深市", "深a", "深交所", "创业"))
@@ -150,8 +153,8 @@ def infer_market(rows: DataFrame, code: str, market: str) -> DataFrame:
 
     Staged as columns instead of one nested expression, so generated code stays small.
     """
-    hinted, hint_suffix = market_hint(F.col(f"`{market}`"))
-    df = rows.withColumns(
+    hinted, hint_suffix = market_hint(F.col("_hk"))
+    df = rows.withColumn("_hk", hint_key(F.col(f"`{market}`"))).withColumns(
         {
             "_s": F.regexp_replace(F.upper(F.trim(F.col(f"`{code}`"))), r"^(\d+)\.0+$", "$1"),
             "_hm": hinted,

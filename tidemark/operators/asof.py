@@ -71,21 +71,27 @@ def same(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 
 
-def next_own_session(rows: DataFrame, sessions: DataFrame, keys: Sequence[str], day: str, out: str, strict: bool = False) -> DataFrame:
-    """First session of the row's own instrument on (or after) its day, with its number.
+def next_own_session(rows: DataFrame, sessions: DataFrame, keys: Sequence[str], day: str, out: str | None, strict: bool = False,
+                     after: str | None = None) -> DataFrame:
+    """First session of the row's own instrument on (``out``) and after (``after``) its day.
 
-    Rows are reduced to distinct (key, day) first, so a window partition never
-    holds more than two calendars.
+    With ``strict`` the column ``out`` itself looks after the day. Rows are
+    reduced to distinct (key, day) first, so a window partition never holds
+    more than two calendars.
     """
     d = rows.select(*keys, F.col(day).alias("_d")).distinct()
     s = sessions.select(*keys, F.col("session_date").alias("_d"), F.col("session_date").alias("_s"))
     both = d.unionByName(s, allowMissingColumns=True).withColumn(
         "_k", F.datediff("_d", F.lit("1970-01-01").cast("date"))
     )
-    w = Window.partitionBy(*keys).orderBy("_k").rangeBetween(int(strict), Window.unboundedFollowing)
-    found = both.withColumn("_n", F.min("_s").over(w)).filter(F.col("_s").isNull())
-    found = found.select(*keys, F.col("_d").alias(day), F.col("_n").alias(out))
-    return rows.join(found, [*keys, day], "left")
+    w = Window.partitionBy(*keys).orderBy("_k")
+    wanted = {out: int(strict)} if out else {}
+    if after:
+        wanted[after] = 1
+    found = both.withColumns(
+        {n: F.min("_s").over(w.rangeBetween(first, Window.unboundedFollowing)) for n, first in wanted.items()}
+    ).filter(F.col("_s").isNull())
+    return rows.join(found.select(*keys, F.col("_d").alias(day), *wanted), [*keys, day], "left")
 
 
 def earliest_tradable(rows: DataFrame, sessions: DataFrame, keys: Sequence[str], at: str, out: str) -> DataFrame:
@@ -94,8 +100,7 @@ def earliest_tradable(rows: DataFrame, sessions: DataFrame, keys: Sequence[str],
     Sessions run 09:30-11:30 and 13:00-15:00; lunch and night roll forward.
     """
     r = rows.withColumn("_day", F.to_date(at))
-    r = next_own_session(r, sessions, keys, "_day", "_today")
-    r = next_own_session(r, sessions, keys, "_day", "_after", strict=True)
+    r = next_own_session(r, sessions, keys, "_day", "_today", after="_after")
     clock = F.hour(at) * 3600 + F.minute(at) * 60 + F.second(at)
 
     def opening(day: str, clock_text: str) -> Column:

@@ -37,7 +37,7 @@ def buy_cost() -> Column:
 
 
 def fifo(trades: DataFrame, keys: Sequence[str] = ("account", "symbol"), day: str = "trade_date", seq: str = "seq") -> DataFrame:
-    """First-in-first-out realised P&L of every sell.
+    """First-in-first-out realised P&L, one row per sell.
 
     With B(t), S(t) the shares bought and sold so far and C(x) the cost of the
     first x shares bought, a sell that takes the shares (S0, S1] costs
@@ -72,38 +72,43 @@ def fifo(trades: DataFrame, keys: Sequence[str] = ("account", "symbol"), day: st
     bad_days = bad_days.select(*keys, day, F.max("_bad").over(w).alias("_bad_before"))
     t = t.join(bad_days, [*keys, day]).withColumn("complete", F.coalesce("_bad_here", "_bad_before").isNull())
 
-    lots = t.filter(F.col("side") == "buy").select(
-        *keys,
-        F.col(day).alias("_lot_day"),
-        (F.col("_b") - F.col("quantity")).alias("_x"),
-        F.struct(
-            (F.col("_b") - F.col("quantity")).alias("b0"),
-            (F.col("_c") - buy_cost()).alias("c0"),
-            (buy_cost() / F.col("quantity")).alias("unit"),
-        ).alias("_lot"),
-    )
-    sells = t.filter((F.col("side") == "sell") & F.col("complete"))
     reach = _reachable_buy_days(days, keys, day)
-    s = sells.select(*keys, day, seq, F.col("_s").alias("_s1"), (F.col("_s") - F.col("quantity")).alias("_s0")).join(
-        reach, [*keys, day]
+    s = t.join(reach, [*keys, day], "left")
+    is_sell = F.col("side") == "sell"
+    covered = is_sell & F.col("complete")
+    kept = [c for c in trades.columns if c not in keys] + ["complete"]
+
+    def lot_day(x: Column) -> Column:
+        return F.element_at(F.filter("_reach", lambda r: r["b0"] <= x), -1)["lot_day"]
+
+    lot = F.struct(
+        (F.col("_b") - F.col("quantity")).alias("b0"),
+        (F.col("_c") - buy_cost()).alias("c0"),
+        (buy_cost() / F.col("quantity")).alias("unit"),
     )
-
-    def lot_day(x: str) -> Column:
-        return F.element_at(F.filter("_reach", lambda r: r["b0"] <= F.col(x)), -1)["lot_day"]
-
-    ends = F.array(
-        F.struct(lot_day("_s1").alias("_lot_day"), F.col("_s1").alias("_x"), F.lit(1.0).alias("_sign")),
-        F.struct(lot_day("_s0").alias("_lot_day"), F.col("_s0").alias("_x"), F.lit(-1.0).alias("_sign")),
+    no_lot = F.lit(None).cast("struct<b0:double,c0:double,unit:double>")
+
+    def point(x: Column, sign: float, at: Column) -> Column:
+        return F.struct(at.alias("_lot_day"), x.alias("_x"), F.lit(sign).alias("_sign"), no_lot.alias("_lot"))
+
+    # every row is read once: a buy becomes a lot, a covered sell its two ends, any other sell passes through
+    unsigned = F.lit(None).cast("double")
+    as_lot = F.array(F.struct(F.col(day).alias("_lot_day"), (F.col("_b") - F.col("quantity")).alias("_x"), unsigned.alias("_sign"), lot.alias("_lot")))
+    end, start = F.col("_s"), F.col("_s") - F.col("quantity")
+    as_ends = F.array(point(end, 1.0, lot_day(end)), point(start, -1.0, lot_day(start)))
+    as_is = F.array(point(unsigned, 0.0, F.col(day)))
+    both = s.select(*keys, *kept, F.explode(F.when(~is_sell, as_lot).when(covered, as_ends).otherwise(as_is)).alias("_e")).select(
+        *keys, *kept, "_e.*"
     )
-    points = s.select(*keys, day, seq, F.explode(ends).alias("_e")).select(*keys, day, seq, "_e.*")
-    both = points.unionByName(lots, allowMissingColumns=True)
     by_position = Window.partitionBy(*keys, "_lot_day").orderBy("_x", F.col("_sign").asc_nulls_first()).rowsBetween(
         Window.unboundedPreceding, 0
     )
     found = both.withColumn("_lot", F.last("_lot", ignorenulls=True).over(by_position)).filter(F.col("_sign").isNotNull())
     at = F.col("_lot.c0") + (F.col("_x") - F.col("_lot.b0")) * F.col("_lot.unit")
-    cost = found.groupBy(*keys, day, seq).agg(F.sum(F.col("_sign") * at).alias("fifo_cost"))
-    out = t.join(cost, [*keys, day, seq], "left")
+    rest = [c for c in kept if c not in (day, seq)]
+    out = found.groupBy(*keys, day, seq).agg(
+        F.sum(F.when(F.col("_sign") != 0, F.col("_sign") * at)).alias("fifo_cost"), *[F.first(c).alias(c) for c in rest]
+    )
     pnl = F.col("quantity") * F.col("price") - F.col("fees") - F.col("fifo_cost")
     return out.select(*trades.columns, "complete", "fifo_cost", pnl.alias("fifo_pnl"))
 

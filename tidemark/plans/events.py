@@ -120,7 +120,10 @@ fv AS (SELECT *, CASE WHEN bad THEN 'conflicted' WHEN untimed THEN 'unavailable'
 
 
 def fused(spark, folder):
-    o = grouped(spark, folder)
+    from tidemark.session import materialise
+
+    # identities feed both the conflict check and the fusion: written once, read twice
+    o = materialise(grouped(spark, folder), "identities")
     return E.fuse(o, GROUP, "rank", "event_id", "available", ["fact", "document"], conflicts_of(o))
 
 

@@ -129,12 +129,12 @@ def l04(spark, folder):
 
 
 @query("j16_lot_consumption", f"""WITH {FIFO} SELECT account, symbol, count(*) FILTER (WHERE side = 'sell') AS sells, count(*) FILTER (WHERE side = 'sell' AND NOT broken) AS covered,
- round(coalesce(sum(CASE WHEN side = 'sell' AND NOT broken THEN quantity END), 0), 2) AS shares_consumed, round(coalesce(sum(quantity * price - fees - fifo_pnl), 0), 2) AS cost_consumed FROM rp GROUP BY 1, 2""")
+ round(coalesce(sum(CASE WHEN side = 'sell' AND NOT broken THEN quantity END), 0), 2) AS shares_consumed, round(coalesce(sum(quantity * price - fees - fifo_pnl), 0) + {NUDGE}, 4) AS cost_consumed FROM rp GROUP BY 1, 2""")
 def j16(spark, folder):
     sold = F.when((F.col("side") == "sell") & F.col("complete"), F.col("quantity"))
     return fifo_rows(spark, folder).groupBy("account", "symbol").agg(
         F.count_if(F.col("side") == "sell").alias("sells"), F.count(sold).alias("covered"),
-        F.round(F.coalesce(F.sum(sold), F.lit(0.0)), 2).alias("shares_consumed"), F.round(F.coalesce(F.sum("fifo_cost"), F.lit(0.0)), 2).alias("cost_consumed"))
+        F.round(F.coalesce(F.sum(sold), F.lit(0.0)), 2).alias("shares_consumed"), F.round(F.coalesce(F.sum("fifo_cost"), F.lit(0.0)) + NUDGE, 4).alias("cost_consumed"))
 
 
 @query("l02_running_position", f"""WITH {TRADES}, p AS (SELECT account, symbol, sum(CASE WHEN side = 'buy' THEN quantity ELSE -quantity END) OVER (PARTITION BY account, symbol ORDER BY trade_date, seq) AS q,
@@ -174,7 +174,7 @@ def a11(spark, folder):
 
 @query("a12_attribution", f"""WITH {FIFO}, g AS (SELECT account, count(*) AS sells, count(pnl) AS attributed, count(*) FILTER (WHERE is_broker) AS broker_count,
  count(*) FILTER (WHERE NOT is_broker AND pnl IS NOT NULL) AS fifo_count, sum(pnl) AS p, sum(pnl) FILTER (WHERE is_broker) AS bp FROM att GROUP BY 1)
-SELECT account, sells, attributed, broker_count, fifo_count, round(p, 2) AS verified_pnl, round(bp / p, 6) AS broker_share,
+SELECT account, sells, attributed, broker_count, fifo_count, round(p + {NUDGE}, 4) AS verified_pnl, round(bp / p, 6) AS broker_share,
  CASE WHEN attributed = 0 THEN 'unavailable' WHEN attributed = sells THEN 'available' ELSE 'partial' END AS coverage FROM g""")
 def a12(spark, folder):
     g = attributed(spark, folder).groupBy("account").agg(
@@ -182,7 +182,7 @@ def a12(spark, folder):
         F.count_if(~F.col("is_broker") & F.col("pnl").isNotNull()).alias("fifo_count"), F.sum("pnl").alias("p"),
         F.sum(F.when(F.col("is_broker"), F.col("pnl"))).alias("bp"))
     cover = F.when(F.col("attributed") == 0, "unavailable").when(F.col("attributed") == F.col("sells"), "available").otherwise("partial")
-    return g.select("account", "sells", "attributed", "broker_count", "fifo_count", F.round("p", 2).alias("verified_pnl"),
+    return g.select("account", "sells", "attributed", "broker_count", "fifo_count", F.round(F.col("p") + NUDGE, 4).alias("verified_pnl"),
                     F.round(F.try_divide("bp", "p"), 6).alias("broker_share"), cover.alias("coverage"))
 
 

@@ -192,9 +192,8 @@ FLOW = "CASE business WHEN '银证转入' THEN 'deposit' WHEN '银证转出' THE
 
 @query("x13_business_words", f"WITH {RAW_SQL} SELECT {ROWS}, {SIDE} AS side, {FLOW} AS flow, business LIKE '%融资%' AS margin, business LIKE '%送股%' AS corporate FROM rw")
 def x13(spark, folder):
-    b = F.col("业务名称")
-    k = BK.business_key(b)
-    return raw_rows(spark, folder).select(*ROW, BK.side_of(b).alias("side"), BK.flow_of(b).alias("flow"), BK.has_any(k, BK.MARGIN_WORDS).alias("margin"),
+    k = F.col("key")
+    return raw_rows(spark, folder).withColumn("key", BK.business_key(F.col("业务名称"))).select(*ROW, BK.side_of(k).alias("side"), BK.flow_of(k).alias("flow"), BK.has_any(k, BK.MARGIN_WORDS).alias("margin"),
                                           BK.has_any(k, BK.CORPORATE_WORDS).alias("corporate"))
 
 
@@ -220,9 +219,9 @@ SELECT {ROWS}, CASE WHEN business LIKE '%融资%' OR business LIKE '%送股%' TH
  WHEN flow IS NULL THEN 'unrecognized_business' END AS reason FROM k""")
 def l01(spark, folder):
     """Broker rows become trades, flows or unresolved rows with the reason."""
-    b = F.col("业务名称")
-    r = BK.infer_market(raw_rows(spark, folder), "证券代码", "市场").withColumns({
-        "key": BK.business_key(b), "side": BK.side_of(b), "flow": BK.flow_of(b), "amount": BK.number(F.col("发生金额")),
+    k = F.col("key")
+    r = BK.infer_market(raw_rows(spark, folder), "证券代码", "市场").withColumn("key", BK.business_key(F.col("业务名称"))).withColumns({
+        "side": BK.side_of(k), "flow": BK.flow_of(k), "amount": BK.number(F.col("发生金额")),
         "quantity": BK.number(F.col("成交数量")), "price": BK.number(F.col("成交价格"))})
     key, side, flow, amount, quantity, price, symbol = (F.col(c) for c in ("key", "side", "flow", "amount", "quantity", "price", "symbol"))
     missing = F.concat_ws(
