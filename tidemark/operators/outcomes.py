@@ -18,15 +18,16 @@ from tidemark.functions.windows import DAILY, Axis
 BLOCK = 64
 
 
-def first_passage(bars: DataFrame, starts: DataFrame, threshold: str, falls: bool, out: str, key: str = "instrument") -> DataFrame:
+def first_passage(bars: DataFrame, starts: DataFrame, threshold: str, falls: Column | bool, out: str, key: str = "instrument") -> DataFrame:
     """First bar after each start whose close is at or beyond the start's threshold.
 
     ``starts`` carries (key, rn, threshold column); ``out`` is the bar number or NULL.
     """
     blk = F.floor((F.col("rn") - 1) / BLOCK).cast("int")
+    down = falls if isinstance(falls, Column) else F.lit(falls)
 
-    def hit(close: Column) -> Column:
-        return close <= F.col(threshold) if falls else close >= F.col(threshold)
+    def hit(low: Column, high: Column) -> Column:
+        return F.when(down, low <= F.col(threshold)).otherwise(high >= F.col(threshold))
 
     blocks = bars.groupBy(key, blk.alias("_b")).agg(
         F.array_sort(F.collect_list(F.struct("rn", "close"))).alias("_rows"),
@@ -37,19 +38,32 @@ def first_passage(bars: DataFrame, starts: DataFrame, threshold: str, falls: boo
     rows = blocks.select(key, "_b", "_rows")
 
     def first_row(after: Column | None = None) -> Column:
-        ok = F.filter("_rows", lambda x: hit(x["close"]) & (x["rn"] > after) if after is not None else hit(x["close"]))
-        return F.array_min(F.transform(ok, lambda x: x["rn"]))
+        def ok(x):
+            return hit(x["close"], x["close"]) if after is None else (x["rn"] > after) & hit(x["close"], x["close"])
+
+        return F.array_min(F.transform(F.filter("_rows", ok), lambda x: x["rn"]))
 
     s = starts.withColumn("_b", blk).join(rows, [key, "_b"], "left")
     s = s.withColumn("_own", first_row(F.col("rn"))).drop("_rows")
     s = s.join(summary, key, "left")
-    edge = "_lo" if falls else "_hi"
-    later = F.filter("_sum", lambda x: (x["_b"] > F.col("_b")) & hit(x[edge]))
+    later = F.filter("_sum", lambda x: (x["_b"] > F.col("_b")) & hit(x["_lo"], x["_hi"]))
     s = s.withColumn("_b", F.when(F.col("_own").isNull(), F.array_min(F.transform(later, lambda x: x["_b"])))).drop("_sum")
     s = s.join(rows, [key, "_b"], "left")
     return s.withColumn(out, F.coalesce("_own", first_row())).drop("_b", "_own", "_rows")
 
 
+def first_passages(bars: DataFrame, starts: DataFrame, asks: dict[str, tuple[Column, bool, Column | None]],
+                   key: str = "instrument") -> DataFrame:
+    """Several first passages per start in one pass: name -> (threshold, falls, condition to ask at all)."""
+    items = []
+    for name, (threshold, falls, when) in asks.items():
+        ask = F.struct(F.lit(name).alias("_ask"), threshold.alias("_thr"), F.lit(falls).alias("_falls"))
+        items.append(ask if when is None else F.when(when, ask))
+    q = starts.select(key, "rn", F.explode(F.array_compact(F.array(*items))).alias("_q")).select(key, "rn", "_q.*")
+    answered = first_passage(bars, q, "_thr", F.col("_falls"), "_at", key)
+    return answered.groupBy(key, "rn").agg(*[F.max(F.when(F.col("_ask") == n, F.col("_at"))).alias(n) for n in asks])
+
+
 @dataclass(frozen=True)
 class Hold:
     sessions: int
@@ -101,7 +115,17 @@ def label_exits(bars: DataFrame, trigger: str, rules: Sequence[Rule], axis: Axis
     after = axis.ahead(1)
     b = bars.withColumns({"rn": axis.row(), "_next_date": axis.lead("session_date"), "buy_price": axis.lead("open")})
     b = b.withColumn("last_rn", F.max("rn").over(axis.whole))
-    price = b.select(key, "rn", "close")
+    usable = (F.col(trigger) == 1) & (F.col("rn") < F.col("last_rn")) & (F.col("buy_price") > 0)
+    asks: dict[str, tuple[Column, bool, Column | None]] = {}
+    for n, r in enumerate(rules):
+        if isinstance(r, (StopLoss, TakeProfit)):
+            sign = -1 if isinstance(r, StopLoss) else 1
+            asks[f"_at{n}"] = (F.col("close") * (1 + sign * r.pct / 100), sign < 0, usable)
+        elif isinstance(r, TrailingStop):
+            # the stop fires at the earliest bar that has fallen by pct from any close since entry
+            asks[f"_drop{n}"] = (F.col("close") * (1 - r.pct / 100), True, None)
+    if asks:
+        b = b.join(first_passages(b.select(key, "rn", "close"), b, asks, key), [key, "rn"], "left")
     for n, r in enumerate(rules):
         if isinstance(r, OnSignal):
             b = b.withColumn(f"_at{n}", F.min(F.when(F.col(r.column) == 1, F.col("rn"))).over(after))
@@ -110,18 +134,8 @@ def label_exits(bars: DataFrame, trigger: str, rules: Sequence[Rule], axis: Axis
             b = b.withColumn("_ends", F.trunc("session_date", unit) != F.trunc("_next_date", unit))
             b = b.withColumn(f"_at{n}", F.min(F.when(F.col("_ends"), F.col("rn"))).over(after)).drop("_ends")
         elif isinstance(r, TrailingStop):
-            # the stop fires at the earliest bar that has fallen by pct from any close since entry
-            starts = price.withColumn("_thr", F.col("close") * (1 - r.pct / 100)).drop("close")
-            drops = first_passage(price, starts, "_thr", True, f"_drop{n}", key).drop("_thr")
-            b = b.join(drops, [key, "rn"])
             b = b.withColumn(f"_at{n}", F.min(f"_drop{n}").over(after)).drop(f"_drop{n}")
-    t = b.filter((F.col(trigger) == 1) & (F.col("rn") < F.col("last_rn")) & (F.col("buy_price") > 0))
-    for n, r in enumerate(rules):
-        if isinstance(r, (StopLoss, TakeProfit)):
-            falls = isinstance(r, StopLoss)
-            sign = -1 if falls else 1
-            t = t.withColumn("_thr", F.col("close") * (1 + sign * r.pct / 100))
-            t = first_passage(price, t, "_thr", falls, f"_at{n}", key).drop("_thr")
+    t = b.filter(usable)
     exits = {}
     for n, r in enumerate(rules):
         if isinstance(r, Hold):

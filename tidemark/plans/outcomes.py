@@ -129,14 +129,13 @@ def o12(spark, folder):
     """Return and drawdown exits relative to the fill price of each entry."""
     ax = DAILY
     b = flagged(spark, folder).withColumns({"rn": ax.row(), "anchor": ax.lead("open")})
-    price = b.select("instrument", "rn", "close")
-    starts = price.withColumn("_thr", F.col("close") * (1 - 60.0 / 100)).drop("close")
-    drops = O.first_passage(price, starts, "_thr", True, "_drop").drop("_thr")
-    b = b.join(drops, ["instrument", "rn"]).withColumn("_trail", F.min("_drop").over(ax.ahead(1)))
-    t = b.filter((F.col(BUY) == 1) & (F.col("anchor") > 0)).select("instrument", "session_date", "rn", "anchor", "_trail")
-    for out, factor, falls in (("_tp", 1.5, False), ("_sl", 1 - 30.0 / 100, True), ("_tr", 1 - 60.0 / 100, True)):
-        t = O.first_passage(price, t.withColumn("_thr", F.col("anchor") * factor), "_thr", falls, out).drop("_thr")
-    t = t.withColumn("_tr", F.least("_tr", "_trail"))
+    entry = (F.col(BUY) == 1) & (F.col("anchor") > 0)
+    low = 1 - 60.0 / 100
+    found = O.first_passages(b.select("instrument", "rn", "close"), b, {
+        "_tp": (F.col("anchor") * 1.5, False, entry), "_sl": (F.col("anchor") * (1 - 30.0 / 100), True, entry),
+        "_tr": (F.col("anchor") * low, True, entry), "_drop": (F.col("close") * low, True, None)})
+    t = b.join(found, ["instrument", "rn"], "left").withColumn("_trail", F.min("_drop").over(ax.ahead(1)))
+    t = t.filter(entry).withColumn("_tr", F.least("_tr", "_trail"))
     first = F.array_min(F.array(*[
         F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("rn"), F.lit(i).alias("i"), F.lit(n).alias("rule")))
         for i, (c, n) in enumerate((("_tp", "take_profit"), ("_sl", "stop_loss"), ("_tr", "trailing")))
