@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import materialise
+
 # Source order of the announcement lane; a lane may prefer another order.
 DEFAULT_PRIORITY = ("purchase", "signup", "view", "click", "error")
 
@@ -76,6 +78,8 @@ def assign_identity(obs: DataFrame, scope: list[str], fact: str, document: str,
     attached = F.when(own, F.col(fact)).when(by_doc, F.col("_df")).when(open_ & (F.col("_tn") == 1), F.col("_tf"))
     ambiguous = doc_unclear | (open_ & (F.col("_tn") > 1))
     o = o.withColumns({"_fact": attached, "_amb": F.coalesce(ambiguous, F.lit(False))}).drop("_dn", "_df", "_tn", "_tf")
+    # the second stage reads the attached observations three times
+    o = materialise(o, "attached")
 
     rest = F.col("_fact").isNull() & ~F.col("_amb")
     hashed = o.filter(rest & F.col(document).isNotNull())

@@ -13,11 +13,10 @@ from tidemark.functions.windows import DAILY, Axis
 def dividend_yield(bars: DataFrame, actions: DataFrame, days: int = 365) -> DataFrame:
     """Implemented cash of the last year over the latest close."""
     last = bars.groupBy("instrument").agg(F.max_by("close", "session_date").alias("latest_close"))
-    end = F.broadcast(bars.agg(F.max("session_date").alias("_end")))
+    end = bars.agg(F.max("session_date")).scalar()
     paid = (
         actions.filter(F.col("status") == "F")
-        .crossJoin(end)
-        .filter((F.col("ex_date") >= F.date_sub("_end", days)) & (F.col("ex_date") <= F.col("_end")))
+        .filter((F.col("ex_date") >= F.date_sub(end, days)) & (F.col("ex_date") <= end))
         .groupBy("instrument")
         .agg(F.sum("gross_cash").alias("_cash"))
     )
@@ -38,22 +37,21 @@ def latest_factors(bars: DataFrame, valuation: DataFrame, facts: DataFrame, acti
     )
     names = ("close", "momentum_60", "volatility_60", "turnover_avg_20")
     last = b.groupBy("instrument").agg(F.max(F.struct("session_date", *names)).alias("_b"))
-    end = F.broadcast(bars.agg(F.max("session_date").alias("_end")))
+    end = bars.agg(F.max("session_date")).scalar()
     v = valuation.groupBy("instrument").agg(F.max(F.struct("session_date", "pe_ttm", "pb")).alias("_v"))
     f = (
-        facts.crossJoin(end)
-        .filter(F.col("notice_date") <= F.col("_end"))
+        facts.filter(F.col("notice_date") <= end)
         .groupBy("instrument")
         .agg(F.max(F.struct("notice_date", "revision_id", "value")).alias("_f"))
     )
     y = dividend_yield(bars, actions).select("instrument", "dividend_yield")
-    out = last.join(v, "instrument", "left").join(f, "instrument", "left").join(y, "instrument", "left").crossJoin(end)
+    out = last.join(v, "instrument", "left").join(f, "instrument", "left").join(y, "instrument", "left")
     positive = {c: F.when(F.col(f"_v.{c}") > 0, F.col(f"_v.{c}")) for c in ("pe_ttm", "pb")}
     return out.select(
         "instrument",
         F.col("_b.session_date").alias("latest_date"),
         F.col("_b.close").alias("latest_close"),
-        (F.col("_b.session_date") >= F.date_sub("_end", stale_days)).alias("is_active"),
+        (F.col("_b.session_date") >= F.date_sub(end, stale_days)).alias("is_active"),
         *[F.col(f"_b.{c}").alias(c) for c in names[1:]],
         *[c.alias(n) for n, c in positive.items()],
         F.col("_f.value").alias("report_value"),

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import materialise
+
 
 def before(*keys: str, order: str) -> object:
     return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -49,14 +51,16 @@ def fifo(trades: DataFrame, keys: Sequence[str] = ("account", "symbol"), day: st
     """
     keys = list(keys)
     date_only = F.col("precision") == "date_only"
-    mixed = (F.max("side") != F.min("side")) & F.bool_or(date_only)
     days = trades.groupBy(*keys, day).agg(
-        F.sum(qty("buy")).alias("bq"), F.sum(qty("sell")).alias("sq"), F.sum(buy_cost()).alias("bc"), mixed.alias("_mixed")
+        F.sum(qty("buy")).alias("bq"), F.sum(qty("sell")).alias("sq"), F.sum(buy_cost()).alias("bc"), F.bool_or(date_only).alias("_vague")
     )
+    days = days.withColumn("_mixed", (F.col("bq") > 0) & (F.col("sq") > 0) & F.col("_vague")).drop("_vague")
     w = before(*keys, order=day)
     days = days.withColumns(
         {n: F.coalesce(F.sum(c).over(w), F.lit(0.0)) for n, c in (("b0", "bq"), ("s0", "sq"), ("c0", "bc"))}
     )
+    # one row per key and day, read by four consumers below
+    days = materialise(days, "ledger-days")
     inside = Window.partitionBy(*keys, day).orderBy(seq)
     t = trades.join(days.select(*keys, day, "b0", "s0", "c0", "_mixed"), [*keys, day])
     t = t.withColumns(
@@ -106,9 +110,8 @@ def fifo(trades: DataFrame, keys: Sequence[str] = ("account", "symbol"), day: st
     found = both.withColumn("_lot", F.last("_lot", ignorenulls=True).over(by_position)).filter(F.col("_sign").isNotNull())
     at = F.col("_lot.c0") + (F.col("_x") - F.col("_lot.b0")) * F.col("_lot.unit")
     rest = [c for c in kept if c not in (day, seq)]
-    out = found.groupBy(*keys, day, seq).agg(
-        F.sum(F.when(F.col("_sign") != 0, F.col("_sign") * at)).alias("fifo_cost"), *[F.first(c).alias(c) for c in rest]
-    )
+    # the other columns depend on the sell, so they can be grouping keys of a hash aggregate
+    out = found.groupBy(*keys, day, seq, *rest).agg(F.sum(F.when(F.col("_sign") != 0, F.col("_sign") * at)).alias("fifo_cost"))
     pnl = F.col("quantity") * F.col("price") - F.col("fees") - F.col("fifo_cost")
     return out.select(*trades.columns, "complete", "fifo_cost", pnl.alias("fifo_pnl"))
 

@@ -184,29 +184,26 @@ SCENARIOS = (
 )
 
 
-def scenario_table(spark, slippage_bps: float, participation: float) -> DataFrame:
+def scenarios(slippage_bps: float, participation: float) -> list[tuple[str, float, float]]:
     """Scenarios with identical settings are run once, under the first name."""
-    rows, seen = [], set()
+    out: dict[tuple[float, float], str] = {}
     for name, multiple, rate in SCENARIOS:
-        config = (slippage_bps * multiple, participation if rate is None else rate)
-        if config not in seen:
-            seen.add(config)
-            rows.append((name, *config))
-    return spark.createDataFrame(rows, "scenario_id string, slippage_bps double, participation_rate double")
+        out.setdefault((slippage_bps * multiple, participation if rate is None else rate), name)
+    return [(name, *config) for config, name in out.items()]
 
 
-def stress(outcomes: DataFrame, scenarios: DataFrame) -> DataFrame:
-    """Re-price labelled outcomes under each scenario (at most six rows, broadcast)."""
+def stress(outcomes: DataFrame, settings: list[tuple[str, float, float]]) -> DataFrame:
+    """Re-price labelled outcomes under each scenario; every row fans out to at most six."""
+    items = [F.struct(F.lit(n).alias("scenario_id"), F.lit(b).alias("slippage_bps"), F.lit(r).alias("participation_rate")) for n, b, r in settings]
+    rows = outcomes.select("buy_price", "exit_price", "volume", F.explode(F.array(*items)).alias("_s")).select("*", "_s.*")
     s = F.col("slippage_bps") / 10000
     net = F.col("exit_price") * (1 - s) / (F.col("buy_price") * (1 + s)) - 1
     fill = F.least(F.lit(1.0), F.col("participation_rate") * F.col("volume") / F.lit(100.0))
-    per = (
-        outcomes.crossJoin(F.broadcast(scenarios))
-        .groupBy("scenario_id", "slippage_bps", "participation_rate")
-        .agg(F.count(F.lit(1)).alias("trade_count"), F.avg(net * fill).alias("mean_return"), F.min(net * fill).alias("worst_return"))
+    per = rows.groupBy("scenario_id", "slippage_bps", "participation_rate").agg(
+        F.count(F.lit(1)).alias("trade_count"), F.avg(net * fill).alias("mean_return"), F.min(net * fill).alias("worst_return")
     )
-    span = per.agg(F.min("mean_return").alias("range_min"), F.max("mean_return").alias("range_max"))
-    return per.crossJoin(F.broadcast(span))
+    report = per.agg(F.array_sort(F.collect_list(F.struct(*per.columns))).alias("_r"), F.min("mean_return").alias("range_min"), F.max("mean_return").alias("range_max"))
+    return report.select(F.explode("_r").alias("_r"), "range_min", "range_max").select("_r.*", "range_min", "range_max")
 
 
 def mark_to_market(log: DataFrame, bars: DataFrame, capital: float, axis: Axis = DAILY) -> DataFrame:

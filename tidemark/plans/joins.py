@@ -8,7 +8,7 @@ from tidemark.functions.kleene import compare
 from tidemark.functions.windows import DAILY
 from tidemark.operators import asof
 from tidemark.operators.atoms import with_atoms
-from tidemark.plans.outcomes import BUY, TRIG, curves
+from tidemark.plans.outcomes import BUY, TRIG
 from tidemark.plans.registry import query
 from tidemark.plans.sql import BARS, NUMBERED
 from tidemark.plans.atoms import FFILL_PE
@@ -327,8 +327,8 @@ SELECT instrument, action_id, CASE WHEN x.d < record_date THEN 'announced' WHEN
   WHEN x.d <= pay_date THEN 'accrued' ELSE 'settled' END AS stage FROM act, x""")
 def l10(spark, folder):
     """Stage of each entitlement on the last market date."""
-    last = mk.ticks(spark, folder).agg(F.max("session_date").alias("d"))
-    a = mk.corporate_actions(spark, folder).crossJoin(F.broadcast(last))
+    last = mk.ticks(spark, folder).agg(F.max("session_date")).scalar()
+    a = mk.corporate_actions(spark, folder).withColumn("d", last)
     stage = (F.when(F.col("d") < F.col("record_date"), "announced").when(F.col("d") < F.col("ex_date"), "captured")
              .when(F.col("d") <= F.col("pay_date"), "accrued").otherwise("settled"))
     return a.select("instrument", "action_id", stage.alias("stage"))
@@ -452,5 +452,3 @@ def k04(spark, folder):
     return mk.bars_daily(spark, folder).groupBy("instrument").agg(
         F.max_by("close", "session_date").alias("close"), F.max("session_date").alias("session_date"))
 
-
-_ = curves

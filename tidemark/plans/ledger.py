@@ -12,6 +12,7 @@ from tidemark.plans.joins import ACT, FACTS, KEYS
 from tidemark.plans.registry import query
 from tidemark.plans.atoms import VALUATION
 from tidemark.plans.sql import BARS, NUMBERED, PX, lag, roll
+from tidemark.session import materialise
 from tidemark.sources import market as mk
 from tidemark.sources.tables import table
 
@@ -68,7 +69,7 @@ SIX = ("momentum_60", "volatility_60", "turnover_avg_20", "pe_ttm", "pb")
 
 
 def snapshot(spark, folder):
-    bars = mk.bars_daily(spark, folder).withColumn("turnover_rate", F.col("volume") / 10)
+    bars = materialise(mk.bars_daily(spark, folder).withColumn("turnover_rate", F.col("volume") / 10), "bars")
     return FA.latest_factors(bars, mk.valuation(spark, folder), mk.facts(spark, folder), mk.corporate_actions(spark, folder))
 
 
@@ -247,10 +248,11 @@ def l05(spark, folder):
 SELECT account, points, CASE WHEN points < 2 THEN 'unavailable' WHEN points >= 3 AND g.a = p.a AND g.z = p.z THEN 'available' ELSE 'partial' END AS grade FROM g, p""")
 def l06(spark, folder):
     """Is the linked return backed by the whole period, part of it, or not at all?"""
-    p = table(spark, folder, "events").agg(F.to_date(F.min("ts")).alias("pa"), F.to_date(F.max("ts")).alias("pz"))
+    e = table(spark, folder, "events")
+    first, last = e.agg(F.to_date(F.min("ts"))).scalar(), e.agg(F.to_date(F.max("ts"))).scalar()
     g = equity_rows(spark, folder).groupBy("account").agg(F.count(F.lit(1)).alias("points"), F.min("day").alias("a"), F.max("day").alias("z"))
-    whole = (F.col("points") >= 3) & (F.col("a") == F.col("pa")) & (F.col("z") == F.col("pz"))
-    return g.crossJoin(F.broadcast(p)).select("account", "points", F.when(F.col("points") < 2, "unavailable").when(whole, "available").otherwise("partial").alias("grade"))
+    whole = (F.col("points") >= 3) & (F.col("a") == first) & (F.col("z") == last)
+    return g.select("account", "points", F.when(F.col("points") < 2, "unavailable").when(whole, "available").otherwise("partial").alias("grade"))
 
 
 @query("l07_reconciliation", f"""WITH {TRADES}, g AS (SELECT account, count(DISTINCT precision) > 1 AS mixed, min(CASE WHEN side = 'sell' THEN trade_date END) < min(CASE WHEN side = 'buy' THEN trade_date END) AS gap,
@@ -275,7 +277,7 @@ def l08(spark, folder):
     """Last close at or before a highlight and the change over the thirty days before it."""
     from tidemark.operators.asof import latest_known, next_own_session
 
-    bars = mk.bars_daily(spark, folder).select(*KEYS, "close")
+    bars = materialise(mk.bars_daily(spark, folder).select(*KEYS, "close"), "closes")
     h = mk.facts(spark, folder).select("instrument", "revision_id", "notice_date", F.date_sub("notice_date", 30).alias("from_date"))
     h = latest_known(h, bars, ["instrument"], "notice_date", "session_date", ["session_date"], ["close"])
     h = next_own_session(h, bars, ["instrument"], "from_date", "first_date")

@@ -12,6 +12,7 @@ from tidemark.operators.indicators import ma as study_ma
 from tidemark.plans.registry import query
 from tidemark.plans.sql import BARS, NUMBERED, SUSP, lag, roll
 from tidemark.functions.windows import TRADED
+from tidemark.session import materialise
 from tidemark.sources.market import bars_daily, bars_suspended, calendar
 from tidemark.sources.tables import table
 
@@ -26,7 +27,8 @@ tr AS (SELECT * FROM a WHERE buy AND rn < last_rn AND buy_price > 0)"""
 
 
 def flagged(spark, folder):
-    return with_atoms(bars_daily(spark, folder), [BUY, REV])
+    """Bars with the entry and reverse atoms, stored once: exits read them several times."""
+    return materialise(with_atoms(bars_daily(spark, folder), [BUY, REV]), "flagged-bars")
 
 
 def future(cond: str) -> str:
@@ -99,14 +101,14 @@ nx AS (SELECT o.*, row_number() OVER (PARTITION BY instrument ORDER BY rn) AS k,
 ch AS (SELECT * FROM nx WHERE k = 1 UNION ALL SELECT n.* FROM ch JOIN nx n ON n.instrument = ch.instrument AND n.rn = ch.nxt)"""
 
 
-def chosen(spark, folder):
+def chosen(bars):
     """Non-overlapping outcomes of every instrument."""
-    return O.non_overlapping(O.outcomes(flagged(spark, folder), BUY, [RULES[n][0] for n in EXITS]))
+    return O.non_overlapping(O.outcomes(bars, BUY, [RULES[n][0] for n in EXITS]))
 
 
 @query("o10_non_overlapping", f"WITH RECURSIVE {CHAIN} SELECT {SHOW} FROM ch")
 def o10(spark, folder):
-    return chosen(spark, folder).select("instrument", "session_date", "exit_date", "exit_reason", "buy_price", "exit_price",
+    return chosen(flagged(spark, folder)).select("instrument", "session_date", "exit_date", "exit_reason", "buy_price", "exit_price",
                                         F.round("return_pct", 4).alias("return_pct"))
 
 
@@ -219,9 +221,9 @@ cs AS (SELECT instrument, arg_min(equity, session_date) AS e0, arg_max(equity, s
   arg_min(benchmark, session_date) AS b0, arg_max(benchmark, session_date) AS b1 FROM cp GROUP BY 1)"""
 
 
-def curves(spark, folder):
+def curves(bars):
     """Each instrument's close as its curve, against the sum of all closes of the day."""
-    bars = bars_daily(spark, folder).select("instrument", "session_date", "close")
+    bars = bars.select("instrument", "session_date", "close")
     index = bars.groupBy("session_date").agg(F.sum(F.col("close").cast("decimal(18,2)")).cast("double").alias("benchmark"))
     return bars.withColumnRenamed("close", "equity").join(index, "session_date")
 
@@ -230,13 +232,17 @@ def curves(spark, folder):
 SELECT instrument, round(e1 / e0 - 1, 6) AS total_return, round(power(e1 / e0, 252.0 / n) - 1, 6) AS annual_return,
   round(dd, 6) AS max_drawdown, round((mu - 0.025 / 252) / sd * sqrt(252.0), 6) AS sharpe, round(b1 / b0 - 1, 6) AS benchmark_return FROM cs""")
 def a05(spark, folder):
-    m = M.classic_metrics(M.curve_summary(curves(spark, folder), benchmark="benchmark"))
+    m = M.classic_metrics(M.curve_summary(curves(stored_bars(spark, folder)), benchmark="benchmark"))
     names = ("total_return", "annual_return", "max_drawdown", "sharpe", "benchmark_return")
     return m.select("instrument", *[F.round(c, 6).alias(c) for c in names])
 
 
-def round_trips(spark, folder):
-    return chosen(spark, folder).select(
+def stored_bars(spark, folder):
+    return materialise(bars_daily(spark, folder), "bars")
+
+
+def round_trips(bars):
+    return chosen(bars).select(
         "instrument",
         (F.col("exit_price") - F.col("buy_price")).cast("decimal(18,2)").cast("double").alias("net_pnl"),
         F.datediff("exit_date", "session_date").alias("holding_days"),
@@ -254,15 +260,16 @@ SELECT cs.instrument, round(e1 / e0 - 1, 6) AS total_return, round(power(e1 / e0
   CASE WHEN coalesce(nt, 0) < 30 THEN 'sample_too_small_for_strong_inference' END AS warning
 FROM cs LEFT JOIN ts USING (instrument)""")
 def a06(spark, folder):
-    m = M.calendar_metrics(M.curve_summary(curves(spark, folder), benchmark="benchmark"), round_trips(spark, folder))
+    bars = flagged(spark, folder)
+    m = M.calendar_metrics(M.curve_summary(curves(bars), benchmark="benchmark"), round_trips(bars))
     six = ("total_return", "annualized_return", "annualized_volatility", "sharpe_ratio", "max_drawdown", "excess_return", "win_rate")
     return m.select("instrument", *[F.round(c, 6).alias(c) for c in six], F.round("profit_factor", 4).alias("profit_factor"),
                     F.round("average_holding_days", 4).alias("average_holding_days"), "trade_count", "warning")
 
 
-def trade_log(spark, folder):
+def trade_log(bars):
     """BUY and SELL rows of the non-overlapping trades, 100 shares each."""
-    t = chosen(spark, folder)
+    t = chosen(bars)
     legs = F.array(
         F.struct(F.lit("BUY").alias("action"), F.col("session_date").alias("date"), F.col("rn").alias("at"),
                  F.col("buy_price").alias("price"), F.lit("signal").alias("reason")),
@@ -282,7 +289,7 @@ q AS (SELECT instrument, count(*) AS closed_trades, avg(CAST(r > 0 AS INT)) AS w
 SELECT instrument, closed_trades, round(wr, 6) AS win_rate, round(CASE WHEN l > 0 THEN w / l WHEN nw = 0 THEN 0 END, 6) AS profit_loss_ratio,
   round(h, 4) AS avg_holding_days FROM q""")
 def a07(spark, folder):
-    s = M.round_trip_stats(M.pair_trades(trade_log(spark, folder), LOG_AXIS), "instrument")
+    s = M.round_trip_stats(M.pair_trades(trade_log(flagged(spark, folder)), LOG_AXIS), "instrument")
     return s.select("instrument", "closed_trades", F.round("win_rate", 6).alias("win_rate"),
                     F.round("profit_loss_ratio", 6).alias("profit_loss_ratio"), F.round("avg_holding_days", 4).alias("avg_holding_days"))
 
@@ -297,7 +304,7 @@ SELECT instrument, count(*) AS total_buys, count(*) AS total_sells, count(*) FIL
   count(*) FILTER (WHERE exit_reason LIKE 'hit_stop_loss%') AS stop_loss_count,
   count(*) FILTER (WHERE exit_reason LIKE 'hit_take_profit%') AS stop_profit_count FROM p JOIN m USING (instrument) GROUP BY 1""")
 def a08(spark, folder):
-    log = trade_log(spark, folder)
+    log = materialise(trade_log(flagged(spark, folder)), "trade-log")
     pairs = M.pair_trades(log, LOG_AXIS).groupBy("instrument").agg(
         F.count_if(F.col("ret") > 0).alias("profitable_trades"), F.count_if(F.col("ret") < 0).alias("losing_trades"),
         F.max("hold_days").alias("max_holding_days"), F.round(F.max("ret"), 4).alias("best_trade_pct"),
@@ -318,7 +325,7 @@ k AS (SELECT DISTINCT instrument, CAST(floor(g * (n - 1) / 59.0 + 1e-9) AS BIGIN
 SELECT instrument, date, round(val / base * 100, 2) AS value FROM n
 WHERE n <= 60 OR EXISTS (SELECT 1 FROM k WHERE k.instrument = n.instrument AND k.i = n.i)""")
 def a09(spark, folder):
-    return M.month_end_curve(curves(spark, folder))
+    return M.month_end_curve(bars_daily(spark, folder).withColumnRenamed("close", "equity"))
 
 
 @query("a10_result_series", f"""WITH {CURVE}
@@ -326,7 +333,7 @@ SELECT instrument, session_date, round(equity / first_value(equity) OVER w * 100
   round(benchmark / first_value(benchmark) OVER w * 100, 4) AS benchmark_index, round(dd, 6) AS drawdown FROM cp
 WINDOW w AS (PARTITION BY instrument ORDER BY session_date)""")
 def a10(spark, folder):
-    s = M.result_series(curves(spark, folder))
+    s = M.result_series(curves(stored_bars(spark, folder)))
     return s.select("instrument", "session_date", F.round("equity_index", 4).alias("equity_index"),
                     F.round("benchmark_index", 4).alias("benchmark_index"), F.round("drawdown", 6).alias("drawdown"))
 
@@ -344,7 +351,7 @@ def a16(spark, folder):
     bars = flagged(spark, folder)
     oc = O.outcomes(bars, BUY, [RULES[n][0] for n in EXITS]).join(
         bars.select("instrument", "session_date", "volume"), ["instrument", "session_date"])
-    s = M.stress(oc, M.scenario_table(spark, 10.0, 0.05))
+    s = M.stress(oc, M.scenarios(10.0, 0.05))
     return s.select("scenario_id", "slippage_bps", "participation_rate", "trade_count",
                     *[F.round(c, 8).alias(c) for c in ("mean_return", "worst_return", "range_min", "range_max")])
 
@@ -357,9 +364,9 @@ SELECT a.instrument, a.session_date, round(1000000 + coalesce(sum(f.cash) OVER w
   round(1000000 + coalesce(sum(f.cash) OVER w, 0) + coalesce(sum(f.sh) OVER w, 0) * a.close, 2) AS equity
 FROM a LEFT JOIN f USING (instrument, rn) WINDOW w AS (PARTITION BY a.instrument ORDER BY a.session_date)""")
 def a18(spark, folder):
-    bars = bars_daily(spark, folder)
+    bars = flagged(spark, folder)
     numbered = bars.withColumn("at", DAILY.row()).select("instrument", "at", "session_date")
-    log = trade_log(spark, folder).withColumn("at", F.when(F.col("action") == "BUY", F.col("at") + 1).otherwise(F.col("at")))
+    log = trade_log(bars).withColumn("at", F.when(F.col("action") == "BUY", F.col("at") + 1).otherwise(F.col("at")))
     buys = F.col("action") == "BUY"
     log = log.join(numbered, ["instrument", "at"]).select(
         "instrument", "session_date",

@@ -77,10 +77,9 @@ def calendar(spark: SparkSession, folder: str) -> DataFrame:
 
 def facts(spark: SparkSession, folder: str) -> DataFrame:
     """Long table of disclosed values: the period they describe and the day they became known."""
-    n = table(spark, folder, "supplier").agg(F.count(F.lit(1)).alias("n"))
-    o = table(spark, folder, "orders").crossJoin(F.broadcast(n))
-    return o.select(
-        (F.col("o_custkey") % F.col("n")).alias("instrument"),
+    n = table(spark, folder, "supplier").agg(F.count(F.lit(1))).scalar()
+    return table(spark, folder, "orders").select(
+        (F.col("o_custkey") % n).alias("instrument"),
         F.date_sub(F.trunc("o_orderdate", "quarter"), 1).alias("report_period"),
         F.to_date("o_orderdate").alias("notice_date"),
         F.col("o_totalprice").alias("value"),
