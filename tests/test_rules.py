@@ -10,7 +10,7 @@ from tidemark.functions import units
 from tidemark.operators.atoms import ATOMS, REVERSE_OF, Atom, register, with_atoms
 from tidemark.operators.bars import resample
 from tidemark.operators.conditions import All, Indicator, Known, Not, check, with_condition
-from tidemark.operators.indicators import CATALOG
+from tidemark.operators.indicators import BOUNDS, CATALOG
 from tidemark.operators.strategies import STRATEGIES, signals
 from tidemark.sources import store
 
@@ -80,13 +80,29 @@ def test_registries():
     Indicator("technical.nope", "above"), Indicator("technical.ma", "nope"), Indicator("technical.ma", "price_above", 1.0),
     Indicator("technical.rsi", "above"), Indicator("technical.ma", "price_above", params={"period": 0}),
     Indicator("technical.ma", "price_above", params={"span": 3}), Indicator("technical.ma", "price_above", params={"period": 2.5}),
-    Indicator("technical.ma_cross", "golden_cross", params={"fast_period": 30}),
+    Indicator("technical.ma_cross", "golden_cross", params={"fast_period": 30}), Indicator("technical.rsi", "above", 101.0),
+    Indicator("technical.ma", "price_above", params={"period": 1001}), Indicator("price.close", "above", 0),
+    Indicator("technical.ma", "price_above", params={"price_field": "vwap"}), Indicator("technical.bbi", "price_above", params={"period_1": 6}),
 ])
 def test_bad_conditions_are_rejected(leaf):
     with pytest.raises(ValueError):
         check(leaf)
 
 
+def test_every_numeric_parameter_has_a_range_and_its_default_fits():
+    for id, s in CATALOG.items():
+        for name, v in s.defaults.items():
+            if name != "price_field":
+                low, high = BOUNDS[id][name]
+                assert low <= v <= high
+
+
+def test_price_field_reaches_line_and_trigger(make_bars):
+    bars = make_bars({1: [(1, 9, 1, 5, 10), (2, 9, 1, 5, 10), (9, 9, 1, 5, 10)]})
+    out = with_condition(bars, Indicator("technical.ma", "price_above", params={"period": 2, "price_field": "open"}), "s")
+    assert column(out, "s") == [None, True, True]
+
+
 def test_unknown_stays_unknown(make_bars):
     bars = make_bars({1: [1, 2, 3, 1]}).withColumn("fact", F.lit(None).cast("boolean"))
     up = Indicator("technical.ma", "price_above", params={"period": 2})

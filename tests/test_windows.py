@@ -25,6 +25,13 @@ def test_long_decay_does_not_overflow(make_bars):
     assert np.allclose(column(got, "e"), pd.Series(x).ewm(alpha=0.9, adjust=False).mean(), rtol=1e-10)
 
 
+def test_shortest_periods_follow_the_price(make_bars):
+    bars = make_bars({1: [3.0, 5.0, 4.0]})
+    assert column(I.evaluate(bars, "technical.ema", (), period=1), "ema") == [3.0, 5.0, 4.0]
+    assert column(I.evaluate(bars, "technical.atr", (), value=1.0, period=1), "atr") == [None, 2.0, 1.0]
+    assert column(I.evaluate(bars, "technical.kdj", (), value=1.0, period=2, k_smoothing=1, d_smoothing=1), "k") == [None, 100.0, 0.0]
+
+
 def test_rolling_value_needs_a_full_frame(make_bars):
     df = make_bars({1: [1, 2, 3, 4]}).withColumn("m", DAILY.mean("close", 3))
     assert column(df, "m") == [None, None, 2.0, 3.0]

@@ -22,11 +22,17 @@ BLOCK = 64
 def discounted_sums(df: DataFrame, axis: Axis, specs: Mapping[str, tuple[Column, float]], row_no: str) -> DataFrame:
     """Add one column per spec: name -> (impulse, decay). ``row_no`` counts from 1.
 
-    A NULL impulse contributes nothing.
+    A NULL impulse contributes nothing. A decay of 0 has no memory: the value is the impulse.
     """
+    plain = {n: F.coalesce(u, F.lit(0.0)) for n, (u, a) in specs.items() if a == 0}
+    if plain:
+        df = df.withColumns(plain)
+        specs = {n: s for n, s in specs.items() if n not in plain}
+        if not specs:
+            return df
     for _, a in specs.values():
         if not 1e-4 < a < 1:
-            raise ValueError("decay must lie strictly between 0.0001 and 1")
+            raise ValueError("decay must be 0 or lie strictly between 0.0001 and 1")
     df = df.withColumns(
         {
             "_blk": F.floor((F.col(row_no) - 1) / BLOCK),

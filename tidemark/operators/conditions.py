@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import kleene
 from tidemark.functions.windows import TRADED, Axis
-from tidemark.operators.indicators import CATALOG, evaluate
+from tidemark.operators.indicators import ABOVE_ZERO, BOUNDS, CATALOG, ORDERED, VALUES, evaluate
 
 
 @dataclass(frozen=True)
@@ -53,18 +53,31 @@ def check(leaf: Indicator) -> None:
     if (leaf.value is None) == (leaf.trigger in s.valued):
         need = "requires" if leaf.trigger in s.valued else "takes no"
         raise ValueError(f"trigger {leaf.trigger} of {leaf.id} {need} comparison value")
+    if leaf.value is not None:
+        low, high = VALUES.get(leaf.id, (None, None))
+        outside = (low is not None and leaf.value < low) or (high is not None and leaf.value > high)
+        if isinstance(leaf.value, bool) or outside or (leaf.id in ABOVE_ZERO and leaf.value == 0):
+            raise ValueError(f"value {leaf.value} is out of range for {leaf.id}")
+    bounds = BOUNDS.get(leaf.id, {})
     for name, v in leaf.params.items():
         if name not in s.defaults:
             raise ValueError(f"study {leaf.id} has no parameter {name}")
-        if isinstance(v, bool) or not isinstance(v, type(s.defaults[name])):
+        if name == "price_field":
+            if v not in ("open", "high", "low", "close"):
+                raise ValueError(f"unsupported price field {v}")
+            continue
+        kinds = (int,) if isinstance(s.defaults[name], int) else (int, float)
+        if isinstance(v, bool) or not isinstance(v, kinds):
             raise ValueError(f"parameter {name} of {leaf.id} has the wrong type")
-        if isinstance(v, (int, float)) and v <= 0:
-            raise ValueError(f"parameter {name} of {leaf.id} must be positive")
+        low, high = bounds[name]
+        if not low <= v <= high:
+            raise ValueError(f"parameter {name} of {leaf.id} must lie between {low} and {high}")
     p = {**s.defaults, **leaf.params}
-    for small, large in (("fast_period", "slow_period"), ("fast", "slow"), ("short_period", "long_period"),
-                         ("min_separation", "max_separation")):
+    for small, large in ORDERED:
         if small in p and large in p and not p[small] < p[large]:
             raise ValueError(f"{small} must be less than {large}")
+    if "min_separation" in p and p["min_separation"] > p["max_separation"]:
+        raise ValueError("min_separation cannot exceed max_separation")
 
 
 def leaves(node) -> list[Indicator]:

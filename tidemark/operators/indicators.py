@@ -61,7 +61,13 @@ def line_triggers(left: str, right: str, names: tuple[str, str, str, str]) -> di
 
 
 def price_vs(line: str) -> dict[str, Trigger]:
-    return line_triggers("close", line, ("price_crosses_above", "price_crosses_below", "price_above", "price_below"))
+    """The study's own price field against its line."""
+    return {
+        "price_crosses_above": lambda ax, p: crosses_above(ax, p["price_field"], line),
+        "price_crosses_below": lambda ax, p: crosses_below(ax, p["price_field"], line),
+        "price_above": lambda ax, p: F.col(p["price_field"]) > F.col(line),
+        "price_below": lambda ax, p: F.col(p["price_field"]) < F.col(line),
+    }
 
 
 def threshold(line: str, prefix: str = "") -> dict[str, Trigger]:
@@ -115,18 +121,19 @@ def ma(df, ax, period, price_field):
     return df.withColumn("ma", ax.mean(price_field, period))
 
 
-@study("technical.ema", "ema", price_vs("ema"), period=28)
-def ema_line(df, ax, period):
-    df = ema(numbered(df, ax), ax, {"ema": ("close", 2 / (period + 1))}, "rn")
+@study("technical.ema", "ema", price_vs("ema"), period=28, price_field="close")
+def ema_line(df, ax, period, price_field="close"):
+    df = ema(numbered(df, ax), ax, {"ema": (price_field, 2 / (period + 1))}, "rn")
     return df.withColumn("ema", F.when(F.col("rn") >= period, F.col("ema")))
 
 
 CROSS_NAMES = ("golden_cross", "death_cross", "fast_above_slow", "fast_below_slow")
 
 
-@study("technical.ma_cross", "fast slow", line_triggers("fast", "slow", CROSS_NAMES), fast_period=5, slow_period=20)
-def ma_cross(df, ax, fast_period, slow_period):
-    df = df.withColumns({"fast": ax.mean("close", fast_period), "slow": ax.mean("close", slow_period)})
+@study("technical.ma_cross", "fast slow", line_triggers("fast", "slow", CROSS_NAMES), fast_period=5, slow_period=20,
+       price_field="close")
+def ma_cross(df, ax, fast_period, slow_period, price_field):
+    df = df.withColumns({"fast": ax.mean(price_field, fast_period), "slow": ax.mean(price_field, slow_period)})
     ready = known(F.col("fast"), F.col("slow"))
     return df.withColumns({c: F.when(ready, F.col(c)) for c in ("fast", "slow")})
 
@@ -134,33 +141,33 @@ def ma_cross(df, ax, fast_period, slow_period):
 def _band_triggers() -> dict[str, Trigger]:
     out: dict[str, Trigger] = {}
     for band in ("upper", "middle", "lower"):
-        out[f"price_crosses_above_{band}"] = lambda ax, p, b=band: crosses_above(ax, "close", b)
-        out[f"price_crosses_below_{band}"] = lambda ax, p, b=band: crosses_below(ax, "close", b)
+        out[f"price_crosses_above_{band}"] = lambda ax, p, b=band: crosses_above(ax, p["price_field"], b)
+        out[f"price_crosses_below_{band}"] = lambda ax, p, b=band: crosses_below(ax, p["price_field"], b)
     return out
 
 
-@study("technical.bollinger", "middle upper lower", _band_triggers(), period=20, multiplier=2.0)
-def bollinger(df, ax, period, multiplier):
-    df = df.withColumns({"middle": ax.mean("close", period), "_sd": ax.rolling(F.stddev_pop, "close", period)})
-    width = multiplier * F.col("_sd")
+@study("technical.bollinger", "middle upper lower", _band_triggers(), period=20, stddev_multiplier=2.0, price_field="close")
+def bollinger(df, ax, period, stddev_multiplier, price_field):
+    df = df.withColumns({"middle": ax.mean(price_field, period), "_sd": ax.rolling(F.stddev_pop, price_field, period)})
+    width = stddev_multiplier * F.col("_sd")
     return df.withColumns({"upper": F.col("middle") + width, "lower": F.col("middle") - width}).drop("_sd")
 
 
-@study("technical.bbi", "bbi", price_vs("bbi"), periods=(3, 6, 12, 24))
-def bbi(df, ax, periods):
-    total = reduce(lambda a, b: a + b, [ax.mean("close", n) for n in periods])
-    return df.withColumn("bbi", total / len(periods))
+@study("technical.bbi", "bbi", price_vs("bbi"), period_1=3, period_2=6, period_3=12, period_4=24, price_field="close")
+def bbi(df, ax, period_1, period_2, period_3, period_4, price_field):
+    total = reduce(lambda a, b: a + b, [ax.mean(price_field, n) for n in (period_1, period_2, period_3, period_4)])
+    return df.withColumn("bbi", total / 4)
 
 
-@study("technical.ema_bias", "ema_bias", threshold("ema_bias"), THRESHOLD4, period=28)
-def ema_bias(df, ax, period):
-    df = ema_line(df, ax, period)
-    return df.withColumn("ema_bias", (F.col("close") / F.col("ema") - 1) * 100)
+@study("technical.ema_bias", "ema_bias", threshold("ema_bias"), THRESHOLD4, period=28, price_field="close")
+def ema_bias(df, ax, period, price_field):
+    df = ema_line(df, ax, period, price_field)
+    return df.withColumn("ema_bias", (F.col(price_field) / F.col("ema") - 1) * 100)
 
 
-@study("technical.bias", "bias", threshold("bias"), THRESHOLD4, period=20)
-def bias(df, ax, period):
-    return df.withColumn("bias", (F.col("close") / ax.mean("close", period) - 1) * 100)
+@study("technical.bias", "bias", threshold("bias"), THRESHOLD4, period=20, price_field="close")
+def bias(df, ax, period, price_field):
+    return df.withColumn("bias", (F.col(price_field) / ax.mean(price_field, period) - 1) * 100)
 
 
 @study("amount.average", "amount_average", threshold("amount_average"), THRESHOLD4, period=20)
@@ -199,8 +206,6 @@ def kdj(df, ax, period, k_smoothing, d_smoothing):
 
 def smoothed_from(df, ax, out, x, n, start, first_row) -> DataFrame:
     """y = (y'*(n-1) + x)/n from ``first_row`` on, with the value before it fixed at ``start``."""
-    if n == 1:
-        return df.withColumn(out, F.when(F.col("rn") >= first_row, F.col(x)))
     u = F.when(F.col("rn") == first_row, (F.col(x) + start * (n - 1)) / n).when(
         F.col("rn") > first_row, F.col(x) / n
     )
@@ -393,19 +398,20 @@ def donchian(df, ax, period):
 # ---- returns and dispersion -----------------------------------------------------
 
 
-@study("technical.roc", "roc", threshold("roc"), THRESHOLD4, period=12)
-def roc(df, ax, period):
-    return df.withColumn("roc", (F.col("close") / ax.lag("close", period) - 1) * 100)
+@study("technical.roc", "roc", threshold("roc"), THRESHOLD4, period=12, price_field="close")
+def roc(df, ax, period, price_field):
+    return df.withColumn("roc", (F.col(price_field) / ax.lag(price_field, period) - 1) * 100)
 
 
-@study("technical.momentum", "momentum", threshold("momentum"), THRESHOLD4, period=10)
-def momentum(df, ax, period):
-    return df.withColumn("momentum", F.col("close") - ax.lag("close", period))
+@study("technical.momentum", "momentum", threshold("momentum"), THRESHOLD4, period=10, price_field="close")
+def momentum(df, ax, period, price_field):
+    return df.withColumn("momentum", F.col(price_field) - ax.lag(price_field, period))
 
 
-@study("technical.return_stddev", "return_stddev", threshold("return_stddev"), THRESHOLD4, period=20)
-def return_stddev(df, ax, period):
-    df = df.withColumn("_r", 100 * (F.col("close") / ax.lag("close") - 1))
+@study("technical.return_stddev", "return_stddev", threshold("return_stddev"), THRESHOLD4, period=20,
+       price_field="close")
+def return_stddev(df, ax, period, price_field):
+    df = df.withColumn("_r", 100 * (F.col(price_field) / ax.lag(price_field) - 1))
     return df.withColumn("return_stddev", ax.rolling(F.stddev_pop, "_r", period)).drop("_r")
 
 
@@ -416,9 +422,10 @@ def return_stddev(df, ax, period):
     THRESHOLD4,
     period=20,
     annualization_sessions=252,
+    price_field="close",
 )
-def historical_volatility(df, ax, period, annualization_sessions):
-    df = df.withColumn("_r", F.log(F.col("close") / ax.lag("close")))
+def historical_volatility(df, ax, period, annualization_sessions, price_field):
+    df = df.withColumn("_r", F.log(F.col(price_field) / ax.lag(price_field)))
     scale = math.sqrt(annualization_sessions) * 100
     return df.withColumn("historical_volatility", ax.rolling(F.stddev_pop, "_r", period) * scale).drop("_r")
 
@@ -465,14 +472,15 @@ def close_price(df, ax):
     return df.withColumn("price", F.col("close"))
 
 
-@study("price.return_pct", "return_pct", threshold6("return_pct"), SIX, period=5)
-def return_pct(df, ax, period):
-    return df.withColumn("return_pct", (F.col("close") / ax.lag("close", period) - 1) * 100)
+@study("price.return_pct", "return_pct", threshold6("return_pct"), SIX, period=5, price_field="close")
+def return_pct(df, ax, period, price_field):
+    return df.withColumn("return_pct", (F.col(price_field) / ax.lag(price_field, period) - 1) * 100)
 
 
-@study("price.rolling_high", "prior_high", {"new_high": lambda ax, p: F.col("close") > F.col("prior_high")}, period=20)
-def rolling_high(df, ax, period):
-    return df.withColumn("prior_high", ax.prior(F.max, "close", period))
+@study("price.rolling_high", "prior_high", {"new_high": lambda ax, p: F.col(p["price_field"]) > F.col("prior_high")}, period=20,
+       price_field="close")
+def rolling_high(df, ax, period, price_field):
+    return df.withColumn("prior_high", ax.prior(F.max, price_field, period))
 
 
 @study("price.consecutive_up", "streak", {"at_least": lambda ax, p: F.col("streak") >= p["days"]}, days=3)
@@ -641,3 +649,55 @@ def price_divergence(df, ax, left_bars, right_bars, min_separation, max_separati
             "_bull": F.when(ready, F.coalesce(hit & (F.col("_at.side") == "bull"), F.lit(False))),
         }
     ).drop("_hp", "_lp", "_adv", "_ph", "_pl", "_pt", "_at")
+
+
+# Admissible range of each parameter, by study.
+BOUNDS = {
+    "technical.macd": {"fast": (1, 500), "slow": (2, 1000), "signal": (1, 500)},
+    "technical.ma": {"period": (1, 1000)},
+    "technical.rsi": {"period": (2, 1000)},
+    "market.volume": {"baseline_period": (1, 1000)},
+    "technical.ema": {"period": (1, 1000)},
+    "technical.ma_cross": {"fast_period": (1, 500), "slow_period": (2, 1000)},
+    "technical.bollinger": {"period": (2, 1000), "stddev_multiplier": (0.000001, 100)},
+    "technical.kdj": {"period": (2, 1000), "k_smoothing": (1, 500), "d_smoothing": (1, 500)},
+    "technical.cci": {"period": (2, 1000), "constant": (0.000000001, 100)},
+    "technical.bbi": {"period_1": (1, 1000), "period_2": (1, 1000), "period_3": (1, 1000), "period_4": (1, 1000)},
+    "technical.ema_bias": {"period": (1, 1000)},
+    "price.return_pct": {"period": (1, 1000)},
+    "price.rolling_high": {"period": (1, 1000)},
+    "price.consecutive_up": {"days": (1, 1000)},
+    "amount.average": {"period": (1, 1000)},
+    "volume.relative": {"baseline_period": (1, 1000), "consecutive_days": (1, 100)},
+    "volume.price_confirmation": {"baseline_period": (1, 1000), "volume_multiple": (0.000001, 1000), "return_threshold_pct": (0, 1000)},
+    "volume.price_divergence": {"left_bars": (1, 100), "right_bars": (1, 100), "min_separation": (1, 1000), "max_separation": (1, 5000),
+                                "price_threshold_pct": (0, 1000), "obv_threshold_adv": (0, 1000), "average_volume_period": (1, 1000)},
+    "technical.trend_regime": {"short_period": (1, 1000), "long_period": (2, 5000), "slope_lookback": (1, 1000), "adx_period": (2, 1000),
+                               "adx_threshold": (0, 100), "confirmation_days": (1, 100), "stability_bars": (2, 10000)},
+    "technical.atr": {"period": (1, 1000)},
+    "technical.natr": {"period": (1, 1000)},
+    "technical.adx": {"period": (2, 1000)},
+    "technical.dmi": {"period": (2, 1000)},
+    "technical.bias": {"period": (1, 1000)},
+    "technical.roc": {"period": (1, 1000)},
+    "technical.momentum": {"period": (1, 1000)},
+    "technical.stochastic": {"k_period": (2, 1000), "d_period": (1, 500)},
+    "technical.williams_r": {"period": (2, 1000)},
+    "technical.donchian": {"period": (1, 1000)},
+    "technical.return_stddev": {"period": (2, 1000)},
+    "technical.historical_volatility": {"period": (2, 1000), "annualization_sessions": (1, 1000)},
+}
+# Parameters that must stay in order; the second pair member may equal the first only for separations.
+ORDERED = (
+    ("fast", "slow"), ("fast_period", "slow_period"), ("short_period", "long_period"), ("period_1", "period_2"),
+    ("period_2", "period_3"), ("period_3", "period_4"),
+)
+# Admissible range of the comparison value; 0 itself is excluded where marked.
+PERCENT, RATIO, NEGATIVE, AMOUNT = (0, 100), (0, None), (-100, 0), (0, None)
+VALUES = {
+    "technical.rsi": PERCENT, "technical.adx": PERCENT, "technical.stochastic": PERCENT, "technical.williams_r": NEGATIVE,
+    "market.volume": RATIO, "volume.relative": RATIO, "price.close": RATIO, "price.amplitude": AMOUNT, "market.amount": AMOUNT,
+    "market.turnover_rate": AMOUNT, "amount.average": AMOUNT, "price.true_range": AMOUNT, "technical.atr": AMOUNT,
+    "technical.natr": AMOUNT, "technical.return_stddev": AMOUNT, "technical.historical_volatility": AMOUNT,
+}
+ABOVE_ZERO = ("market.volume", "volume.relative", "price.close")
