@@ -24,9 +24,9 @@ def test_gate_remembers_earlier_batches(spark):
     src, out = tempfile.mkdtemp(prefix="spark-"), tempfile.mkdtemp(prefix="spark-")
     rows = [(1, 7, "2024-01-01 09:00:00"), (2, 7, "2024-01-01 10:00:00"), (3, 8, "2024-01-01 10:00:00")]
     for r in rows:
-        spark.createDataFrame([r], "event_id bigint, user_id bigint, t string").withColumn("at", F.col("t").cast("timestamp")).drop("t").coalesce(1).write.mode("append").parquet(src)
-    stream = spark.readStream.schema("event_id bigint, user_id bigint, at timestamp").option("maxFilesPerTrigger", 1).parquet(src)
-    S.gate_late(stream, out)
+        spark.createDataFrame([r], "event_id bigint, user_id bigint, t string").withColumn("ts", F.col("t").cast("timestamp_ntz")).drop("t").coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema("event_id bigint, user_id bigint, ts timestamp_ntz").option("maxFilesPerTrigger", 1).parquet(src)
+    S.gate_late(stream.withColumn("at", S.as_instant(F.col("ts"))), out)
     late = {r["event_id"] for r in spark.read.schema(S.GATE_OUT).parquet(f"{out}/late").collect()}
     fine = {r["event_id"] for r in spark.read.schema(S.GATE_OUT).parquet(f"{out}/on_time").collect()}
     assert (late, fine) == ({2}, {1, 3})

@@ -45,6 +45,6 @@ def r04(spark, folder):
     hourly = S.tumbling_bars(S.event_stream(spark, folder), "user_id", 1, "2 hours")
     path = S.drain(hourly, "hourly-bars")
     bars = spark.readStream.schema(hourly.schema).parquet(path).select(
-        F.col("user_id").alias("instrument"), F.col("bar_start").cast("timestamp").alias("bar_start"), "close", "volume")
+        F.col("user_id").alias("instrument"), S.as_instant(F.col("bar_start")).alias("bar_start"), "close", "volume")
     out = S.run_to_table(S.incremental_indicators(bars, 10), "stream-state")
-    return out.select("instrument", F.col("bar_start").cast("timestamp_ntz").alias("bar_start"), F.round("ema", 6).alias("ema"), "obv")
+    return out.select("instrument", S.as_wall(F.col("bar_start")).alias("bar_start"), F.round("ema", 6).alias("ema"), "obv")

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -19,10 +19,19 @@ from tidemark.session import scratch_path
 from tidemark.sources.tables import SCHEMAS
 
 
+def as_instant(wall: Column) -> Column:
+    """Stored wall-clock time read as UTC, whatever the session time zone."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), wall).cast("timestamp")
+
+
+def as_wall(instant: Column) -> Column:
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz"))
+
+
 def event_stream(spark: SparkSession, folder: str) -> DataFrame:
     """The stored event files as a stream with an event-time column."""
     rows = spark.readStream.schema(SCHEMAS["events"]).option("pathGlobFilter", "events.parquet").parquet(folder)
-    return rows.withColumn("at", F.col("ts").cast("timestamp"))
+    return rows.withColumn("at", as_instant(F.col("ts")))
 
 
 def run_to_table(out: DataFrame, label: str) -> DataFrame:
@@ -52,7 +61,7 @@ def tumbling_bars(events: DataFrame, key: str, hours: int, delay: str) -> DataFr
     Which slots were seen is a bit mask, so one aggregation and one state row per
     window are enough. Windows close when the watermark passes them.
     """
-    slot = F.expr(f"shiftleft(1, hour(at) % {hours})")
+    slot = F.expr(f"shiftleft(1, hour(ts) % {hours})")
     g = events.withWatermark("at", delay).groupBy(key, F.window("at", f"{hours} hours")).agg(
         F.min_by("value", "event_id").alias("open"),
         F.max("value").alias("high"),
@@ -64,8 +73,8 @@ def tumbling_bars(events: DataFrame, key: str, hours: int, delay: str) -> DataFr
     full = g.filter(F.col("_seen") == 2**hours - 1)
     return full.select(
         key,
-        F.col("window.start").cast("timestamp_ntz").alias("bar_start"),
-        F.col("window.end").cast("timestamp_ntz").alias("bar_end"),
+        as_wall(F.col("window.start")).alias("bar_start"),
+        as_wall(F.col("window.end")).alias("bar_end"),
         "open", "high", "low", "close", "volume",
     )
 
@@ -89,7 +98,7 @@ def gate_late(events: DataFrame, out: str) -> None:
     """
     spark = events.sparkSession
     keys = ["user_id", "day"]
-    keyed = events.select("event_id", "user_id", F.to_date("at").alias("day"), "at")
+    keyed = events.select("event_id", "user_id", F.to_date("ts").alias("day"), "at")
 
     def batch(df: DataFrame, batch_id: int) -> None:
         firsts = df.groupBy(*keys).agg(F.min("at").alias("first"))
