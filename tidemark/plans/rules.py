@@ -197,7 +197,7 @@ def session_rows(spark, folder):
     return adjust.sessions_from_bars(b, F.col("listed"), F.col("instrument") % 10 == 0)
 
 
-@query("p20_price_band", f"{B}, {BAND} SELECT instrument, session_date, board, {BAND_COLS} FROM bd")
+@query("p20_price_band", f"{B}, {BAND} SELECT instrument, session_date, board, {BAND_COLS} FROM bd", doubles=('upper_limit', 'lower_limit'))
 def p20(spark, folder):
     return session_rows(spark, folder).select(*KEYS, "board", "upper_limit", "lower_limit")
 
@@ -214,7 +214,7 @@ def p21(spark, folder):
   ['SH', 'SZ', 'SH', 'BJ'][l_suppkey % 4 + 1] AS ex, CAST(l_shipdate AS DATE) + {SHIFT} AS d FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, round(greatest(g * CAST(0.0003 AS DECIMAL(10,6)), CAST(5 AS DECIMAL(18,2))), 2) AS commission,
  round(g * CAST(CASE WHEN side = 'buy' THEN 0 WHEN d >= DATE '2023-08-28' THEN 0.0005 ELSE 0.001 END AS DECIMAL(10,6)), 2) AS stamp_tax,
- round(g * CAST(CASE WHEN d >= DATE '2022-04-29' THEN 0.00001 WHEN ex = 'BJ' THEN NULL ELSE 0.00002 END AS DECIMAL(10,6)), 2) AS transfer_fee FROM t""")
+ round(g * CAST(CASE WHEN d >= DATE '2022-04-29' THEN 0.00001 WHEN ex = 'BJ' THEN NULL ELSE 0.00002 END AS DECIMAL(10,6)), 2) AS transfer_fee FROM t""", doubles=('commission', 'stamp_tax', 'transfer_fee'))
 def p22(spark, folder):
     li = table(spark, folder, "lineitem")
     exchange = F.element_at(F.array(*[F.lit(x) for x in ("SH", "SZ", "SH", "BJ")]), (F.col("l_suppkey") % 4 + 1).cast("int"))
@@ -282,7 +282,7 @@ def n02(spark, folder):
 
 
 @query("n03_sessions", f"""{B}, {BAND} SELECT bd.instrument, bd.session_date, pc AS previous_close, CASE WHEN (bd.instrument + datediff('day', DATE '1970-01-01', bd.session_date)) % 17 = 0 THEN 'suspended' ELSE 'trading' END AS trading_status,
- CAST(rn AS BIGINT) AS listing_no, {BAND_COLS} FROM bd""")
+ CAST(rn AS BIGINT) AS listing_no, {BAND_COLS} FROM bd""", doubles=('upper_limit', 'lower_limit'))
 def n03(spark, folder):
     return session_rows(spark, folder).select(*KEYS, "previous_close", "trading_status", F.col("listing_no").cast("long").alias("listing_no"), "upper_limit", "lower_limit")
 
@@ -350,7 +350,7 @@ def n05(spark, folder):
 @query("n06_daily_assembly", f"""{B}, {BAND}, r AS (SELECT instrument, session_date, board, {BAND_COLS}, (instrument + datediff('day', DATE '1970-01-01', session_date)) % 17 = 0 AS halted FROM bd)
 SELECT r.instrument, r.session_date, v.close AS raw_close, round(v.close * 1.5, 4) AS adjusted_close, CASE WHEN halted THEN NULL ELSE upper_limit END AS upper_limit,
  CASE WHEN NOT halted AND upper_limit IS NULL AND board NOT IN ('star', 'chinext', 'bse') THEN 'limit_missing' WHEN halted THEN 'suspended' ELSE 'ok' END AS status
-FROM r JOIN v USING (instrument, session_date)""")
+FROM r JOIN v USING (instrument, session_date)""", doubles=('upper_limit',))
 def n06(spark, folder):
     """One daily row from the session, raw and adjusted tables; a missing limit is judged by status."""
     s = session_rows(spark, folder).select(*KEYS, "board", "trading_status", "upper_limit")

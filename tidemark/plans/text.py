@@ -264,7 +264,7 @@ def x18(spark, folder):
     return e.select("event_id", TX.market_time(F.col("ts"), vendor, F.col("value") < 100, F.col("k") % 11 != 0).alias("available_at"))
 
 
-@query("x19_math", "SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, round(ln(l_extendedprice), 6) AS ln_price, round(sqrt(l_quantity), 6) AS root, abs(l_quantity - 25) AS dist, greatest(l_discount, l_tax) AS hi, least(l_discount, l_tax) AS lo, CAST(floor(l_extendedprice) AS BIGINT) AS fl, CAST(ceil(l_extendedprice) AS BIGINT) AS ce, round(CAST(l_extendedprice AS DECIMAL(18,2)), 1) AS half_up FROM lineitem")
+@query("x19_math", "SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, round(ln(l_extendedprice), 6) AS ln_price, round(sqrt(l_quantity), 6) AS root, abs(l_quantity - 25) AS dist, greatest(l_discount, l_tax) AS hi, least(l_discount, l_tax) AS lo, CAST(floor(l_extendedprice) AS BIGINT) AS fl, CAST(ceil(l_extendedprice) AS BIGINT) AS ce, round(CAST(l_extendedprice AS DECIMAL(18,2)), 1) AS half_up FROM lineitem", doubles=('half_up',))
 def x19(spark, folder):
     p, q = F.col("l_extendedprice"), F.col("l_quantity")
     return table(spark, folder, "lineitem").select(
@@ -353,7 +353,7 @@ def s04(spark, folder):
     return rows.withColumn("close", F.round(F.col("close") * 1.5, 4))
 
 
-@query("s05_session_scan", f"{B}, {BAND} SELECT instrument, session_date, board, {BAND_COLS} FROM bd WHERE {RANGE}")
+@query("s05_session_scan", f"{B}, {BAND} SELECT instrument, session_date, board, {BAND_COLS} FROM bd WHERE {RANGE}", doubles=('upper_limit', 'lower_limit'))
 def s05(spark, folder):
     path = stored(spark, session_rows(spark, folder), ST.SESSIONS, "sessions", (), ("instrument", "session_date"))
     return ST.scan(spark, path, ST.SESSIONS, (*KEYS, "board", "upper_limit", "lower_limit"), ST.span("session_date", "1997-01-01", "1999-01-01"))
@@ -378,7 +378,7 @@ def s07(spark, folder):
 
 
 @query("s08_minute_export", f"""WITH {HOURS} SELECT event_type AS ts_code, bar_start AS trade_time, CAST(round(open, 6) AS DECIMAL(20,6)) AS open, CAST(round(close, 6) AS DECIMAL(20,6)) AS close,
- CASE WHEN hour(bar_start) % 5 <> 0 THEN volume END AS volume, hour(bar_start) % 5 = 0 AS rejected FROM hb""")
+ CASE WHEN hour(bar_start) % 5 <> 0 THEN volume END AS volume, hour(bar_start) % 5 = 0 AS rejected FROM hb""", doubles=('open', 'close'))
 def s08(spark, folder):
     h = mk.bars_hour(spark, folder)
     tail = {c: F.col(c) + 1e-10 for c in ("open", "high", "low", "close")}
@@ -423,7 +423,7 @@ def parsed_lines(spark, folder):
     return ST.parse_fund_flow(spark.read.text(path))
 
 
-@query("s10_fund_flow_lines", f"WITH {LINES_SQL} SELECT d AS trade_date, CAST(p AS DECIMAL(18,2)) AS close FROM ln WHERE problem IS NULL")
+@query("s10_fund_flow_lines", f"WITH {LINES_SQL} SELECT d AS trade_date, CAST(p AS DECIMAL(18,2)) AS close FROM ln WHERE problem IS NULL", doubles=('close',))
 def s10(spark, folder):
     return parsed_lines(spark, folder).filter("problem is null").select("trade_date", F.col("close").cast("decimal(18,2)").alias("close"))
 
