@@ -339,15 +339,17 @@ def turnover(df, ax):
 # ---- fundamental ------------------------------------------------------------------
 
 
-def pe_below_history(df: DataFrame, ax: Axis, percentiles: Iterable[int], lookback: int) -> tuple[DataFrame, dict]:
+def pe_below_history(df: DataFrame, ax: Axis, percentiles: tuple[int, ...], lookback: int) -> tuple[DataFrame, dict]:
     """PE under its own rolling percentile. The frame is bounded by ``lookback`` rows."""
     frame = ax.frame(-(lookback - 1), 0)
     df = df.withColumn("_pe", F.last("pe_ttm", ignorenulls=True).over(ax.so_far()))
-    df = df.withColumns({"_pe_n": F.count("_pe").over(frame)} | {
-        f"_pe_q{p}": F.percentile("_pe", F.lit(p / 100)).over(frame) for p in percentiles
-    })
+    # one sliding pass serves all percentiles
+    cuts = F.percentile("_pe", F.array(*[F.lit(p / 100) for p in percentiles])).over(frame)
+    df = df.withColumns({"_pe_n": F.count("_pe").over(frame), "_pe_q": cuts})
     ready = (F.col("_pe") > 0) & (F.col("_pe_n") >= lookback // 2)
-    return df, {f"pe_below_history_{p}pct": ready & (F.col("_pe") < F.col(f"_pe_q{p}")) for p in percentiles}
+    return df, {
+        f"pe_below_history_{p}pct": ready & (F.col("_pe") < F.element_at("_pe_q", i + 1)) for i, p in enumerate(percentiles)
+    }
 
 
 @family("pe_history", "fundamental", {"pe_below_history_10pct": 625, "pe_below_history_30pct": 625}, ("ohlcv", "valuation"))

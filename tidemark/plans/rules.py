@@ -170,7 +170,7 @@ def p18(spark, folder):
     return out.select(*KEYS, F.round("factor", 6).alias("factor"), F.round("close", 3).alias("close"))
 
 
-@query("p19_tick_price", f"{B} SELECT instrument, session_date, floor(round(close * 0.937 / 0.01, 6)) * 0.01 AS buy_price, ceil(round(close * 0.937 / 0.01, 6)) * 0.01 AS sell_price FROM v")
+@query("p19_tick_price", f"{B} SELECT instrument, session_date, round(floor(round(close * 0.937 / 0.01, 6)) * 0.01, 2) AS buy_price, round(ceil(round(close * 0.937 / 0.01, 6)) * 0.01, 2) AS sell_price FROM v")
 def p19(spark, folder):
     p = F.col("close") * 0.937
     return mk.bars_daily(spark, folder).select(

@@ -28,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
     Only a session that names none (tests) gets a temporary folder.
     """
     sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if configured is None:
         configured = tempfile.mkdtemp(prefix="spark-tidemark-")
         sc.setCheckpointDir(configured)
