@@ -31,7 +31,9 @@ def bars_sql(name: str, where: str) -> str:
   FROM lineitem WHERE {where} GROUP BY 1, 2)"""
 
 
-O_LINES, F_LINES = F.col("l_linestatus") == "O", F.col("l_linestatus") == "F"
+def lines(status: str):
+    return F.col("l_linestatus") == status
+
 
 
 @query("j01_alignment", f"""WITH {bars_sql('e', 'true')}, {bars_sql('s', "l_linestatus = 'O'")}
@@ -42,7 +44,7 @@ FROM e FULL JOIN s ON e.instrument = s.instrument AND e.session_date = s.session
 def j01(spark, folder):
     """Execution and signal bars must pair one to one and become known together."""
     e = mk.bars_of(spark, folder, F.lit(True)).select(*KEYS, F.col("available_no").alias("e_at"))
-    s = mk.bars_of(spark, folder, O_LINES).select(*KEYS, F.col("available_no").alias("s_at"))
+    s = mk.bars_of(spark, folder, lines("O")).select(*KEYS, F.col("available_no").alias("s_at"))
     bad = (F.when(F.col("s_at").isNull(), "missing_signal").when(F.col("e_at").isNull(), "missing_execution")
            .when(F.col("e_at") != F.col("s_at"), "availability_differs"))
     return e.join(s, KEYS, "full_outer").select(*KEYS, bad.alias("violation"))
@@ -184,7 +186,7 @@ def j10(spark, folder):
     """Two dated series compare only where their units agree; known with the later side."""
     unit = F.when(F.col("instrument") % 5 == 0, "USD").otherwise("CNY")
     a = mk.bars_daily(spark, folder).select(*KEYS, F.col("close").alias("left_value"), unit.alias("unit"), F.col("session_date").alias("a_on"))
-    b = mk.bars_of(spark, folder, O_LINES).select(
+    b = mk.bars_of(spark, folder, lines("O")).select(
         *KEYS, F.col("close").alias("right_value"), F.lit("CNY").alias("unit"),
         F.date_add("session_date", (F.col("instrument") % 2).cast("int")).alias("b_on"))
     return a.join(b, [*KEYS, "unit"]).select(
@@ -203,8 +205,8 @@ u AS (SELECT instrument, session_date, e.close AS equity, m.close AS benchmark F
 SELECT instrument, session_date, last_value(equity IGNORE NULLS) OVER w AS equity, last_value(benchmark IGNORE NULLS) OVER w AS benchmark
 FROM u WINDOW w AS (PARTITION BY instrument ORDER BY session_date)""")
 def j12(spark, folder):
-    e = mk.bars_of(spark, folder, O_LINES).select(*KEYS, F.col("close").alias("equity"))
-    m = mk.bars_of(spark, folder, F_LINES).select(*KEYS, F.col("close").alias("benchmark"))
+    e = mk.bars_of(spark, folder, lines("O")).select(*KEYS, F.col("close").alias("equity"))
+    m = mk.bars_of(spark, folder, lines("F")).select(*KEYS, F.col("close").alias("benchmark"))
     return asof.axis_union(e, m, ["instrument"], "session_date", ["equity", "benchmark"])
 
 
@@ -353,7 +355,7 @@ SELECT instrument, session_date, close, 'base' AS origin FROM b ANTI JOIN s USIN
 UNION ALL SELECT instrument, session_date, close, 'supplement' FROM s""")
 def j19(spark, folder):
     b = mk.bars_daily(spark, folder).select(*KEYS, "close", F.lit("base").alias("origin"))
-    s = mk.bars_of(spark, folder, O_LINES & (F.col("l_tax") > 0.04)).select(*KEYS, "close", F.lit("supplement").alias("origin"))
+    s = mk.bars_of(spark, folder, lines("O") & (F.col("l_tax") > 0.04)).select(*KEYS, "close", F.lit("supplement").alias("origin"))
     return asof.overlay(b, s, KEYS)
 
 

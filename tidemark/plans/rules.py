@@ -18,7 +18,11 @@ from tidemark.sources import market as mk
 from tidemark.sources.tables import table
 
 B = f"WITH {BARS}, {NUMBERED}"
-DAY = F.lit("1998-01-01").cast("date")
+
+
+def decision_day():
+    return F.lit("1998-01-01").cast("date")
+
 
 
 @query("p01_comparators", f"{B} SELECT instrument, session_date, close > open AS gt, close >= open AS gte, close < open AS lt, close <= open AS lte FROM v")
@@ -166,7 +170,7 @@ def factors(spark, folder):
 s AS (SELECT b.instrument, b.session_date, coalesce(sum(f.l), 0) AS l FROM bars b LEFT JOIN f ON f.instrument = b.instrument AND f.ex_date > b.session_date GROUP BY 1, 2)
 SELECT instrument, session_date, round(exp(l), 6) AS factor, round(close * exp(l), 3) AS close FROM bars JOIN s USING (instrument, session_date)""")
 def p18(spark, folder):
-    out = adjust.front_adjusted(mk.bars_daily(spark, folder), factors(spark, folder), DAY)
+    out = adjust.front_adjusted(mk.bars_daily(spark, folder), factors(spark, folder), decision_day())
     return out.select(*KEYS, F.round("factor", 6).alias("factor"), F.round("close", 3).alias("close"))
 
 

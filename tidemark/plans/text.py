@@ -433,7 +433,11 @@ def l11(spark, folder):
     return parsed_lines(spark, folder).groupBy(F.coalesce("problem", F.lit("ok")).alias("problem")).agg(F.count(F.lit(1)).alias("n"))
 
 
-DIGEST = [F.col("instrument"), F.col("session_date"), F.round(F.col("close") * 100).cast("long"), F.col("volume").cast("long")]
+def digest_parts():
+    return [F.col("instrument"), F.col("session_date"), F.round(F.col("close") * 100).cast("long"), F.col("volume").cast("long")]
+
+
+
 DIGEST_SQL = "CAST('0x' || substr(sha256(concat_ws('|', instrument, session_date, CAST(round(close * 100) AS BIGINT), CAST(volume AS BIGINT))), 1, 15) AS BIGINT)"
 
 
@@ -442,7 +446,7 @@ def s12(spark, folder):
     """Sorted Parquet with a declared schema; the manifest is computed from what was written."""
     b = mk.bars_daily(spark, folder).withColumn("price_basis", F.lit("unadjusted"))
     path = stored(spark, b, ST.DAILY, "daily", (), ("instrument", "session_date"))
-    return ST.fingerprint(ST.scan(spark, path, ST.DAILY).withColumn("year", F.year("session_date")), DIGEST, ["year"])
+    return ST.fingerprint(ST.scan(spark, path, ST.DAILY).withColumn("year", F.year("session_date")), digest_parts(), ["year"])
 
 
 @query("s13_quarantine_sink", f"WITH {LINES_SQL} SELECT 'accepted' AS output, count(*) FILTER (WHERE problem IS NULL) AS n FROM ln UNION ALL SELECT 'quarantined', count(*) FILTER (WHERE problem IS NOT NULL) FROM ln")
@@ -458,4 +462,4 @@ def s13(spark, folder):
 
 @query("s14_fingerprint", f"WITH {BARS} SELECT count(*) AS rows, bit_xor({DIGEST_SQL}) AS digest FROM bars")
 def s14(spark, folder):
-    return ST.fingerprint(mk.bars_daily(spark, folder), DIGEST)
+    return ST.fingerprint(mk.bars_daily(spark, folder), digest_parts())
