@@ -54,3 +54,12 @@ def test_query_equals_sql(spark, folder, con, name):
 
 def test_entry(spark):
     assert entry.entry(spark).columns[:2] == ["instrument", "session_date"]
+
+
+def test_listing_queries_needs_no_session():
+    import subprocess
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr[-500:]
