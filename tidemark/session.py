@@ -25,11 +25,15 @@ def local_session(cores: int | str = "*", name: str = "tidemark") -> SparkSessio
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
 
-    Only a session that names none (tests) gets a temporary folder.
+    A local session that names none (tests) gets a temporary folder; any other
+    master without the setting is an error, since executors would write to
+    their own disks and the read back would miss rows.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if configured is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="spark-tidemark-")
         sc.setCheckpointDir(configured)
     return configured
