@@ -38,9 +38,11 @@ def test_spans_equal_brute_force(spark):
 
 
 def test_query_on_the_tables(spark, folder):
+    folder = folder.replace("sf0.001", "sf0.01")  # the smallest tables hold hardly a secret
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
     rows = op2(spark, folder).collect()
     assert len(rows) == len(texts)
+    assert sum(r["n_assign"] for r in rows) > 3 and sum(r["n_hex"] for r in rows) > 0
     for r in rows:
         want = brute_base(texts[r["doc_id"]])
         assert r["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest()

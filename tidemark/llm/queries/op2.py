@@ -11,10 +11,13 @@ def told(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def number(kind):
+    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
 @query("op2_secret_scan")
 def op2(spark, folder):
-    kinds = {f"n_{k}": F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long") for k in ("assign", "access", "hex", "guess")}
     base = F.filter("spans", lambda s: s["kind"] != "guess")
     return scan(documents(spark, folder)).select(
-        "doc_id", *[kinds[k].alias(k) for k in ("n_assign", "n_access", "n_hex")], F.sha2(told(base), 256).alias("base_sha256"),
-        told(F.col("spans")).alias("spans"), kinds["n_guess"].alias("n_guess"))
+        "doc_id", number("assign"), number("access"), number("hex"), F.sha2(told(base), 256).alias("base_sha256"),
+        told(F.col("spans")).alias("spans"), number("guess"))
