@@ -40,6 +40,13 @@ def expand_sorted(b: bytes) -> np.ndarray:
     return np.cumsum(expand(b, "uint64"), dtype="uint64")
 
 
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows one by one: a row holds a whole chunk."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {name: column[i].as_py() for name, column in zip(batch.schema.names, batch.columns)}
+
+
 REQUEST = "range int, chunk bigint, keys binary, first binary, second binary"
 ANSWER = "chunk bigint, range int, first binary, second binary, distinct bigint, total bigint"
 
@@ -48,16 +55,15 @@ def requests(chunks: DataFrame, columns: list[str], keys: Callable[[dict], tuple
     """Rows of ``REQUEST``; ``keys`` gives the sorted distinct hashes of a chunk and two counts of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                key, first, second = keys(row)
-                part = range_of(key, ranges)
-                edge = np.searchsorted(part, np.arange(ranges + 1))
-                rows = [(i, row["chunk"], squeeze_sorted(key[a:b]), squeeze(first[a:b].astype("uint32")), squeeze(second[a:b].astype("uint32")))
-                        for i, (a, b) in enumerate(zip(edge, edge[1:])) if b > a]
-                if rows:
-                    types = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["range", "chunk", "keys", "first", "second"])
+        for row in rows_of(batches):
+            key, first, second = keys(row)
+            part = range_of(key, ranges)
+            edge = np.searchsorted(part, np.arange(ranges + 1))
+            rows = [(i, row["chunk"], squeeze_sorted(key[a:b]), squeeze(first[a:b].astype("uint32")), squeeze(second[a:b].astype("uint32")))
+                    for i, (a, b) in enumerate(zip(edge, edge[1:])) if b > a]
+            if rows:
+                types = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["range", "chunk", "keys", "first", "second"])
 
     return chunks.select("chunk", *columns).mapInArrow(run, REQUEST)
 

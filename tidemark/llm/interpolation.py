@@ -22,8 +22,9 @@ from tidemark.llm.common import Words, pair_hash, pick, slices
 from tidemark.session import materialise
 
 END = np.uint64(0xE1D0F7E271A9C3B5)
-CHUNK_WORDS = 3_000_000
-RANGE_KEYS = 2_000_000
+CHUNK_WORDS = 1_200_000
+RANGE_KEYS = 1_500_000
+KEY_MASK = ~np.uint64(0xFFFF)  # 48 bits of a bigram's hash: one of n bigrams meets another with a probability of n / 2 ** 48
 LEAST_RANGES = 48
 BINS = 20  # bins of an estimate for each power of ten
 LOWEST = 16 * BINS  # of bins; further down counts as zero
@@ -85,7 +86,7 @@ def _pairs(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, n
     vocab = X.expand_sorted(row["vocab"])
     before = _contexts(tokens, sizes, int(np.searchsorted(vocab, END)))
     code, at = np.unique(before * len(vocab) + tokens, return_inverse=True)
-    key = pair_hash(vocab[code // len(vocab)], vocab[code % len(vocab)])
+    key = pair_hash(vocab[code // len(vocab)], vocab[code % len(vocab)]) & KEY_MASK
     order = np.argsort(key)
     place = np.empty_like(order)
     place[order] = np.arange(len(order))
@@ -133,13 +134,12 @@ def learn_weights(joined: DataFrame, first_total: int, vocabulary: int, rounds:
     wide = LOWEST + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                e = Estimates(row)
-                held = np.repeat(X.expand(row["fold"], "uint8"), e.sizes) == SECOND
-                bucket, p2, p1 = (x[held] for x in e.of((FIRST,), first_total))
-                key, n = np.unique((bucket * wide + _bin(p2)) * wide + _bin(p1), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
+        for row in X.rows_of(batches):
+            e = Estimates(row)
+            held = np.repeat(X.expand(row["fold"], "uint8"), e.sizes) == SECOND
+            bucket, p2, p1 = (x[held] for x in e.of((FIRST,), first_total))
+            key, n = np.unique((bucket * wide + _bin(p2)) * wide + _bin(p1), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
 
     table = joined.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).orderBy("key").toArrow()
     return expectation_maximisation(table["key"].to_numpy(), table["n"].to_numpy(), vocabulary, rounds)
@@ -183,21 +183,20 @@ def language_model_scores(docs: DataFrame) -> DataFrame:
     weights = learn_weights(joined.select("tokens", "sizes", "vocab", "fold", "words", "pairs"), first_total, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                e = Estimates(row)
-                bucket, p2, p1 = e.of((FIRST, SECOND), total)
-                w = weights[bucket]
-                begin = np.cumsum(e.sizes) - e.sizes
-                add = lambda x: np.add.reduceat(x, begin)
-                count = (e.word[FIRST] + e.word[SECOND])[e.tokens]
-                score = add(np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] / (vocabulary + 1)))
-                base = add(np.log10((count + 1) / (total + vocabulary + 1)))
-                ids = pa.array(X.expand(row["ids"], "int64"), mask=X.expand(row["null_ids"], "uint8") == 1)
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(X.expand(row["fold"], "uint8") == HELD), pa.array(e.sizes), pa.array(add((count > 0).astype("int64"))),
-                     pa.array(np.full(len(begin), total)), pa.array(base), pa.array(score)],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        for row in X.rows_of(batches):
+            e = Estimates(row)
+            bucket, p2, p1 = e.of((FIRST, SECOND), total)
+            w = weights[bucket]
+            begin = np.cumsum(e.sizes) - e.sizes
+            add = lambda x: np.add.reduceat(x, begin)
+            count = (e.word[FIRST] + e.word[SECOND])[e.tokens]
+            score = add(np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] / (vocabulary + 1)))
+            base = add(np.log10((count + 1) / (total + vocabulary + 1)))
+            ids = pa.array(X.expand(row["ids"], "int64"), mask=X.expand(row["null_ids"], "uint8") == 1)
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array(X.expand(row["fold"], "uint8") == HELD), pa.array(e.sizes), pa.array(add((count > 0).astype("int64"))),
+                 pa.array(np.full(len(begin), total)), pa.array(base), pa.array(score)],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return joined.drop("chunk").mapInArrow(run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
