@@ -131,6 +131,27 @@ def train(docs: DataFrame, usable: Column, max_docs: int = 3000, buckets: int =
     return fit(rows, buckets, dim, min_steps, rate, seed) if rows else None
 
 
+def _scores(model: Model | None, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Predicted language and calibrated score of each text."""
+    n = len(column)
+    data, offsets = text_bytes(column)
+    letters = np.concatenate([[0], np.cumsum(_LETTER[data])])[offsets]
+    known = np.diff(letters) > 0
+    for i in np.flatnonzero(~known & (np.diff(offsets) > 0)):
+        known[i] = any(ch.isalpha() for ch in data[offsets[i]:offsets[i + 1]].tobytes().decode("utf-8", "replace"))
+    score, best = np.zeros(n), np.zeros(n, int)
+    if model is not None:
+        bucket, row = windows(data, offsets, len(model.table))
+        total = np.maximum(np.bincount(row, minlength=n), 1)
+        z = np.stack([np.bincount(row, model.table[:, c][bucket], minlength=n) for c in range(len(model.languages))], axis=1) / total[:, None] / model.temperature
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        best, score = p.argmax(axis=1), p.max(axis=1)
+    known &= model is not None
+    names = np.array([*(model.languages if model else []), UNDETERMINED], dtype=object)
+    return names[np.where(known, best, -1)], np.where(known, score, 0.0)
+
+
 def predict(docs: DataFrame, model: Model | None, min_score: float = 0.5) -> DataFrame:
     """doc_id, lang_pred, score and rejected of every document.
 
@@ -139,31 +160,25 @@ def predict(docs: DataFrame, model: Model | None, min_score: float = 0.5) -> Dat
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n = batch.num_rows
-        data, offsets = text_bytes(batch.column(1))
-        letters = np.concatenate([[0], np.cumsum(_LETTER[data])])[offsets]
-        known = np.diff(letters) > 0
-        for i in np.flatnonzero(~known & (np.diff(offsets) > 0)):
-            known[i] = any(ch.isalpha() for ch in data[offsets[i]:offsets[i + 1]].tobytes().decode("utf-8", "replace"))
-        score, best = np.zeros(n), np.zeros(n, int)
-        if model is not None:
-            bucket, row = windows(data, offsets, len(model.table))
-            total = np.maximum(np.bincount(row, minlength=n), 1)
-            z = np.stack([np.bincount(row, model.table[:, c][bucket], minlength=n) for c in range(len(model.languages))], axis=1) / total[:, None] / model.temperature
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            best, score = p.argmax(axis=1), p.max(axis=1)
-        known &= model is not None
-        names = np.array([*(model.languages if model else []), UNDETERMINED], dtype=object)
-        pred = names[np.where(known, best, -1)]
-        score = np.where(known, score, 0.0)
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0).cast(pa.int64()), pa.array(pred, pa.string()), pa.array(score), pa.array(~known | (score < min_score))],
-            names=["doc_id", "lang_pred", "score", "rejected"])
+        pred, score = _scores(model, batch.column(1))
+        return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(pred, pa.string()), pa.array(score), pa.array(score < min_score)],
+                                          names=["doc_id", "lang_pred", "score", "rejected"])
 
     return over_arrow(docs, ["doc_id", "text"], run, "doc_id bigint, lang_pred string, score double, rejected boolean")
 
 
+def accepted(docs: DataFrame, model: Model | None, min_score: float = 0.5) -> DataFrame:
+    """The documents that ``predict`` does not reject, unchanged, in the same pass."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        _, score = _scores(model, batch.column(4))
+        kept = batch.filter(pa.array(score >= min_score))
+        order = [0, 4, 1, 2, 3]
+        return pa.RecordBatch.from_arrays([kept.column(i) for i in order], names=[kept.schema.names[i] for i in order])
+
+    return over_arrow(docs, ["doc_id", "lang", "source", "n_chars", "text"], run, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+
+
 def held_out() -> Column:
     """One document in five, by the crc32 of its id; never learned from."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
