@@ -33,7 +33,8 @@ LANES = 7  # tokens in a long of the sketch, 8 bits apart, the top byte free
 TREES = 3
 NODE_LIMIT = 48
 LEVELS = 4  # below the first two
-PIVOTS = 4
+PIVOTS = 2
+SALTS = 16
 _U = np.uint64
 _ODD = mix(np.arange(11, 11 + TOKENS, dtype="uint64")) | _U(1)
 SKETCH = [f"s{i}" for i in range(TOKENS // LANES)]
@@ -136,28 +137,30 @@ def _next_nodes(rows: DataFrame, reps: DataFrame) -> DataFrame:
     return rows.join(reps.select("doc", "tokens"), "doc").select(F.explode(keys).alias("node"), "doc")
 
 
-def _nodes(reps: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """(node, doc, sketch) of nodes to compare exhaustively, and of nodes to compare with pivots."""
-    sketched = materialise(reps.select("doc", *sketch()), "sketches")
-    rows, small, dense = _first_nodes(reps), [], []
+def _nodes(reps: DataFrame, sketched: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(node, doc, sketch) of nodes to compare exhaustively; (node, doc) of dense nodes; (node, a, b) of their near pivots."""
+    rows, small, dense, pivots = _first_nodes(reps), [], [], []
     for level in range(LEVELS + 1):
         rows = materialise(rows, "nodes")
         sizes = materialise(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
-        small.append(rows.join(sizes.filter(f"n <= {NODE_LIMIT}").select("node"), "node").join(sketched, "doc"))
+        small.append(rows.join(sizes.filter(f"n <= {NODE_LIMIT}").select("node"), "node"))
         wide = sizes.filter(f"n > {NODE_LIMIT}")
         if not wide.head(1):
             break
-        large = materialise(rows.join(wide.select("node"), "node").join(sketched, "doc"), "large-nodes")
+        large = materialise(rows.join(wide.select("node"), "node"), "large-nodes")
+        near = materialise(_near_pivots(large.join(sketched, "doc"), least), "near-pivots")
+        packed = wide if level == LEVELS else wide.join(near.groupBy("node").agg(F.countDistinct("b").alias("near")), "node").filter("near * 2 >= n")
+        packed = materialise(packed.select("node"), "dense-nodes")
+        dense.append(large.join(packed, "node", "left_semi"))
+        pivots.append(near.join(packed, "node", "left_semi"))
         if level == LEVELS:
-            dense.append(large)
             break
-        near = _near_pivots(large, least).groupBy("node").agg(F.countDistinct("b").alias("near"))
-        packed = materialise(wide.join(near, "node").filter("near * 2 >= n").select("node"), "dense-nodes")
-        dense.append(large.join(packed, "node", "left_semi"))
-        rows = _next_nodes(large.join(packed, "node", "left_anti").select("node", "doc"), reps)
-    empty = sketched.select(F.lit(0).cast("long").alias("node"), "doc", *SKETCH).limit(0)
-    union = lambda parts: _union([p.select("node", "doc", *SKETCH) for p in parts] or [empty])
-    return union(small), union(dense)
+        rows = _next_nodes(large.join(packed, "node", "left_anti"), reps)
+    empty = rows.select("node", "doc").limit(0)
+    none = empty.select("node", F.col("doc").alias("a"), F.col("doc").alias("b"))
+    union = lambda parts, names, start: _union([p.select(*names) for p in parts] or [start])
+    return (union(small, ["node", "doc"], empty).join(sketched, "doc").select("node", "doc", *SKETCH),
+            union(dense, ["node", "doc"], empty), union(pivots, ["node", "a", "b"], none))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -284,11 +287,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     reps = usable.withColumnRenamed("doc_id", "doc").join(classes, [*keys, "doc"]).select("doc", "tokens")
     reps = materialise(reps.dropDuplicates(["doc", "tokens"]), "representatives")
 
-    small, dense = _nodes(reps, least)
+    sketched = materialise(reps.select("doc", *sketch()), "sketches")
+    small, dense, near_pivots = _nodes(reps, sketched, least)
     near = materialise(compare_nodes(small.withColumn("label", F.col("doc")), least, False), "near-rows")
     dense = materialise(dense, "dense-rows")
     pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    first = near.filter("partner is not null").select(F.col("partner").alias("a"), F.col("doc").alias("b")).unionAll(_near_pivots(dense, least).select("a", "b"))
+    first = near.filter("partner is not null").select(F.col("partner").alias("a"), F.col("doc").alias("b")).unionAll(near_pivots.select("a", "b"))
     first = materialise(first.filter("a <> b").select(*pair).distinct(), "first-pairs")
     wanted = near.select("doc").unionAll(dense.select("doc")).distinct()
     texts = materialise(pick(docs, ["doc_id", "text"]).withColumnRenamed("doc_id", "doc").join(wanted, "doc", "left_semi"), "candidate-texts")
@@ -297,7 +301,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
 
     label = F.coalesce("root", "doc").alias("label")
     rest = compare_nodes(near.join(labels, near["doc"] == labels["id"], "left").select("node", "doc", label, *SKETCH), least, True)
-    rest = rest.unionAll(_across(dense.join(labels, dense["doc"] == labels["id"], "left").select("node", "doc", label, *SKETCH), least))
+    rest = rest.unionAll(_across(dense.join(labels, dense["doc"] == labels["id"], "left").select("node", "doc", label), sketched, least))
     rest = materialise(rest.filter("a <> b").select(*pair).distinct().join(first, ["a", "b"], "left_anti"), "second-pairs")
     more = confirm(rest, texts, width, similarity)
     roots = components(labels.select(F.col("id").alias("a"), F.col("root").alias("b")).unionAll(more))
@@ -309,15 +313,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _across(rows: DataFrame, least: int) -> DataFrame:
-    """Near pairs of a dense node with different labels: the documents outside its largest component against all of it."""
+def _across(rows: DataFrame, sketched: DataFrame, least: int) -> DataFrame:
+    """Near pairs of documents that share a dense node and have different labels.
+
+    Dense nodes whose largest component is the same hold much the same documents, so they are taken together as a family: each of
+    its documents outside that component is compared with all of the family, once, over ``SALTS`` tasks.
+    """
     rows = materialise(rows, "labelled-rows")
     size = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
-    most = size.groupBy("node").agg(F.max_by("label", F.struct("n", "label")).alias("most"))
+    most = size.groupBy("node").agg(F.max_by("label", F.struct("n", "label")).alias("family"))
+    members = rows.join(most, "node").groupBy("family", "doc").agg(F.min("label").alias("label"))
+    mixed = members.filter("label <> family").select("family").distinct()
+    members = materialise(members.join(mixed, "family", "left_semi").join(sketched, "doc"), "families")
     own = F.struct("doc", "label", *SKETCH)
-    outside = rows.join(most, "node").filter("label <> most").select("node", own.alias("p"))
+    salt = F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int").alias("salt")
+    outside = members.filter("label <> family").select("family", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), own.alias("p"))
     return (
-        rows.select("node", own.alias("d")).join(outside, "node")
+        members.select("family", salt, own.alias("d")).join(outside, ["family", "salt"])
         .filter((F.col("p.label") != F.col("d.label")) & (equal_tokens("p", "d") >= least))
         .select(F.col("p.doc").alias("a"), F.col("d.doc").alias("b"))
     )
