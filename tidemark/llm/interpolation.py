@@ -22,7 +22,7 @@ from tidemark.llm.common import Words, pair_hash, pick, slices
 from tidemark.session import materialise
 
 END = np.uint64(0xE1D0F7E271A9C3B5)
-CHUNK_WORDS = 1_200_000
+CHUNK_WORDS = 700_000
 RANGE_KEYS = 1_500_000
 KEY_MASK = ~np.uint64(0xFFFF)  # 48 bits of a bigram's hash: one of n bigrams meets another with a probability of n / 2 ** 48
 LEAST_RANGES = 48
@@ -31,7 +31,7 @@ LOWEST = 16 * BINS  # of bins; further down counts as zero
 BUCKETS = 48
 FIRST, SECOND, HELD = 0, 1, 2
 
-STORE = "chunk bigint, ids binary, null_ids binary, fold binary, sizes binary, tokens binary, vocab binary, first binary, second binary, n_words bigint"
+STORE = "chunk bigint, tunes boolean, ids binary, null_ids binary, fold binary, sizes binary, tokens binary, vocab binary, first binary, second binary, n_words bigint"
 
 
 def fold() -> Column:
@@ -41,37 +41,56 @@ def fold() -> Column:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """Chunks of whole texts as local word numbers, with the sorted hashes of their words and each word's count by fold."""
+    """Chunks of whole texts as local word numbers, with the sorted hashes of their words and each word's count by fold.
+
+    Texts of the second fold have chunks of their own (``tunes``). Words are numbered by falling count, which compresses well.
+    """
 
     def flush(held: list, number: int) -> pa.RecordBatch:
         ids, nulls, folds, sizes, hashes = (np.concatenate(x) for x in zip(*held))
         vocab, tokens = np.unique(hashes, return_inverse=True)
         by_fold = np.repeat(folds, sizes)
         counts = [np.bincount(tokens[by_fold == f], minlength=len(vocab)).astype("uint32") for f in (FIRST, SECOND)]
-        row = [[(TaskContext.get().partitionId() << 24) + number], [X.squeeze(ids)], [X.squeeze(nulls)], [X.squeeze(folds)], [X.squeeze(sizes.astype("uint32"))],
-               [X.squeeze(tokens.astype("uint32"))], [X.squeeze_sorted(vocab)], [X.squeeze(counts[0])], [X.squeeze(counts[1])], [len(vocab)]]
-        types = [pa.int64(), *[pa.binary()] * 8, pa.int64()]
+        order = _by_count(*counts)
+        rank = np.empty(len(vocab), "uint32")
+        rank[order] = np.arange(len(vocab), dtype="uint32")
+        row = [[(TaskContext.get().partitionId() << 24) + number], [bool(folds[0] == SECOND)], [X.squeeze(ids)], [X.squeeze(nulls)], [X.squeeze(folds)],
+               [X.squeeze(sizes.astype("uint32"))], [X.squeeze(rank[tokens])], [X.squeeze_sorted(vocab)], [X.squeeze(counts[0])], [X.squeeze(counts[1])], [len(vocab)]]
+        types = [pa.int64(), pa.bool_(), *[pa.binary()] * 8, pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, types)], names=[c.split()[0] for c in STORE.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, number = [], 0, 0
+        held: dict[bool, list] = {False: [], True: []}
+        size, number = {False: 0, True: 0}, 0
         for batch in batches:
-            for part in slices(batch, 2):
-                w = Words(part.column(2))
-                tokens = np.insert(w.hashes(), w.first[1:], END)
-                ids = part.column(0)
-                held.append((ids.fill_null(0).to_numpy().astype("int64"), ids.is_null().to_numpy(zero_copy_only=False).astype("uint8"),
-                             part.column(1).to_numpy().astype("uint8"), w.counts + 1, tokens))
-                size += len(tokens)
-                if size >= CHUNK_WORDS:
-                    yield flush(held, number)
-                    held, size, number = [], 0, number + 1
-        if held:
-            yield flush(held, number)
+            for whole in slices(batch, 2):
+                tuning = whole.column(1).to_numpy() == SECOND
+                for tunes in (False, True):
+                    part = whole.filter(pa.array(tuning == tunes))
+                    if not part.num_rows:
+                        continue
+                    w = Words(part.column(2))
+                    tokens = np.insert(w.hashes(), w.first[1:], END)
+                    ids = part.column(0)
+                    held[tunes].append((ids.fill_null(0).to_numpy().astype("int64"), ids.is_null().to_numpy(zero_copy_only=False).astype("uint8"),
+                                        part.column(1).to_numpy().astype("uint8"), w.counts + 1, tokens))
+                    size[tunes] += len(tokens)
+                    if size[tunes] >= CHUNK_WORDS:
+                        yield flush(held[tunes], number)
+                        held[tunes], size[tunes], number = [], 0, number + 1
+        for rest in held.values():
+            if rest:
+                yield flush(rest, number)
+                number += 1
 
     return pick(docs, ["doc_id", "text"]).select("doc_id", fold().alias("fold"), "text").mapInArrow(run, STORE)
 
 
+def _by_count(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Places of a chunk's words in the order of their numbers."""
+    return np.argsort(-(first.astype("int64") + second), kind="stable")
+
+
 def _contexts(tokens: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
     """The token before each token; the end of text before the first of a document."""
     before = np.empty_like(tokens)
@@ -82,7 +101,8 @@ def _contexts(tokens: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
 
 def _pairs(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Tokens, contexts, sizes, sorted distinct bigram hashes, each token's place among them, and the vocabulary."""
-    tokens, sizes = X.expand(row["tokens"], "uint32").astype("int64"), X.expand(row["sizes"], "uint32").astype("int64")
+    sizes = X.expand(row["sizes"], "uint32").astype("int64")
+    tokens = _by_count(X.expand(row["first"], "uint32"), X.expand(row["second"], "uint32"))[X.expand(row["tokens"], "uint32")]
     vocab = X.expand_sorted(row["vocab"])
     before = _contexts(tokens, sizes, int(np.searchsorted(vocab, END)))
     code, at = np.unique(before * len(vocab) + tokens, return_inverse=True)
@@ -126,22 +146,20 @@ class Estimates:
         return _bucket(context), pair[self.place] / np.maximum(context, 1), word[self.tokens] / max(total, 1)
 
 
-JOINED = ["tokens", "sizes", "vocab", "fold", "ids", "null_ids"]
+TEXTS = ["tokens", "sizes", "vocab", "first", "second"]
 
 
-def learn_weights(joined: DataFrame, first_total: int, vocabulary: int, rounds: int = 60) -> np.ndarray:
-    """Weights of bigram, unigram and uniform estimate for each bucket."""
+def learn_weights(counted: DataFrame, first_total: int, vocabulary: int, rounds: int = 60) -> np.ndarray:
+    """Weights of bigram, unigram and uniform estimate for each bucket, from the counted chunks of the second fold."""
     wide = LOWEST + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in X.rows_of(batches):
-            e = Estimates(row)
-            held = np.repeat(X.expand(row["fold"], "uint8"), e.sizes) == SECOND
-            bucket, p2, p1 = (x[held] for x in e.of((FIRST,), first_total))
+            bucket, p2, p1 = Estimates(row).of((FIRST,), first_total)
             key, n = np.unique((bucket * wide + _bin(p2)) * wide + _bin(p1), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
 
-    table = joined.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).orderBy("key").toArrow()
+    table = counted.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).orderBy("key").toArrow()
     return expectation_maximisation(table["key"].to_numpy(), table["n"].to_numpy(), vocabulary, rounds)
 
 
@@ -172,15 +190,17 @@ def language_model_scores(docs: DataFrame) -> DataFrame:
     size = store.agg(F.sum("n_words"), F.count(F.lit(1))).first()
     ranges = max(LEAST_RANGES, -(-int(size[0] or 0) * 6 // RANGE_KEYS))  # a chunk has up to about six bigrams for each distinct word
     words = materialise(X.answers(X.requests(store, ["vocab", "first", "second"], _word_keys, ranges)), "words")
-    pairs = X.answers(X.requests(store, ["tokens", "sizes", "vocab", "fold"], _pair_keys, ranges))
+    pairs = materialise(X.answers(X.requests(store, [*TEXTS, "fold"], _pair_keys, ranges)), "pairs")
     counts = words.agg(F.sum("distinct"), F.sum("total")).first()
     vocabulary, total = int(counts[0] or 0), int(counts[1] or 0)
-    joined = (
-        store.select("chunk", *JOINED).join(X.gathered(words, "words"), "chunk").join(X.gathered(pairs, "pairs"), "chunk")
-    )
-    joined = materialise(joined, "counted")
-    first_total = first_fold_tokens(store)
-    weights = learn_weights(joined.select("tokens", "sizes", "vocab", "fold", "words", "pairs"), first_total, vocabulary)
+
+    def counted(chosen: DataFrame, columns: list[str]) -> DataFrame:
+        """Chunks with the corpus counts of their words and bigrams."""
+        ids = chosen.select("chunk")
+        own = [X.gathered(t.join(ids, "chunk", "left_semi"), name) for t, name in ((words, "words"), (pairs, "pairs"))]
+        return chosen.select("chunk", *columns).join(own[0], "chunk").join(own[1], "chunk").drop("chunk")
+
+    weights = learn_weights(counted(store.filter("tunes"), TEXTS), first_fold_tokens(store), vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in X.rows_of(batches):
@@ -198,7 +218,7 @@ def language_model_scores(docs: DataFrame) -> DataFrame:
                  pa.array(np.full(len(begin), total)), pa.array(base), pa.array(score)],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return joined.drop("chunk").mapInArrow(run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return counted(store, [*TEXTS, "fold", "ids", "null_ids"]).mapInArrow(run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
 def first_fold_tokens(store: DataFrame) -> int:
