@@ -115,3 +115,28 @@ def test_time_weighted_return_ignores_flows(spark):
     got = linked_returns(e, f).orderBy("day").collect()
     assert [None if r["period_return"] is None else round(r["period_return"], 6) for r in got] == [None, 0.1, 0.1]
     assert got[-1]["linked_index"] == pytest.approx(1.21)
+
+
+def linked(spark, points, flows=(), own=False):
+    from datetime import date
+
+    from tidemark.operators.ledger import linked_returns
+
+    schema = "account int, day date, equity double" + (", own_in double, own_out double" if own else "")
+    e = spark.createDataFrame([(1, date(2024, 1, p[0]), *p[1:]) for p in points], schema)
+    f = spark.createDataFrame([(1, date(2024, 1, d), i, o) for d, i, o in flows], "account int, day date, inflow double, outflow double")
+    return [(r["period_return"], r["linked_index"], r["problem"]) for r in linked_returns(e, f).orderBy("day").collect()]
+
+
+def test_linked_returns_stop_at_a_bad_interval(spark):
+    out = linked(spark, [(1, 100.0), (2, 110.0), (3, -5.0), (4, 10.0), (5, 20.0)])
+    assert out[1][0] == pytest.approx(0.1) and out[1][2] is None
+    assert out[2:] == [(None, None, "equity_not_positive")] * 3
+    assert linked(spark, [(1, 0.0), (2, 10.0)])[1] == (None, None, "equity_not_positive")
+
+
+def test_stated_flows_replace_or_contradict_derived_ones(spark):
+    points = [(1, 100.0, None, None), (2, 160.0, 50.0, None), (3, 170.0, None, None)]
+    assert linked(spark, points, own=True)[1][0] == pytest.approx(160 / 150 - 1)
+    assert linked(spark, points, [(2, 50.0, 0.0)], own=True)[1][2] is None
+    assert [r[2] for r in linked(spark, points, [(2, 40.0, 0.0)], own=True)] == [None, "flow_conflict", "flow_conflict"]

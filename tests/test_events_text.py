@@ -56,6 +56,8 @@ def chain(spark, revs):
     ([(0, "initial", 2), (1, "supersession", 3), (1, "withdrawal", 4)], "multi_source_revision_conflict"),
     ([(0, "supersession", 2)], "invalid_revision_sequence"),
     ([(0, "initial", 2), (1, "initial", 3)], "invalid_revision_sequence"),
+    ([(0, "supersession", 2), (1, None, 3)], "invalid_revision_sequence"),
+    ([(0, "initial", 2), (1, "initial", 3), (2, "supersession", 4), (2, "withdrawal", 4)], "invalid_revision_sequence"),
     ([(0, "initial", None)], "missing_reliable_first_available_at"),
 ])
 def test_revision_states(spark, revs, state):

@@ -162,3 +162,47 @@ def test_fingerprint_ignores_row_order(spark):
     parts = [F.col("x"), F.col("y")]
     one, two = (store.fingerprint(d, parts).first() for d in (a, a.orderBy(F.desc("x")).repartition(7)))
     assert one == two != store.fingerprint(a.withColumn("y", F.col("y") + 1), parts).first()
+
+
+def test_fingerprint_tells_pairs_and_nulls_apart(spark):
+    parts = [F.col("x"), F.col("y")]
+
+    def of(*rows):
+        return tuple(store.fingerprint(spark.createDataFrame(list(rows), "x string, y string"), parts).first())
+
+    assert of(("A", "1"), ("A", "1")) != of(("B", "1"), ("B", "1"))
+    assert of(("x", None)) != of((None, "x")) != of(("N", "x"))
+    assert of(("a|b", "c")) != of(("a", "b|c")) and of(("a", ""), ("", "a")) == of(("", "a"), ("a", ""))
+
+
+def test_manifest_lies_beside_the_data(spark, tmp_path):
+    path = str(tmp_path / "t")
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "x int, y string")
+    store.write(df, path, "x int, y string")
+    made = store.write_manifest(spark, path, "x int, y string", [F.col("x"), F.col("y")], {"k": F.col("x")}).collect()
+    assert sorted((r["k"], r["rows"]) for r in made) == [(1, 1), (2, 2)]
+    assert spark.read.parquet(path).count() == 3
+    assert sorted(store.read_manifest(spark, path, {"k": "int"}).collect()) == sorted(made)
+
+
+def test_tick_order_is_total_beyond_small_keys(spark):
+    from tidemark.sources.market import tick_order
+
+    rows = [(1, 1, 5), (1, 1, 1048576), (7, 9, 0), (8, 1, 0), (8, 1, 2**62), (9 * 10**14, 9999, 1)]
+    df = spark.createDataFrame(rows, "l_orderkey bigint, l_linenumber int, l_partkey bigint").repartition(3)
+    assert [tuple(r) for r in df.orderBy(tick_order()).collect()] == rows
+    with pytest.raises(Exception, match="tick order out of range"):
+        spark.createDataFrame([(1, 10_000, 1)], df.schema).select(tick_order()).collect()
+
+
+def test_calendar_gaps_include_the_ends(spark):
+    from datetime import date
+
+    from tidemark.operators.coverage import calendar_gaps
+
+    d = lambda n: date(2024, 1, n)
+    cal = spark.createDataFrame([(d(n),) for n in (2, 3, 4, 5, 8, 9)], "session_date date")
+    bars = spark.createDataFrame([(1, d(3)), (1, d(3)), (1, d(8)), (1, d(20)), (2, d(1))], "instrument int, session_date date")
+    got = sorted(map(tuple, calendar_gaps(bars, cal).collect()), key=repr)
+    assert got == sorted([(1, "missing", None, d(3), 1), (1, "missing", d(3), d(8), 2), (1, "missing", d(8), None, 1), (1, "unexpected", d(20), d(20), 1),
+                          (2, "missing", None, None, 6), (2, "unexpected", d(1), d(1), 1)], key=repr)

@@ -35,14 +35,16 @@ def discounted_sums(df: DataFrame, axis: Axis, specs: Mapping[str, tuple[Column,
             raise ValueError("decay must be 0 or lie strictly between 0.0001 and 1")
     df = df.withColumns(
         {
+            "_sup": F.floor((F.col(row_no) - 1) / (BLOCK * BLOCK)),
             "_blk": F.floor((F.col(row_no) - 1) / BLOCK),
             "_pos": ((F.col(row_no) - 1) % BLOCK).cast("double"),
         }
     )
-    inside = Window.partitionBy(*axis.keys, "_blk").orderBy(row_no).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*axis.keys).orderBy("_blk", row_no).rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing
-    )
+    # all three windows share one sort order
+    inside = Window.partitionBy(*axis.keys, "_sup", "_blk").orderBy(row_no).rowsBetween(Window.unboundedPreceding, 0)
+    all_rows = (Window.unboundedPreceding, Window.unboundedFollowing)
+    blocks = Window.partitionBy(*axis.keys, "_sup").orderBy("_blk", row_no).rowsBetween(*all_rows)
+    whole = Window.partitionBy(*axis.keys).orderBy("_sup", "_blk", row_no).rowsBetween(*all_rows)
     df = df.withColumns(
         {
             f"_p_{n}": F.sum(F.coalesce(u, F.lit(0.0)) * F.pow(F.lit(1 / a), F.col("_pos"))).over(inside)
@@ -54,17 +56,24 @@ def discounted_sums(df: DataFrame, axis: Axis, specs: Mapping[str, tuple[Column,
         "_totals",
         F.collect_list(
             F.when(F.col("_pos") == BLOCK - 1, F.struct(*[F.col(f"_p_{n}").alias(n) for n in specs]))
-        ).over(whole),
+        ).over(blocks),
     )
 
-    def fold(n: str, a: float) -> Column:
-        earlier = F.slice("_totals", 1, F.col("_blk").cast("int"))
-        per_block = F.lit(a**BLOCK)
-        return F.aggregate(earlier, F.lit(0.0), lambda acc, x: acc * per_block + x[n])
+    def fold(totals: Column, n: str, decay: float) -> Column:
+        return F.aggregate(totals, F.lit(0.0), lambda acc, x: acc * F.lit(decay) + x[n])
+
+    nth = F.pmod("_blk", F.lit(BLOCK)).cast("int")
+    last = (F.col("_pos") == BLOCK - 1) & (nth == BLOCK - 1)
+    df = df.withColumn("_sups", F.collect_list(F.when(last, F.struct(*[fold(F.col("_totals"), n, a**BLOCK).alias(n) for n, (_, a) in specs.items()]))).over(whole))
+
+    def carried(n: str, a: float) -> Column:
+        own = fold(F.slice("_totals", F.lit(1), nth), n, a**BLOCK)
+        earlier = fold(F.slice("_sups", F.lit(1), F.col("_sup").cast("int")), n, a ** (BLOCK * BLOCK))
+        return own + F.pow(F.lit(a**BLOCK), nth) * earlier
 
     df = df.withColumns(
-        {f"_e_{n}": F.when(F.col("_pos") == 0, fold(n, a)) for n, (_, a) in specs.items()}
-    ).drop("_totals")
+        {f"_e_{n}": F.when(F.col("_pos") == 0, carried(n, a)) for n, (_, a) in specs.items()}
+    ).drop("_totals", "_sups")
     df = df.withColumns({f"_c_{n}": F.first(f"_e_{n}").over(inside) for n in specs})
     df = df.withColumns(
         {
@@ -73,7 +82,7 @@ def discounted_sums(df: DataFrame, axis: Axis, specs: Mapping[str, tuple[Column,
         }
     )
     scratch = [f"_{k}_{n}" for n in specs for k in ("p", "e", "c")]
-    return df.drop("_blk", "_pos", *scratch)
+    return df.drop("_sup", "_blk", "_pos", *scratch)
 
 
 def ema_impulse(x: Column, alpha: float, row_no: str, seed_row: int = 1) -> Column:

@@ -181,38 +181,73 @@ def revision_role(raw: Column, revision_no: Column) -> Column:
     return F.when(raw.isNull(), F.when(revision_no == 0, "initial")).otherwise(named)
 
 
-def resolve_chains(obs: DataFrame, keys: list[str], revision: str, role: str, available: str, cutoff: Column) -> DataFrame:
-    """State of every revision chain from what was visible at a cut-off."""
+def resolve_chains(obs: DataFrame, keys: list[str], revision: str, role: str, available: str, cutoff: Column,
+                   source: list[str] | None = None, content: list[str] | None = None, constant: list[str] | None = None,
+                   fact: str | None = None, semantic: list[str] | None = None) -> DataFrame:
+    """State of every revision chain from what was visible at a cut-off.
+
+    Optional checks: ``source`` (provider first) and ``content`` name a provider's record and its immutable columns, ``constant``
+    columns that a chain cannot mix, ``fact`` its external id, ``semantic`` columns in which the providers of one revision must
+    agree where they state them. Whole-chain checks come first; then revisions are walked in order and the first bad one counts.
+    """
+    seen = F.col(available) <= cutoff
+    differs = lambda c: (F.min(c) != F.max(c)) | (F.count(c).between(1, F.count(F.lit(1)) - 1))  # noqa: E731  a null beside a value differs
+    varies = lambda c: F.coalesce(F.min(F.when(seen, F.col(c))) != F.max(F.when(seen, F.col(c))), F.lit(False))
+    several = F.lit(False)
+    for c in semantic or []:
+        several = several | varies(c)
+    if semantic:
+        several = several & varies(source[0])
     per_revision = obs.groupBy(*keys, revision).agg(
-        F.count_if(F.col(available).isNull()).alias("_untimed"),
-        F.count_if(F.col(available) <= cutoff).alias("_seen"),
-        F.min(F.when(F.col(available) <= cutoff, F.col(role))).alias("_r0"),
-        F.max(F.when(F.col(available) <= cutoff, F.col(role))).alias("_r1"),
-        F.count_if((F.col(available) <= cutoff) & F.col(role).isNull()).alias("_unnamed"),
+        F.count_if(F.col(available).isNull()).alias("_untimed"), F.count_if(seen).alias("_seen"),
+        F.min(F.when(seen, F.col(role))).alias("_r0"), F.max(F.when(seen, F.col(role))).alias("_r1"),
+        F.count_if(seen & F.col(role).isNull()).alias("_unnamed"), several.alias("_several"),
     )
-    seen = F.col("_seen") > 0
     r = F.col(revision)
-    wrong = seen & ((r == 0) != (F.col("_r0") == "initial"))
-    g = per_revision.groupBy(*keys).agg(
-        F.sum("_untimed").alias("untimed"),
-        F.count_if(seen).alias("revisions"),
-        F.max(F.when(seen, r)).alias("latest"),
-        F.sum(F.when(seen, F.col("_unnamed")).otherwise(0)).alias("unnamed"),
-        F.count_if(seen & (F.col("_r0") != F.col("_r1"))).alias("split"),
-        F.count_if(wrong).alias("wrong"),
-        F.max_by("_r0", F.when(seen, r)).alias("role"),
+    problem = (
+        F.when(F.col("_seen") == 0, None)
+        .when(F.col("_unnamed") > 0, "unknown_revision_role")
+        .when(F.col("_r0") != F.col("_r1"), "multi_source_revision_conflict")
+        .when(F.col("_several"), "multi_source_revision_semantic_conflict")
+        .when((r == 0) != (F.col("_r0") == "initial"), "invalid_revision_sequence")
+    )
+    g = per_revision.withColumn("_problem", problem).groupBy(*keys).agg(
+        F.sum("_untimed").alias("_untimed"),
+        F.count_if(F.col("_seen") > 0).alias("revisions"),
+        F.max(F.when(F.col("_seen") > 0, r)).alias("latest_revision"),
+        F.min_by("_problem", F.when(F.col("_problem").isNotNull(), r)).alias("_problem"),
+        F.max_by("_r0", F.when(F.col("_seen") > 0, r)).alias("_role"),
     )
+    state = F.when(F.lit(False), "")
+    if content:
+        record = F.to_json(F.struct(*content), {"ignoreNullFields": "false"})
+        told = obs.groupBy(*keys, *source, revision).agg((F.min(record) != F.max(record)).alias("_split"))
+        g = g.join(told.groupBy(*keys).agg(F.bool_or("_split").alias("_split")), keys)
+        state = state.when(F.col("_split"), "contradictory_provider_revision")
+    if constant or fact:
+        mixed, checks = F.lit(False), []
+        for c in constant or []:
+            mixed = mixed | differs(F.col(c))
+        checks.append(F.coalesce(mixed, F.lit(False)).alias("_mixed"))
+        named, rows = F.count(fact) if fact else F.lit(1), F.count(F.lit(1))
+        checks.append(((named > 0) & ((named < rows) | (F.min(fact) != F.max(fact))) if fact else F.lit(False)).alias("_other_fact"))
+        origin = F.to_json(F.struct(*source), {"ignoreNullFields": "false"}) if fact else F.lit("")
+        checks.append(((named == 0) & (F.min(origin) != F.max(origin))).alias("_no_fact"))
+        g = g.join(obs.groupBy(*keys).agg(*checks), keys)
+        state = (state.when(F.col("_mixed"), "mixed_event_chain").when(F.col("_other_fact"), "conflicting_revision_chain_identity")
+                 .when(F.col("_no_fact"), "missing_revision_chain_identity"))
     state = (
-        F.when(F.col("untimed") > 0, "missing_reliable_first_available_at")
+        state.when(F.col("_untimed") > 0, "missing_reliable_first_available_at")
         .when(F.col("revisions") == 0, "not_yet_available")
-        .when(F.col("latest") + 1 != F.col("revisions"), "revision_gap")
-        .when(F.col("unnamed") > 0, "unknown_revision_role")
-        .when(F.col("split") > 0, "multi_source_revision_conflict")
-        .when(F.col("wrong") > 0, "invalid_revision_sequence")
-        .when(F.col("role") == "withdrawal", "withdrawn")
+        .when(F.col("latest_revision") + 1 != F.col("revisions"), "revision_gap")
+        .when(F.col("_problem").isNotNull(), F.col("_problem"))
+        .when(F.col("_role") == "withdrawal", "withdrawn")
         .otherwise("active")
     )
-    return g.select(*keys, "revisions", F.col("latest").alias("latest_revision"), state.alias("state"))
+    g = g.withColumn("state", state)
+    resolved = F.col("state").isin("active", "withdrawn")
+    return g.select(*keys, "revisions", "latest_revision", "state", F.when(F.col("state") == "active", F.col("latest_revision")).alias("active_revision"),
+                    F.when(resolved, F.col("revisions") - 1).alias("superseded"))
 
 
 def first_matching(events: DataFrame, key: str, matches: Column, order: list[str]) -> DataFrame:

@@ -150,20 +150,42 @@ def linked_returns(equity: DataFrame, flows: DataFrame, account: str = "account"
 
     A flow belongs to the interval (previous equity date, this one]; both are
     daily rows, so one ordered window per account stays within the calendar.
+    Columns ``own_in`` and ``own_out`` of the equity rows, where they exist, are flows that the
+    account itself states: one of them given replaces the derived ones, and
+    differing from derived ones that are not zero is a conflict.
+
+    From the first interval that cannot be linked on, return, index and
+    drawdown are NULL and ``problem`` tells why: a conflict of flows, or
+    flow-adjusted equity that is not positive.
     """
     f = flows.groupBy(account, day).agg(F.sum("inflow").alias("_in"), F.sum("outflow").alias("_out"))
+    stated = [F.max(c).alias(f"_{c}") for c in ("own_in", "own_out") if {"own_in", "own_out"} <= set(equity.columns)]
     both = equity.join(f, [account, day], "full_outer")
     w = Window.partitionBy(account).orderBy(day)
     ahead = w.rowsBetween(0, Window.unboundedFollowing)
     both = both.withColumn("_to", F.min(F.when(F.col("equity").isNotNull(), F.col(day))).over(ahead))
     moved = both.groupBy(account, F.col("_to").alias(day)).agg(
-        F.max("equity").alias("equity"), F.coalesce(F.sum("_in"), F.lit(0.0)).alias("inflow"), F.coalesce(F.sum("_out"), F.lit(0.0)).alias("outflow")
+        F.max("equity").alias("equity"), F.coalesce(F.sum("_in"), F.lit(0.0)).alias("inflow"), F.coalesce(F.sum("_out"), F.lit(0.0)).alias("outflow"), *stated
     ).filter(F.col(day).isNotNull())
     moved = moved.withColumn("_prev", F.lag("equity").over(w))
-    ratio = (F.col("equity") + F.col("outflow")) / (F.col("_prev") + F.col("inflow"))
-    out = moved.withColumn("period_return", F.when(F.col("_prev").isNotNull(), ratio - 1))
-    out = out.withColumn("linked_index", F.exp(F.coalesce(F.sum(F.log(1 + F.col("period_return"))).over(w), F.lit(0.0))))
-    return out.withColumn("drawdown", F.col("linked_index") / F.max("linked_index").over(w) - 1).drop("_prev")
+    linked = F.col("_prev").isNotNull()
+    conflict = F.lit(False)
+    if stated:
+        given = F.col("_own_in").isNotNull() | F.col("_own_out").isNotNull()
+        own_in, own_out = F.coalesce("_own_in", F.lit(0.0)), F.coalesce("_own_out", F.lit(0.0))
+        derived = (F.col("inflow") != 0) | (F.col("outflow") != 0)
+        conflict = linked & given & derived & ((own_in != F.col("inflow")) | (own_out != F.col("outflow")))
+        moved = moved.withColumns({"_conflict": conflict, "inflow": F.when(given, own_in).otherwise(F.col("inflow")), "outflow": F.when(given, own_out).otherwise(F.col("outflow"))})
+        conflict = F.col("_conflict")
+    top, bottom = F.col("equity") + F.col("outflow"), F.col("_prev") + F.col("inflow")
+    here = F.when(conflict, "flow_conflict").when(linked & ((top <= 0) | (bottom <= 0)), "equity_not_positive")
+    moved = moved.withColumn("_here", here)
+    moved = moved.withColumn("problem", F.first("_here", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    fine = F.col("problem").isNull()
+    out = moved.withColumn("period_return", F.when(fine & linked, F.try_divide(top, bottom) - 1))
+    out = out.withColumn("linked_index", F.when(fine, F.exp(F.coalesce(F.sum(F.log(1 + F.col("period_return"))).over(w), F.lit(0.0)))))
+    out = out.withColumn("drawdown", F.col("linked_index") / F.max("linked_index").over(w) - 1)
+    return out.drop("_prev", "_here", "_conflict", "_own_in", "_own_out")
 
 
 def grade(covered: Column, total: Column) -> Column:

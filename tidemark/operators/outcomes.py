@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -175,28 +176,20 @@ def outcomes(bars: DataFrame, trigger: str, rules: Sequence[Rule], axis: Axis =
 def non_overlapping(trades: DataFrame, key: str = "instrument", start: str = "rn", end: str = "exit_rn") -> DataFrame:
     """Keep a trade only if it starts after the last kept one ended.
 
-    The choice is sequential, so the candidates of one instrument (at most one
-    per session, far fewer than its bars) are folded in order.
+    The choice is sequential: one pass over the sorted candidates of an instrument, of which there is at most one per session.
     """
-    rest = [c for c in trades.columns if c not in (key, start, end)]
-    item = F.struct(F.col(start), F.col(end), *[F.col(c) for c in rest])
-    grouped = trades.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("_c"))
-    kind = trades.schema
-    fields = ", ".join(f"`{c}`: {kind[c].dataType.simpleString()}" for c in (start, end, *rest))
-    end_type = kind[end].dataType.simpleString()
-    zero = F.struct(
-        F.lit(-1).cast(end_type).alias("last"), F.array().cast(f"array<struct<{fields}>>").alias("kept")
-    )
-    folded = F.aggregate(
-        "_c",
-        zero,
-        lambda acc, x: F.when(
-            x[start] > acc["last"],
-            F.struct(x[end].alias("last"), F.array_append(acc["kept"], x).alias("kept")),
-        ).otherwise(acc),
-        lambda acc: acc["kept"],
-    )
-    return grouped.select(key, F.explode(folded).alias("_t")).select(key, "_t.*")
+    at, until = trades.columns.index(start), trades.columns.index(end)
+
+    def keep(batch: pd.DataFrame) -> pd.DataFrame:
+        batch = batch.sort_values([start, end], ignore_index=True)
+        chosen, last = [], -1
+        for i, (s, e) in enumerate(zip(batch.iloc[:, at].tolist(), batch.iloc[:, until].tolist())):
+            if s > last:
+                chosen.append(i)
+                last = e
+        return batch.iloc[chosen]
+
+    return trades.groupBy(key).applyInPandas(keep, trades.schema)
 
 
 def entry_occurrences(df: DataFrame, state: str, axis: Axis, out: str = "occurrence") -> DataFrame:

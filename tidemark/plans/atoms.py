@@ -12,7 +12,7 @@ from tidemark.plans.registry import query
 from tidemark.plans.sql import BARS, NUMBERED, frame, lag, prior, recur, roll
 from tidemark.sources.market import bars_daily, listed_code, valuation
 
-CODE = "['600', '300', '688', '830'][instrument % 4 + 1] || lpad(CAST(instrument % 1000 AS VARCHAR), 3, '0')"
+CODE = "['600', '300', '688', '830'][instrument % 4 + 1] || lpad(CAST(instrument AS VARCHAR), greatest(3, length(CAST(instrument AS VARCHAR)))::INTEGER, '0')"
 LIMIT = f"CASE WHEN substr({CODE}, 1, 3) IN ('300', '688') THEN 19.6 WHEN substr({CODE}, 1, 2) = '83' THEN 29.4 ELSE 9.8 END"
 BASE = f"WITH RECURSIVE {BARS}, {NUMBERED}"
 

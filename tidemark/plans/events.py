@@ -146,18 +146,46 @@ def e06(spark, folder):
 ROLE = "CASE WHEN revision_type IS NULL THEN CASE WHEN revision_no = 0 THEN 'initial' END WHEN revision_type IN ('initial', 'original') THEN 'initial' WHEN revision_type IN ('Amended', 'correction') THEN 'supersession' WHEN revision_type = 'withdrawn' THEN 'withdrawal' END"
 
 
-@query("e07_revision_chains", f"""WITH {OBS}, r AS (SELECT *, {ROLE} AS role FROM ob),
-p AS (SELECT user_id, day, revision_no, count(*) FILTER (WHERE available IS NULL) AS untimed, count(*) FILTER (WHERE available <= TIMESTAMP '2024-01-20') AS seen,
- min(role) FILTER (WHERE available <= TIMESTAMP '2024-01-20') AS r0, max(role) FILTER (WHERE available <= TIMESTAMP '2024-01-20') AS r1, count(*) FILTER (WHERE available <= TIMESTAMP '2024-01-20' AND role IS NULL) AS unnamed FROM r GROUP BY 1, 2, 3),
-g AS (SELECT user_id, day, sum(untimed) AS untimed, count(*) FILTER (WHERE seen > 0) AS revisions, max(revision_no) FILTER (WHERE seen > 0) AS latest, coalesce(sum(unnamed) FILTER (WHERE seen > 0), 0) AS unnamed,
- count(*) FILTER (WHERE seen > 0 AND r0 <> r1) AS split, count(*) FILTER (WHERE seen > 0 AND (revision_no = 0) <> (r0 = 'initial')) AS wrong, arg_max(r0, revision_no) FILTER (WHERE seen > 0) AS role FROM p GROUP BY 1, 2)
-SELECT user_id, day, revisions, latest AS latest_revision, CASE WHEN untimed > 0 THEN 'missing_reliable_first_available_at' WHEN revisions = 0 THEN 'not_yet_available' WHEN latest + 1 <> revisions THEN 'revision_gap'
- WHEN unnamed > 0 THEN 'unknown_revision_role' WHEN split > 0 THEN 'multi_source_revision_conflict' WHEN wrong > 0 THEN 'invalid_revision_sequence' WHEN role = 'withdrawal' THEN 'withdrawn' ELSE 'active' END AS state FROM g""")
+CUT = "TIMESTAMP '2024-01-20'"
+# The walk over visible revisions, one row at a time: the state of a chain after each of its revisions, or its first problem.
+WALK = f"""vis AS (SELECT {{k}}, revision_no, list(DISTINCT coalesce(role, '?')) AS roles, {{semantic}} AS disagree FROM r WHERE available <= {CUT} GROUP BY ALL),
+num AS (SELECT *, row_number() OVER (PARTITION BY {{k}} ORDER BY revision_no) - 1 AS pos, count(*) OVER (PARTITION BY {{k}}) AS n FROM vis),
+walk AS (SELECT {{k}}, pos, n, CASE WHEN list_contains(roles, '?') THEN 'unknown_revision_role' WHEN len(roles) > 1 THEN 'multi_source_revision_conflict'
+  WHEN disagree THEN 'multi_source_revision_semantic_conflict' WHEN (pos = 0) <> (roles[1] = 'initial') THEN 'invalid_revision_sequence'
+  WHEN pos + 1 = n THEN CASE WHEN roles[1] = 'withdrawal' THEN 'withdrawn' ELSE 'active' END END AS verdict FROM num),
+fin AS (SELECT {{k}}, first(verdict ORDER BY pos) FILTER (WHERE verdict IS NOT NULL) AS verdict FROM walk GROUP BY {{k}}),
+gap AS (SELECT {{k}}, CAST(count(*) AS BIGINT) AS revisions, max(revision_no) AS latest_revision, bool_or(revision_no <> pos) AS gap FROM num GROUP BY {{k}})"""
+OUTCOME = "revisions, latest_revision, state, CASE WHEN state = 'active' THEN latest_revision END AS active_revision, CASE WHEN state IN ('active', 'withdrawn') THEN revisions - 1 END AS superseded"
+
+
+@query("e07_revision_chains", f"""WITH {OBS}, r AS (SELECT *, {ROLE} AS role FROM ob), {WALK.format(k='user_id, day', semantic='false')},
+st AS (SELECT c.user_id, c.day, coalesce(revisions, 0) AS revisions, latest_revision, CASE WHEN c.untimed THEN 'missing_reliable_first_available_at' WHEN revisions IS NULL THEN 'not_yet_available' WHEN gap THEN 'revision_gap' ELSE verdict END AS state
+ FROM (SELECT user_id, day, bool_or(available IS NULL) AS untimed FROM r GROUP BY ALL) c LEFT JOIN gap USING (user_id, day) LEFT JOIN fin USING (user_id, day))
+SELECT user_id, day, {OUTCOME} FROM st""")
 def e07(spark, folder):
     o = observations(spark, folder).withColumn("role", E.revision_role(F.col("revision_type"), F.col("revision_no")))
     return E.resolve_chains(o, ["user_id", "day"], "revision_no", "role", "available", F.lit("2024-01-20").cast("timestamp_ntz"))
 
 
+CHAIN = "user_id, title, event_code"
+
+
+@query("e07_chain_identity", f"""WITH {OBS}, r AS (SELECT *, {ROLE} AS role FROM ob),
+{WALK.format(k=CHAIN, semantic="count(DISTINCT provider) > 1 AND (count(DISTINCT direction) > 1 OR count(DISTINCT document) > 1)")},
+sp AS (SELECT {CHAIN}, bool_or(n > 1) AS split FROM (SELECT {CHAIN}, provider, day, revision_no, count(DISTINCT (direction, coalesce(document, '-'), coalesce(fact, '-'))) AS n FROM r GROUP BY ALL) GROUP BY ALL),
+id AS (SELECT {CHAIN}, count(DISTINCT fact) AS facts, bool_or(fact IS NULL) AS unnamed, count(DISTINCT (provider, day)) AS origins, bool_or(available IS NULL) AS untimed FROM r GROUP BY ALL),
+st AS (SELECT user_id, title, event_code, coalesce(revisions, 0) AS revisions, latest_revision, CASE WHEN split THEN 'contradictory_provider_revision'
+ WHEN facts > 1 OR (facts = 1 AND unnamed) THEN 'conflicting_revision_chain_identity' WHEN facts = 0 AND origins > 1 THEN 'missing_revision_chain_identity'
+ WHEN untimed THEN 'missing_reliable_first_available_at' WHEN revisions IS NULL THEN 'not_yet_available' WHEN gap THEN 'revision_gap' ELSE verdict END AS state
+ FROM sp JOIN id USING ({CHAIN}) LEFT JOIN gap USING ({CHAIN}) LEFT JOIN fin USING ({CHAIN}))
+SELECT {CHAIN}, {OUTCOME} FROM st""")
+def e07_identity(spark, folder):
+    """Chains of one title and code of a user: contradictory records, identity and agreement of providers are checked too."""
+    o = observations(spark, folder).withColumn("role", E.revision_role(F.col("revision_type"), F.col("revision_no")))
+    return E.resolve_chains(o, CHAIN.split(", "), "revision_no", "role", "available", F.lit("2024-01-20").cast("timestamp_ntz"), source=["provider", "day"],
+                            content=["direction", "document", "fact"], fact="fact", semantic=["direction", "document"])
+
+
 @query("e08_revision_roles", f"WITH {OBS} SELECT event_id, {ROLE} AS role FROM ob")
 def e08(spark, folder):
     return observations(spark, folder).select("event_id", E.revision_role(F.col("revision_type"), F.col("revision_no")).alias("role"))
@@ -231,11 +259,11 @@ def d05(spark, folder):
     return A.with_atoms(bars, ["cheap_uptrend"]).select(*KEYS, "cheap_uptrend")
 
 
-@query("d06_numeric_series", f"""{B}, s AS (SELECT *, ({roll('avg', 'close', 5)}) AS a, ({roll('avg', 'close', 10)}) AS b FROM v WHERE volume > 20),
+@query("d06_numeric_series", f"""{B}, s AS (SELECT *, ({roll('avg', 'close', 5)}) AS a, ({roll('avg', 'close', 10)}) AS b FROM v),
 t AS (SELECT instrument, session_date, {cross('a', 'b', True)} AS crosses_above, {cross('a', 'b', False)} AS crosses_below, a > b AS above, a < 4000.0 AS below_value FROM s WHERE a IS NOT NULL AND b IS NOT NULL) SELECT * FROM t""")
 def d06(spark, folder):
     """Conditions over a long table of dated named values: series against series and against a number."""
-    base = mk.bars_daily(spark, folder).filter("volume > 20")
+    base = mk.bars_daily(spark, folder)
     wide = base.select(*KEYS, DAILY.mean("close", 5).alias("fast"), DAILY.mean("close", 10).alias("slow"))
     long = wide.select(*KEYS, F.explode(F.map_from_arrays(F.array(F.lit("fast"), F.lit("slow")), F.array("fast", "slow"))).alias("field", "value")).filter("value is not null")
     left = long.filter("field = 'fast'").select(*KEYS, F.col("value").alias("a"))

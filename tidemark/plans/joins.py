@@ -9,6 +9,7 @@ from tidemark.functions.windows import DAILY
 from tidemark.operators import asof
 from tidemark.operators.atoms import with_atoms
 from tidemark.plans.outcomes import BUY, TRIG
+from tidemark.operators.coverage import calendar_gaps
 from tidemark.plans.registry import query
 from tidemark.plans.sql import BARS, NUMBERED
 from tidemark.plans.atoms import FFILL_PE
@@ -22,12 +23,11 @@ FACTS = """fx AS (SELECT o_custkey % (SELECT count(*) FROM supplier) AS instrume
 
 
 def bars_sql(name: str, where: str) -> str:
-    from tidemark.plans.sql import PX
+    from tidemark.plans.sql import PX, TICK, TICK_NO
 
-    key = "(l_orderkey * 8 + l_linenumber) * 1048576 + l_partkey % 1048576"
     return f"""{name} AS (SELECT l_suppkey AS instrument, CAST(l_shipdate AS DATE) AS session_date,
-  arg_min({PX}, {key}) AS open, max({PX}) AS high, min({PX}) AS low, arg_max({PX}, {key}) AS close, sum(l_quantity) AS volume,
-  CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS amount, count(*) AS ticks, max({key}) AS available_no
+  first({PX} ORDER BY {TICK}) AS open, max({PX}) AS high, min({PX}) AS low, last({PX} ORDER BY {TICK}) AS close, sum(l_quantity) AS volume,
+  CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS amount, count(*) AS ticks, max({TICK_NO}) AS available_no
   FROM lineitem WHERE {where} GROUP BY 1, 2)"""
 
 
@@ -359,25 +359,31 @@ def j19(spark, folder):
     return asof.overlay(b, s, KEYS)
 
 
-GAPS = f"""{BARS}, c AS (SELECT session_date, row_number() OVER (ORDER BY session_date) AS n FROM (SELECT DISTINCT session_date FROM bars)),
-k AS (SELECT instrument, session_date, n, lead(n) OVER (PARTITION BY instrument ORDER BY n) AS nn, lead(session_date) OVER (PARTITION BY instrument ORDER BY n) AS nd
-  FROM bars JOIN c USING (session_date))"""
+# The calendar is that of the orders, independent of the bars it is held against; bars before its start or after its end are unexpected.
+GAPS = f"""{BARS}, c AS (SELECT session_date, row_number() OVER (ORDER BY session_date) AS n FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS session_date FROM orders)),
+edge AS (SELECT count(*) + 1 AS z FROM c),
+k AS (SELECT instrument, session_date, n FROM bars JOIN c USING (session_date) UNION ALL SELECT DISTINCT instrument, NULL, 0 FROM bars UNION ALL SELECT DISTINCT instrument, NULL, z FROM bars, edge),
+h AS (SELECT *, lead(n) OVER w AS nn, lead(session_date) OVER w AS nd FROM k WINDOW w AS (PARTITION BY instrument ORDER BY n)),
+gp AS (SELECT instrument, 'missing' AS kind, session_date AS after_session, nd AS before_session, nn - n - 1 AS sessions FROM h WHERE nn > n + 1
+ UNION ALL SELECT instrument, 'unexpected', session_date, session_date, 1 FROM bars WHERE session_date NOT IN (SELECT session_date FROM c))"""
 
 
-@query("j20_calendar_coverage", f"WITH {GAPS} SELECT instrument, session_date AS after_session, nd AS before_session, nn - n - 1 AS missing FROM k WHERE nn > n + 1")
+def order_calendar(spark, folder):
+    return table(spark, folder, "orders").select(F.to_date("o_orderdate").alias("session_date")).distinct()
+
+
+@query("j20_calendar_coverage", f"WITH {GAPS} SELECT instrument, kind, after_session, before_session, CAST(sessions AS BIGINT) AS sessions FROM gp")
 def j20(spark, folder):
-    """Runs of market sessions an instrument has no bar for, without a cross join."""
-    b = mk.bars_daily(spark, folder).select(*KEYS).join(mk.calendar(spark, folder), "session_date")
-    b = b.withColumns({"_n": DAILY.lead("session_no"), "before_session": DAILY.lead("session_date")})
-    return b.filter(F.col("_n") > F.col("session_no") + 1).select(
-        "instrument", F.col("session_date").alias("after_session"), "before_session", (F.col("_n") - F.col("session_no") - 1).alias("missing"))
+    """Runs of expected sessions that an instrument has no bar for, its ends included, and bars outside the calendar."""
+    return calendar_gaps(mk.bars_daily(spark, folder).select(*KEYS), order_calendar(spark, folder))
 
 
-@query("q05_calendar_mismatch", f"""WITH {GAPS} SELECT instrument, count(*) AS sessions, CAST(coalesce(sum(nn - n - 1), 0) AS BIGINT) AS missing FROM k GROUP BY 1""")
+@query("q05_calendar_mismatch", f"""WITH {GAPS} SELECT instrument, CAST(coalesce(sum(sessions) FILTER (WHERE kind = 'missing'), 0) AS BIGINT) AS missing,
+ CAST(coalesce(sum(sessions) FILTER (WHERE kind = 'unexpected'), 0) AS BIGINT) AS unexpected FROM gp GROUP BY 1""")
 def q05(spark, folder):
-    b = mk.bars_daily(spark, folder).select(*KEYS).join(mk.calendar(spark, folder), "session_date")
-    n = b.groupBy("instrument").agg(F.count(F.lit(1)).alias("sessions"), F.min("session_no").alias("a"), F.max("session_no").alias("z"))
-    return n.select("instrument", "sessions", (F.col("z") - F.col("a") + 1 - F.col("sessions")).alias("missing"))
+    gaps = calendar_gaps(mk.bars_daily(spark, folder).select(*KEYS), order_calendar(spark, folder))
+    total = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("sessions"))), F.lit(0)).alias(kind)
+    return gaps.groupBy("instrument").agg(total("missing"), total("unexpected"))
 
 
 @query("j21_future_bars", f"""WITH {TRIG} SELECT tr.instrument, tr.session_date, f.rn - tr.rn AS step, f.session_date AS bar_date, f.close
@@ -400,15 +406,12 @@ def j23(spark, folder):
     return dividend_yield(mk.bars_daily(spark, folder), mk.corporate_actions(spark, folder))
 
 
-@query("j24_presence", f"""WITH {FACTS}, d AS (SELECT DISTINCT l_suppkey AS i FROM lineitem WHERE l_returnflag = 'A' AND l_tax = 0.08 AND l_discount = 0.1 AND l_quantity < 5)
-SELECT s_suppkey AS instrument, s_suppkey IN (SELECT i FROM d) AS has_data, s_suppkey IN (SELECT instrument FROM fx WHERE status = 'P' AND priority = '5-LOW' AND value > 480000) AS has_facts FROM supplier""")
+@query("j24_presence", """SELECT c_custkey AS instrument, c_custkey IN (SELECT user_id FROM events) AS has_data, c_custkey IN (SELECT o_custkey FROM orders) AS has_facts FROM customer""")
 def j24(spark, folder):
     """Semi and anti joins: which instruments have data at all."""
-    s = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("instrument"))
-    d = table(spark, folder, "lineitem").filter(
-        (F.col("l_returnflag") == "A") & (F.col("l_tax") == 0.08) & (F.col("l_discount") == 0.1) & (F.col("l_quantity") < 5)
-    ).select(F.col("l_suppkey").alias("instrument"))
-    f = mk.facts(spark, folder).filter((F.col("status") == "P") & (F.col("priority") == "5-LOW") & (F.col("value") > 480000)).select("instrument")
+    s = table(spark, folder, "customer").select(F.col("c_custkey").alias("instrument"))
+    d = table(spark, folder, "events").select(F.col("user_id").alias("instrument"))
+    f = table(spark, folder, "orders").select(F.col("o_custkey").alias("instrument"))
     with_data = s.join(d, "instrument", "left_semi").withColumn("has_data", F.lit(True))
     without = s.join(d, "instrument", "left_anti").withColumn("has_data", F.lit(False))
     fact = f.distinct().withColumn("has_facts", F.lit(True))

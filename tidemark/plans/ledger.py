@@ -11,7 +11,7 @@ from tidemark.operators import ledger as L
 from tidemark.plans.joins import ACT, FACTS, KEYS
 from tidemark.plans.registry import query
 from tidemark.plans.atoms import VALUATION
-from tidemark.plans.sql import BARS, NUMBERED, PX, lag, roll
+from tidemark.plans.sql import BARS, NUMBERED, PX, TICK_NO, lag, roll
 from tidemark.session import materialise
 from tidemark.sources import market as mk
 from tidemark.sources.tables import table
@@ -98,7 +98,7 @@ NUDGE = 0.0000317  # keeps exact rounding halves apart in both engines
 # ---- ledger ---------------------------------------------------------------------------
 
 TRADES = f"""td AS (SELECT l_suppkey AS account, l_partkey % 5 AS symbol, CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS side, CAST(l_shipdate AS DATE) AS trade_date,
- (l_orderkey * 8 + l_linenumber) * 1048576 + l_partkey % 1048576 AS seq, l_quantity AS quantity, {PX} AS price, l_extendedprice AS amount, l_extendedprice * l_tax AS fees,
+ {TICK_NO} AS seq, l_quantity AS quantity, {PX} AS price, l_extendedprice AS amount, l_extendedprice * l_tax AS fees,
  CASE WHEN l_linestatus = 'O' THEN 'date_only' ELSE 'exact' END AS precision FROM lineitem)"""
 FIFO = f"""{TRADES},
 am AS (SELECT account, symbol, trade_date FROM td GROUP BY ALL HAVING count(DISTINCT side) > 1 AND bool_or(precision = 'date_only')),
@@ -123,10 +123,10 @@ def attributed(spark, folder):
     return r.select("account", "symbol", "trade_date", "seq", F.coalesce(broker, F.col("fifo_pnl")).alias("pnl"), broker.isNotNull().alias("is_broker"))
 
 
-@query("l04_fifo_pnl", f"WITH {FIFO} SELECT account, symbol, trade_date, seq, NOT broken AS complete, round(fifo_pnl + {NUDGE}, 4) AS fifo_pnl FROM rp WHERE side = 'sell'")
+@query("l04_fifo_pnl", f"WITH {FIFO} SELECT account, symbol, trade_date, CAST(seq AS VARCHAR) AS seq, NOT broken AS complete, round(fifo_pnl + {NUDGE}, 4) AS fifo_pnl FROM rp WHERE side = 'sell'")
 def l04(spark, folder):
     return fifo_rows(spark, folder).filter(F.col("side") == "sell").select(
-        "account", "symbol", "trade_date", "seq", "complete", F.round(F.col("fifo_pnl") + NUDGE, 4).alias("fifo_pnl"))
+        "account", "symbol", "trade_date", F.col("seq").cast("string").alias("seq"), "complete", F.round(F.col("fifo_pnl") + NUDGE, 4).alias("fifo_pnl"))
 
 
 @query("j16_lot_consumption", f"""WITH {FIFO} SELECT account, symbol, count(*) FILTER (WHERE side = 'sell') AS sells, count(*) FILTER (WHERE side = 'sell' AND NOT broken) AS covered,
@@ -187,14 +187,14 @@ def a12(spark, folder):
                     F.round(F.try_divide("bp", "p"), 6).alias("broker_share"), cover.alias("coverage"))
 
 
-@query("k01_top_gains", f"""WITH {FIFO} SELECT account, symbol, trade_date, seq, round(pnl + {NUDGE}, 4) AS pnl FROM att WHERE pnl > 0
-QUALIFY row_number() OVER (PARTITION BY account ORDER BY round(pnl, 6) DESC, trade_date, symbol, seq) <= 5""")
+@query("k01_top_gains", f"""WITH {FIFO} SELECT account, symbol, trade_date, CAST(att.seq AS VARCHAR) AS seq, round(pnl + {NUDGE}, 4) AS pnl FROM att WHERE pnl > 0
+QUALIFY row_number() OVER (PARTITION BY account ORDER BY round(pnl, 6) DESC, trade_date, symbol, att.seq) <= 5""")
 def k01(spark, folder):
     """Five largest realised gains per account; the rank limit is applied before the shuffle."""
     gains = attributed(spark, folder).filter("pnl > 0").withColumn("_k", F.round("pnl", 6))
     w = Window.partitionBy("account").orderBy(F.desc("_k"), "trade_date", "symbol", "seq")
     top = gains.withColumn("_n", F.row_number().over(w)).filter("_n <= 5")
-    return top.select("account", "symbol", "trade_date", "seq", F.round(F.col("pnl") + NUDGE, 4).alias("pnl"))
+    return top.select("account", "symbol", "trade_date", F.col("seq").cast("string").alias("seq"), F.round(F.col("pnl") + NUDGE, 4).alias("pnl"))
 
 
 FLOWS = """fw AS (SELECT user_id AS account, CAST(ts AS DATE) AS day, sum(CASE WHEN event_type = 'signup' THEN CAST(value AS DECIMAL(18,2)) ELSE 0 END) AS inflow,
@@ -227,8 +227,9 @@ def a13(spark, folder):
 
 TWR = f"""{FLOWS}, q AS (SELECT account, day, equity, lag(equity) OVER (PARTITION BY account ORDER BY day) AS pe, lag(day) OVER (PARTITION BY account ORDER BY day) AS pd FROM eq WHERE marked),
 m AS (SELECT q.account, q.day, q.equity, q.pe, coalesce(CAST(sum(inflow) AS DOUBLE), 0) AS inflow, coalesce(CAST(sum(outflow) AS DOUBLE), 0) AS outflow FROM q LEFT JOIN fw ON fw.account = q.account AND fw.day <= q.day AND (q.pd IS NULL OR fw.day > q.pd) GROUP BY 1, 2, 3, 4),
-r AS (SELECT *, CASE WHEN pe IS NOT NULL THEN (equity + outflow) / (pe + inflow) - 1 END AS period_return FROM m),
-x AS (SELECT *, exp(coalesce(sum(ln(1 + period_return)) OVER (PARTITION BY account ORDER BY day), 0)) AS idx FROM r)"""
+b AS (SELECT *, coalesce(bool_or(pe IS NOT NULL AND (equity + outflow <= 0 OR pe + inflow <= 0)) OVER (PARTITION BY account ORDER BY day), false) AS bad FROM m),
+r AS (SELECT *, CASE WHEN pe IS NOT NULL AND NOT bad THEN (equity + outflow) / (pe + inflow) - 1 END AS period_return FROM b),
+x AS (SELECT *, CASE WHEN NOT bad THEN exp(coalesce(sum(ln(1 + period_return)) OVER (PARTITION BY account ORDER BY day), 0)) END AS idx FROM r)"""
 
 
 @query("j15_flow_intervals", f"WITH {TWR} SELECT account, day, round(inflow, 2) AS inflow, round(outflow, 2) AS outflow FROM m")
@@ -238,10 +239,10 @@ def j15(spark, folder):
 
 
 @query("l05_time_weighted", f"""WITH {TWR} SELECT account, day, round(equity, 2) AS equity, round(period_return, 8) AS period_return, round(idx, 8) AS linked_index,
- round(idx / max(idx) OVER (PARTITION BY account ORDER BY day) - 1, 8) AS drawdown FROM x""")
+ round(idx / max(idx) OVER (PARTITION BY account ORDER BY day) - 1, 8) AS drawdown, CASE WHEN bad THEN 'equity_not_positive' END AS problem FROM x""")
 def l05(spark, folder):
     out = L.linked_returns(equity_rows(spark, folder), flow_rows(spark, folder))
-    return out.select("account", "day", F.round("equity", 2).alias("equity"), *[F.round(c, 8).alias(c) for c in ("period_return", "linked_index", "drawdown")])
+    return out.select("account", "day", F.round("equity", 2).alias("equity"), *[F.round(c, 8).alias(c) for c in ("period_return", "linked_index", "drawdown")], "problem")
 
 
 @query("l06_capability", f"""WITH {FLOWS}, p AS (SELECT min(CAST(ts AS DATE)) AS a, max(CAST(ts AS DATE)) AS z FROM events), g AS (SELECT account, count(*) AS points, min(day) AS a, max(day) AS z FROM eq WHERE marked GROUP BY 1)
@@ -312,11 +313,11 @@ def u05(spark, folder):
 
 
 @query("u01_replay_frames", f"""WITH {TRADES}, {FLOWS}
-SELECT 'trade' AS frame, account, trade_date AS day, seq, round(quantity * price, 2) AS amount, side AS detail FROM td
+SELECT 'trade' AS frame, account, trade_date AS day, CAST(seq AS VARCHAR) AS seq, round(quantity * price, 2) AS amount, side AS detail FROM td
 UNION ALL SELECT 'flow', account, day, NULL, round(CAST(inflow - outflow AS DOUBLE), 2), NULL FROM fw UNION ALL SELECT 'equity', account, day, NULL, round(equity, 2), NULL FROM eq WHERE marked""")
 def u01(spark, folder):
     """Trades, flows and equity points as one frame stream."""
-    t = mk.trades(spark, folder).select(F.lit("trade").alias("frame"), "account", F.col("trade_date").alias("day"), "seq",
+    t = mk.trades(spark, folder).select(F.lit("trade").alias("frame"), "account", F.col("trade_date").alias("day"), F.col("seq").cast("string").alias("seq"),
                                         F.round(F.col("quantity") * F.col("price"), 2).alias("amount"), F.col("side").alias("detail"))
     f = flow_rows(spark, folder).select(F.lit("flow").alias("frame"), "account", "day", F.round(F.col("inflow") - F.col("outflow"), 2).alias("amount"))
     e = equity_rows(spark, folder).select(F.lit("equity").alias("frame"), "account", "day", F.round("equity", 2).alias("amount"))

@@ -314,7 +314,7 @@ def n04(spark, folder):
 DIRECTORY = f"""dr AS (SELECT s_suppkey AS instrument, {CODE.replace('instrument', 's_suppkey')} AS code, 'Name' || s_nationkey AS name, s_suppkey % 10 = 9 AS is_index,
  DATE '1995-01-01' + CAST(s_suppkey AS INT) AS listed, CASE WHEN s_suppkey % 6 = 0 THEN DATE '1999-01-01' END AS delisted FROM supplier),
 ky AS (SELECT code || CASE WHEN substr(code, 1, 1) = '6' THEN '.SH' WHEN substr(code, 1, 1) = '3' THEN '.SZ' ELSE '.BJ' END AS k, * FROM dr UNION ALL SELECT code, * FROM dr UNION ALL SELECT name, * FROM dr)"""
-RQ = """rq AS (SELECT c_custkey, ['600', '300', '688', '830'][c_custkey % 4 + 1] || lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0') AS code, c_nationkey FROM customer),
+RQ = """rq AS (SELECT c_custkey, ['600', '300', '688', '830'][c_custkey % 4 + 1] || lpad(CAST(c_custkey AS VARCHAR), greatest(3, length(CAST(c_custkey AS VARCHAR)))::INTEGER, '0') AS code, c_nationkey FROM customer),
 rk AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN code || CASE WHEN substr(code, 1, 1) = '6' THEN '.SH' WHEN substr(code, 1, 1) = '3' THEN '.SZ' ELSE '.BJ' END WHEN 1 THEN code ELSE 'Name' || c_nationkey END AS k FROM rq)"""
 
 
@@ -382,13 +382,13 @@ def n07(spark, folder):
     return grid.join(c, ["user_id", "event_type"], "left").select("user_id", "event_type", F.coalesce("c", F.lit(0)).alias("n"), status.alias("status"))
 
 
-@query("n08_label_convention", """WITH h AS (SELECT DISTINCT event_type, CAST(ts AS DATE) AS day, hour(ts) + CAST(event_type IN ('click', 'view') AS INT) AS label FROM events WHERE hour(ts) BETWEEN 9 AND 11),
-g AS (SELECT event_type, day, list_sort(list(label)) AS l FROM h GROUP BY 1, 2)
+@query("n08_label_convention", """WITH h AS (SELECT DISTINCT event_type, CAST(ts AS DATE) AS day, hour(ts) AS hr, hour(ts) + CAST(event_type IN ('click', 'view') AS INT) AS label FROM events ),
+g AS (SELECT event_type, day, coalesce(list_sort(list(label) FILTER (WHERE hr BETWEEN 9 AND 11)), []) AS l FROM h GROUP BY 1, 2)
 SELECT event_type, day, CASE WHEN l = [9, 10, 11] THEN 'bar_start' WHEN l = [10, 11, 12] THEN 'bar_end' ELSE 'unverified' END AS semantics, len(l) AS labels FROM g""")
 def n08(spark, folder):
     """Does a session carry bar-start or bar-end labels? Only a complete grid proves either."""
-    h = table(spark, folder, "events").filter(F.hour("ts").between(9, 11)).select(
-        "event_type", F.to_date("ts").alias("day"), (F.hour("ts") + F.col("event_type").isin("click", "view").cast("int")).alias("label"))
+    label = F.hour("ts") + F.col("event_type").isin("click", "view").cast("int")
+    h = table(spark, folder, "events").select("event_type", F.to_date("ts").alias("day"), F.when(F.hour("ts").between(9, 11), label).alias("label"))
     g = h.groupBy("event_type", "day").agg(F.sort_array(F.collect_set("label")).alias("l"))  # at most one label per hour
 
     def grid(first: int):

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 PX = "(CAST(round(l_extendedprice * 100) AS BIGINT) // CAST(l_quantity AS BIGINT)) / 100.0"
 
-BARS = f"""bars AS (
+TICK = "l_orderkey, l_linenumber, l_partkey"  # the order of ticks
+TICK_NO = "((CAST(l_orderkey AS HUGEINT) * 10000 + l_linenumber) * 10000000000000000000 + l_partkey)"  # the same order as a number
+
+BARS = f"""bars AS MATERIALIZED (
   SELECT l_suppkey AS instrument, CAST(l_shipdate AS DATE) AS session_date,
-         first({PX} ORDER BY l_orderkey, l_linenumber, l_partkey) AS open,
+         first({PX} ORDER BY {TICK}) AS open,
          max({PX}) AS high, min({PX}) AS low,
-         last({PX} ORDER BY l_orderkey, l_linenumber, l_partkey) AS close,
+         last({PX} ORDER BY {TICK}) AS close,
          sum(l_quantity) AS volume,
          CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS amount
   FROM lineitem GROUP BY 1, 2)"""

@@ -438,28 +438,30 @@ def digest_parts():
 
 
 
-DIGEST_SQL = "CAST('0x' || substr(sha256(concat_ws('|', instrument, session_date, CAST(round(close * 100) AS BIGINT), CAST(volume AS BIGINT))), 1, 15) AS BIGINT)"
+FIELD_SQL = [f"CASE WHEN {c} IS NULL THEN 'N' ELSE length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END" for c in
+             ("instrument", "session_date", "CAST(round(close * 100) AS BIGINT)", "CAST(volume AS BIGINT)")]
+SHA_SQL = f"sha256({chr(32).join(['concat_ws(', repr('|'), ',', ', '.join(FIELD_SQL), ')'])})"
+DIGEST_SQL = "concat_ws('-', " + ", ".join(f"CAST(sum(CAST(CAST('0x' || substr(h, {15 * i + 1}, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR)" for i in range(4)) + ")"
 
 
-@query("s12_sink_manifest", f"WITH {BARS} SELECT year(session_date) AS year, count(*) AS rows, bit_xor({DIGEST_SQL}) AS digest FROM bars GROUP BY 1")
+@query("s12_sink_manifest", f"WITH {BARS}, hs AS (SELECT session_date, {SHA_SQL} AS h FROM bars) SELECT CAST(year(session_date) AS INTEGER) AS year, count(*) AS rows, {DIGEST_SQL} AS digest FROM hs GROUP BY 1")
 def s12(spark, folder):
-    """Sorted Parquet with a declared schema; the manifest is computed from what was written."""
+    """Sorted Parquet with a declared schema; the manifest is computed from what was written and kept beside it."""
     b = mk.bars_daily(spark, folder).withColumn("price_basis", F.lit("unadjusted"))
     path = stored(spark, b, ST.DAILY, "daily", (), ("instrument", "session_date"))
-    return ST.fingerprint(ST.scan(spark, path, ST.DAILY).withColumn("year", F.year("session_date")), digest_parts(), ["year"])
+    return ST.write_manifest(spark, path, ST.DAILY, digest_parts(), {"year": F.year("session_date")})
 
 
 @query("s13_quarantine_sink", f"WITH {LINES_SQL} SELECT 'accepted' AS output, count(*) FILTER (WHERE problem IS NULL) AS n FROM ln UNION ALL SELECT 'quarantined', count(*) FILTER (WHERE problem IS NOT NULL) FROM ln")
 def s13(spark, folder):
-    good, bad = scratch_path(spark, "accepted"), scratch_path(spark, "quarantined")
-    ST.split_quarantine(parsed_lines(spark, folder), F.col("problem").isNull(), good, bad)
+    good, bad = ST.split_quarantine(parsed_lines(spark, folder), F.col("problem").isNull(), scratch_path(spark, "lines"))
 
-    def count(path, label):
-        return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n")).select(F.lit(label).alias("output"), "n")
+    def count(rows, label):
+        return rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(label).alias("output"), "n")
 
     return count(good, "accepted").unionByName(count(bad, "quarantined"))
 
 
-@query("s14_fingerprint", f"WITH {BARS} SELECT count(*) AS rows, bit_xor({DIGEST_SQL}) AS digest FROM bars")
+@query("s14_fingerprint", f"WITH {BARS}, hs AS (SELECT {SHA_SQL} AS h FROM bars) SELECT count(*) AS rows, {DIGEST_SQL} AS digest FROM hs")
 def s14(spark, folder):
     return ST.fingerprint(mk.bars_daily(spark, folder), digest_parts())

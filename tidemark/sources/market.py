@@ -15,11 +15,16 @@ CENTS = "decimal(18,2)"
 
 
 def tick_order() -> Column:
-    """Total order of the ticks of one instrument-day as one 64-bit number.
+    """Total order of the ticks of one instrument-day: order, line, part, as one decimal number.
 
-    A number instead of a struct keeps ``min_by``/``max_by`` in hash aggregation.
+    A number instead of a struct keeps ``min_by``/``max_by`` in hash aggregation. Each key has digits of its own (19 for a part,
+    4 for a line, the rest for an order), so any part key fits; an order or line key beyond its digits is an error.
     """
-    return (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1048576 + F.col("l_partkey") % 1048576
+    order, line, part = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")
+    fits = order.between(0, 9 * 10**14) & line.between(0, 9999) & (part >= 0)
+    head = (order.cast("long") * 10000 + line).cast("decimal(19,0)")
+    number = (head * F.lit("10000000000000000000").cast("decimal(20,0)") + part.cast("decimal(19,0)")).cast("decimal(38,0)")
+    return F.when(fits, number).otherwise(F.raise_error(F.concat(F.lit("tick order out of range: "), F.concat_ws("/", order, line, part))))
 
 
 def unit_price() -> Column:
@@ -106,10 +111,11 @@ def trades(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def listed_code(instrument: Column | str = "instrument") -> Column:
-    """Six-digit code whose prefix spreads the instruments over the four boards."""
+    """Code of at least six digits, one for each instrument, whose prefix spreads them over the four boards."""
     i = F.col(instrument) if isinstance(instrument, str) else instrument
     prefix = F.element_at(F.array(*[F.lit(p) for p in ("600", "300", "688", "830")]), (i % 4 + 1).cast("int"))
-    return F.concat(prefix, F.lpad((i % 1000).cast("string"), 3, "0"))
+    number = i.cast("string")
+    return F.concat(prefix, F.lpad(number, F.greatest(F.length(number), F.lit(3)), F.lit("0")))
 
 
 def valuation(spark: SparkSession, folder: str) -> DataFrame:

@@ -79,20 +79,38 @@ def all_or_none(columns: Sequence[str], optional: Sequence[str]) -> bool:
 
 
 def row_digest(parts: Sequence[Column]) -> Column:
-    return F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256)
+    """SHA-256 of the fields, each with its length in front and NULL told apart, so no two field lists read alike."""
+    texts = [p.cast("string") for p in parts]
+    return F.sha2(F.concat_ws("|", *[F.when(t.isNull(), "N").otherwise(F.concat_ws(":", F.length(t), t)) for t in texts]), 256)
 
 
 def fingerprint(df: DataFrame, parts: Sequence[Column], keys: Sequence[str] = ()) -> DataFrame:
-    """Order-independent content digest: xor and count of row digests."""
-    head = F.conv(F.substring(row_digest(parts), 1, 15), 16, 10).cast("long")
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(head).alias("digest"))
+    """Content digest that ignores the order of rows but not how often they occur: row count and four sums of digest words."""
+    words = df.withColumn("_digest", row_digest(parts))
+    sums = [F.sum(F.conv(F.substring("_digest", 15 * i + 1, 15), 16, 10).cast("decimal(19,0)")).cast("decimal(38,0)") for i in range(4)]
+    digest = F.concat_ws("-", *[F.coalesce(s, F.lit(0)).cast("string") for s in sums])
+    return words.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), digest.alias("digest"))
 
 
-def split_quarantine(df: DataFrame, good: Column, good_path: str, bad_path: str) -> None:
-    """Write accepted rows and, beside them, the rejected ones."""
-    ok = F.coalesce(good, F.lit(False))
-    df.filter(ok).write.parquet(good_path)
-    df.filter(~ok).write.parquet(bad_path)
+MANIFEST = "_manifest"
+
+
+def write_manifest(spark: SparkSession, path: str, schema: str, parts: Sequence[Column], keys: dict[str, Column] | None = None) -> DataFrame:
+    """Fingerprint what was written under ``path`` and keep it beside the data, in a folder that Parquet readers pass over."""
+    keys = keys or {}
+    fingerprint(scan(spark, path, schema).withColumns(keys), parts, list(keys)).write.mode("error").json(f"{path}/{MANIFEST}")
+    return read_manifest(spark, path, {k: "int" for k in keys})
+
+
+def read_manifest(spark: SparkSession, path: str, keys: dict[str, str]) -> DataFrame:
+    return spark.read.schema(", ".join([*(f"{k} {t}" for k, t in keys.items()), "rows bigint", "digest string"])).json(f"{path}/{MANIFEST}")
+
+
+def split_quarantine(df: DataFrame, good: Column, path: str) -> tuple[DataFrame, DataFrame]:
+    """Write accepted and rejected rows in one pass, to two folders under ``path``; returns both."""
+    df.withColumn("accepted", F.coalesce(good, F.lit(False))).write.partitionBy("accepted").parquet(path)
+    both = df.sparkSession.read.schema(df.schema.add("accepted", "boolean")).parquet(path)
+    return both.filter("accepted").drop("accepted"), both.filter("not accepted").drop("accepted")
 
 
 def parse_fund_flow(lines: DataFrame) -> DataFrame:
