@@ -20,13 +20,13 @@ def test_state_carries_across_batches(spark):
     assert [r["obv"] for r in out] == [10, 21, 9, 9, 23, 8]
 
 
-def test_gate_remembers_earlier_batches(spark):
-    src, out = tempfile.mkdtemp(prefix="spark-"), tempfile.mkdtemp(prefix="spark-")
-    rows = [(1, 7, "2024-01-01 09:00:00"), (2, 7, "2024-01-01 10:00:00"), (3, 8, "2024-01-01 10:00:00")]
+def test_gate_marks_closed_days_over_batches(spark):
+    src = tempfile.mkdtemp(prefix="spark-")
+    rows = [(1, 7, "2024-01-01 09:00:00"), (2, 7, "2024-01-01 10:00:00"), (3, 8, "2024-01-01 10:00:00"), (4, 7, "2024-01-01 08:59:00"),
+            (5, 7, "2024-01-02 09:00:00"), (6, 9, "2024-01-03 09:00:00")]
     for r in rows:
         spark.createDataFrame([r], "event_id bigint, user_id bigint, t string").withColumn("ts", F.col("t").cast("timestamp_ntz")).drop("t").coalesce(1).write.mode("append").parquet(src)
     stream = spark.readStream.schema("event_id bigint, user_id bigint, ts timestamp_ntz").option("maxFilesPerTrigger", 1).parquet(src)
-    S.gate_late(stream.withColumn("at", S.as_instant(F.col("ts"))), out)
-    late = {r["event_id"] for r in spark.read.schema(S.GATE_OUT).parquet(f"{out}/late").collect()}
-    fine = {r["event_id"] for r in spark.read.schema(S.GATE_OUT).parquet(f"{out}/on_time").collect()}
-    assert (late, fine) == ({2}, {1, 3})
+    out = S.gate_late(stream.withColumn("at", S.as_instant(F.col("ts"))), "3 hours").collect()
+    # event 4 came after 1 and 2 but its day was still open; the day of event 6 never closes
+    assert {(r["event_id"], r["late"]) for r in out} == {(1, True), (2, True), (3, False), (4, False), (5, False)}

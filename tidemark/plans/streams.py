@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tidemark.plans.registry import query
 from tidemark.plans.text import KEYK
-from tidemark.session import scratch_path
 from tidemark.streaming import streams as S
 
 
@@ -17,22 +16,18 @@ def r01(spark, folder):
     return S.run_to_table(S.tumbling_bars(S.event_stream(spark, folder), "event_type", 4, "2 hours"), "stream-bars")
 
 
-@query("r02_stream_dedup", f"SELECT DISTINCT event_type, user_id, {KEYK} AS k FROM events")
+@query("r02_stream_dedup", f"SELECT DISTINCT event_type, user_id, CAST(ts AS DATE) AS day, {KEYK} AS k FROM events")
 def r02(spark, folder):
-    e = S.event_stream(spark, folder).withColumn("k", F.get_json_object("props", "$.k").cast("int"))
-    out = S.distinct_revisions(e, ["event_type", "user_id", "k"], "40 days").select("event_type", "user_id", "k")
+    """Copies of a revision carry its day, so a delay of one day tells them all and the state of older days is dropped."""
+    e = S.event_stream(spark, folder).withColumns({"k": F.get_json_object("props", "$.k").cast("int"), "day": F.to_date("ts")})
+    out = S.distinct_revisions(e, ["event_type", "user_id", "day", "k"], "1 day").select("event_type", "user_id", "day", "k")
     return S.run_to_table(out, "stream-dedup")
 
 
-@query("r03_availability_gate", """SELECT event_id, user_id, CAST(ts AS DATE) AS day, ts > min(ts) OVER (PARTITION BY user_id, CAST(ts AS DATE)) AS late FROM events""")
+@query("r03_availability_gate", """SELECT event_id, user_id, CAST(ts AS DATE) AS day, ts > min(ts) OVER (PARTITION BY user_id, CAST(ts AS DATE)) AS late FROM events
+WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR""")
 def r03(spark, folder):
-    out = scratch_path(spark, "gate")
-    S.gate_late(S.event_stream(spark, folder), out)
-
-    def side(name):
-        return spark.read.schema(S.GATE_OUT + ", batch int").parquet(f"{out}/{name}")
-
-    return side("on_time").unionByName(side("late")).select("event_id", "user_id", "day", "late")
+    return S.gate_late(S.event_stream(spark, folder), "2 hours").select("event_id", "user_id", "day", "late")
 
 
 @query("r04_stream_state", """WITH RECURSIVE h AS (SELECT user_id AS instrument, date_trunc('hour', ts) AS bar_start, arg_max(value, event_id) AS close, count(*) AS volume FROM events GROUP BY 1, 2),

@@ -84,38 +84,20 @@ def distinct_revisions(events: DataFrame, keys: list[str], delay: str) -> DataFr
     return events.withWatermark("at", delay).dropDuplicatesWithinWatermark(keys)
 
 
-GATE_OUT = "event_id bigint, user_id bigint, day date, at timestamp, late boolean"
+def gate_late(events: DataFrame, delay: str) -> DataFrame:
+    """Rows of closed (subject, day) groups, marked late if they became known after the group's first row.
 
-
-def gate_late(events: DataFrame, out: str) -> None:
-    """Route rows that became known after the first row of their subject and day.
-
-    The decision point of a (subject, day) is a minimum, so each batch reduces
-    its rows to one instant per key before anything is shuffled and merges them
-    with the instants of the batches before. Rows keep their partitions and
-    never pass through a keyed group. Every batch writes under its own number,
-    so a repeated batch replaces its output.
+    Two chained streams. The first keeps one minimum for each open group and gives it out when the watermark passes the day's
+    end, after which its state is dropped; the second joins rows with the closed groups. Nothing that was routed is rewritten,
+    and an earlier row that arrives while its day is open still moves the decision point.
     """
     spark = events.sparkSession
-    keys = ["user_id", "day"]
-    keyed = events.select("event_id", "user_id", F.to_date("ts").alias("day"), "at")
-
-    def batch(df: DataFrame, batch_id: int) -> None:
-        firsts = df.groupBy(*keys).agg(F.min("at").alias("first"))
-        if batch_id > 0:
-            firsts = firsts.unionByName(spark.read.parquet(f"{out}/first/{batch_id - 1}"))
-        firsts.groupBy(*keys).agg(F.min("first").alias("first")).write.mode("overwrite").parquet(f"{out}/first/{batch_id}")
-        marked = df.join(spark.read.parquet(f"{out}/first/{batch_id}"), keys).withColumn("late", F.col("at") > F.col("first")).drop("first")
-        marked.filter(~F.col("late")).write.mode("overwrite").parquet(f"{out}/on_time/batch={batch_id}")
-        marked.filter("late").write.mode("overwrite").parquet(f"{out}/late/batch={batch_id}")
-
-    q = (
-        keyed.writeStream.foreachBatch(batch)
-        .option("checkpointLocation", scratch_path(spark, "gate-progress"))
-        .trigger(availableNow=True)
-        .start()
-    )
-    q.awaitTermination()
+    day = F.window("at", "1 day")
+    firsts = events.withWatermark("at", delay).groupBy("user_id", day).agg(F.min("at").alias("first")).select(
+        "user_id", F.to_date(as_wall(F.col("window.start"))).alias("day"), "first")
+    closed = spark.read.schema(firsts.schema).parquet(drain(firsts, "gate-firsts"))
+    rows = events.select("event_id", "user_id", F.to_date("ts").alias("day"), "at")
+    return run_to_table(rows.join(closed, ["user_id", "day"]).withColumn("late", F.col("at") > F.col("first")).drop("first"), "gate")
 
 
 def indicator_state(alpha: float) -> Callable:
