@@ -206,3 +206,18 @@ def test_calendar_gaps_include_the_ends(spark):
     got = sorted(map(tuple, calendar_gaps(bars, cal).collect()), key=repr)
     assert got == sorted([(1, "missing", None, d(3), 1), (1, "missing", d(3), d(8), 2), (1, "missing", d(8), None, 1), (1, "unexpected", d(20), d(20), 1),
                           (2, "missing", None, None, 6), (2, "unexpected", d(1), d(1), 1)], key=repr)
+
+
+def test_bar_scan_selects_and_refuses_duplicates(spark, tmp_path):
+    from datetime import date
+
+    d = lambda n: date(2024, 1, n)
+    row = lambda i, n, basis: (i, d(n), 1.0, 2.0, 0.5, 1.5, 10.0, 15.0, basis)
+    rows = [row(1, 2, "unadjusted"), row(1, 3, "unadjusted"), row(2, 2, "unadjusted"), row(1, 2, "back_adjusted"), row(3, 2, "unadjusted"), row(3, 2, "unadjusted")]
+    path = str(tmp_path / "bars")
+    store.write(spark.createDataFrame(rows, store.DAILY), path, store.DAILY, ("price_basis",), ("instrument",))
+    cols = ("instrument", "session_date", "close")
+    got = store.scan_bars(spark, path, cols, "unadjusted", "2024-01-02", "2024-01-03", [1, 2]).collect()
+    assert sorted(map(tuple, got)) == [(1, d(2), 1.5), (2, d(2), 1.5)]
+    with pytest.raises(Exception, match="duplicate key: 3/2024-01-02"):
+        store.scan_bars(spark, path, cols, "unadjusted", "2024-01-01", "2024-02-01").collect()

@@ -8,6 +8,7 @@ from tidemark.functions import broker as BK
 from tidemark.functions import text as TX
 from tidemark.functions.kleene import compare
 from tidemark.plans.joins import ACT, FACTS, KEYS
+from tidemark.plans.atoms import VALUATION
 from tidemark.plans.ledger import HOURS
 from tidemark.plans.registry import query
 from tidemark.plans.rules import B, BAND, BAND_COLS, session_rows
@@ -324,15 +325,13 @@ RANGE = "session_date >= DATE '1997-01-01' AND session_date < DATE '1999-01-01'"
 @query("s01_daily_scan", f"WITH {BARS} SELECT instrument, session_date, close, volume FROM bars WHERE {RANGE}")
 def s01(spark, folder):
     path = stored(spark, both_bases(spark, folder), ST.DAILY, "daily", ("price_basis",), ("instrument", "session_date"))
-    where = (F.col("price_basis") == "unadjusted") & ST.span("session_date", "1997-01-01", "1999-01-01")
-    return ST.scan(spark, path, ST.DAILY, ("instrument", "session_date", "close", "volume"), where)
+    return ST.scan_bars(spark, path, ("instrument", "session_date", "close", "volume"), "unadjusted", "1997-01-01", "1999-01-01")
 
 
 @query("s02_adjusted_scan", f"WITH {BARS} SELECT instrument, session_date, round(close * 1.5, 3) AS close FROM bars WHERE {RANGE}")
 def s02(spark, folder):
     path = stored(spark, both_bases(spark, folder), ST.DAILY, "daily", ("price_basis",), ("instrument", "session_date"))
-    where = (F.col("price_basis") == "back_adjusted") & ST.span("session_date", "1997-01-01", "1999-01-01")
-    return ST.scan(spark, path, ST.DAILY, ("instrument", "session_date", "close"), where)
+    return ST.scan_bars(spark, path, ("instrument", "session_date", "close"), "back_adjusted", "1997-01-01", "1999-01-01")
 
 
 def minute_store(spark, folder):
@@ -387,18 +386,31 @@ def s08(spark, folder):
     return ST.minute_export(rows).select("ts_code", "trade_time", "open", "close", "volume", "rejected")
 
 
-@query("s09_market_store", f"""WITH {BARS} SELECT 'daily' AS name, count(*) AS n, min(year(session_date) * 10000 + month(session_date) * 100 + day(session_date)) AS first_int, max(year(session_date) * 10000 + month(session_date) * 100 + day(session_date)) AS last_int FROM bars
-UNION ALL SELECT 'facts', count(*), min(CAST(strftime(o_orderdate, '%Y%m%d') AS INT)), max(CAST(strftime(o_orderdate, '%Y%m%d') AS INT)) FROM orders""")
+DATED = {"daily": ("bars", "session_date"), "facts": ("fx", "notice_date"), "actions": ("act", "ex_date"), "valuation": ("val", "session_date"), "minute": ("hb", "CAST(bar_start AS DATE)"), "events": ("events", "CAST(ts AS DATE)")}
+DATED_SQL = " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n, min(CAST(strftime({d}, '%Y%m%d') AS INTEGER)) AS first_int, max(CAST(strftime({d}, '%Y%m%d') AS INTEGER)) AS last_int FROM {t}" for n, (t, d) in DATED.items())
+
+
+@query("s09_market_store", f"WITH {BARS}, {ACT}, {VALUATION}, {HOURS} {DATED_SQL}")
 def s09(spark, folder):
-    """Open the stored tables, derive date_int and report their ranges."""
+    """Open the six stored tables, derive date_int and report their ranges."""
     facts_schema = "instrument bigint, report_period date, notice_date date, value double, revision_id bigint"
-    paths = {
-        "daily": stored(spark, both_bases(spark, folder).filter(F.col("price_basis") == "unadjusted"), ST.DAILY, "daily", (), ("instrument", "session_date")),
-        "facts": stored(spark, mk.facts(spark, folder), facts_schema, "facts", (), ("instrument", "notice_date")),
+    value_schema = "instrument bigint, session_date date, pe_ttm double, pb double"
+    events = table(spark, folder, "events").select("event_id", "user_id", F.to_date("ts").alias("day"), "event_type", F.col("props").alias("attributes_json"))
+    tables = {
+        "daily": (both_bases(spark, folder).filter(F.col("price_basis") == "unadjusted"), ST.DAILY, "session_date"),
+        "facts": (mk.facts(spark, folder), facts_schema, "notice_date"),
+        "actions": (mk.corporate_actions(spark, folder), ST.ACTIONS, "ex_date"),
+        "valuation": (mk.valuation(spark, folder), value_schema, "session_date"),
+        "events": (events, ST.EVENTS_V2, "day"),
     }
-    t = ST.load_store(spark, paths, {"daily": ST.DAILY, "facts": facts_schema}, {"daily": "session_date", "facts": "notice_date"})
-    parts = [df.agg(F.count(F.lit(1)).alias("n"), F.min("date_int").alias("first_int"), F.max("date_int").alias("last_int")).select(F.lit(n).alias("name"), "n", "first_int", "last_int") for n, df in t.items()]
-    return parts[0].unionByName(parts[1])
+    paths = {n: stored(spark, df, schema, n, (), (day,)) for n, (df, schema, day) in tables.items()} | {"minute": minute_store(spark, folder)}
+    schemas = {n: schema for n, (_, schema, _) in tables.items()} | {"minute": ST.MINUTE}
+    t = ST.load_store(spark, paths, schemas, {n: day for n, (_, _, day) in tables.items()} | {"minute": "day"})
+    out = None
+    for n, df in t.items():
+        part = df.agg(F.count(F.lit(1)).alias("n"), F.min("date_int").alias("first_int"), F.max("date_int").alias("last_int")).select(F.lit(n).alias("name"), "n", "first_int", "last_int")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 LINES_SQL = """ln AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 13 = 0 THEN 'field_count' WHEN o_orderkey % 13 = 1 THEN 'date' WHEN o_orderkey % 13 = 2 THEN 'number' WHEN o_orderkey % 13 = 3 THEN 'close' WHEN o_orderkey % 13 = 4 THEN 'identity' END AS problem,

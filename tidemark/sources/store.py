@@ -58,6 +58,25 @@ def span(column: str, start: str, end: str, kind: str = "date") -> Column:
     return (F.col(column) >= F.lit(start).cast(kind)) & (F.col(column) < F.lit(end).cast(kind))
 
 
+def unique_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows as they are, or an error that names a key of which there are several."""
+    rest = [c for c in df.columns if c not in keys]
+    g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[F.any_value(c).alias(c) for c in rest])
+    twice = F.raise_error(F.concat(F.lit("duplicate key: "), F.concat_ws("/", *[F.col(k).cast("string") for k in keys])))
+    return g.filter(F.when(F.col("_n") == 1, F.lit(True)).otherwise(twice.cast("boolean"))).select(*df.columns)
+
+
+def scan_bars(spark: SparkSession, path: str, columns: Sequence[str], basis: str, start: str, end: str, instruments: Sequence[int] | None = None) -> DataFrame:
+    """Daily bars of one price basis in a half-open range, of all or some instruments; a bar stored twice is an error.
+
+    Basis, range and instruments are plain comparisons on stored columns, so partitions and row groups are pruned.
+    """
+    where = (F.col("price_basis") == basis) & span("session_date", start, end)
+    if instruments is not None:
+        where = where & F.col("instrument").isin(*instruments)
+    return unique_rows(scan(spark, path, DAILY, columns, where), ["instrument", "session_date"])
+
+
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
 
