@@ -32,7 +32,7 @@ TOKENS = 63
 LANES = 7  # tokens in a long of the sketch, 8 bits apart, the top byte free
 TREES = 3
 NODE_LIMIT = 48
-LEVELS = 4  # below the first two
+LEVELS = 2  # below the first two
 PIVOTS = 2
 SALTS = 16
 _U = np.uint64
@@ -138,29 +138,33 @@ def _next_nodes(rows: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def _nodes(reps: DataFrame, sketched: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(node, doc, sketch) of nodes to compare exhaustively; (node, doc) of dense nodes; (node, a, b) of their near pivots."""
+    """(node, doc) of nodes to compare exhaustively, (node, doc) of dense nodes, and (a, b) of documents near to their pivots.
+
+    Pivots of a node are the documents with the smallest hashes, so nodes that share documents tend to share pivots.
+    """
     rows, small, dense, pivots = _first_nodes(reps), [], [], []
     for level in range(LEVELS + 1):
         rows = materialise(rows, "nodes")
-        sizes = materialise(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
-        small.append(rows.join(sizes.filter(f"n <= {NODE_LIMIT}").select("node"), "node"))
-        wide = sizes.filter(f"n > {NODE_LIMIT}")
-        if not wide.head(1):
+        picked = [F.min_by("doc", F.xxhash64("doc", F.lit(j))).alias(f"p{j}") for j in range(PIVOTS)]
+        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), *picked).filter("n > 1")
+        rows = materialise(rows.join(sizes, "node"), "sized-nodes")
+        small.append(rows.filter(f"n <= {NODE_LIMIT}").select("node", "doc"))
+        large = rows.filter(f"n > {NODE_LIMIT}")
+        if not large.head(1):
             break
-        large = materialise(rows.join(wide.select("node"), "node"), "large-nodes")
-        near = materialise(_near_pivots(large.join(sketched, "doc"), least), "near-pivots")
-        packed = wide if level == LEVELS else wide.join(near.groupBy("node").agg(F.countDistinct("b").alias("near")), "node").filter("near * 2 >= n")
-        packed = materialise(packed.select("node"), "dense-nodes")
-        dense.append(large.join(packed, "node", "left_semi"))
-        pivots.append(near.join(packed, "node", "left_semi"))
+        near = materialise(_near_pivots(large, sketched, least), "near-pivots")
+        counts = [F.count_if(F.col("j") == j) for j in range(PIVOTS)]
+        packed = near.groupBy("node", "n").agg(F.greatest(*counts).alias("near"))
+        packed = packed.select("node") if level == LEVELS else packed.filter("near * 2 >= n").select("node")
+        packed = materialise(packed, "dense-nodes")
+        pivots.append(near.select("a", "b"))
         if level == LEVELS:
+            dense.append(large.select("node", "doc"))
             break
-        rows = _next_nodes(large.join(packed, "node", "left_anti"), reps)
-    empty = rows.select("node", "doc").limit(0)
-    none = empty.select("node", F.col("doc").alias("a"), F.col("doc").alias("b"))
-    union = lambda parts, names, start: _union([p.select(*names) for p in parts] or [start])
-    return (union(small, ["node", "doc"], empty).join(sketched, "doc").select("node", "doc", *SKETCH),
-            union(dense, ["node", "doc"], empty), union(pivots, ["node", "a", "b"], none))
+        dense.append(large.join(packed, "node", "left_semi").select("node", "doc"))
+        rows = _next_nodes(large.join(packed, "node", "left_anti").select("node", "doc"), reps)
+    empty = reps.select(F.col("doc").alias("node"), "doc").limit(0)
+    return _union(small or [empty]), _union(dense or [empty]), _union(pivots or [empty.select(F.col("node").alias("a"), F.col("doc").alias("b"))])
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -170,16 +174,13 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _near_pivots(rows: DataFrame, least: int) -> DataFrame:
-    """(node, a, b): documents b whose sketch is near that of a pivot a of their node."""
-    own = F.struct("doc", *SKETCH)
-    picked = [F.min_by(own, F.xxhash64("doc", F.lit(j))).alias(f"p{j}") for j in range(PIVOTS)]
-    pivots = rows.groupBy("node").agg(*picked).select("node", F.explode(F.array(*[F.col(f"p{j}") for j in range(PIVOTS)])).alias("p")).distinct()
-    return (
-        rows.select("node", own.alias("d")).join(pivots, "node")
-        .filter((F.col("p.doc") != F.col("d.doc")) & (equal_tokens("p", "d") >= least))
-        .select("node", F.col("p.doc").alias("a"), F.col("d.doc").alias("b"))
-    )
+def _near_pivots(rows: DataFrame, sketched: DataFrame, least: int) -> DataFrame:
+    """(node, n, j, a, b): documents b whose sketch is near that of pivot number j, a, of their node."""
+    pivot = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"p{j}").alias("a")) for j in range(PIVOTS)])).alias("p")
+    pairs = rows.select("node", "n", F.col("doc").alias("b"), pivot).select("node", "n", "b", "p.*").filter("a <> b")
+    own = F.struct(*SKETCH)
+    left, right = (sketched.select(F.col("doc").alias(c), own.alias(c * 2)) for c in "ab")
+    return pairs.join(left, "a").join(right, "b").filter(equal_tokens("aa", "bb") >= least).select("node", "n", "j", "a", "b")
 
 
 def compare_nodes(rows: DataFrame, least: int, every: bool) -> DataFrame:
@@ -289,22 +290,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
 
     sketched = materialise(reps.select("doc", *sketch()), "sketches")
     small, dense, near_pivots = _nodes(reps, sketched, least)
-    near = materialise(compare_nodes(small.withColumn("label", F.col("doc")), least, False), "near-rows")
+    near = materialise(compare_nodes(small.join(sketched, "doc").withColumn("label", F.col("doc")), least, False), "near-rows")
     dense = materialise(dense, "dense-rows")
     pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     first = near.filter("partner is not null").select(F.col("partner").alias("a"), F.col("doc").alias("b")).unionAll(near_pivots.select("a", "b"))
     first = materialise(first.filter("a <> b").select(*pair).distinct(), "first-pairs")
     wanted = near.select("doc").unionAll(dense.select("doc")).distinct()
     texts = materialise(pick(docs, ["doc_id", "text"]).withColumnRenamed("doc_id", "doc").join(wanted, "doc", "left_semi"), "candidate-texts")
-    links = materialise(confirm(first, texts, width, similarity), "first-links")
-    labels = materialise(components(links), "labels")
+    labels = materialise(components(confirm(first, texts, width, similarity)), "labels")
 
     label = F.coalesce("root", "doc").alias("label")
     rest = compare_nodes(near.join(labels, near["doc"] == labels["id"], "left").select("node", "doc", label, *SKETCH), least, True)
     rest = rest.unionAll(_across(dense.join(labels, dense["doc"] == labels["id"], "left").select("node", "doc", label), sketched, least))
     rest = materialise(rest.filter("a <> b").select(*pair).distinct().join(first, ["a", "b"], "left_anti"), "second-pairs")
-    more = confirm(rest, texts, width, similarity)
-    roots = components(labels.select(F.col("id").alias("a"), F.col("root").alias("b")).unionAll(more))
+    more = materialise(confirm(rest, texts, width, similarity), "second-links")
+    roots = _merged(labels, more) if more.head(1) else labels
 
     named = classes.join(roots, classes["doc"] == roots["id"], "left").select(*keys, F.coalesce("root", "doc").alias("reached"))
     own = F.when(F.col("n_shingles") > 0, F.coalesce("reached", "doc_id")).otherwise(F.col("doc_id"))
@@ -313,6 +313,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, root) after more links: components of the roots that the links join."""
+    at = labels.select(F.col("id").alias("a"), F.col("root").alias("ra")), labels.select(F.col("id").alias("b"), F.col("root").alias("rb"))
+    joined = links.join(at[0], "a", "left").join(at[1], "b", "left")
+    upper = materialise(components(joined.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))), "upper-labels")
+    upper = upper.select(F.col("id").alias("root"), F.col("root").alias("top"))
+    moved = labels.join(upper, "root", "left").select("id", F.coalesce("top", "root").alias("root"))
+    fresh = upper.join(labels.select(F.col("id").alias("root")), "root", "left_anti").select(F.col("root").alias("id"), F.col("top").alias("root"))
+    return moved.unionAll(fresh)
+
+
 def _across(rows: DataFrame, sketched: DataFrame, least: int) -> DataFrame:
     """Near pairs of documents that share a dense node and have different labels.
 
