@@ -34,7 +34,6 @@ TREES = 3
 NODE_LIMIT = 48
 LEVELS = 2  # below the first two
 PIVOTS = 2
-SALTS = 16
 _U = np.uint64
 _ODD = mix(np.arange(11, 11 + TOKENS, dtype="uint64")) | _U(1)
 SKETCH = [f"s{i}" for i in range(TOKENS // LANES)]
@@ -301,9 +300,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
 
     label = F.coalesce("root", "doc").alias("label")
     rest = compare_nodes(near.join(labels, near["doc"] == labels["id"], "left").select("node", "doc", label, *SKETCH), least, True)
-    rest = rest.unionAll(_across(dense.join(labels, dense["doc"] == labels["id"], "left").select("node", "doc", label), sketched, least))
     rest = materialise(rest.filter("a <> b").select(*pair).distinct().join(first, ["a", "b"], "left_anti"), "second-pairs")
-    more = materialise(confirm(rest, texts, width, similarity), "second-links")
+    dense = dense.join(labels, dense["doc"] == labels["id"], "left").select("node", "doc", label)
+    more = materialise(confirm(rest, texts, width, similarity).unionAll(_across(dense, texts, width, similarity)), "second-links")
     roots = _merged(labels, more) if more.head(1) else labels
 
     named = classes.join(roots, classes["doc"] == roots["id"], "left").select(*keys, F.coalesce("root", "doc").alias("reached"))
@@ -324,23 +323,56 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return moved.unionAll(fresh)
 
 
-def _across(rows: DataFrame, sketched: DataFrame, least: int) -> DataFrame:
-    """Near pairs of documents that share a dense node and have different labels.
+QUERIES, MEMBERS = 256, 512  # documents of a family that one task compares
 
-    Dense nodes whose largest component is the same hold much the same documents, so they are taken together as a family: each of
-    its documents outside that component is compared with all of the family, once, over ``SALTS`` tasks.
+
+def _across(rows: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links (a, b) between documents that share a dense node and are in different components.
+
+    Dense nodes whose largest component is the same hold much the same documents, so they are taken together as a family: its
+    documents outside that component are held against all of it. Both sides are dealt in blocks; a task builds an inverted list
+    of the full sets of one block of outsiders and runs the members past it, so pairs are counted but never formed as rows.
     """
+    percent = round(similarity * 100)
     rows = materialise(rows, "labelled-rows")
     size = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
     most = size.groupBy("node").agg(F.max_by("label", F.struct("n", "label")).alias("family"))
-    members = rows.join(most, "node").groupBy("family", "doc").agg(F.min("label").alias("label"))
-    mixed = members.filter("label <> family").select("family").distinct()
-    members = materialise(members.join(mixed, "family", "left_semi").join(sketched, "doc"), "families")
-    own = F.struct("doc", "label", *SKETCH)
-    salt = F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int").alias("salt")
-    outside = members.filter("label <> family").select("family", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), own.alias("p"))
-    return (
-        members.select("family", salt, own.alias("d")).join(outside, ["family", "salt"])
-        .filter((F.col("p.label") != F.col("d.label")) & (equal_tokens("p", "d") >= least))
-        .select(F.col("p.doc").alias("a"), F.col("d.doc").alias("b"))
-    )
+    members = materialise(rows.join(most, "node").groupBy("family", "doc").agg(F.min("label").alias("label")), "families")
+    outside = F.count_if(F.col("label") != F.col("family"))
+    shape = members.groupBy("family").agg(F.ceil(outside / QUERIES).cast("int").alias("blocks"), F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("salts"))
+    members = members.join(shape.filter("blocks > 0"), "family")
+    dealt = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int").alias(n[:-1])
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(n[:-1])
+    asked = members.filter("label <> family").select("family", dealt("blocks"), spread("salts"), F.lit(0).alias("role"), "doc", "label")
+    held = members.select("family", spread("blocks"), dealt("salts"), F.lit(1).alias("role"), "doc", "label")
+    both = asked.unionAll(held).join(texts, "doc").select("family", "block", "salt", "role", "doc", "label", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, queries, index = None, [], None
+        for batch in batches:
+            for part in slices(batch, 6):
+                key, first = shingles(part.column(6), width)
+                found = []
+                for i, (family, block, salt, role, doc, label) in enumerate(zip(*(part.column(k).to_pylist() for k in range(6)))):
+                    if group != (family, block, salt):
+                        group, queries, index = (family, block, salt), [], None
+                    mine = key[first[i]:first[i + 1]]
+                    if role == 0:
+                        queries.append((doc, label, mine))
+                        continue
+                    if not queries:
+                        continue
+                    if index is None:
+                        keys = np.concatenate([q[2] for q in queries])
+                        order = np.argsort(keys, kind="stable")
+                        index = keys[order], np.repeat(np.arange(len(queries)), [len(q[2]) for q in queries])[order], np.array([len(q[2]) for q in queries])
+                    left, right = (np.searchsorted(index[0], mine, side=side) for side in ("left", "right"))
+                    n = right - left
+                    at = np.repeat(left - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    common = np.bincount(index[1][at], minlength=len(queries))
+                    close = (common > 0) & (100 * common >= percent * (index[2] + len(mine) - common))
+                    found += [(queries[q][0], doc) for q in np.flatnonzero(close) if queries[q][1] != label]
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], names=["a", "b"])
+
+    keys = ["family", "block", "salt"]
+    return both.repartition(*keys).sortWithinPartitions(*keys, "role").mapInArrow(run, "a bigint, b bigint")
