@@ -243,6 +243,22 @@ def d03(spark, folder):
     return df.select(*KEYS, F.when((F.col("rn") >= 14) & (F.col("_l") > 0), F.round(100 - 100 / (1 + rs), 4)).alias("rsi_adjusted"))
 
 
+@query("d03_seeded_lines", f"""{B}, r AS (SELECT instrument, rn, CAST(close AS DOUBLE) AS f, CAST(close AS DOUBLE) AS s, CAST(close AS DOUBLE) AS e, CAST(0 AS DOUBLE) AS d FROM v WHERE rn = 1 UNION ALL
+ SELECT v.instrument, v.rn, r.f + 2.0 / 13 * (v.close - r.f), r.s + 2.0 / 27 * (v.close - r.s), r.e + 2.0 / 21 * (v.close - r.e),
+  r.d + 2.0 / 10 * ((r.f + 2.0 / 13 * (v.close - r.f)) - (r.s + 2.0 / 27 * (v.close - r.s)) - r.d) FROM r JOIN v ON v.instrument = r.instrument AND v.rn = r.rn + 1)
+SELECT v.instrument, v.session_date, CASE WHEN v.rn >= 20 THEN round(e, 4) END AS ema_20, CASE WHEN v.rn >= 34 THEN round(f - s, 4) END AS dif, CASE WHEN v.rn >= 34 THEN round(d, 4) END AS dea,
+ CASE WHEN v.rn >= 34 THEN round(2 * (f - s - d), 4) END AS histogram FROM v JOIN r USING (instrument, rn)""")
+def d03_lines(spark, folder):
+    """EMA and MACD of the alternative backend: every mean starts at its first value and is shown once its periods are full."""
+    from tidemark.functions.recurrence import ema
+
+    df = mk.bars_daily(spark, folder).withColumn("rn", DAILY.row())
+    df = ema(df, DAILY, {"fast": ("close", 2 / 13), "slow": ("close", 2 / 27), "e": ("close", 2 / 21)}, "rn").withColumn("d", F.col("fast") - F.col("slow"))
+    df = ema(df, DAILY, {"s": ("d", 2 / 10)}, "rn")
+    shown = lambda c, first, name: F.when(F.col("rn") >= first, F.round(c, 4)).alias(name)
+    return df.select(*KEYS, shown(F.col("e"), 20, "ema_20"), shown(F.col("d"), 34, "dif"), shown(F.col("s"), 34, "dea"), shown(2 * (F.col("d") - F.col("s")), 34, "histogram"))
+
+
 @query("d05_custom_atom", f"{B}, {FFILL_PE} SELECT instrument, session_date, CAST(rn > 20 AND coalesce(pe BETWEEN 1 AND 60 AND close > ({roll('avg', 'close', 20)}), false) AS INT) AS cheap_uptrend FROM vp")
 def d05(spark, folder):
     """A user-registered atom over bars and a second table."""
