@@ -38,7 +38,7 @@ def latest_factors(bars: DataFrame, valuation: DataFrame, facts: DataFrame, acti
     names = ("close", "momentum_60", "volatility_60", "turnover_avg_20")
     last = b.groupBy("instrument").agg(F.max(F.struct("session_date", *names)).alias("_b"))
     end = bars.agg(F.max("session_date")).scalar()
-    v = valuation.groupBy("instrument").agg(F.max(F.struct("session_date", "pe_ttm", "pb")).alias("_v"))
+    v = valuation.filter("pe_ttm is not null or pb is not null").groupBy("instrument").agg(F.max(F.struct("session_date", "pe_ttm", "pb")).alias("_v"))
     f = (
         facts.filter(F.col("notice_date") <= end)
         .groupBy("instrument")

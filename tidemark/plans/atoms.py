@@ -120,8 +120,8 @@ publish("v04_turnover", ["turnover_above_5", "turnover_above_10", "turnover_belo
         {"turnover_above_5": "volume / 10 > 5", "turnover_above_10": "volume / 10 > 10", "turnover_below_1": "volume / 10 < 1"})
 
 VALUATION = """val AS (SELECT l_suppkey AS instrument, CAST(l_shipdate AS DATE) AS session_date,
-  min(p_retailprice) - 950 AS pe_ttm, max(p_retailprice) / 500 AS pb FROM lineitem JOIN part ON p_partkey = l_partkey
-  WHERE l_returnflag = 'A' GROUP BY 1, 2)"""
+  min(p_retailprice) FILTER (WHERE l_returnflag = 'A') - 950 AS pe_ttm, max(p_retailprice) FILTER (WHERE l_returnflag = 'A') / 500 AS pb
+  FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2)"""
 FFILL_PE = f"""{VALUATION},
 vp AS (SELECT v.*, last_value(pe_ttm IGNORE NULLS) OVER (PARTITION BY instrument ORDER BY session_date) AS pe
   FROM v LEFT JOIN val USING (instrument, session_date))"""

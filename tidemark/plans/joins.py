@@ -283,7 +283,7 @@ def q07(spark, folder):
 
 ACT = f"""{FACTS}, act AS (SELECT instrument, revision_id AS action_id, ['cash', 'bonus', 'split', 'rights', 'transfer'][revision_id % 5 + 1] AS kind,
   notice_date AS record_date, CAST(notice_date + 1 AS DATE) AS ex_date, CAST(notice_date + 10 AS DATE) AS pay_date, CAST(notice_date - 7 AS DATE) AS known_date,
-  revision_id % 100 / 100.0 AS gross_cash, 1 + revision_id % 3 * 0.5 AS multiplier, status FROM fx WHERE priority = '1-URGENT')"""
+  revision_id % 100 / 100.0 AS gross_cash, 1 + revision_id % 3 * 0.5 AS multiplier, status FROM fx)"""
 POS = """dq AS (SELECT l_suppkey AS instrument, CAST(l_shipdate AS DATE) AS d, sum(CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END) AS q
   FROM lineitem GROUP BY 1, 2), ps AS (SELECT instrument, d, sum(q) OVER (PARTITION BY instrument ORDER BY d) AS qty FROM dq)"""
 

@@ -119,14 +119,13 @@ def listed_code(instrument: Column | str = "instrument") -> Column:
 
 
 def valuation(spark: SparkSession, folder: str) -> DataFrame:
-    """Dated valuation ratios; many sessions have none, some ratios are not positive."""
-    li = table(spark, folder, "lineitem").filter(F.col("l_returnflag") == "A").select(
-        "l_partkey", F.col("l_suppkey").alias("instrument"), F.to_date("l_shipdate").alias("session_date")
+    """Dated valuation ratios; they are unknown in many sessions, and some are not positive."""
+    li = table(spark, folder, "lineitem").select(
+        "l_partkey", "l_returnflag", F.col("l_suppkey").alias("instrument"), F.to_date("l_shipdate").alias("session_date")
     )
     part = table(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"), "p_retailprice")
-    return li.join(part, "l_partkey").groupBy("instrument", "session_date").agg(
-        (F.min("p_retailprice") - 950).alias("pe_ttm"), (F.max("p_retailprice") / 500).alias("pb")
-    )
+    quoted = F.when(F.col("l_returnflag") == "A", F.col("p_retailprice"))
+    return li.join(part, "l_partkey").groupBy("instrument", "session_date").agg((F.min(quoted) - 950).alias("pe_ttm"), (F.max(quoted) / 500).alias("pb"))
 
 
 def bars_of(spark: SparkSession, folder: str, condition: Column) -> DataFrame:
@@ -152,9 +151,8 @@ def bars_of(spark: SparkSession, folder: str, condition: Column) -> DataFrame:
 
 
 def corporate_actions(spark: SparkSession, folder: str) -> DataFrame:
-    """Urgent orders read as corporate actions of an instrument, several kinds and terms."""
-    f = facts(spark, folder).filter(F.col("priority") == "1-URGENT")
-    return f.select(
+    """Orders read as corporate actions of an instrument, several kinds and terms."""
+    return facts(spark, folder).select(
         "instrument",
         F.col("revision_id").alias("action_id"),
         F.element_at(
