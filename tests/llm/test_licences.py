@@ -50,6 +50,10 @@ def test_other_sentences_are_unknown(spark, model):
     assert sorted(got) == list(range(5)) and all(f == C.UNKNOWN for rows in got.values() for _, f in rows)
 
 
+def test_german_words_are_no_licence(spark, model):
+    assert families(spark, model, ["Er kam mit dem Zug", "mit und ohne"]) == {}
+
+
 def test_edge_rows(spark, model):
     line = "Released under the MIT License."
     df = spark.createDataFrame([(1, None), (2, ""), (3, "no such words"), (None, line), (4, f"a\n\n{line}\nx"), (4, f"a\n\n{line}\nx"), (5, "word " * 50_000 + line)], "doc_id bigint, text string")

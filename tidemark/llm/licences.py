@@ -58,7 +58,7 @@ OTHER = [
     "The software license agreement was signed by both parties", "The restaurant lost its liquor license", "This copy of the book is in the public library", "The distribution of free food was permitted",
     "Please read the license before you install the program", "Is this work licensed", "The version of the file is free of charge", "All rights and duties were reserved for the king",
 ]
-LICENCE_WORD = r"(?i)licen[cs]e|copyright|copyleft|permission|permitted|spdx|public domain|rights reserved|apache|\bgnu\b|\ba?l?gpl|mozilla|creative commons|\bcc[ -]by|\bcc0|unencumbered|unlicense|\bmit\b"
+LICENCE_WORD = r"(?i)licen[cs]e|copyright|copyleft|permission|permitted|spdx|public domain|rights reserved|apache|\bgnu\b|\ba?l?gpl|mozilla|creative commons|\bcc[ -]by|\bcc0|unencumbered|unlicense|(?-i:\bMIT\b)"  # in small letters a German word
 TOKEN = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 FEATURES = 1 << 14
 
