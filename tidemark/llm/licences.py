@@ -82,7 +82,12 @@ def _vocabulary() -> Column:
         for t in texts:
             w = plain_words(t)
             seen |= {*w, *(f"{a} {b}" for a, b in zip(w, w[1:]))}
-    return F.array(*[F.lit(x) for x in sorted(seen)])
+    return _texts(sorted(seen))
+
+
+def _texts(values: list[str]) -> Column:
+    """A constant array that Spark folds to one literal; an array of literals would put each into the generated code."""
+    return F.split(F.lit("\x1f".join(values)), "\x1f")
 
 
 def _fixed(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
@@ -125,7 +130,7 @@ def train(docs: DataFrame, max_docs: int = 200, max_lines: int = 500) -> tuple[L
     code = F.create_map(*[F.lit(x) for i, f in enumerate([UNKNOWN, *TEMPLATES]) for x in (f, float(i))])
     rows = _vectors(training_rows(pick(docs, ["doc_id", "text"]), max_docs, max_lines)).withColumn("label", F.element_at(code, F.col("family")))
     rows = rows.withColumn("tune", F.pmod(F.xxhash64("w"), F.lit(4)) == 0).coalesce(1).cache()  # some thousand rows
-    fitted = LogisticRegression(family="multinomial", regParam=0.002, maxIter=80, featuresCol="features", labelCol="label").fit(rows.filter("not tune"))
+    fitted = LogisticRegression(family="multinomial", regParam=0.002, maxIter=50, featuresCol="features", labelCol="label").fit(rows.filter("not tune"))
     worst = _best(fitted.transform(rows.filter(F.col("tune") & (F.col("family") == UNKNOWN)))).agg(F.max("top")).first()[0]
     rows.unpersist()
     return fitted, max(0.5, float(worst or 0.0))
@@ -141,9 +146,10 @@ def scan(docs: DataFrame, model: LogisticRegressionModel, least: float, min_over
     lines = pick(docs, ["doc_id", "text"]).filter(F.col("text").rlike(LICENCE_WORD)).select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     found = lines.filter(F.col("line").rlike(LICENCE_WORD)).select("doc_id", (F.col("at") + 1).cast("long").alias("paragraph"), words(F.col("line")).alias("w"))
     scored = _best(model.transform(_vectors(found)))
-    templates = F.create_map(*[x for f, texts in TEMPLATES.items()
-                               for x in (F.lit(f), F.array(*[F.array(*[F.lit(w) for w in dict.fromkeys(plain_words(t))]) for t in texts]))])
-    shares = F.transform(F.element_at(templates, F.col("best")), lambda t: F.size(F.array_intersect(t, F.col("w"))) / F.size(t))
+    known = [t for texts in TEMPLATES.values() for t in texts]
+    owner = _texts([f for f, texts in TEMPLATES.items() for _ in texts])
+    templates = F.transform(_texts([" ".join(dict.fromkeys(plain_words(t))) for t in known]), lambda t: F.split(t, " "))
+    shares = F.zip_with(owner, templates, lambda f, t: F.when(f == F.col("best"), F.size(F.array_intersect(t, F.col("w"))) / F.size(t)))
     scored = scored.withColumn("overlap", F.array_max(shares)).withColumn("confirmed", (F.col("top") >= least) & (F.col("overlap") >= min_overlap))
     family = F.when(F.col("confirmed"), F.col("best")).otherwise(UNKNOWN)
     return scored.select("doc_id", "paragraph", family.alias("family"), F.col("top").alias("probability"), "overlap", "confirmed")
