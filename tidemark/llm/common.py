@@ -37,7 +37,7 @@ def over_arrow(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch],
                 if out is not None:
                     yield out
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return pick(df, columns).mapInArrow(run, schema)
 
 
 def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
@@ -137,5 +137,14 @@ UNIFORM_SQL = "(CAST('0x' || substr(md5(concat_ws('|', {})), 1, 13) AS BIGINT) /
 
 
 def pick(df: DataFrame, names: list[str]) -> DataFrame:
-    """Only the columns an operator needs, so that extra columns of any name cannot clash."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
+    """Only the columns an operator needs, so that extra columns cannot clash.
+
+    Columns whose names differ in case alone, or not at all, are told apart by their place: an exact match wins, the first of several.
+    """
+    columns = df.columns
+    if len({c.lower() for c in columns}) == len(columns):
+        return df.select(*[F.col(f"`{n}`") for n in names])
+    lower = [c.lower() for c in columns]
+    at = [columns.index(n) if n in columns else lower.index(n.lower()) for n in names]
+    placed = df.toDF(*[f"_{i}" for i in range(len(columns))])
+    return placed.select(*[F.col(f"_{i}").alias(n) for i, n in zip(at, names)])
