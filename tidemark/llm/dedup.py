@@ -33,7 +33,7 @@ LANES = 7  # tokens in a long of the sketch, 8 bits apart, the top byte free
 TREES = 3
 NODE_LIMIT = 48
 LEVELS = 2  # below the first two
-PIVOTS = 2
+PIVOTS = 1
 _U = np.uint64
 _ODD = mix(np.arange(11, 11 + TOKENS, dtype="uint64")) | _U(1)
 SKETCH = [f"s{i}" for i in range(TOKENS // LANES)]
