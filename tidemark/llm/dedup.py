@@ -153,7 +153,7 @@ def _nodes(reps: DataFrame, sketched: DataFrame, least: int) -> tuple[DataFrame,
             break
         near = materialise(_near_pivots(large, sketched, least), "near-pivots")
         counts = [F.count_if(F.col("j") == j) for j in range(PIVOTS)]
-        packed = near.groupBy("node", "n").agg(F.greatest(*counts).alias("near"))
+        packed = near.groupBy("node", "n").agg(F.greatest(F.lit(0), *counts).alias("near"))
         packed = packed.select("node") if level == LEVELS else packed.filter("near * 2 >= n").select("node")
         packed = materialise(packed, "dense-nodes")
         pivots.append(near.select("a", "b"))
