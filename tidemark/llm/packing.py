@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import pick, slices
 from tidemark.session import materialise
 
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 _MARK = "^"
 _SPLIT = re.compile(r"([a-z])([!-&(-/:-@\[-`{-~]+)")
 
@@ -42,14 +42,14 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids[0]
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}  # little-endian uint32 ids; a worker keeps them between tasks
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype="uint32") for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def _learn(self, atoms: list[str]) -> None:
         alone = [a for a in atoms if _MARK in a]
-        self.known.update(zip(alone, self._plain(alone)))
+        self.known.update(zip(alone, (i.tobytes() for i in self._plain(alone))))
         rest = [a for a in atoms if _MARK not in a]
         for i in range(0, len(rest), 20_000):
             chunk = rest[i:i + 20_000]
@@ -57,9 +57,10 @@ class WordTokenizer:
             ids = np.concatenate(self._plain(lines))
             ends = np.flatnonzero(ids == self.mark)
             begins = np.concatenate([[0], ends[:-1] + 1])
-            self.known.update((a, ids[s:e]) for a, s, e in zip(chunk, begins.tolist(), ends.tolist()))
+            raw = ids.tobytes()
+            self.known.update((a, raw[4 * s:4 * e]) for a, s, e in zip(chunk, begins.tolist(), ends.tolist()))
 
-    def _words(self, words: list[str]) -> list[np.ndarray]:
+    def _words(self, words: list[str]) -> list[bytes]:
         """Ids of words without white space, lower-cased in ASCII."""
         known = self.known
         if len(known) > CACHE_WORDS:
@@ -70,7 +71,7 @@ class WordTokenizer:
             atoms = {a for line in cut for a in line.split(" ")}
             atoms = [a for a in atoms if a not in known]
             self._learn(atoms)
-            joined = {w: np.concatenate([known[a] for a in line.split(" ")]) for w, line in zip(fresh, cut) if line != w}
+            joined = {w: b"".join([known[a] for a in line.split(" ")]) for w, line in zip(fresh, cut) if line != w}
             return [joined[w] if w in joined else known[w] for w in words]
         return [known[w] for w in words]
 
@@ -84,8 +85,8 @@ class WordTokenizer:
         parts = pc.split_pattern(pc.ascii_lower(plain), " ")
         coded = parts.flatten().dictionary_encode()
         vocabulary = self._words(coded.dictionary.to_pylist())
-        lengths = np.array([len(v) for v in vocabulary], dtype="int64")
-        pool = np.concatenate([np.zeros(0, "uint32"), *vocabulary])
+        lengths = np.fromiter(map(len, vocabulary), dtype="int64", count=len(vocabulary)) // 4
+        pool = np.frombuffer(b"".join(vocabulary), dtype="uint32")
         pool_at = np.concatenate([[0], np.cumsum(lengths)])
         index = coded.indices.to_numpy(zero_copy_only=False)
         n_words = np.diff(parts.offsets.to_numpy())
