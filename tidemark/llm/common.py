@@ -24,15 +24,15 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
-def over_arrow(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Map slices of at most about ``SLICE_BYTES`` of text; column 0 may be of any type, the last one is the text.
+def over_arrow(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, size: int = SLICE_BYTES) -> DataFrame:
+    """Map slices of at most about ``size`` bytes of text; column 0 may be of any type, the last one is the text.
 
     Only the named columns reach Python. Numpy temporaries are bounded by the slice, or by one document that is longer.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, len(columns) - 1):
+            for part in slices(batch, len(columns) - 1, size):
                 out = fn(part)
                 if out is not None:
                     yield out
@@ -40,12 +40,12 @@ def over_arrow(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch],
     return pick(df, columns).mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     n = batch.num_rows
     if n == 0:
         return
     sizes = np.nan_to_num(pc.binary_length(batch.column(text)).to_numpy(zero_copy_only=False).astype("float64"))
-    block = (np.cumsum(sizes) // SLICE_BYTES).astype("int64")
+    block = (np.cumsum(sizes) // size).astype("int64")
     edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), n]
     for a, b in zip(edges, edges[1:]):
         if b > a:

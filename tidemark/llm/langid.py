@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import mix, over_arrow, pick, text_bytes
 
 SIZES = (3, 4)
+SLICE = 1 << 20  # bytes of text at a time: each byte has two windows of some dozen bytes of numbers
 UNDETERMINED = "und"
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -71,7 +72,7 @@ def features(docs: DataFrame, buckets: int) -> DataFrame:
         cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())
         return pa.RecordBatch.from_arrays([batch.column(0), cut(idx), cut(cnt)], names=["lang", "idx", "cnt"])
 
-    return over_arrow(docs, ["lang", "text"], run, "lang string, idx binary, cnt binary")
+    return over_arrow(docs, ["lang", "text"], run, "lang string, idx binary, cnt binary", SLICE)
 
 
 def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], buckets: int, dim: int, min_steps: int, rate: float, seed: int) -> Model:
@@ -164,7 +165,7 @@ def predict(docs: DataFrame, model: Model | None, min_score: float = 0.5) -> Dat
         return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(pred, pa.string()), pa.array(score), pa.array(score < min_score)],
                                           names=["doc_id", "lang_pred", "score", "rejected"])
 
-    return over_arrow(docs, ["doc_id", "text"], run, "doc_id bigint, lang_pred string, score double, rejected boolean")
+    return over_arrow(docs, ["doc_id", "text"], run, "doc_id bigint, lang_pred string, score double, rejected boolean", SLICE)
 
 
 def accepted(docs: DataFrame, model: Model | None, min_score: float = 0.5) -> DataFrame:
@@ -176,7 +177,7 @@ def accepted(docs: DataFrame, model: Model | None, min_score: float = 0.5) -> Da
         order = [0, 4, 1, 2, 3]
         return pa.RecordBatch.from_arrays([kept.column(i) for i in order], names=[kept.schema.names[i] for i in order])
 
-    return over_arrow(docs, ["doc_id", "lang", "source", "n_chars", "text"], run, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    return over_arrow(docs, ["doc_id", "lang", "source", "n_chars", "text"], run, "doc_id bigint, text string, lang string, source string, n_chars bigint", SLICE)
 
 
 def held_out() -> Column:

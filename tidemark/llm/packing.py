@@ -42,7 +42,7 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids[0]
-        self.known: dict[str, bytes] = {}  # little-endian uint32 ids; a worker keeps them between tasks
+        self.known: dict[str, bytes] = {}  # little-endian uint32 ids, for one task
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -152,6 +152,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, with_ids:
                     out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([begin, [len(flat)]]).astype("int32")), pa.array(flat.view("<i4"))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(out, names=names)
+        tok.known.clear()  # the worker goes on to other stages
 
     return pick(docs, ["doc_id", "text"]).mapInArrow(run, schema)
 
