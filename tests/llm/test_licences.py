@@ -63,6 +63,41 @@ def test_edge_rows(spark, model):
     assert C.scan(empty, *C.train(empty)).count() == 0
 
 
+WRAPPED = [
+    ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights"""),
+    ("GPL", """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version."""),
+    ("BSD", """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:"""),
+    ("Apache-2.0", """ * you may not use this file
+ * except in compliance
+ * with the License."""),
+    ("Proprietary", "Proprietary and confidential, all rights\nreserved"),
+]
+
+
+def test_wrapped_notices(spark, model):
+    texts = [t for _, t in WRAPPED] + ["a b c\n\n" + t + "\n\nd e f" for _, t in WRAPPED] + ["word " * 300 + t.replace("\n", "\n\n") for _, t in WRAPPED[:1]]
+    got = families(spark, model, texts)
+    for i, (family, _) in enumerate(WRAPPED + WRAPPED):
+        assert {f for _, f in got[i]} - {C.UNKNOWN} == {family}, texts[i]
+    assert {f for _, f in got[10]} == {C.UNKNOWN}  # blank lines end a notice
+    near = families(spark, model, ["The guard denied permission to enter\nReleased under the MIT License.\nA fishing license costs ten dollars"])
+    assert near[0] == [(1, C.UNKNOWN), (2, "MIT"), (3, C.UNKNOWN)]
+
+
+def test_short_declarations(spark, model):
+    want = {"MIT License": "MIT", "License: Apache-2.0": "Apache-2.0", "# The MIT License": "MIT", "License: MIT": "MIT", "BSD 3-Clause License": "BSD", "GNU General Public License v3.0": "GPL",
+            "Licence: LGPL-2.1": "LGPL", "Mozilla Public License 2.0": "MPL", "The Unlicense": "Unlicense", "License: CC-BY-SA-4.0": "CC-BY-SA",
+            "MIT issued a license": C.UNKNOWN}
+    got = families(spark, model, list(want))
+    assert {t: got[i][0][1] for i, t in enumerate(want)} == want
+
+
 def test_plan_has_no_python(spark, folder):
     plan = op10(spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)

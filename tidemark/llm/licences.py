@@ -1,7 +1,8 @@
 """Licence scan: a trained paragraph classifier, confirmed by templates. DataFrame functions only, no Python on executors.
 
-Paragraphs (lines) with a licence word are classified by multinomial logistic regression over their word unigrams and bigrams,
-as far as templates have them. It is trained on damaged copies of the templates and, as the class ``unknown``, on sentences
+Lines with a licence word are classified by multinomial logistic regression over their word unigrams and bigrams, as far as
+templates have them; where a template runs over the line's borders, by the words of the template's place in the run of non-blank
+lines. Short lines that only name a licence are held against a list of names. The classifier is trained on damaged copies of the templates and, as the class ``unknown``, on sentences
 that speak of licences without granting one and on lines of a bounded sample of documents. A prediction counts from a
 probability on that no such line of a part kept for calibration reaches, and if the paragraph holds most words of a template of
 the family.
@@ -58,9 +59,32 @@ OTHER = [
     "The software license agreement was signed by both parties", "The restaurant lost its liquor license", "This copy of the book is in the public library", "The distribution of free food was permitted",
     "Please read the license before you install the program", "Is this work licensed", "The version of the file is free of charge", "All rights and duties were reserved for the king",
 ]
+# Names of licences as words, for lines that hold nothing else but words of FILLER, one of GRANT among them: fixed values.
+NAMES = {
+    "MIT": ["mit", "expat"],
+    "Apache-2.0": ["apache-2.0", "apache 2.0", "apache 2", "apache v2", "apache v2.0", "apache2", "apache software 2.0"],
+    "GPL": ["gpl", "gpl-2.0", "gpl-3.0", "gplv2", "gplv3", "gpl-2.0-only", "gpl-3.0-only", "gpl-2.0-or-later", "gpl-3.0-or-later", "gnu gpl", "gnu gplv2", "gnu gplv3", "gnu general public"],
+    "LGPL": ["lgpl", "lgpl-2.1", "lgpl-3.0", "lgplv2.1", "lgplv3", "lgpl-2.1-only", "lgpl-3.0-only", "lgpl-2.1-or-later", "lgpl-3.0-or-later", "gnu lgpl", "gnu lesser general public"],
+    "AGPL": ["agpl", "agpl-3.0", "agplv3", "agpl-3.0-only", "agpl-3.0-or-later", "gnu agpl", "gnu affero general public"],
+    "BSD": ["bsd", "bsd-2-clause", "bsd-3-clause", "bsd 2-clause", "bsd 3-clause", "new bsd", "modified bsd", "simplified bsd", "revised bsd"],
+    "MPL": ["mpl", "mpl-2.0", "mozilla public"],
+    "EPL": ["epl", "epl-2.0", "eclipse public"],
+    "ISC": ["isc"],
+    "CC-BY": ["cc-by", "cc-by-4.0", "cc by", "creative commons attribution"],
+    "CC-BY-SA": ["cc-by-sa", "cc-by-sa-4.0", "cc by-sa", "creative commons attribution-sharealike"],
+    "CC-BY-NC": ["cc-by-nc", "cc-by-nc-4.0", "cc by-nc", "creative commons attribution-noncommercial"],
+    "CC-BY-ND": ["cc-by-nd", "cc-by-nd-4.0", "cc by-nd", "creative commons attribution-noderivatives"],
+    "CC0": ["cc0", "cc0-1.0"],
+    "Unlicense": ["unlicense"],
+}
+GRANT = "license licence licensed licenses spdx-license-identifier unlicense cc0 cc0-1.0".split()
+FILLER = GRANT + "the a this is see under terms of version v v2 v2.0 v2.1 v3 v3.0 1.0 2 2.0 2.1 3 3.0 4.0 or any later only project software file code work released distributed international universal".split()
 LICENCE_WORD = r"(?i)licen[cs]e|copyright|copyleft|permission|permitted|spdx|public domain|rights reserved|apache|\bgnu\b|\ba?l?gpl|mozilla|creative commons|\bcc[ -]by|\bcc0|unencumbered|unlicense|(?-i:\bMIT\b)"  # in small letters a German word
+ACROSS = LICENCE_WORD.replace("[ -]", r"[\s-]").replace(" ", r"\s+")  # also over the border of two lines
+BLANK = r"\n[^A-Za-z0-9\n]*(?=\n)"
 TOKEN = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 FEATURES = 1 << 14
+LONGEST = max(len(re.findall(TOKEN, t.lower())) for texts in TEMPLATES.values() for t in texts)
 
 
 def words(text: Column) -> Column:
@@ -90,6 +114,64 @@ def _texts(values: list[str]) -> Column:
     return F.split(F.lit("\x1f".join(values)), "\x1f")
 
 
+def _templates() -> Column:
+    """Distinct words of every template."""
+    return F.transform(_texts([" ".join(dict.fromkeys(plain_words(t))) for texts in TEMPLATES.values() for t in texts]), lambda t: F.split(t, " "))
+
+
+def _share(template: Column, w: Column) -> Column:
+    return F.size(F.array_intersect(template, w)) / F.size(template)
+
+
+def _declared(w: Column) -> Column:
+    """The family that a line names, if it does nothing else; null for other lines."""
+    names = F.zip_with(_texts([f for f, names in NAMES.items() for _ in names]), _texts([n for names in NAMES.values() for n in names]),
+                       lambda f, n: F.struct(f.alias("family"), F.split(n, " ").alias("n")))
+    alone = lambda n: (F.size(F.array_except(n, w)) == 0) & (F.size(F.array_except(w, F.concat(n, _texts(FILLER)))) == 0)
+    found = F.filter(names, lambda x: alone(x["n"]))
+    return F.when((F.size(w) <= 16) & F.arrays_overlap(w, _texts(GRANT)), F.get(found, F.lit(0))["family"])
+
+
+def licence_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, paragraph, w, before and after of every line with a licence word, or the start of one that ends on the next line.
+
+    ``w`` are the line's words, ``before`` and ``after`` those of the same run of non-blank lines, ``LONGEST`` at most: every
+    line of a run has a word, so ``LONGEST`` lines hold them.
+    """
+    lines, n = F.split("text", "\n"), LONGEST
+    texts = pick(docs, ["doc_id", "text"]).filter(F.col("text").rlike(ACROSS)).select("doc_id", lines.alias("lines"))
+    line = lambda i: F.get("lines", i)
+    split_word = lambda i: ~F.coalesce(line(i + 1), F.lit("")).rlike(LICENCE_WORD) & F.concat_ws("\n", line(i), line(i + 1)).rlike(ACROSS)
+    at = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: line(i).rlike(LICENCE_WORD) | split_word(i))
+    part = lambda begin, size: F.concat(F.lit("\n"), F.array_join(F.slice("lines", begin, size), "\n"), F.lit("\n"))
+    found = F.transform(at, lambda i: F.struct(
+        (i + 1).cast("long").alias("paragraph"), line(i).alias("line"),
+        F.element_at(F.split(part(F.greatest(i + 1 - n, F.lit(1)), F.least(i, F.lit(n))), BLANK), -1).alias("before"),
+        F.element_at(F.split(part(i + 2, F.lit(n)), BLANK), 1).alias("after")))
+    rows = texts.select("doc_id", F.explode(found).alias("r")).select("doc_id", "r.paragraph", words(F.col("r.line")).alias("w"),
+                                                                     words(F.col("r.before")).alias("before"), words(F.col("r.after")).alias("after"))
+    return rows.withColumns({"before": F.slice("before", F.greatest(F.size("before") - n + 1, F.lit(1)), n), "after": F.slice("after", 1, n)})
+
+
+def _unwrapped(rows: DataFrame, min_overlap: float) -> DataFrame:
+    """``judged``: the words of the place of a template over the line's borders, if it has more of it than the line; else ``w``."""
+    n, size = LONGEST, F.size("w")
+    gap = F.array_repeat(F.lit(""), n)
+    ends = F.when(size <= 2 * n, F.col("w")).otherwise(F.concat(F.slice("w", 1, n), gap, F.slice("w", size - n + 1, n)))
+    rows = rows.withColumn("run", F.concat("before", ends, "after")).withColumn("first", F.size("before") + 1).withColumn("last", F.size("before") + F.size(ends))
+    sized = F.zip_with(_templates(), _texts([str(len(plain_words(t))) for texts in TEMPLATES.values() for t in texts]),
+                       lambda t, k: F.struct(t.alias("t"), k.cast("int").alias("k")))
+    near = F.filter(sized, lambda x: _share(x["t"], F.col("run")) >= min_overlap)
+    places = F.transform(near, lambda x: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size("run") - x["k"] + 1, F.lit(1))),
+        lambda i: F.struct(_share(x["t"], F.slice("run", i, x["k"])).alias("share"), (-i).alias("back"), x["k"].alias("k"))))
+    own = F.array_max(F.transform(_templates(), lambda t: _share(t, F.col("w"))))
+    rows = rows.withColumn("place", F.array_max(F.flatten(F.when(F.size("before") + F.size("after") > 0, places)))).withColumn("own", own)
+    begin, end = -F.col("place.back"), F.col("place.k") - F.col("place.back") - 1
+    across = (F.col("place.share") > F.col("own")) & (begin <= F.col("last")) & (end >= F.col("first"))
+    return rows.withColumn("judged", F.when(across, F.slice("run", begin, F.col("place.k"))).otherwise(F.col("w")))
+
+
 def _fixed(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
     """Fixed rows without a Python data source."""
     values = F.array(*[F.struct(F.lit(f).alias("family"), F.lit(t).alias("text")) for f, t in rows])
@@ -137,19 +219,20 @@ def train(docs: DataFrame, max_docs: int = 200, max_lines: int = 500) -> tuple[L
 
 
 def scan(docs: DataFrame, model: LogisticRegressionModel, least: float, min_overlap: float = 0.7) -> DataFrame:
-    """doc_id, paragraph, family, probability, overlap and confirmed of every paragraph with a licence word.
+    """doc_id, paragraph, family, probability, overlap and confirmed of every line with a licence word.
 
-    ``paragraph`` counts lines from 1. ``family`` is ``unknown`` below ``least`` or where no template of the family has
-    ``min_overlap`` of its words in the paragraph; ``confirmed`` tells the rest. Null, empty and other texts: no rows. Null ids
-    and repeated rows: scanned like any row. Extra columns are ignored.
+    ``paragraph`` counts lines from 1. A notice that is wrapped over lines is told at each of its lines with a licence word.
+    ``family`` is ``unknown`` below ``least`` or where no template of the family has ``min_overlap`` of its words in the line or
+    notice; ``confirmed`` tells the rest, and lines that only name a licence. Null, empty and other texts: no rows. Null ids and
+    repeated rows: scanned like any row. Extra columns are ignored.
     """
-    lines = pick(docs, ["doc_id", "text"]).filter(F.col("text").rlike(LICENCE_WORD)).select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    found = lines.filter(F.col("line").rlike(LICENCE_WORD)).select("doc_id", (F.col("at") + 1).cast("long").alias("paragraph"), words(F.col("line")).alias("w"))
+    found = _unwrapped(licence_lines(docs), min_overlap).select("doc_id", "paragraph", _declared(F.col("w")).alias("declared"), F.col("judged").alias("w"))
     scored = _best(model.transform(_vectors(found)))
-    known = [t for texts in TEMPLATES.values() for t in texts]
     owner = _texts([f for f, texts in TEMPLATES.items() for _ in texts])
-    templates = F.transform(_texts([" ".join(dict.fromkeys(plain_words(t))) for t in known]), lambda t: F.split(t, " "))
-    shares = F.zip_with(owner, templates, lambda f, t: F.when(f == F.col("best"), F.size(F.array_intersect(t, F.col("w"))) / F.size(t)))
-    scored = scored.withColumn("overlap", F.array_max(shares)).withColumn("confirmed", (F.col("top") >= least) & (F.col("overlap") >= min_overlap))
-    family = F.when(F.col("confirmed"), F.col("best")).otherwise(UNKNOWN)
-    return scored.select("doc_id", "paragraph", family.alias("family"), F.col("top").alias("probability"), "overlap", "confirmed")
+    shares = F.zip_with(owner, _templates(), lambda f, t: F.when(f == F.col("best"), _share(t, F.col("w"))))
+    named, families = F.col("declared").isNotNull(), F.array(*[F.lit(f) for f in TEMPLATES])
+    scored = scored.withColumn("overlap", F.when(named, 1.0).otherwise(F.array_max(shares)))
+    scored = scored.withColumn("confirmed", named | (F.col("top") >= least) & (F.col("overlap") >= min_overlap))
+    family = F.when(F.col("confirmed"), F.coalesce("declared", "best")).otherwise(UNKNOWN)
+    probability = F.when(named, F.get("p", F.array_position(families, F.col("declared")).cast("int") - 1)).otherwise(F.col("top"))
+    return scored.select("doc_id", "paragraph", family.alias("family"), probability.alias("probability"), "overlap", "confirmed")
