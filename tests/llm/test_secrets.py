@@ -50,6 +50,21 @@ def test_query_on_the_tables(spark, folder):
         assert set(want) <= set(r["spans"].split(",") if r["spans"] else [])
 
 
+@pytest.mark.parametrize("text, value", [
+    ("login password: Zx9#kk!pQ", "Zx9#kk!pQ"), ("auth token: Zx9#kk!pQ", "Zx9#kk!pQ"), ("login credentials: V7#kd!9w", "V7#kd!9w"), ("token secret password: Zx9#kk!pQ.", "Zx9#kk!pQ"),
+    ("dbPassword: Zx9#kk!pQ", "Zx9#kk!pQ"), ("accessToken = Zx9#kk!pQ", "Zx9#kk!pQ"),
+    ('passphrase: "vexing quartz hamster 41 plum"', "vexing quartz hamster 41 plum"), ("pwd='kq vz!x 93 it\"s'", 'kq vz!x 93 it"s')])
+def test_every_credential_word_and_whole_quoted_values(spark, text, value):
+    assert [text[a:b] for a, b, _ in S.find_spans(text, 8.0)] == [value]
+    row = S.redact(spark.createDataFrame([(1, text, "en", "s", len(text))], "doc_id bigint, text string, lang string, source string, n_chars bigint")).first()
+    assert row["text"] == text.replace(value, "[SECRET]")
+
+
+@pytest.mark.parametrize("text", ["compassword: Zx9#kk!pQ", "the mistoken: Zx9#kk!pQ", "login page shows the password field today"])
+def test_words_that_only_end_like_a_credential_word(text):
+    assert S.find_spans(text, 8.0) == []
+
+
 def brute_cost(value):
     """Every segmentation; each part by the cheapest kind that can be the whole part."""
     low = value.lower()

@@ -20,9 +20,11 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
-CONTEXT = re.compile(
-    r"""(?<![a-z])(pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|(?:api|access|private|secret|auth)[_-]?key|auth|bearer|login)"""
-    r"""(?![a-z])["']?\x20{0,3}(?P<sep>[:=]>?|\x20is\x20|\x20)\x20{0,3}(?P<quote>["']?)(?P<value>[^\s"'<>]{6,})""", re.I | re.A)
+WORD = (r"""(pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|(?:api|access|private|secret|auth)[_-]?key|auth|bearer|login)"""
+        r"""(?![a-z])["']?\x20{0,3}(?P<sep>[:=]>?|\x20is\x20|\x20)\x20{0,3}""")
+VALUE = r"""(?:"(?P<double>[^"\r\n]{6,})"|'(?P<single>[^'\r\n]{6,})'|["']?(?P<value>[^\s"'<>]{6,}))"""
+# Nothing is consumed, so that a credential word may also stand in what another one takes as its value.
+CONTEXT = re.compile(f"(?=(?:(?<![a-z])|(?-i:(?<=[a-z])(?=[A-Z]))){WORD}{VALUE})", re.I | re.A)
 STEMS = ("pass", "pwd", "secret", "token", "cred", "key", "auth", "bearer", "login")
 JOIN = math.log10(2)
 
@@ -122,13 +124,18 @@ def guess_spans(text: str, min_guesses: float) -> list[tuple[int, int, str]]:
 
     Without ``:``, ``=`` or a quote, plain words follow such words in prose: there, a value needs a digit and a letter.
     """
-    found = []
+    found, at = [], 0
     for m in CONTEXT.finditer(text):
-        value = m["value"].rstrip(".,;:!?)]}")
-        strict = m["sep"][0] in ":=" or m["quote"]
+        kind = m.lastgroup
+        value = m[kind] if kind != "value" else m[kind].rstrip(".,;:!?)]}")
+        begin = m.start(kind)
+        quoted = begin > 0 and text[begin - 1] in "\"'"
         mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
-        if len(value) >= 6 and (strict or mixed) and guess_cost(value) >= min_guesses:
-            found.append((m.start("value"), m.start("value") + len(value), "guess"))
+        if m.start() < at or len(value) < 6 or not (m["sep"][0] in ":=" or quoted or mixed):
+            continue
+        if guess_cost(value) >= min_guesses:
+            at = begin + len(value)
+            found.append((begin, at, "guess"))
     return found
 
 
