@@ -49,7 +49,7 @@ def corpus(seed, n):
         for turn in range(rng.choice([0, 1, 2, 3, 6, 12])):
             rows.append((c, turn, rng.choice(["user", "assistant", None]), text[turn] if turn < 3 and rng.random() < 0.8 else rng.choice(["a", "b", "c" * 300, None])))
     rows += [(c, t, "system", f"same {t}") for c in range(9000, 9060) for t in range(5)]  # a large group of equal conversations
-    rows += [(8000 + c, t, "user", "go on" if t < 30 else str(c)) for c in range(12) for t in range(32)]  # a long shared beginning
+    rows += [(8000 + c, t, "user", "go on" if t < 7 else str(c)) for c in range(12) for t in range(9)]  # a long shared beginning
     rows += [(None, 1, "user", "x"), (7000, None, "user", "first"), (7000, 0, "user", "second"), (7001, 3, "b", "tie"), (7001, 3, "a", "tie"), rows[0], rows[1]]
     rng.shuffle(rows)
     return rows
@@ -61,7 +61,7 @@ def table(spark):
     return rows, spark.createDataFrame([(*r, 5, "x") for r in rows], "conv_id bigint, turn bigint, role string, text string, head int, path string").repartition(5)
 
 
-@pytest.mark.parametrize("container, chunk", [(2048, 1 << 16), (3, 16), (1, 1)])
+@pytest.mark.parametrize("container, chunk", [(2048, 1 << 16), (2, 16)])
 def test_nodes_equal_brute_force(spark, monkeypatch, table, container, chunk):
     monkeypatch.setattr(T, "CONTAINER", container)
     monkeypatch.setattr(T, "CHUNK", chunk)
