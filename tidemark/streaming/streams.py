@@ -7,15 +7,18 @@ result passes through the driver and a lost executor only repeats a batch.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemark.session import scratch_path
+from tidemark.session import materialise, scratch_path
 from tidemark.sources.tables import SCHEMAS
 
 
@@ -34,25 +37,42 @@ def event_stream(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("at", as_instant(F.col("ts")))
 
 
-def run_to_table(out: DataFrame, label: str) -> DataFrame:
+def run_to_table(out: DataFrame, label: str, close: Callable[[], None] | None = None) -> DataFrame:
     """Drain the stream into a Parquet table in the shared folder and open it."""
-    return out.sparkSession.read.schema(out.schema).parquet(drain(out, label))
+    return out.sparkSession.read.schema(out.schema).parquet(drain(out, label, close)[0])
 
 
-def drain(out: DataFrame, label: str) -> str:
-    """Run the stream until its source is exhausted; returns the output folder."""
+def drain(out: DataFrame, label: str, close: Callable[[], None] | None = None) -> tuple[str, str]:
+    """Run the stream until its source is exhausted; returns the folders of its output and of its progress and state.
+
+    With ``close`` (see ``closable``) the stream is then told that no more rows come, and gives out what was still open.
+    """
     spark = out.sparkSession
     path, progress = scratch_path(spark, label), scratch_path(spark, f"{label}-progress")
-    q = (
-        out.writeStream.format("parquet")
-        .outputMode("append")
-        .option("checkpointLocation", progress)
-        .option("path", path)
-        .trigger(availableNow=True)
-        .start()
-    )
-    q.awaitTermination()
-    return path
+
+    def run() -> None:
+        writer = out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", progress).option("path", path)
+        writer.trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    if close is not None:
+        close()
+        run()
+    return path, progress
+
+
+def closable(events: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """The stream and a function that closes it: a last row in the far future, with all other columns null, moves the watermark
+    past every open window. Its own window is never given out."""
+    spark = events.sparkSession
+    side = scratch_path(spark, "closing")
+    spark.createDataFrame([], events.schema).coalesce(1).write.parquet(side)
+
+    def close() -> None:
+        last = [F.lit("9000-01-01").cast("timestamp").alias(c) if c == "at" else F.lit(None).cast(t).alias(c) for c, t in events.dtypes]
+        spark.range(1).select(*last).coalesce(1).write.mode("append").parquet(side)
+
+    return events.unionByName(spark.readStream.schema(events.schema).parquet(side)), close
 
 
 def tumbling_bars(events: DataFrame, key: str, hours: int, delay: str) -> DataFrame:
@@ -79,25 +99,135 @@ def tumbling_bars(events: DataFrame, key: str, hours: int, delay: str) -> DataFr
     )
 
 
-def distinct_revisions(events: DataFrame, keys: list[str], delay: str) -> DataFrame:
-    """First copy of each provider revision; copies must arrive within ``delay``."""
-    return events.withWatermark("at", delay).dropDuplicatesWithinWatermark(keys)
+class SeenKeys:
+    """Distinct keys of a stream of re-deliveries, however far apart the copies are.
+
+    No streaming state: the keys seen so far are a table, bucketed by key and partitioned by micro-batch. A batch takes its distinct
+    keys that no earlier batch has stored and writes them as its own partition, replacing it if the batch is run again, so a
+    repeated batch stores nothing twice. Stored keys are not shuffled, their buckets are joined where they lie.
+    """
+
+    def __init__(self, spark: SparkSession, keys: list[tuple[str, str]], buckets: int = 16):
+        self.keys = [name for name, _ in keys]
+        self.name = f"seen_{uuid.uuid4().hex}"
+        columns = ", ".join(f"`{name}` {kind}" for name, kind in keys)
+        spark.sql(f"CREATE TABLE {self.name} (token STRING, {columns}, batch BIGINT) USING parquet PARTITIONED BY (batch) "
+                  f"CLUSTERED BY (token) SORTED BY (token) INTO {buckets} BUCKETS LOCATION '{scratch_path(spark, 'seen-keys')}'")
+
+    def absorb(self, batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        token = F.to_json(F.struct(*self.keys), {"ignoreNullFields": "false"})  # nulls are equal to each other
+        stored = spark.table(self.name).filter(F.col("batch") < number).select("token")
+        fresh = batch.select(token.alias("token"), *self.keys).dropDuplicates(["token"]).join(stored, "token", "left_anti")
+        view = f"{self.name}_{number}"
+        materialise(fresh, "fresh-keys").createOrReplaceTempView(view)  # a table cannot be read and overwritten in one statement
+        spark.sql(f"INSERT OVERWRITE TABLE {self.name} PARTITION (batch = {number}) SELECT token, {', '.join(f'`{k}`' for k in self.keys)} FROM {view}")
+        spark.catalog.dropTempView(view)
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.table(self.name).select(*self.keys)
+
+
+def distinct_revisions(events: DataFrame, keys: list[str]) -> DataFrame:
+    """Each distinct ``keys`` of the drained stream once."""
+    spark = events.sparkSession
+    kinds = dict(events.dtypes)
+    seen = SeenKeys(spark, [(k, kinds[k]) for k in keys])
+    progress = scratch_path(spark, "dedup-progress")
+    query = events.select(*keys).writeStream.foreachBatch(seen.absorb).option("checkpointLocation", progress).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return seen.table(spark)
+
+
+DAY_MS = 86_400_000
+GATED = "event_id bigint, subject string, day bigint, late boolean, open boolean"
+
+
+class Gate(StatefulProcessor):
+    """Holds the rows of a (subject, day) in state until the watermark passes the day's end, then routes them by its first instant.
+
+    A row that arrives after that, for a day told or never heard of, is late and is given out at once. Rows are a list in the state
+    store, read back in pieces, so a busy day is never one object in memory.
+    """
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.first = handle.getValueState("first", "at bigint")
+        self.rows = handle.getListState("rows", "event_id bigint, at bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        subject, day = key
+        end = (day + 1) * DAY_MS
+        if end <= timerValues.getCurrentWatermarkInMs():
+            for chunk in rows:
+                yield self._routed(key, chunk["event_id"], True)
+            return
+        first = self.first.get()[0] if self.first.exists() else None
+        for chunk in rows:
+            least = int(chunk["at"].min())
+            first = least if first is None else min(first, least)
+            self.rows.appendList(list(zip(chunk["event_id"].tolist(), chunk["at"].tolist())))
+        self.first.update((first,))
+        self.handle.registerTimer(end)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        first, piece = self.first.get()[0], []
+        for row in self.rows.get():
+            piece.append(row)
+            if len(piece) == 10_000:
+                yield self._told(key, piece, first)
+                piece = []
+        if piece:
+            yield self._told(key, piece, first)
+        self.rows.clear()
+        self.first.clear()
+
+    def _told(self, key, rows: list, first: int) -> pd.DataFrame:
+        return self._routed(key, pd.Series([r[0] for r in rows]), pd.Series([r[1] > first for r in rows]))
+
+    @staticmethod
+    def _routed(key, ids: pd.Series, late: pd.Series | bool) -> pd.DataFrame:
+        return pd.DataFrame({"event_id": ids, "subject": key[0], "day": key[1], "late": late, "open": False})
+
+    def close(self) -> None:
+        pass
 
 
 def gate_late(events: DataFrame, delay: str) -> DataFrame:
-    """Rows of closed (subject, day) groups, marked late if they became known after the group's first row.
+    """(event_id, user_id, day, late, open) of every row: late if it became known after its (subject, day) group's first row.
 
-    Two chained streams. The first keeps one minimum for each open group and gives it out when the watermark passes the day's
-    end, after which its state is dropped; the second joins rows with the closed groups. Nothing that was routed is rewritten,
-    and an earlier row that arrives while its day is open still moves the decision point.
+    Groups are told when the watermark passes the day's end; until then an earlier row still moves the decision point, after that
+    nothing is rewritten. Rows of days still open when the source is exhausted are read from the state store and marked ``open``,
+    with ``late`` as far as is known. No row is in no output or in two.
     """
     spark = events.sparkSession
-    day = F.window("at", "1 day")
-    firsts = events.withWatermark("at", delay).groupBy("user_id", day).agg(F.min("at").alias("first")).select(
-        "user_id", F.to_date(as_wall(F.col("window.start"))).alias("day"), "first")
-    closed = spark.read.schema(firsts.schema).parquet(drain(firsts, "gate-firsts"))
-    rows = events.select("event_id", "user_id", F.to_date("ts").alias("day"), "at")
-    return run_to_table(rows.join(closed, ["user_id", "day"]).withColumn("late", F.col("at") > F.col("first")).drop("first"), "gate")
+    at = F.unix_micros("at")
+    # the processor gets the time as a number: Spark itself drops rows behind the watermark where the time column goes on;
+    # and subjects as text, since its groups must not have null keys
+    subject = F.coalesce(F.col("user_id").cast("string"), F.lit("")).alias("subject")
+    rows = events.withWatermark("at", delay).select("event_id", subject, F.floor(at / (DAY_MS * 1000)).alias("day"), at.alias("at"))
+    with _rocksdb(spark):
+        out = rows.groupBy("subject", "day").transformWithStateInPandas(
+            statefulProcessor=Gate(), outputStructType=GATED, outputMode="Append", timeMode="EventTime")
+        path, progress = drain(out, "gate")
+    told = spark.read.schema(GATED).parquet(path)
+    held = spark.read.format("statestore").option("stateVarName", "rows").load(progress).select("key.*", "list_element.*")
+    first = spark.read.format("statestore").option("stateVarName", "first").load(progress).select("key.*", F.col("value.at").alias("first"))
+    open_ = held.join(first, ["subject", "day"]).select("event_id", "subject", "day", (F.col("at") > F.col("first")).alias("late"), F.lit(True).alias("open"))
+    named = F.when(F.col("subject") != "", F.col("subject")).cast("bigint").alias("user_id")
+    return told.unionByName(open_).select("event_id", named, F.date_from_unix_date(F.col("day").cast("int")).alias("day"), "late", "open")
+
+
+@contextmanager
+def _rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside keep their state in RocksDB, which stateful processors need."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def indicator_state(alpha: float) -> Callable:
