@@ -80,6 +80,22 @@ def test_components_equal_brute_force(spark, monkeypatch, width, limit):
         assert r["kept"] == (i is None or want[i] == i)
 
 
+@pytest.mark.parametrize("width", [2, 5])
+def test_ids_with_several_texts(spark, width):
+    words = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcdef"]
+    rows = [(1, words[0]), (1, words[1]), (2, words[0] + " more"), (3, words[1] + " more"), (4, words[2]), (5, words[2]), (5, words[3]), (6, words[3] + " x"),
+            (7, words[4]), (7, words[4]), (8, words[5]), (9, words[5] + " y"), (9, None), (9, "")]
+    rows += [(100 + i % 7, f"{words[i % 6]} tail{i}") for i in range(40)] + [(200 + i, t) for i, t in corpus(3, 6, [3])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    want, _ = brute(rows, width)
+    root = {}
+    for i, _ in rows:  # rows of one id are one document
+        root[i] = want[i]
+    assert {(r["doc_id"], r["component_id"]) for r in D.near_duplicates(df, width).collect()} == set(root.items())
+    small = spark.createDataFrame(rows[:4], "doc_id bigint, text string")
+    assert {(r["doc_id"], r["component_id"], r["kept"]) for r in D.near_duplicates(small, width).collect()} == {(1, 1, True), (2, 1, False), (3, 1, False)}
+
+
 def test_sql_and_spark_agree(spark, folder):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{folder}/documents.parquet'")

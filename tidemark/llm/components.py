@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import materialise
+from tidemark.session import discard, materialise
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -23,9 +23,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(id, root) of every id in ``links`` (a, b): root is the smallest id of its component. Ids without links are not listed."""
     a, b = F.col("a"), F.col("b")
-    edges = links.filter(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+    before, edges = None, links.filter(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     while True:
         edges = materialise(_small_star(_large_star(edges)), "edges")
+        if before is not None:
+            discard(before)
+        before = edges
         ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(
             edges.select(F.col("v").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
         open_ = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up = 1 and down = 1)")

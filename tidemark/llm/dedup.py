@@ -1,13 +1,14 @@
 """Near-duplicate detection: a chosen-path set similarity join over word shingles.
 
-A document is its set of shingles. Documents with equal sets form a class and go on as one. Each tree branches the documents by
-minwise tokens: a node is the documents that share the tokens chosen along its path. Nodes of at most ``NODE_LIMIT`` documents
-are compared exhaustively by sketches; larger ones are branched again, unless most of their documents are close to a few of
-their own members: those are compared with these pivots instead. Independent trees are repeated to the target recall.
+A document is its set of shingles. Documents with equal sets form a class, which has a number of its own and goes on as one; below,
+documents are classes. Each tree branches the documents by minwise tokens: a node is the documents that share the tokens chosen
+along its path. Nodes of at most ``NODE_LIMIT`` documents are compared exhaustively by sketches, nodes of the same documents once;
+larger ones are branched again, unless most of their documents are close to a few of their own members: those are compared with
+these pivots instead. Independent trees are repeated to the target recall.
 
 Links are wanted for components, so the pairs that the sketches let through are confirmed in two steps: first one partner for
-each document of a node (and the pivots), then, with the components found, every remaining pair whose documents are still in
-different components. All confirmations are exact, on full sets made from the texts.
+each document, then, with the components found, every remaining pair whose documents are still in different components; no text
+moves for the others. All confirmations are exact, on full sets made from the texts.
 
 Recall: a pair of similarity s meets in a tree with probability at least 1 - (1 - s * (1 - (1 - s * f) ** 2)) ** 4, where f is
 0.99 or more for nodes that are branched on (three children for each level). At s = 0.8 a tree misses 0.3 % of such pairs, and
@@ -21,12 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Words, mix, over_arrow, pick, slices
 from tidemark.llm.components import components
-from tidemark.session import materialise
+from tidemark.session import discard, materialise
 
 TOKENS = 63
 LANES = 7  # tokens in a long of the sketch, 8 bits apart, the top byte free
@@ -67,6 +68,16 @@ def shingles(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return key, np.searchsorted(row, np.arange(len(counts) + 1))
 
 
+def _digests(key: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Two 64-bit sums that identify each set; zero for an empty one."""
+    full = np.diff(first) > 0
+    out = np.zeros((2, len(full)), "int64")
+    if full.any():
+        for k in range(2):
+            out[k, full] = np.add.reduceat(mix(key ^ _U(0xA5A5 + k)), first[:-1][full]).view("int64")
+    return out
+
+
 def signatures(docs: DataFrame, width: int) -> DataFrame:
     """Size, digest and minwise tokens of each document's set; no tokens for an empty set."""
 
@@ -76,12 +87,10 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
         full = n > 0
         begin = first[:-1][full]
         tokens = np.zeros((batch.num_rows, TOKENS), "int32")
-        digest = np.zeros((2, batch.num_rows), "int64")
+        digest = _digests(key, first)
         if len(begin):
             for k in range(TOKENS):
                 tokens[full, k] = (np.minimum.reduceat(key * _ODD[k], begin) >> _U(32)).astype("uint32").view("int32")
-            for k in range(2):
-                digest[k, full] = np.add.reduceat(mix(key ^ _U(0xA5A5 + k)), begin).view("int64")
         flat = pa.FixedSizeListArray.from_arrays(pa.array(tokens.reshape(-1)), TOKENS).cast(pa.list_(pa.int32()))
         return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n), pa.array(digest[0]), pa.array(digest[1]), flat],
                                           names=["doc_id", "n_shingles", "set_a", "set_b", "tokens"])
@@ -139,29 +148,36 @@ def _next_nodes(rows: DataFrame, reps: DataFrame) -> DataFrame:
 def _nodes(reps: DataFrame, sketched: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(node, doc) of nodes to compare exhaustively, (node, doc) of dense nodes, and (a, b) of documents near to their pivots.
 
+    Nodes of the same documents have one leader, the smallest; it alone is compared, but all of them are branched on.
     Pivots of a node are the documents with the smallest hashes, so nodes that share documents tend to share pivots.
     """
     rows, small, dense, pivots = _first_nodes(reps), [], [], []
     for level in range(LEVELS + 1):
         rows = materialise(rows, "nodes")
+        several = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        shared = materialise(rows.join(several, "node"), "shared-nodes")
         picked = [F.min_by("doc", F.xxhash64("doc", F.lit(j))).alias(f"p{j}") for j in range(PIVOTS)]
-        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), *picked).filter("n > 1")
-        rows = materialise(rows.join(sizes, "node"), "sized-nodes")
-        small.append(rows.filter(f"n <= {NODE_LIMIT}").select("node", "doc"))
-        large = rows.filter(f"n > {NODE_LIMIT}")
+        members = [F.bit_xor(F.xxhash64("doc", F.lit(100 + j))).alias(f"m{j}") for j in range(2)]
+        shapes = shared.groupBy("node", "n").agg(*picked, *members)
+        shapes = shapes.withColumn("lead", F.min("node").over(Window.partitionBy("n", "m0", "m1"))).drop("n", "m0", "m1")
+        sized = materialise(shared.join(shapes, "node"), "sized-nodes")
+        discard(rows, shared)
+        leaders = sized.filter("node = lead")
+        small.append(leaders.filter(f"n <= {NODE_LIMIT}").select("node", "doc"))
+        large = sized.filter(f"n > {NODE_LIMIT}")
         if not large.head(1):
             break
-        near = materialise(_near_pivots(large, sketched, least), "near-pivots")
+        near = materialise(_near_pivots(large.filter("node = lead"), sketched, least), "near-pivots")
         counts = [F.count_if(F.col("j") == j) for j in range(PIVOTS)]
         packed = near.groupBy("node", "n").agg(F.greatest(F.lit(0), *counts).alias("near"))
         packed = packed.select("node") if level == LEVELS else packed.filter("near * 2 >= n").select("node")
-        packed = materialise(packed, "dense-nodes")
+        packed = materialise(packed, "dense-nodes").select(F.col("node").alias("lead"))
         pivots.append(near.select("a", "b"))
         if level == LEVELS:
-            dense.append(large.select("node", "doc"))
+            dense.append(large.filter("node = lead").select("node", "doc"))
             break
-        dense.append(large.join(packed, "node", "left_semi").select("node", "doc"))
-        rows = _next_nodes(large.join(packed, "node", "left_anti").select("node", "doc"), reps)
+        dense.append(large.filter("node = lead").join(packed, "lead", "left_semi").select("node", "doc"))
+        rows = _next_nodes(large.join(packed, "lead", "left_anti").select("node", "doc"), reps)
     empty = reps.select(F.col("doc").alias("node"), "doc").limit(0)
     return _union(small or [empty]), _union(dense or [empty]), _union(pivots or [empty.select(F.col("node").alias("a"), F.col("doc").alias("b"))])
 
@@ -271,47 +287,90 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -
     return dealt_out.mapInArrow(run, "a bigint, b bigint")
 
 
+KEYS = ["n_shingles", "set_a", "set_b"]
+
+
+def _texts(docs: DataFrame, wanted: DataFrame, repeated: DataFrame, width: int) -> DataFrame:
+    """(doc, text) of the classes in ``wanted`` (doc, rep and ``KEYS``): a text of the row that stands for the class.
+
+    Ids that stand in several rows are told apart by the digest of their texts.
+    """
+    rows = pick(docs, ["doc_id", "text"])
+    one = wanted.join(repeated, "rep", "left_anti").select("doc", "rep")
+    out = rows.join(one, rows["doc_id"] == one["rep"]).select("doc", "text")
+    if not repeated.head(1):
+        return out
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        key, first = shingles(batch.column(1), width)
+        digest = _digests(key, first)
+        return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(np.diff(first)), pa.array(digest[0]), pa.array(digest[1]), batch.column(1)],
+                                          names=["rep", *KEYS, "text"])
+
+    told = over_arrow(rows.join(repeated, rows["doc_id"] == repeated["rep"], "left_semi"), ["doc_id", "text"], run,
+                      "rep bigint, n_shingles bigint, set_a bigint, set_b bigint, text string")
+    return out.unionAll(told.join(wanted, ["rep", *KEYS]).select("doc", "text").dropDuplicates(["doc"]))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document.
 
     Documents are linked if intersection / union of their sets of ``width``-word shingles is ``similarity`` or more (in whole
     percent); component_id is the smallest doc_id that links reach. Null or wordless text: an empty set, linked with nothing.
     Null id: linked with nothing, component_id null, kept. Repeated rows: the same result each. Rows of one id with different
-    texts: each row by its own text, linked under that id. Empty table: no rows. Extra columns are ignored.
+    texts: each row by its own text, and all of them as one document, so what any of them is linked with is in one component.
+    Empty table: no rows. Extra columns are ignored.
     """
     least = least_equal(similarity)
     base = materialise(signatures(docs, width), "signatures")
     usable = base.filter("n_shingles > 0 and doc_id is not null")
-    keys = ["n_shingles", "set_a", "set_b"]
-    classes = materialise(usable.groupBy(*keys).agg(F.min("doc_id").alias("doc")), "classes")
-    reps = usable.withColumnRenamed("doc_id", "doc").join(classes, [*keys, "doc"]).select("doc", "tokens")
-    reps = materialise(reps.dropDuplicates(["doc", "tokens"]), "representatives")
+    classes = usable.groupBy(*KEYS).agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"))
+    classes = materialise(classes.withColumn("doc", F.monotonically_increasing_id()), "classes")
+    repeated = materialise(base.filter("doc_id is not null").groupBy(F.col("doc_id").alias("rep")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("rep"), "repeated-ids")
+    reps = classes.select("doc", "tokens")
 
     sketched = materialise(reps.select("doc", *sketch()), "sketches")
     small, dense, near_pivots = _nodes(reps, sketched, least)
     near = materialise(compare_nodes(small.join(sketched, "doc").withColumn("label", F.col("doc")), least, False), "near-rows")
     dense = materialise(dense, "dense-rows")
     pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    first = near.filter("partner is not null").select(F.col("partner").alias("a"), F.col("doc").alias("b")).unionAll(near_pivots.select("a", "b"))
-    first = materialise(first.filter("a <> b").select(*pair).distinct(), "first-pairs")
+    first = near.filter("partner is not null").select(F.col("partner").alias("a"), F.col("doc").alias("b")).unionAll(near_pivots)
+    first = materialise(first.filter("a <> b").select(*pair).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first-pairs")
     wanted = near.select("doc").unionAll(dense.select("doc")).distinct()
-    texts = materialise(pick(docs, ["doc_id", "text"]).withColumnRenamed("doc_id", "doc").join(wanted, "doc", "left_semi"), "candidate-texts")
+    wanted = materialise(wanted.join(classes.select("doc", "rep", *KEYS), "doc"), "wanted")
+    texts = materialise(_texts(docs, wanted, repeated, width), "candidate-texts")
     labels = materialise(components(confirm(first, texts, width, similarity)), "labels")
 
     label = F.coalesce("root", "doc").alias("label")
     rest = compare_nodes(near.join(labels, near["doc"] == labels["id"], "left").select("node", "doc", label, *SKETCH), least, True)
-    rest = materialise(rest.filter("a <> b").select(*pair).distinct().join(first, ["a", "b"], "left_anti"), "second-pairs")
+    ends = [labels.select(F.col("id").alias(c), F.col("root").alias(f"r{c}")) for c in "ab"]
+    apart = near_pivots.join(ends[0], "a", "left").join(ends[1], "b", "left").filter("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
+    rest = materialise(rest.unionAll(apart).filter("a <> b").select(*pair).distinct().join(first, ["a", "b"], "left_anti"), "second-pairs")
     dense = dense.join(labels, dense["doc"] == labels["id"], "left").select("node", "doc", label)
     more = materialise(confirm(rest, texts, width, similarity).unionAll(_across(dense, texts, width, similarity)), "second-links")
+    discard(texts, sketched, near)
     roots = _merged(labels, more) if more.head(1) else labels
 
-    named = classes.join(roots, classes["doc"] == roots["id"], "left").select(*keys, F.coalesce("root", "doc").alias("reached"))
+    lowest = roots.join(classes.select(F.col("doc").alias("id"), "rep"), "id").groupBy("root").agg(F.min("rep").alias("lowest"))
+    named = roots.join(lowest, "root").select(F.col("id").alias("doc"), "lowest")
+    named = classes.select("doc", "rep", *KEYS).join(named, "doc", "left").select(*KEYS, F.coalesce("lowest", "rep").alias("reached"))
     own = F.when(F.col("n_shingles") > 0, F.coalesce("reached", "doc_id")).otherwise(F.col("doc_id"))
-    out = base.select("doc_id", *keys).join(named, keys, "left")
+    out = base.select("doc_id", *KEYS).join(named, KEYS, "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), own))
+    if repeated.head(1):
+        out = _one_document(out, repeated)
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def _one_document(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Joins the components that rows of one id are in."""
+    rows = materialise(rows, "reached")
+    held = rows.join(repeated.withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "component_id").distinct()
+    held = held.join(held.groupBy("doc_id").agg(F.min("component_id").alias("a")), "doc_id").select("a", F.col("component_id").alias("b"))
+    joined = materialise(components(held), "joined").select(F.col("id").alias("component_id"), "root")
+    return rows.join(joined, "component_id", "left").withColumn("component_id", F.coalesce("root", "component_id"))
+
+
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """(id, root) after more links: components of the roots that the links join."""
     at = labels.select(F.col("id").alias("a"), F.col("root").alias("ra")), labels.select(F.col("id").alias("b"), F.col("root").alias("rb"))
