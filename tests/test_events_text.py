@@ -96,19 +96,6 @@ def test_titles(spark):
     assert one(spark, "2023季报", TX.fiscal_label_end) is None
 
 
-@pytest.mark.parametrize("title,code", [
-    ("关于首次回购公司股份的公告", "event.repurchase_capital.repurchase_first_execution"),
-    ("关于回购股份方案的公告", "event.repurchase_capital.repurchase_proposal"),
-    ("关于回购股份方案的更正公告", "unclassified"),
-    ("关于聘任副总经理的公告", "unclassified"),
-    ("关于公司收到行政处罚决定书的公告", "event.regulation_risk.administrative_penalty"),
-])
-def test_issuer_title_rules(spark, title, code):
-    from tidemark.functions.title_rules import BLOCKED, ISSUER_TITLES
-
-    assert one(spark, title, lambda c: TX.classify(c, ISSUER_TITLES, BLOCKED)) == code
-
-
 @pytest.mark.parametrize("raw,want", [("1,234.50", 1234.5), ("(12)", -12.0), ("¥3.5", 3.5), ("--", None), ("HK$ 7", 7.0), ("abc", None)])
 def test_numbers(spark, raw, want):
     got = one(spark, raw, BK.number)

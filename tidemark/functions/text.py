@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Sequence
-from dataclasses import dataclass
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -71,25 +68,6 @@ def artifact_problem(text: Column, text_sha: Column, pages_json: Column, page_co
     )
 
 
-@dataclass(frozen=True)
-class TitleRule:
-    code: str
-    pattern: str
-    excluded: str | None = None
-
-
-def classify(title: Column, rules: Sequence[TitleRule], blocked: Sequence[str] = ()) -> Column:
-    """Code of the first rule whose pattern matches and whose exclusion does not."""
-    stop = reduce(lambda a, b: a | b, [title.rlike(b) for b in blocked], F.lit(False))
-
-    def hit(r: TitleRule) -> Column:
-        m = title.rlike(r.pattern)
-        return m & ~title.rlike(r.excluded) if r.excluded else m
-
-    first = F.coalesce(*[F.when(hit(r), F.lit(r.code)) for r in rules])
-    return F.coalesce(F.when(~stop, first), F.lit("unclassified"))
-
-
 # Endings of issuer report titles.
 ANNUAL = r"(?:^|:)20\d{2}年?年度报告$"
 SEMIANNUAL = r"(?:^|:)20\d{2}年?(?:半年度|半年)报告$"

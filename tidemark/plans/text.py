@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import broker as BK
 from tidemark.functions import text as TX
 from tidemark.functions.kleene import compare
+from tidemark.functions.title_rules import COLUMN_CODES, ISSUER_TITLES, NEGATED, REVISED
+from tidemark.operators.titles import classified
 from tidemark.plans.joins import ACT, FACTS, KEYS
 from tidemark.plans.atoms import VALUATION
 from tidemark.plans.ledger import HOURS
@@ -73,18 +75,56 @@ def x05(spark, folder):
     return d.select("doc_id", F.col("n").cast("long").alias("pages"), TX.artifact_problem(F.col("body"), F.col("sha"), F.col("pages_json"), F.col("n")).alias("problem"))
 
 
-RULES = (TX.TitleRule("contract", "tion|ment", "the"), TX.TitleRule("dividend", "^[A-D]"), TX.TitleRule("litigation", "ou"))
-TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
+# How an order's title is made from a rule's sample: number of the form, text before, text after.
+TITLE_FORMS = ((0, "", ""), (1, "甲公司：", ""), (2, "", "的更正公告"), (3, "网传", ""), (4, "关于 ", "　（２０２４年）"), (5, "", "之进展完成公告"),
+               (6, "尚未完成", ""), (7, "2024年第一季度报告", ""), (8, "2023年度报告", "摘要"), (9, "回购股份方案修订", ""), (10, "2023年年度报告", ""))
+BARE = (7, 10)  # forms without the sample
+SAMPLES = [r.sample for r in ISSUER_TITLES]
+PROVIDER_CODES = [*COLUMN_CODES, "999"]
 
 
-def titles(spark, folder):
-    return table(spark, folder, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
-
-
-@query("x06_title_classes", f"""WITH t AS (SELECT page_id, {TITLE} AS title FROM pages) SELECT page_id, CASE WHEN regexp_matches(title, '\\*\\*\\*') THEN 'unclassified'
- WHEN regexp_matches(title, 'tion|ment') AND NOT regexp_matches(title, 'the') THEN 'contract' WHEN regexp_matches(title, '^[A-D]') THEN 'dividend' WHEN regexp_matches(title, 'ou') THEN 'litigation' ELSE 'unclassified' END AS code FROM t""")
+def issuer_titles(spark, folder):
+    """One announcement for each order: a title and, for some, the provider's codes."""
+    k = F.col("o_orderkey")
+    n = (F.floor(k / len(SAMPLES)) % len(TITLE_FORMS)).cast("int")
+    item = lambda values, i: F.get(F.array(*map(F.lit, values)), i.cast("int"))
+    sample = F.when(n.isin(*BARE), "").otherwise(item(SAMPLES, k % len(SAMPLES)))
+    title = F.concat(item([f[1] for f in TITLE_FORMS], n), sample, item([f[2] for f in TITLE_FORMS], n))
+    codes = F.when(k % 5 == 0, F.array(item(PROVIDER_CODES, F.floor(k / 5) % 8), item(PROVIDER_CODES, F.floor(k / 7) % 8)))
+    return table(spark, folder, "orders").select("o_orderkey", F.when(k % 97 != 0, title).alias("title"), codes.alias("codes"))
+
+
+def _sql_list(values):
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+def _sql_rules():
+    """Every rule's pattern tried in order, without any index."""
+    hit = lambda r: f"regexp_matches(t, '{r.pattern}')" + (f" AND NOT regexp_matches(t, '{r.excluded}')" if r.excluded else "")
+    whens = " ".join(f"WHEN {hit(r)} THEN '{r.id}'" for r in ISSUER_TITLES)
+    return f"CASE {whens} END"
+
+
+X06 = f"""WITH o AS (SELECT o_orderkey, CAST(o_orderkey // {len(SAMPLES)} % {len(TITLE_FORMS)} AS INT) AS f FROM orders),
+b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE {_sql_list(x[1] for x in TITLE_FORMS)}[f + 1] || CASE WHEN f IN {BARE} THEN '' ELSE {_sql_list(SAMPLES)}[o_orderkey % {len(SAMPLES)} + 1] END
+  || {_sql_list(x[2] for x in TITLE_FORMS)}[f + 1] END AS title,
+  CASE WHEN o_orderkey % 5 = 0 THEN list_sort([{_sql_list(PROVIDER_CODES)}[o_orderkey // 5 % 8 + 1], {_sql_list(PROVIDER_CODES)}[o_orderkey // 7 % 8 + 1]]) END AS codes FROM o),
+n AS (SELECT o_orderkey, title, coalesce(replace(replace(translate(title, '：（）２０４', ':()204'), ' ', ''), '　', ''), '') AS t, list_filter(codes, lambda c: c <> '999')[1] AS named FROM b),
+m AS (SELECT *, CASE named {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in COLUMN_CODES.items())} END AS code, regexp_matches(t, '{REVISED}') AS revised, {_sql_rules()} AS rule FROM n),
+c AS (SELECT *, CASE WHEN regexp_matches(t, '{NEGATED}') THEN 'unclassified'
+  WHEN named IS NOT NULL THEN CASE WHEN revised AND NOT (code LIKE '%repurchase_change' AND regexp_matches(t, '回购股份.*修订|修订.*回购股份') AND NOT regexp_matches(t, '撤回|撤销|取消|更正|补充')) THEN 'unclassified'
+    WHEN code LIKE 'event.financial_results.%' AND regexp_matches(t, '摘要|英文版|外文版|更正|修订|取消|撤回|撤销|更新|补充公告|补充说明') THEN 'unclassified'
+    WHEN code LIKE '%.annual_report' AND NOT regexp_matches(t, '(^|:)20[0-9]{{2}}年?年度报告$') THEN 'unclassified'
+    WHEN code LIKE '%.semiannual_report' AND NOT regexp_matches(t, '(^|:)20[0-9]{{2}}年?(半年度|半年)报告$') THEN 'unclassified'
+    WHEN code LIKE '%.quarterly_report' AND NOT regexp_matches(t, '(^|:)20[0-9]{{2}}年?(第?[一1]季度|第?[三3]季度)报告$') THEN 'unclassified' ELSE 'column_code' END
+  WHEN revised OR rule IS NULL THEN 'unclassified' ELSE 'title_rule' END AS method FROM m)
+SELECT o_orderkey, title, CASE method WHEN 'column_code' THEN code WHEN 'title_rule' THEN map_extract(MAP {{{', '.join(f"'{r.id}': '{r.code}'" for r in ISSUER_TITLES)}}}, rule)[1] ELSE 'event.announcement.unclassified' END AS event_code,
+  method, CASE method WHEN 'column_code' THEN 'column:' || named WHEN 'title_rule' THEN rule END AS rule_id FROM c"""
+
+
+@query("x06_title_classes", X06)
 def x06(spark, folder):
-    return titles(spark, folder).select("page_id", TX.classify(F.col("title"), RULES, (r"\*\*\*",)).alias("code"))
+    return classified(issuer_titles(spark, folder), "title", "codes").drop("codes")
 
 
 REPORT_SQL = """ti AS (SELECT o_orderkey AS id, o_custkey AS issuer, CAST(20 || lpad(CAST(o_orderkey % 30 AS VARCHAR), 2, '0') AS VARCHAR) || '年' || ['第一季度报告', '半年度报告', '第三季度报告', '年度报告'][o_orderkey % 4 + 1]
