@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import scratch_path
+
 DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SLICE_BYTES = 4 << 20
 WORD = r"[^\x20\x09-\x0D]+"
@@ -61,6 +64,17 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
+def co_located(df: DataFrame, label: str, column: str) -> DataFrame:
+    """``df`` as a table in the shared folder, bucketed by ``column``: joins on it move the other side only."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name, path = f"{label}_{uuid.uuid4().hex}", scratch_path(spark, label)
+    df.repartition(parts, column).write.format("parquet").bucketBy(parts, column).sortBy(column).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out.scratch = path
+    return out
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64."""
     h = (h ^ (h >> _U(30))) * _U(0xBF58476D1CE4E5B9)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Words, mix, over_arrow, pick, slices
+from tidemark.llm.common import Words, co_located, mix, over_arrow, pick, slices
 from tidemark.llm.components import components
 from tidemark.session import discard, materialise
 
@@ -338,7 +338,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     first = materialise(first.filter("a <> b").select(*pair).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first-pairs")
     wanted = near.select("doc").unionAll(dense.select("doc")).distinct()
     wanted = materialise(wanted.join(classes.select("doc", "rep", *KEYS), "doc"), "wanted")
-    texts = materialise(_texts(docs, wanted, repeated, width), "candidate-texts")
+    texts = co_located(_texts(docs, wanted, repeated, width), "candidate_texts", "doc")
     labels = materialise(components(confirm(first, texts, width, similarity)), "labels")
 
     label = F.coalesce("root", "doc").alias("label")
