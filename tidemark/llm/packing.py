@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import pick, slices
 from tidemark.session import materialise
 
-CACHE_WORDS = 400_000
+SLICE = 1 << 20  # bytes of text at a time
+CACHE_WORDS = 200_000
 _MARK = "^"
 _SPLIT = re.compile(r"([a-z])([!-&(-/:-@\[-`{-~]+)")
 
@@ -124,7 +125,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, with_ids:
         tok, part = tokenizer(tokenizer_path), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype="int64")
         for batch in batches:
-            for rows in slices(batch, 1):
+            for rows in slices(batch, 1, SLICE):
                 ids, at = tok.encode(rows.column(1))
                 sizes = np.diff(at) + 1  # with the final 0
                 flat = np.zeros(len(ids) + len(sizes), dtype="<u4")
