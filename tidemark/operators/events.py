@@ -52,14 +52,19 @@ def _candidates(rows: DataFrame, by: list[str], target: str) -> DataFrame:
     return pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min(target).alias("_one"))
 
 
-def assign_identity(obs: DataFrame, scope: list[str], fact: str, document: str, title: str, day: str) -> DataFrame:
+def assign_identity(obs: DataFrame, scope: list[str], fact: str, document: str, title: str, day: str, id: str | None = None) -> DataFrame:
     """Identity of each observation: external fact, else document, else title and date.
 
+    With ``id``, unique and not null, the lookups move only the columns that they compare and the rest joins at the end.
+
     An observation without a fact attaches to one when its document (or title
     and date) names exactly one; several candidates isolate it. Documents that
     share a title and date isolate each other. Lookup tables hold one row per
     identity, so joining a hot identity never multiplies rows.
     """
+    if id is not None:
+        told = assign_identity(obs.select(id, *scope, fact, document, title, day), scope, fact, document, title, day)
+        return obs.join(told.select(id, "identity", "conflict"), id)
     td = [*scope, day, title]
     o = obs
     facts = o.filter(F.col(fact).isNotNull())
@@ -124,28 +129,72 @@ def shared_documents(obs: DataFrame, scope: list[str], fact: str, document: str,
 
 # ---- fusion ---------------------------------------------------------------------------
 
+# Attributes that tell where an observation comes from, not what it says; names are compared in lower case.
+PROVENANCE_NAMES = ("document_url", "ingested_at", "provider", "source_event_id", "source_url", "time_quality", "validation_status", "external_fact_id")
+PROVENANCE_PREFIXES = ("raw_", "publisher", "extractor", "discovery")
+
+
+def is_semantic(name: Column) -> Column:
+    low = F.lower(name)
+    return reduce(lambda a, p: a & ~low.startswith(p), PROVENANCE_PREFIXES, ~low.isin(*PROVENANCE_NAMES))
+
+
+def scalar_identity(value: Column) -> Column:
+    """A JSON scalar so that equal values have equal texts: numbers without trailing zeros, everything else as it stands."""
+    number = value.rlike(r"^-?[0-9]")
+    plain = F.regexp_replace(F.when(number, value).cast("decimal(38,12)").cast("string"), r"\.?0+$", "")
+    return F.when(number, plain).otherwise(value)
+
+
+def long_attributes(obs: DataFrame, columns: list[str], attributes: str) -> DataFrame:
+    """One row (columns, name, value) for each entry of the attribute map; values are JSON scalars."""
+    return obs.select(*columns, F.explode(attributes).alias("name", "value"))
+
 
-def critical_conflicts(obs: DataFrame, keys: list[str], fields: dict[str, Column]) -> DataFrame:
-    """One row per identity and field on which its observations disagree."""
-    spread = {n: (F.min(c) != F.max(c)) for n, c in fields.items()}
-    g = obs.groupBy(*keys).agg(*[F.coalesce(c, F.lit(False)).alias(n) for n, c in spread.items()])
+def critical_conflicts(obs: DataFrame, keys: list[str], fields: dict[str, Column], fact: str | None = None, dated: str | None = None,
+                       attributes: str | None = None) -> DataFrame:
+    """(keys, code, name): one row for each way in which the observations of an identity disagree.
+
+    ``fields`` maps a conflict code to the column that must not differ among the rows that state it. The code ``dated`` does not
+    count where all stated external facts are one. ``attributes``, a map of JSON scalars, adds ``attribute_conflict`` for each
+    semantic name with several values; a stated null is a value. Minima and maxima only: no group is collected.
+    """
+    spread = {n: F.coalesce(F.min(c) != F.max(c), F.lit(False)) for n, c in fields.items()}
+    if dated is not None:
+        spread[dated] = spread[dated] & F.coalesce(F.min(fact) != F.max(fact), F.lit(True))
+    g = obs.groupBy(*keys).agg(*[c.alias(n) for n, c in spread.items()])
     named = F.array_compact(F.array(*[F.when(F.col(n), F.lit(n)) for n in fields]))
-    return g.select(*keys, F.explode(named).alias("field"))
+    out = g.select(*keys, F.explode(named).alias("code"), F.lit(None).cast("string").alias("name"))
+    if attributes is None:
+        return out
+    said = long_attributes(obs, keys, attributes).filter(is_semantic(F.col("name"))).withColumn("_v", scalar_identity(F.col("value")))
+    split = said.groupBy(*keys, "name").agg((F.min("_v") != F.max("_v")).alias("_split")).filter("_split")
+    return out.unionByName(split.select(*keys, F.lit("attribute_conflict").alias("code"), "name"))
 
 
-def fuse(obs: DataFrame, keys: list[str], rank: str, id: str, available: str, carry: list[str], conflicts: DataFrame, best_rank: int = 0) -> DataFrame:
+def fuse(obs: DataFrame, keys: list[str], rank: str, id: str, available: str, carry: list[str], conflicts: DataFrame, best_rank: int = 0,
+         attributes: str | None = None) -> DataFrame:
     """One fused event per identity.
 
-    The source order is fixed; the first source with a usable time is selected,
-    its gaps are filled from the others in order. Coverage says how much of the
-    event can be traded on.
+    The source order is fixed; the first source with a usable time is selected, and what it does not state is filled from the
+    others in order, usable or not. Coverage says how much of the event can be traded on.
+
+    ``attributes``, a map of JSON scalars, is fused by name in long form and folded back to a map: only names meet in a group,
+    never its observations. A stated null is a value and is not filled.
     """
     usable = F.when(F.col(available).isNotNull(), 0).otherwise(1)
+
+    def chosen(value: Column, stated: Column) -> list[Column]:
+        """The value of the best source that states it, with and without regard to its time."""
+        lead = F.min(F.when(stated, F.struct(usable.alias("u"), F.col(rank), F.col(id), value.alias("v"))))
+        return [lead.alias("_lead"), F.min(F.when(stated, F.struct(F.col(rank), F.col(id), value.alias("v")))).alias("_fill")]
+
+    def filled(lead: Column, fill: Column) -> Column:
+        return F.when(lead[id] == F.col(f"_s.{id}"), lead["v"]).otherwise(fill["v"])
+
     first = F.min(F.struct(usable.alias("u"), F.col(rank), F.col(id), F.col(available)))
-    filled = {c: F.min(F.when(F.col(c).isNotNull(), F.struct(usable.alias("u"), F.col(rank), F.col(id), F.col(c)))) for c in carry}
-    g = obs.groupBy(*keys).agg(
-        first.alias("_s"), F.count(F.lit(1)).alias("sources"), *[v.alias(f"_f_{c}") for c, v in filled.items()]
-    )
+    kept = {c: F.struct(*chosen(F.col(c), F.col(c).isNotNull())) for c in carry}
+    g = obs.groupBy(*keys).agg(first.alias("_s"), F.count(F.lit(1)).alias("sources"), *[v.alias(f"_f_{c}") for c, v in kept.items()])
     bad = conflicts.select(*keys).distinct().withColumn("_bad", F.lit(True))
     g = g.join(bad, keys, "left")
     coverage = (
@@ -154,14 +203,27 @@ def fuse(obs: DataFrame, keys: list[str], rank: str, id: str, available: str, ca
         .when(F.col(f"_s.{rank}") == best_rank, "complete")
         .otherwise("partial")
     )
-    return g.select(
-        *keys,
+    out = [
         F.col(f"_s.{id}").alias("selected"),
         F.when(F.col("_bad").isNull(), F.col(f"_s.{available}")).alias("available_at"),
         "sources",
-        *[F.col(f"_f_{c}.{c}").alias(c) for c in carry],
+        *[filled(F.col(f"_f_{c}._lead"), F.col(f"_f_{c}._fill")).alias(c) for c in carry],
         coverage.alias("coverage"),
-    )
+    ]
+    if attributes is not None:
+        said = long_attributes(obs, [*keys, rank, id, available], attributes)
+        by_name = said.groupBy(*keys, "name").agg(*chosen(F.col("value"), F.lit(True)))
+        folded = by_name.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("name", "_lead", "_fill"))).alias("_names"))
+        g = g.join(folded, keys, "left")
+        entries = F.transform("_names", lambda x: F.struct(x["name"].alias("name"), filled(x["_lead"], x["_fill"]).alias("value")))
+        out.append(F.map_from_entries(F.coalesce(entries, F.array().cast("array<struct<name:string,value:string>>"))).alias(attributes))
+    return g.select(*keys, *out)
+
+
+def provenance(obs: DataFrame, fused: DataFrame, keys: list[str], rank: str, id: str, columns: list[str]) -> DataFrame:
+    """The sources of every fused event, one row each with ``selected`` and the source order; never one list per event."""
+    picked = fused.select(*keys, F.col("selected").alias("_selected"))
+    return obs.join(picked, keys).select(*keys, id, rank, *columns, (F.col(id) == F.col("_selected")).alias("selected"))
 
 
 # ---- revision chains --------------------------------------------------------------------

@@ -12,6 +12,7 @@ from tidemark.plans.registry import query
 from tidemark.plans.atoms import FFILL_PE
 from tidemark.plans.sql import BARS, NUMBERED, cross, lag, roll
 from tidemark.plans.text import KEYK
+from tidemark.session import materialise
 from tidemark.sources import market as mk
 from tidemark.sources.tables import table
 
@@ -20,7 +21,12 @@ OBS = f"""e0 AS (SELECT event_id, user_id, CAST(ts AS DATE) AS day, event_type A
 ob AS (SELECT *, 'code' || k % 2 AS event_code, 'Notice ' || k % 7 AS title, CASE WHEN k % 3 = 0 THEN 'doc' || user_id % 50 || '-' || k % 5 END AS document,
  CASE WHEN k % 5 = 0 THEN 'fact' || user_id || '-' || k % 4 END AS fact, k % 3 AS revision_no, CASE WHEN value > 50 THEN 'up' ELSE 'down' END AS direction,
  CASE WHEN value < 100 AND k % 11 <> 0 THEN CASE WHEN date_trunc('second', ts) = ts THEN ts ELSE date_trunc('second', ts) + INTERVAL 1 SECOND END + to_seconds(k) END AS available,
- ['initial', 'Amended', 'withdrawn', NULL, 'odd', 'original', 'correction', NULL][k % 8 + 1] AS revision_type FROM e0)"""
+ ['initial', 'Amended', 'withdrawn', NULL, 'odd', 'original', 'correction', NULL][k % 8 + 1] AS revision_type,
+ CASE WHEN k % 4 <> 0 THEN day - CAST(k % 2 AS INT) END AS occurred FROM e0)"""
+# Attributes of an observation: name, when it is stated, its JSON scalar. Two ways to write a number, a boolean, a stated null.
+ATTRIBUTES = """atr AS (SELECT * FROM (SELECT *, unnest([{'n': 'direction', 'v': '"' || direction || '"'}, {'n': 'amount', 'v': CASE WHEN k % 3 <> 2 THEN CAST(CAST(floor(value) AS BIGINT) % 2 AS VARCHAR) || CASE WHEN k % 2 = 0 THEN '.50' ELSE '.5' END END},
+ {'n': 'audited', 'v': CASE WHEN k % 5 = 1 THEN CASE WHEN value > 50 THEN 'true' ELSE 'false' END END}, {'n': 'counterparty', 'v': CASE WHEN k % 4 = 3 THEN '"c' || user_id % 2 || '"' WHEN k % 4 = 2 THEN 'null' END},
+ {'n': 'raw_notice_date', 'v': '"' || day || '"'}, {'n': 'publisher_desk', 'v': CASE WHEN k % 2 = 0 THEN '"' || provider || '"' END}, {'n': 'Time_Quality', 'v': CASE WHEN available IS NOT NULL THEN '"second"' END}]) AS a FROM TABLE) WHERE a.v IS NOT NULL)"""
 
 
 def observations(spark, folder):
@@ -42,7 +48,21 @@ def observations(spark, folder):
         "direction": F.when(F.col("value") > 50, "up").otherwise("down"),
         "available": market_time(F.col("ts"), vendor, F.col("value") < 100, k % 11 != 0),
         "revision_type": F.element_at(roles, (k % 8 + 1).cast("int")),
-    })
+        "occurred": F.when(k % 4 != 0, F.date_sub("day", (k % 2).cast("int"))),
+    }).withColumn("attributes", stated_attributes())
+
+
+def stated_attributes():
+    k, quoted = F.col("k"), lambda c: F.concat(F.lit('"'), c.cast("string"), F.lit('"'))
+    half = F.concat((F.floor("value") % 2).cast("string"), F.when(k % 2 == 0, ".50").otherwise(".5"))
+    values = {
+        "direction": quoted(F.col("direction")), "amount": F.when(k % 3 != 2, half),
+        "audited": F.when(k % 5 == 1, F.when(F.col("value") > 50, "true").otherwise("false")),
+        "counterparty": F.when(k % 4 == 3, F.concat(F.lit('"c'), (F.col("user_id") % 2).cast("string"), F.lit('"'))).when(k % 4 == 2, "null"),
+        "raw_notice_date": quoted(F.col("day")), "publisher_desk": F.when(k % 2 == 0, quoted(F.col("provider"))),
+        "Time_Quality": F.when(F.col("available").isNotNull(), '"second"'),
+    }
+    return F.map_filter(F.create_map(*[x for n, v in values.items() for x in (F.lit(n), v)]), lambda _, v: v.isNotNull())
 
 
 REVKEY = "provider, user_id, day, revision_no"
@@ -73,12 +93,13 @@ SCOPE = ["user_id", "event_code"]
 
 
 def identified(spark, folder):
-    return E.assign_identity(observations(spark, folder), SCOPE, "fact", "document", "title", "day")
+    return E.assign_identity(observations(spark, folder), SCOPE, "fact", "document", "title", "day", "event_id")
 
 
 @query("e02_identity", f"WITH {IDENT} SELECT event_id, identity, conflict FROM id")
 def e02(spark, folder):
-    return identified(spark, folder).select("event_id", "identity", "conflict")
+    o = E.assign_identity(observations(spark, folder).select("event_id", *SCOPE, "fact", "document", "title", "day"), SCOPE, "fact", "document", "title", "day")
+    return o.select("event_id", "identity", "conflict")
 
 
 @query("e03_shared_identities", f"""WITH {OBS} SELECT {SC}, 'document' AS kind, document AS name, count(DISTINCT fact) AS candidates FROM ob WHERE fact IS NOT NULL AND document IS NOT NULL GROUP BY ALL HAVING count(DISTINCT fact) > 1
@@ -89,7 +110,12 @@ def e03(spark, folder):
 
 # title identities are per day, so the local date is part of the group key
 GROUPED = f"""{IDENT}, gp AS (SELECT *, identity || CASE WHEN identity LIKE 'title:%' THEN '@' || day ELSE '' END AS gid FROM id WHERE conflict IS NULL AND identity IS NOT NULL),
-cc AS (SELECT {SC}, gid, min(direction) <> max(direction) AS direction, coalesce(min(fact) <> max(fact), false) AS fact, min(day) <> max(day) AND count(DISTINCT fact) <> 1 AS day FROM gp GROUP BY ALL)"""
+{ATTRIBUTES.replace("TABLE", "gp")},
+cc AS (SELECT {SC}, gid, unnest([{{'code': 'external_fact_id_conflict', 'bad': coalesce(min(fact) <> max(fact), false)}}, {{'code': 'occurred_at_conflict', 'bad': count(DISTINCT occurred) > 1}},
+  {{'code': 'announcement_date_conflict', 'bad': min(day) <> max(day) AND count(DISTINCT fact) <> 1}}]) AS c FROM gp GROUP BY {SC}, gid),
+ac AS (SELECT {SC}, gid, c.code AS code, CAST(NULL AS VARCHAR) AS name FROM cc WHERE c.bad UNION ALL
+  SELECT {SC}, gid, 'attribute_conflict', a.n FROM atr WHERE a.n NOT IN ('raw_notice_date', 'publisher_desk', 'Time_Quality')
+  GROUP BY {SC}, gid, a.n HAVING count(DISTINCT CASE WHEN a.n = 'amount' THEN CAST(TRY_CAST(a.v AS DOUBLE) AS VARCHAR) ELSE a.v END) > 1)"""
 GROUP = ["user_id", "event_code", "gid"]
 
 
@@ -100,36 +126,54 @@ def grouped(spark, folder):
 
 
 def conflicts_of(o):
-    c = E.critical_conflicts(o, GROUP, {"direction": F.col("direction"), "fact": F.col("fact"), "day": F.col("day")})
-    one_fact = o.filter("fact is not null").select(*GROUP, "fact").distinct().groupBy(*GROUP).agg(F.count(F.lit(1)).alias("_n")).filter("_n = 1")
-    dated = c.filter("field = 'day'").join(one_fact.select(*GROUP), GROUP, "left_anti")
-    return c.filter("field <> 'day'").unionByName(dated)
+    fields = {"external_fact_id_conflict": F.col("fact"), "instrument_conflict": F.col("user_id"), "event_code_conflict": F.col("event_code"),
+              "occurred_at_conflict": F.col("occurred"), "announcement_date_conflict": F.col("day")}
+    return E.critical_conflicts(o, GROUP, fields, "fact", "announcement_date_conflict", "attributes")
 
 
-@query("e05_critical_conflicts", f"WITH {GROUPED} SELECT {SC}, gid, 'direction' AS field FROM cc WHERE direction UNION ALL SELECT {SC}, gid, 'fact' FROM cc WHERE fact UNION ALL SELECT {SC}, gid, 'day' FROM cc WHERE day")
+@query("e05_critical_conflicts", f"WITH {GROUPED} SELECT {SC}, gid, code, name FROM ac")
 def e05(spark, folder):
     return conflicts_of(grouped(spark, folder))
 
 
+@query("e05_document_conflicts", f"""WITH {OBS}, dc AS (SELECT document, unnest([{{'code': 'external_fact_id_conflict', 'bad': count(DISTINCT fact) > 1}}, {{'code': 'instrument_conflict', 'bad': count(DISTINCT user_id) > 1}},
+ {{'code': 'event_code_conflict', 'bad': count(DISTINCT event_code) > 1}}, {{'code': 'occurred_at_conflict', 'bad': count(DISTINCT occurred) > 1}},
+ {{'code': 'announcement_date_conflict', 'bad': count(DISTINCT day) > 1 AND count(DISTINCT fact) <> 1}}]) AS c FROM ob WHERE document IS NOT NULL GROUP BY 1) SELECT document, c.code AS code, CAST(NULL AS VARCHAR) AS name FROM dc WHERE c.bad""")
+def e05_documents(spark, folder):
+    """Observations that name one document, whatever instrument and event code they give it."""
+    o = observations(spark, folder).filter("document is not null")
+    fields = {"external_fact_id_conflict": F.col("fact"), "instrument_conflict": F.col("user_id"), "event_code_conflict": F.col("event_code"),
+              "occurred_at_conflict": F.col("occurred"), "announcement_date_conflict": F.col("day")}
+    return E.critical_conflicts(o, ["document"], fields, "fact", "announcement_date_conflict")
+
+
 FUSED = f"""{GROUPED},
-fu AS (SELECT {SC}, gid, arg_min(event_id, {{'u': available IS NULL, 'r': rank, 'e': event_id}}) AS selected, arg_min(rank, {{'u': available IS NULL, 'r': rank, 'e': event_id}}) AS sr,
- arg_min(available, {{'u': available IS NULL, 'r': rank, 'e': event_id}}) AS av, count(*) AS sources, bool_and(available IS NULL) AS untimed,
- arg_min(fact, {{'u': available IS NULL, 'r': rank, 'e': event_id}}) FILTER (WHERE fact IS NOT NULL) AS fact, arg_min(document, {{'u': available IS NULL, 'r': rank, 'e': event_id}}) FILTER (WHERE document IS NOT NULL) AS document FROM gp GROUP BY ALL),
-fz AS (SELECT fu.*, cc.direction OR cc.fact OR cc.day AS bad FROM fu JOIN cc USING ({SC}, gid)),
+sl AS (SELECT *, first_value(event_id) OVER (PARTITION BY {SC}, gid ORDER BY available IS NULL, rank, event_id) AS sel FROM gp),
+fu AS (SELECT {SC}, gid, any_value(sel) AS selected, arg_min(rank, {{'s': event_id <> sel, 'r': rank, 'e': event_id}}) AS sr, max(CASE WHEN event_id = sel THEN available END) AS av, count(*) AS sources, bool_and(available IS NULL) AS untimed,
+ arg_min(fact, {{'s': event_id <> sel, 'r': rank, 'e': event_id}}) FILTER (WHERE fact IS NOT NULL) AS fact, arg_min(document, {{'s': event_id <> sel, 'r': rank, 'e': event_id}}) FILTER (WHERE document IS NOT NULL) AS document FROM sl GROUP BY ALL),
+an AS (SELECT {SC}, gid, a.n AS n, arg_min(a.v, {{'s': event_id <> sel, 'r': atr.rank, 'e': event_id}}) AS v FROM atr JOIN (SELECT event_id, sel FROM sl) USING (event_id) GROUP BY ALL),
+aj AS (SELECT {SC}, gid, '{{' || string_agg('"' || n || '":' || v, ',' ORDER BY n) || '}}' AS attributes FROM an GROUP BY ALL),
+fz AS (SELECT fu.*, aj.attributes, b.gid IS NOT NULL AS bad FROM fu LEFT JOIN (SELECT DISTINCT {SC}, gid FROM ac) b USING ({SC}, gid) LEFT JOIN aj USING ({SC}, gid)),
 fv AS (SELECT *, CASE WHEN bad THEN 'conflicted' WHEN untimed THEN 'unavailable' WHEN sr = 0 THEN 'complete' ELSE 'partial' END AS coverage FROM fz)"""
 
 
 def fused(spark, folder):
-    from tidemark.session import materialise
-
-    # identities feed both the conflict check and the fusion: written once, read twice
+    # identities feed the conflict check and the fusion: written once, read by both
     o = materialise(grouped(spark, folder), "identities")
-    return E.fuse(o, GROUP, "rank", "event_id", "available", ["fact", "document"], conflicts_of(o))
+    return E.fuse(o, GROUP, "rank", "event_id", "available", ["fact", "document"], conflicts_of(o), attributes="attributes"), o
 
 
-@query("e04_fused_events", f"WITH {FUSED} SELECT {SC}, gid, selected, CASE WHEN NOT bad THEN min(av) END AS available_at, sources, fact, document FROM fv GROUP BY ALL".replace("CASE WHEN NOT bad THEN min(av) END AS available_at", "CASE WHEN NOT bad AND NOT untimed THEN av END AS available_at").replace(" FROM fv GROUP BY ALL", " FROM fv"))
+@query("e04_fused_events", f"WITH {FUSED} SELECT {SC}, gid, selected, CASE WHEN NOT bad AND NOT untimed THEN av END AS available_at, sources, fact, document, attributes FROM fv")
 def e04(spark, folder):
-    return fused(spark, folder).select(*GROUP, "selected", "available_at", "sources", "fact", "document")
+    entry = F.transform(F.map_entries("attributes"), lambda x: F.concat(F.lit('"'), x["key"], F.lit('":'), x["value"]))
+    text = F.concat(F.lit("{"), F.array_join(entry, ","), F.lit("}")).alias("attributes")
+    return fused(spark, folder)[0].select(*GROUP, "selected", "available_at", "sources", "fact", "document", text)
+
+
+@query("e04_provenance", f"WITH {FUSED} SELECT {SC}, gid, event_id, rank, provider, revision_no, available, event_id = sel AS selected FROM sl")
+def e04_provenance(spark, folder):
+    events, o = fused(spark, folder)
+    return E.provenance(o, events, GROUP, "rank", "event_id", ["provider", "revision_no", "available"])
 
 
 @query("a15_fusion_groups", f"WITH {GROUPED} SELECT {SC}, gid, count(*) AS observations, count(DISTINCT provider) AS providers, min(rank) AS best_rank, max(revision_no) AS last_revision FROM gp GROUP BY ALL")
@@ -140,7 +184,7 @@ def a15(spark, folder):
 
 @query("e06_coverage", f"WITH {FUSED} SELECT {SC}, gid, coverage, coverage IN ('complete', 'partial') AS tradable FROM fv")
 def e06(spark, folder):
-    return fused(spark, folder).select(*GROUP, "coverage", F.col("coverage").isin("complete", "partial").alias("tradable"))
+    return fused(spark, folder)[0].select(*GROUP, "coverage", F.col("coverage").isin("complete", "partial").alias("tradable"))
 
 
 ROLE = "CASE WHEN revision_type IS NULL THEN CASE WHEN revision_no = 0 THEN 'initial' END WHEN revision_type IN ('initial', 'original') THEN 'initial' WHEN revision_type IN ('Amended', 'correction') THEN 'supersession' WHEN revision_type = 'withdrawn' THEN 'withdrawal' END"
