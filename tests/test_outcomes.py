@@ -7,12 +7,13 @@ from tidemark.operators import metrics as M
 from tidemark.operators import outcomes as O
 
 
-@pytest.mark.parametrize("falls", [True, False])
-def test_first_passage_equals_scan(make_bars, falls):
+@pytest.mark.parametrize("falls, width", [(True, 32), (False, 32), (True, 3), (False, 4)])
+def test_first_passage_equals_scan(make_bars, monkeypatch, falls, width):
+    monkeypatch.setattr(O, "WIDTH", width)  # a low width makes a hierarchy of several levels
     rng = np.random.default_rng(3)
     series = {i: list(rng.uniform(50, 150, n)) for i, n in ((1, 10), (2, 64), (3, 200))}
     b = make_bars(series).withColumn("rn", DAILY.row()).select("instrument", "rn", "close")
-    factor = 0.7 if falls else 1.6
+    factor = 0.62 if falls else 1.8
     got = O.first_passage(b, b.withColumn("thr", F.col("close") * factor), "thr", falls, "at").collect()
     for r in got:
         xs = series[r["instrument"]]
@@ -83,3 +84,33 @@ def test_metrics_of_a_known_curve(make_bars):
 def test_scenarios_with_equal_settings_run_once():
     assert [s[0] for s in M.scenarios(0.0, 0.05)] == ["base", "participation_2_5pct", "participation_10pct"]
     assert len(M.scenarios(10.0, 0.05)) == 5
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_non_overlapping_equals_sequential_choice(spark, seed):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for key, n in (("a", 1), ("b", 40), ("c", 700), (None, 3)):
+        for i in range(n):
+            start = int(rng.integers(0, 3 * n))
+            rows.append((key, start, start + int(rng.integers(0, 4)), len(rows)))
+    df = spark.createDataFrame(rows, "instrument string, rn int, exit_rn int, id int").repartition(3)
+    want, last = [], {}
+    for key, start, end, _ in sorted((r for r in rows if r[0]), key=lambda r: r[:3]):
+        if start > last.get(key, -1):
+            want.append((key, start, end))
+            last[key] = end
+    got = sorted((r["instrument"], r["rn"], r["exit_rn"]) for r in O.non_overlapping(df).collect() if r["instrument"])
+    assert got == want and len([w for w in want if w[0] == "c"]) > 128
+
+
+def test_records_are_enough_for_trailing_stops(make_bars):
+    rng = np.random.default_rng(8)
+    series = {i: list(rng.uniform(80, 120, 150)) for i in range(3)}
+    b = make_bars(series).withColumn("rn", DAILY.row()).withColumn("go", F.col("rn") % 17 == 3)
+    marked = O.with_records(b, F.col("go"), DAILY).select("instrument", "rn", "_record").collect()
+    assert 0 < sum(r["_record"] for r in marked) < len(marked) / 2
+    for r in marked:
+        xs, j = series[r["instrument"]], r["rn"]
+        entry = max((k for k in range(3, j, 17)), default=None)
+        assert r["_record"] == (entry is not None and all(xs[k - 1] < xs[j - 1] for k in range(entry + 1, j)))

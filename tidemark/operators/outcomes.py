@@ -1,8 +1,8 @@
 """What followed each trigger: exits under configurable rules, set-based.
 
 No rule enumerates (trigger, future bar) pairs. Signal and calendar exits are a
-minimum over the following rows; price exits use ``first_passage``, which looks
-at one block of 64 bars, the block extrema of the instrument and one more block.
+minimum over the following rows; price exits use ``first_passage``, which climbs
+and descends a hierarchy of block extrema, one row a level.
 """
 
 from __future__ import annotations
@@ -10,47 +10,55 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import DAILY, Axis
+from tidemark.session import materialise
 
-BLOCK = 64
+WIDTH = 32  # bars in a block, blocks in a block of blocks
+
+
+def _hierarchy(bars: DataFrame, key: str) -> list[DataFrame]:
+    """(key, up, at, lo, hi) for bars and for blocks of ``WIDTH``, ``WIDTH`` squared, ... bars, until a key is one block."""
+    longest = bars.agg(F.max("rn")).first()[0] or 0
+    levels, size = [bars.select(key, (F.col("rn") - 1).cast("long").alias("at"), F.col("close").alias("lo"), F.col("close").alias("hi"))], WIDTH
+    while size < longest:
+        below = levels[-1].withColumn("at", F.floor(F.col("at") / WIDTH))
+        levels.append(materialise(below.groupBy(key, "at").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), "block-extrema"))
+        size *= WIDTH
+    return [x.withColumn("up", F.floor(F.col("at") / WIDTH)) for x in levels]
 
 
 def first_passage(bars: DataFrame, starts: DataFrame, threshold: str, falls: Column | bool, out: str, key: str = "instrument") -> DataFrame:
     """First bar after each start whose close is at or beyond the start's threshold.
 
-    ``starts`` carries (key, rn, threshold column); ``out`` is the bar number or NULL.
+    ``starts`` carries (key, rn, threshold column), rows of which may repeat; ``out`` is the bar number or NULL. A start looks for
+    the first sibling after itself that holds a hit, first among the bars of its block, then among the blocks of the next
+    level and so on, and from there down to the bar: equality joins on (key, block), each with at most ``WIDTH`` candidates,
+    of which the smallest stays. Blocks, not keys, are the unit of work, so a long key is many tasks.
     """
-    blk = F.floor((F.col("rn") - 1) / BLOCK).cast("int")
     down = falls if isinstance(falls, Column) else F.lit(falls)
-
-    def hit(low: Column, high: Column) -> Column:
-        return F.when(down, low <= F.col(threshold)).otherwise(high >= F.col(threshold))
-
-    blocks = bars.groupBy(key, blk.alias("_b")).agg(
-        F.array_sort(F.collect_list(F.struct("rn", "close"))).alias("_rows"),
-        F.min("close").alias("_lo"),
-        F.max("close").alias("_hi"),
-    )
-    summary = blocks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_b", "_lo", "_hi"))).alias("_sum"))
-    rows = blocks.select(key, "_b", "_rows")
-
-    def first_row(after: Column | None = None) -> Column:
-        def ok(x):
-            return hit(x["close"], x["close"]) if after is None else (x["rn"] > after) & hit(x["close"], x["close"])
-
-        return F.array_min(F.transform(F.filter("_rows", ok), lambda x: x["rn"]))
-
-    s = starts.withColumn("_b", blk).join(rows, [key, "_b"], "left")
-    s = s.withColumn("_own", first_row(F.col("rn"))).drop("_rows")
-    s = s.join(summary, key, "left")
-    later = F.filter("_sum", lambda x: (x["_b"] > F.col("_b")) & hit(x["_lo"], x["_hi"]))
-    s = s.withColumn("_b", F.when(F.col("_own").isNull(), F.array_min(F.transform(later, lambda x: x["_b"])))).drop("_sum")
-    s = s.join(rows, [key, "_b"], "left")
-    return s.withColumn(out, F.coalesce("_own", first_row())).drop("_b", "_own", "_rows")
+    hit = F.when(F.col("_falls"), F.col("lo") <= F.col("_thr")).otherwise(F.col("hi") >= F.col("_thr"))
+    levels = _hierarchy(bars.select(key, "rn", "close"), key)
+    s = starts.select(key, "rn", F.col(threshold).alias("_thr"), down.alias("_falls")).filter("_thr is not null").distinct()
+    s = s.withColumns({"_at": (F.col("rn") - 1).cast("long"), "_level": F.lit(None).cast("int")})
+    who = [key, "rn", "_thr", "_falls", "_at", "_level"]
+    for n, nodes in enumerate(levels):  # up: a start that has found nothing goes on as its block
+        asks = s.withColumn("up", F.floor(F.col("_at") / WIDTH))
+        asks = asks.withColumn("up", F.when(F.col("_level").isNull(), F.col("up")))
+        met = asks.join(nodes, [key, "up"], "left").groupBy(*who, "up").agg(F.min(F.when((F.col("at") > F.col("_at")) & hit, F.col("at"))).alias("_hit"))
+        found = F.col("_hit").isNotNull()
+        s = met.select(key, "rn", "_thr", "_falls", F.when(found, F.col("_hit")).when(F.col("_level").isNull(), F.col("up")).otherwise(F.col("_at")).alias("_at"),
+                       F.when(found, n).otherwise(F.col("_level")).alias("_level"))
+    s = s.filter("_level is not null")
+    for n in range(len(levels) - 1, 0, -1):  # down: a block that holds the first hit goes on as the first child that does
+        asks = s.withColumn("up", F.when(F.col("_level") == n, F.col("_at")))
+        met = asks.join(levels[n - 1], [key, "up"], "left").groupBy(*who, "up").agg(F.min(F.when(hit, F.col("at"))).alias("_hit"))
+        here = F.col("_level") == n
+        s = met.select(key, "rn", "_thr", "_falls", F.when(here, F.col("_hit")).otherwise(F.col("_at")).alias("_at"), F.when(here, n - 1).otherwise(F.col("_level")).alias("_level"))
+    answers = s.select(key, "rn", F.col("_thr").alias(threshold), F.col("_falls").alias("_down"), (F.col("_at") + 1).cast("int").alias(out))
+    return starts.withColumn("_down", down).join(answers, [key, "rn", threshold, "_down"], "left").drop("_down")
 
 
 def first_passages(bars: DataFrame, starts: DataFrame, asks: dict[str, tuple[Column, bool, Column | None]],
@@ -65,6 +73,18 @@ def first_passages(bars: DataFrame, starts: DataFrame, asks: dict[str, tuple[Col
     return answered.groupBy(key, "rn").agg(*[F.max(F.when(F.col("_ask") == n, F.col("_at"))).alias(n) for n in asks])
 
 
+def with_records(bars: DataFrame, entry: Column, axis: Axis = DAILY, out: str = "_record") -> DataFrame:
+    """Marks bars whose close is above all closes since the last entry before them.
+
+    The close that a trailing stop falls from is such a bar, whatever entry the position has; bars that are not, and bars before
+    the first entry, need not be asked.
+    """
+    b = bars.withColumn("_leg", F.coalesce(F.sum(F.when(entry, 1).otherwise(0)).over(axis.so_far(-1)), F.lit(0)))
+    before = Window.partitionBy(*axis.keys, "_leg").orderBy("rn").rowsBetween(Window.unboundedPreceding, -1)
+    higher = F.coalesce(F.col("close") > F.max("close").over(before), F.lit(True))
+    return b.withColumn(out, (F.col("_leg") > 0) & higher).drop("_leg")
+
+
 @dataclass(frozen=True)
 class Hold:
     sessions: int
@@ -124,7 +144,9 @@ def label_exits(bars: DataFrame, trigger: str, rules: Sequence[Rule], axis: Axis
             asks[f"_at{n}"] = (F.col("close") * (1 + sign * r.pct / 100), sign < 0, usable)
         elif isinstance(r, TrailingStop):
             # the stop fires at the earliest bar that has fallen by pct from any close since entry
-            asks[f"_drop{n}"] = (F.col("close") * (1 - r.pct / 100), True, None)
+            asks[f"_drop{n}"] = (F.col("close") * (1 - r.pct / 100), True, F.col("_record"))
+    if any(isinstance(r, TrailingStop) for r in rules):
+        b = with_records(b, usable, axis)
     if asks:
         b = b.join(first_passages(b.select(key, "rn", "close"), b, asks, key), [key, "rn"], "left")
     for n, r in enumerate(rules):
@@ -176,20 +198,29 @@ def outcomes(bars: DataFrame, trigger: str, rules: Sequence[Rule], axis: Axis =
 def non_overlapping(trades: DataFrame, key: str = "instrument", start: str = "rn", end: str = "exit_rn") -> DataFrame:
     """Keep a trade only if it starts after the last kept one ended.
 
-    The choice is sequential: one pass over the sorted candidates of an instrument, of which there is at most one per session.
+    Each candidate knows the first one after its exit. From the first candidate of a key the kept ones are a chain of such steps;
+    tables of 1, 2, 4, ... steps, each the join of the one before with itself, reach every member of the chain in as many joins as
+    its length has binary digits.
     """
-    at, until = trades.columns.index(start), trades.columns.index(end)
-
-    def keep(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values([start, end], ignore_index=True)
-        chosen, last = [], -1
-        for i, (s, e) in enumerate(zip(batch.iloc[:, at].tolist(), batch.iloc[:, until].tolist())):
-            if s > last:
-                chosen.append(i)
-                last = e
-        return batch.iloc[chosen]
-
-    return trades.groupBy(key).applyInPandas(keep, trades.schema)
+    numbered = Window.partitionBy(key).orderBy(start, end)
+    t = materialise(trades.withColumn("_i", F.row_number().over(numbered)), "candidates")
+    none = F.lit(None).cast("int")
+    begins = t.select(key, F.col(start).alias("_x"), F.lit(0).alias("_asks"), none.alias("_i"), F.col("_i").alias("_to"))
+    exits = t.select(key, F.greatest(start, end).alias("_x"), F.lit(1).alias("_asks"), "_i", none.alias("_to"))
+    later = Window.partitionBy(key).orderBy(F.desc("_x"), F.desc("_asks"), F.desc("_to")).rowsBetween(Window.unboundedPreceding, 0)
+    steps = begins.unionAll(exits).withColumn("_to", F.last("_to", ignorenulls=True).over(later)).filter("_asks = 1 and _to is not null").select(key, "_i", "_to")
+    tables = []
+    while True:
+        steps = materialise(steps, "steps")
+        if not steps.head(1):
+            break
+        tables.append(steps)
+        on = steps.select(key, F.col("_i").alias("_to"), F.col("_to").alias("_on"))
+        steps = steps.join(on, [key, "_to"]).select(key, "_i", F.col("_on").alias("_to"))
+    kept = t.filter("_i = 1").select(key, "_i")
+    for steps in reversed(tables):
+        kept = kept.join(steps, [key, "_i"], "left").select(key, F.explode(F.array_compact(F.array("_i", "_to"))).alias("_i"))
+    return t.join(kept, [key, "_i"]).select(*trades.columns)
 
 
 def entry_occurrences(df: DataFrame, state: str, axis: Axis, out: str = "occurrence") -> DataFrame:

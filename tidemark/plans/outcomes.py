@@ -19,11 +19,11 @@ from tidemark.sources.tables import table
 BUY, REV = "ma_5_cross_up_10", "ma_5_cross_down_10"
 _G = f"(({roll('avg', 'close', 5)}) - ({roll('avg', 'close', 10)}))"
 TRIG = f"""{BARS}, {NUMBERED},
-g AS (SELECT *, {_G} AS g, max(rn) OVER (PARTITION BY instrument) AS last_rn, lead(open) OVER (PARTITION BY instrument ORDER BY session_date) AS buy_price,
+g AS MATERIALIZED (SELECT *, {_G} AS g, max(rn) OVER (PARTITION BY instrument) AS last_rn, lead(open) OVER (PARTITION BY instrument ORDER BY session_date) AS buy_price,
   lead(session_date) OVER (PARTITION BY instrument ORDER BY session_date) AS next_date FROM v),
-a AS (SELECT *, coalesce(rn > 11 AND {lag('g')} <= 0 AND g > 0, false) AS buy,
+a AS MATERIALIZED (SELECT *, coalesce(rn > 11 AND {lag('g')} <= 0 AND g > 0, false) AS buy,
              coalesce(rn > 11 AND {lag('g')} >= 0 AND g < 0, false) AS rev FROM g),
-tr AS (SELECT * FROM a WHERE buy AND rn < last_rn AND buy_price > 0)"""
+tr AS MATERIALIZED (SELECT * FROM a WHERE buy AND rn < last_rn AND buy_price > 0)"""
 
 
 def flagged(spark, folder):
@@ -51,7 +51,7 @@ RULES = {
     "quarter": (O.PeriodEnd("quarter_end"), future("date_trunc('quarter', f.session_date) <> date_trunc('quarter', f.next_date)"),
                 "hit_hold_until_quarter_end", "force_close_end_no_quarter_end_seen"),
 }
-TRAIL = """pk AS (SELECT tr.instrument, tr.rn AS t0, f.rn, f.close,
+TRAIL = """pk AS MATERIALIZED (SELECT tr.instrument, tr.rn AS t0, f.rn, f.close,
   max(f.close) OVER (PARTITION BY tr.instrument, tr.rn ORDER BY f.rn) AS peak
   FROM tr JOIN a f ON f.instrument = tr.instrument AND f.rn > tr.rn),
 td AS (SELECT instrument, t0, min(rn) AS at FROM pk WHERE close <= peak * (1 - CAST(60 AS DOUBLE) / 100) GROUP BY 1, 2)"""
@@ -132,10 +132,11 @@ def o12(spark, folder):
     ax = DAILY
     b = flagged(spark, folder).withColumns({"rn": ax.row(), "anchor": ax.lead("open")})
     entry = (F.col(BUY) == 1) & (F.col("anchor") > 0)
+    b = O.with_records(b, entry, ax)
     low = 1 - 60.0 / 100
     found = O.first_passages(b.select("instrument", "rn", "close"), b, {
         "_tp": (F.col("anchor") * 1.5, False, entry), "_sl": (F.col("anchor") * (1 - 30.0 / 100), True, entry),
-        "_tr": (F.col("anchor") * low, True, entry), "_drop": (F.col("close") * low, True, None)})
+        "_tr": (F.col("anchor") * low, True, entry), "_drop": (F.col("close") * low, True, F.col("_record"))})
     t = b.join(found, ["instrument", "rn"], "left").withColumn("_trail", F.min("_drop").over(ax.ahead(1)))
     t = t.filter(entry).withColumn("_tr", F.least("_tr", "_trail"))
     first = F.array_min(F.array(*[
