@@ -5,6 +5,7 @@ import pytest
 
 from pyspark.sql import functions as F
 from tidemark.operators import asof
+from tidemark.operators import ledger
 from tidemark.operators.ledger import fifo, linked_returns, running
 
 D0 = date(2024, 1, 1)
@@ -84,8 +85,9 @@ def sequential_fifo(rows):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_fifo_equals_sequential_lots(spark, seed):
+@pytest.mark.parametrize("seed, slots", [(1, 64), (2, 1), (3, 0.1)])
+def test_fifo_equals_sequential_lots(spark, monkeypatch, seed, slots):
+    monkeypatch.setattr(ledger, "SLOTS", slots)  # few trades a bucket: lots reach over many buckets
     rng = np.random.default_rng(seed)
     rows = []
     for k in range(6):

@@ -38,13 +38,16 @@ def buy_cost() -> Column:
     return F.when(F.col("side") == "buy", F.col("quantity") * F.col("price") + F.col("fees")).otherwise(0.0)
 
 
+SLOTS = 64  # average trades in a bucket of the share axis
+
+
 def fifo(trades: DataFrame, keys: Sequence[str] = ("account", "symbol"), day: str = "trade_date", seq: str = "seq") -> DataFrame:
     """First-in-first-out realised P&L, one row per sell.
 
     With B(t), S(t) the shares bought and sold so far and C(x) the cost of the
     first x shares bought, a sell that takes the shares (S0, S1] costs
-    C(S1) - C(S0). C is looked up by position, first among the buy days that a
-    sell day can reach, then inside that buy day; no lot/sell pairs are formed.
+    C(S1) - C(S0). The axis of shares is cut into buckets, long lots at their borders, so both ends of a sell find their
+    lot inside one bucket, and a busy key is as many tasks as it has buckets; no lot/sell pairs are formed.
 
     A key becomes incomplete at its first uncovered sell, or on a day with both
     sides and a time known only to the day; from there on its P&L is NULL.
@@ -52,15 +55,17 @@ def fifo(trades: DataFrame, keys: Sequence[str] = ("account", "symbol"), day: st
     keys = list(keys)
     date_only = F.col("precision") == "date_only"
     days = trades.groupBy(*keys, day).agg(
-        F.sum(qty("buy")).alias("bq"), F.sum(qty("sell")).alias("sq"), F.sum(buy_cost()).alias("bc"), F.bool_or(date_only).alias("_vague")
+        F.sum(qty("buy")).alias("bq"), F.sum(qty("sell")).alias("sq"), F.sum(buy_cost()).alias("bc"), F.count(F.lit(1)).alias("_n"), F.bool_or(date_only).alias("_vague")
     )
     days = days.withColumn("_mixed", (F.col("bq") > 0) & (F.col("sq") > 0) & F.col("_vague")).drop("_vague")
     w = before(*keys, order=day)
     days = days.withColumns(
         {n: F.coalesce(F.sum(c).over(w), F.lit(0.0)) for n, c in (("b0", "bq"), ("s0", "sq"), ("c0", "bc"))}
     )
-    # one row per key and day, read by four consumers below
+    # one row per key and day, read by three consumers below
     days = materialise(days, "ledger-days")
+    shares, n = days.agg(F.sum(F.col("bq") + F.col("sq")), F.sum("_n")).first()
+    width = SLOTS * shares / n if shares else 1.0
     inside = Window.partitionBy(*keys, day).orderBy(seq)
     t = trades.join(days.select(*keys, day, "b0", "s0", "c0", "_mixed"), [*keys, day])
     t = t.withColumns(
@@ -72,41 +77,32 @@ def fifo(trades: DataFrame, keys: Sequence[str] = ("account", "symbol"), day: st
     )
     bad = F.col("_mixed") | ((F.col("side") == "sell") & (F.col("_s") > F.col("_b")))
     t = t.withColumn("_bad_here", F.max(F.when(bad, 1)).over(inside))
+    # the first bad row of each day, then of the days before
     bad_days = t.groupBy(*keys, day).agg(F.max("_bad_here").alias("_bad"))
     bad_days = bad_days.select(*keys, day, F.max("_bad").over(w).alias("_bad_before"))
     t = t.join(bad_days, [*keys, day]).withColumn("complete", F.coalesce("_bad_here", "_bad_before").isNull())
 
-    reach = _reachable_buy_days(days, keys, day)
-    s = t.join(reach, [*keys, day], "left")
     is_sell = F.col("side") == "sell"
     covered = is_sell & F.col("complete")
     kept = [c for c in trades.columns if c not in keys] + ["complete"]
-
-    def lot_day(x: Column) -> Column:
-        return F.element_at(F.filter("_reach", lambda r: r["b0"] <= x), -1)["lot_day"]
-
-    lot = F.struct(
-        (F.col("_b") - F.col("quantity")).alias("b0"),
-        (F.col("_c") - buy_cost()).alias("c0"),
-        (buy_cost() / F.col("quantity")).alias("unit"),
-    )
+    lot = F.struct((F.col("_b") - F.col("quantity")).alias("b0"), (F.col("_c") - buy_cost()).alias("c0"), F.try_divide(buy_cost(), F.col("quantity")).alias("unit"))
     no_lot = F.lit(None).cast("struct<b0:double,c0:double,unit:double>")
-
-    def point(x: Column, sign: float, at: Column) -> Column:
-        return F.struct(at.alias("_lot_day"), x.alias("_x"), F.lit(sign).alias("_sign"), no_lot.alias("_lot"))
-
-    # every row is read once: a buy becomes a lot, a covered sell its two ends, any other sell passes through
     unsigned = F.lit(None).cast("double")
-    as_lot = F.array(F.struct(F.col(day).alias("_lot_day"), (F.col("_b") - F.col("quantity")).alias("_x"), unsigned.alias("_sign"), lot.alias("_lot")))
-    end, start = F.col("_s"), F.col("_s") - F.col("quantity")
-    as_ends = F.array(point(end, 1.0, lot_day(end)), point(start, -1.0, lot_day(start)))
-    as_is = F.array(point(unsigned, 0.0, F.col(day)))
-    both = s.select(*keys, *kept, F.explode(F.when(~is_sell, as_lot).when(covered, as_ends).otherwise(as_is)).alias("_e")).select(
-        *keys, *kept, "_e.*"
-    )
-    by_position = Window.partitionBy(*keys, "_lot_day").orderBy("_x", F.col("_sign").asc_nulls_first()).rowsBetween(
-        Window.unboundedPreceding, 0
-    )
+    left = lambda x: F.floor(x / width)  # noqa: E731  the bucket that begins at or before x
+    right = lambda x: F.ceil(x / width) - 1  # noqa: E731  the bucket that x ends, or lies in
+
+    def point(x: Column, sign: float, bucket: Column) -> Column:
+        return F.struct(bucket.cast("long").alias("_bucket"), x.alias("_x"), F.lit(sign).alias("_sign"), no_lot.alias("_lot"))
+
+    # every row is read once: a buy becomes a lot in each bucket it reaches, a covered sell its two ends, any other sell passes through
+    begin, end = F.col("_b") - F.col("quantity"), F.col("_b")
+    reached = F.sequence(left(begin).cast("long"), F.greatest(left(begin), right(end)).cast("long"))
+    as_lot = F.transform(reached, lambda k: F.struct(k.alias("_bucket"), F.greatest(begin, k * width).alias("_x"), unsigned.alias("_sign"), lot.alias("_lot")))
+    last, first = F.col("_s"), F.col("_s") - F.col("quantity")
+    as_ends = F.array(point(last, 1.0, right(last)), point(first, -1.0, left(first)))
+    as_is = F.array(point(unsigned, 0.0, F.lit(-1)))
+    both = t.select(*keys, *kept, F.explode(F.when(~is_sell, as_lot).when(covered, as_ends).otherwise(as_is)).alias("_e")).select(*keys, *kept, "_e.*")
+    by_position = Window.partitionBy(*keys, "_bucket").orderBy("_x", F.col("_sign").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("_lot", F.last("_lot", ignorenulls=True).over(by_position)).filter(F.col("_sign").isNotNull())
     at = F.col("_lot.c0") + (F.col("_x") - F.col("_lot.b0")) * F.col("_lot.unit")
     rest = [c for c in kept if c not in (day, seq)]
@@ -116,28 +112,6 @@ def fifo(trades: DataFrame, keys: Sequence[str] = ("account", "symbol"), day: st
     return out.select(*trades.columns, "complete", "fifo_cost", pnl.alias("fifo_pnl"))
 
 
-def _reachable_buy_days(days: DataFrame, keys: list[str], day: str) -> DataFrame:
-    """Per sell day, the consecutive buy days whose shares it can consume.
-
-    Day level only: a key has at most one row per calendar day, and the pairs
-    number at most buy days plus sell days.
-    """
-    w = Window.partitionBy(*keys).orderBy(day)
-    buys = days.filter(F.col("bq") > 0).select(*keys, F.col(day).alias("lot_day"), "b0", F.row_number().over(w).alias("_n"))
-    marks = buys.select(*keys, F.col("b0").alias("_x"), F.col("_n").alias("_m"), F.lit(None).cast("date").alias(day), F.lit(0).alias("_e"))
-    sell_days = days.filter(F.col("sq") > 0)
-    ends = sell_days.select(*keys, day, F.explode(F.array(
-        F.struct(F.col("s0").alias("_x"), F.lit(1).alias("_e")), F.struct((F.col("s0") + F.col("sq")).alias("_x"), F.lit(2).alias("_e"))
-    )).alias("_p")).select(*keys, day, "_p.*").withColumn("_m", F.lit(None).cast("int"))
-    at = Window.partitionBy(*keys).orderBy("_x", "_e").rowsBetween(Window.unboundedPreceding, 0)
-    placed = marks.unionByName(ends).withColumn("_k", F.last("_m", ignorenulls=True).over(at)).filter("_e > 0")
-    span = placed.groupBy(*keys, day).agg(
-        F.max(F.when(F.col("_e") == 1, F.col("_k"))).alias("_lo"), F.max(F.when(F.col("_e") == 2, F.col("_k"))).alias("_hi")
-    ).filter("_lo is not null and _hi is not null")
-    pairs = span.select(*keys, day, F.explode(F.sequence("_lo", "_hi")).alias("_n")).join(buys, [*keys, "_n"])
-    return pairs.groupBy(*keys, day).agg(F.array_sort(F.collect_list(F.struct("b0", "lot_day"))).alias("_reach"))
-
-
 def oversold(trades: DataFrame, keys: Sequence[str] = ("account", "symbol")) -> DataFrame:
     """Keys whose running position goes below zero at some trade."""
     signed = qty("buy") - qty("sell")
