@@ -27,7 +27,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     docs = pick(docs, DOC_COLUMNS)
     kept = dedup.near_duplicates(docs, width=5, similarity=0.8).filter("kept and doc_id is not null")
     ids = materialise(kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept-ids")
-    stay = docs.join(ids.select("doc_id"), "doc_id", "left_semi")
+    stay = docs.join(ids.select("doc_id").hint("merge"), "doc_id", "left_semi")
     if ids.filter("n > 1").head(1):
         stay = stay.dropDuplicates(["doc_id", "text"])
     return stay.unionAll(docs.filter("doc_id is null")).select(*DOC_COLUMNS)

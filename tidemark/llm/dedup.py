@@ -296,7 +296,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, repeated: DataFrame, width: int)
     Ids that stand in several rows are told apart by the digest of their texts.
     """
     rows = pick(docs, ["doc_id", "text"])
-    one = wanted.join(repeated, "rep", "left_anti").select("doc", "rep")
+    one = wanted.join(repeated, "rep", "left_anti").select("doc", "rep").hint("merge")  # texts are dealt by id at every size
     out = rows.join(one, rows["doc_id"] == one["rep"]).select("doc", "text")
     if not repeated.head(1):
         return out
@@ -343,9 +343,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
 
     label = F.coalesce("root", "doc").alias("label")
     rest = compare_nodes(near.join(labels, near["doc"] == labels["id"], "left").select("node", "doc", label, *SKETCH), least, True)
-    ends = [labels.select(F.col("id").alias(c), F.col("root").alias(f"r{c}")) for c in "ab"]
-    apart = near_pivots.join(ends[0], "a", "left").join(ends[1], "b", "left").filter("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
-    rest = materialise(rest.unionAll(apart).filter("a <> b").select(*pair).distinct().join(first, ["a", "b"], "left_anti"), "second-pairs")
+    rest = materialise(rest.filter("a <> b").select(*pair).distinct().join(first, ["a", "b"], "left_anti"), "second-pairs")
     dense = dense.join(labels, dense["doc"] == labels["id"], "left").select("node", "doc", label)
     more = materialise(confirm(rest, texts, width, similarity).unionAll(_across(dense, texts, width, similarity)), "second-links")
     discard(texts, sketched, near)

@@ -126,7 +126,9 @@ def train(docs: DataFrame, usable: Column, max_docs: int = 3000, buckets: int =
     labelled = pick(docs, ["doc_id", "text", "lang"]).filter(usable & F.col("lang").isNotNull() & (F.length("text") > 0) & F.col("doc_id").isNotNull())
     ids = labelled.select("doc_id", key.alias("k")).distinct().orderBy("k", "doc_id").limit(max_docs).select("doc_id")
     chosen = labelled.join(F.broadcast(ids), "doc_id", "left_semi")  # max_docs rows of 8 bytes
-    rows = [(r["lang"], np.frombuffer(r["idx"], "<i4"), np.frombuffer(r["cnt"], "<i4")) for r in features(chosen, buckets).collect()]
+    table = features(chosen, buckets).toArrow()  # the arrays below are views of it
+    columns = [table.column(c).to_pylist() if c == "lang" else [np.frombuffer(x.as_buffer(), "<i4") for x in table.column(c)] for c in ("lang", "idx", "cnt")]
+    rows = list(zip(*columns))
     rows.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes()))  # whatever order tasks end in
     rows = [r for r in rows if len(r[1])]
     return fit(rows, buckets, dim, min_steps, rate, seed) if rows else None
