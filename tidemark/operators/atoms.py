@@ -340,16 +340,19 @@ def turnover(df, ax):
 
 
 def pe_below_history(df: DataFrame, ax: Axis, percentiles: tuple[int, ...], lookback: int) -> tuple[DataFrame, dict]:
-    """PE under its own rolling percentile. The frame is bounded by ``lookback`` rows."""
+    """PE under its own rolling percentile, linearly interpolated. The frame is bounded by ``lookback`` rows.
+
+    The value is one of its frame, so its rank alone tells: of n values with e at or below it, the p-th percentile stands at k = p (n - 1) / 100.
+    It is above the value if e is k at most, or if k is no whole number and the value is the last one before it. No percentile is formed.
+    """
     frame = ax.frame(-(lookback - 1), 0)
     df = df.withColumn("_pe", F.last("pe_ttm", ignorenulls=True).over(ax.so_far()))
-    # one sliding pass serves all percentiles
-    cuts = F.percentile("_pe", F.array(*[F.lit(p / 100) for p in percentiles])).over(frame)
-    df = df.withColumns({"_pe_n": F.count("_pe").over(frame), "_pe_q": cuts})
+    df = df.withColumn("_seen", F.collect_list("_pe").over(frame))
+    rank = F.size(F.filter("_seen", lambda y: y <= F.col("_pe")))
+    df = df.withColumns({"_pe_n": F.size("_seen"), "_pe_rank": rank}).drop("_seen")
     ready = (F.col("_pe") > 0) & (F.col("_pe_n") >= lookback // 2)
-    return df, {
-        f"pe_below_history_{p}pct": ready & (F.col("_pe") < F.element_at("_pe_q", i + 1)) for i, p in enumerate(percentiles)
-    }
+    at = lambda p: F.lit(p) * (F.col("_pe_n") - 1)  # noqa: E731  k in hundredths
+    return df, {f"pe_below_history_{p}pct": ready & (100 * (F.col("_pe_rank") - 1) < at(p)) for p in percentiles}
 
 
 @family("pe_history", "fundamental", {"pe_below_history_10pct": 625, "pe_below_history_30pct": 625}, ("ohlcv", "valuation"))
