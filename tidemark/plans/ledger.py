@@ -341,6 +341,22 @@ def k02(spark, folder):
     return search(table(spark, folder, "part"), "p_partkey", ["p_name", "p_brand", "p_partkey"], "red")
 
 
+@query("k02_directory_terms", """WITH p AS (SELECT p_partkey, list_distinct([lower(p_name), lower(p_brand), CAST(p_partkey AS VARCHAR), array_to_string(list_transform(list_filter(string_split(lower(p_name), ' '), lambda w: w <> ''), lambda w: w[1]), '')]) AS ks FROM part),
+k AS (SELECT p_partkey, unnest(ks) AS k FROM p), w AS (SELECT unnest(string_split(lower(p_name), ' ')) AS w FROM part),
+t AS (SELECT w AS term FROM w UNION SELECT substr(w, 1, 2) FROM w UNION SELECT substr(w, 2, 4) FROM w UNION SELECT CAST(p_partkey % 100 AS VARCHAR) FROM part UNION SELECT lower(p_brand) FROM part),
+m AS (SELECT t.term, k.p_partkey, min(CASE WHEN k = term THEN 0 WHEN starts_with(k, term) THEN 1 ELSE 2 END) AS rank FROM t JOIN k ON contains(k, term) WHERE term <> '' GROUP BY 1, 2)
+SELECT term, p_partkey, rank, row_number() OVER (PARTITION BY term ORDER BY rank, p_partkey) AS position FROM m""")
+def k02_terms(spark, folder):
+    """Words of the names, pieces of them, brands and ends of numbers, all looked up at once."""
+    from tidemark.operators.directory import initials, search_terms
+
+    p = table(spark, folder, "part").withColumn("initials", initials(F.col("p_name")))
+    words = p.select(F.explode(F.split(F.lower("p_name"), " ")).alias("w"))
+    terms = words.select(F.explode(F.array("w", F.substring("w", 1, 2), F.substring("w", 2, 4))).alias("term"))
+    terms = terms.unionAll(p.select((F.col("p_partkey") % 100).cast("string"))).unionAll(p.select(F.lower("p_brand")))
+    return search_terms(p, "p_partkey", ["p_name", "p_brand", "p_partkey", "initials"], terms)
+
+
 @query("k03_exact_aliases", """WITH k AS (SELECT p_partkey, unnest([lower(p_name), lower(p_type)]) AS alias FROM part)
 SELECT alias, count(DISTINCT p_partkey) AS matches, count(DISTINCT p_partkey) > 1 AS ambiguous FROM k GROUP BY 1""")
 def k03(spark, folder):
@@ -348,5 +364,3 @@ def k03(spark, folder):
 
     return aliases(table(spark, folder, "part"), "p_partkey", ["p_name", "p_type"])
 
-
-_ = roll
