@@ -426,6 +426,25 @@ def s08(spark, folder):
     return ST.minute_export(rows).select("ts_code", "trade_time", "open", "close", "volume", "rejected")
 
 
+FROM, TO = "2024-01-05", "2024-01-12"
+
+
+@query("s08_minute_range", f"""WITH {HOURS} SELECT event_type AS ts_code, bar_start AS trade_time, CAST(round(open, 6) AS DECIMAL(20,6)) AS open, CAST(round(close, 6) AS DECIMAL(20,6)) AS close, hour(bar_start) % 5 = 0 AS rejected
+ FROM hb WHERE CAST(bar_start AS DATE) BETWEEN DATE '{FROM}' AND DATE '{TO}' AND event_type <> 'error'""", doubles=('open', 'close'))
+def s08_range(spark, folder):
+    """The whole export in a sorted store, then one range of each of four symbols out of it."""
+    h = mk.bars_hour(spark, folder)
+    vol = F.col("volume") + F.when(F.hour("bar_start") % 5 == 0, 0.5).otherwise(0.0)
+    rows = h.select(F.col("event_type").alias("ts_code"), F.to_date("bar_start").alias("trade_date"), F.col("bar_start").alias("trade_time"), "open", "high", "low", "close", vol.alias("vol"), "amount")
+    path = scratch_path(spark, "minute-export")
+    ST.write_minutes(rows, path)
+    out = None
+    for symbol in ("click", "purchase", "signup", "view"):
+        part = ST.read_minutes(spark, path, symbol, FROM, TO).select("ts_code", "trade_time", "open", "close", "rejected")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 DATED = {"daily": ("bars", "session_date"), "facts": ("fx", "notice_date"), "actions": ("act", "ex_date"), "valuation": ("val", "session_date"), "minute": ("hb", "CAST(bar_start AS DATE)"), "events": ("events", "CAST(ts AS DATE)")}
 DATED_SQL = " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n, min(CAST(strftime({d}, '%Y%m%d') AS INTEGER)) AS first_int, max(CAST(strftime({d}, '%Y%m%d') AS INTEGER)) AS last_int FROM {t}" for n, (t, d) in DATED.items())
 

@@ -156,12 +156,38 @@ def parse_fund_flow(lines: DataFrame) -> DataFrame:
     return df.withColumn("problem", problem).drop("_n")
 
 
-def minute_export(rows: DataFrame) -> DataFrame:
-    """User export: prices rounded past their binary tail, volumes must be whole shares."""
+def minute_export(rows: DataFrame, also: Column | None = None) -> DataFrame:
+    """User export: prices rounded past their binary tail, volumes must be whole shares; rows for which ``also`` holds are rejected too."""
     p = {c: F.round(c, 6).cast("decimal(20,6)").alias(c) for c in ("open", "high", "low", "close")}
     whole = F.col("vol") == F.floor("vol")
     return rows.select("ts_code", "trade_time", *p.values(), F.when(whole, F.col("vol")).cast("long").alias("volume"),
-                       F.col("amount").cast("decimal(24,4)").alias("amount"), (~whole).alias("rejected"))
+                       F.col("amount").cast("decimal(24,4)").alias("amount"), (~whole if also is None else ~whole | also).alias("rejected"))
+
+
+MINUTES = ("ts_code string, trade_date date, trade_time timestamp_ntz, open double, high double, low double, close double, vol double, amount double, "
+           "month string")
+
+
+def write_minutes(rows: DataFrame, path: str) -> None:
+    """Store exported minute rows so that one symbol and range reads little: a folder a month, files that are ranges of symbol and
+    time, rows in that order, and a bloom filter on the symbol in every row group."""
+    order = ["month", "ts_code", "trade_time"]
+    dated = rows.withColumn("month", F.date_format("trade_date", "yyyy-MM")).select(*names(MINUTES))
+    (dated.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("month").option("parquet.bloom.filter.enabled#ts_code", "true")
+     .option("parquet.bloom.filter.expected.ndv#ts_code", "10000").parquet(path))
+
+
+def read_minutes(spark: SparkSession, path: str, symbol: str, start: str, end: str) -> DataFrame:
+    """Checked rows of one symbol from ``start`` to ``end``, both included. Months are pruned, symbol and dates go down to the scan.
+
+    ``rejected`` also where the date and the time of a row are of different days.
+    """
+    if start > end:
+        raise ValueError("start lies behind end")
+    rows = spark.read.schema(MINUTES).parquet(path)
+    day = F.col("trade_date")
+    wanted = rows.filter(F.col("month").between(start[:7], end[:7]) & (F.col("ts_code") == symbol) & day.between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    return minute_export(wanted, F.to_date("trade_time") != F.col("trade_date"))
 
 
 def load_store(spark: SparkSession, paths: Mapping[str, str], schemas: Mapping[str, str], dates: Mapping[str, str]) -> dict[str, DataFrame]:
