@@ -101,3 +101,48 @@ def test_short_declarations(spark, model):
 def test_plan_has_no_python(spark, folder):
     plan = op10(spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+STRANGE = [
+    "Licensed under the Python Software Foundation License version 2", "Distributed under the terms of the Acme license", "You may obtain a copy of the License at http://example.org/foo",
+    "Released under the Artistic License 2.0", "Licensed under the Zlib license", "Licensed under the Boost Software License, Version 1.0", "SPDX-License-Identifier: WTFPL",
+    "This work is licensed under the Open Data Commons License, version 1", "Distributed under the terms of the European Union Public Licence", "PostgreSQL License",
+    "License: OFL-1.1", "you may not use this program except in compliance with the Sleepycat license", "Released under the Microsoft Public License", "Dedicated to the public by the author",
+]
+
+
+def test_families_outside_the_list_are_unknown(spark, model):
+    got = families(spark, model, STRANGE)
+    assert {t: f for i, t in enumerate(STRANGE) for _, f in got.get(i, [])} == {t: C.UNKNOWN for i, t in enumerate(STRANGE) if i in got}
+
+
+def test_held_out_families_are_not_taken_for_others(spark, model, monkeypatch):
+    """Each family in turn is off the list: less than one in a hundred of its lines may be confirmed as another."""
+    lines = [(f, t) for f, texts in C.TEMPLATES.items() for t in texts] + [(f, f"{n} license") for f, names in C.NAMES.items() for n in names]
+    told = {}
+    for off in ("GPL", "CC-BY", "BSD"):
+        with monkeypatch.context() as m:
+            m.setattr(C, "TEMPLATES", {f: t for f, t in C.TEMPLATES.items() if f != off})
+            m.setattr(C, "NAMES", {f: t for f, t in C.NAMES.items() if f != off})
+            texts = [t for f, t in lines if f == off]
+            blind = C.train(spark.createDataFrame([(1, "some text without any of it")], "doc_id bigint, text string"))
+            told[off] = [f for rows in families(spark, blind, texts).values() for _, f in rows if f != C.UNKNOWN]
+    assert sum(map(len, told.values())) <= 0.01 * len(lines), told
+
+
+def plain_scan(text):
+    """Lines that hold a whole template or only name a licence, in plain Python."""
+    out = set()
+    for k, line in enumerate((text or "").split("\n"), 1):
+        if re.search(C.LICENCE_WORD.replace("(?-i:", "(?:").replace("(?i)", ""), line, re.I):
+            w = set(C.plain_words(line))
+            out |= {(k, f) for f, texts in C.TEMPLATES.items() for t in texts if set(C.plain_words(t)) <= w and C.plain_grams(t) <= C.plain_grams(line)}
+    return out
+
+
+def test_whole_templates_in_texts_equal_plain_search(spark, model, folder):
+    texts = [r["text"] for r in spark.read.parquet(folder.replace("sf0.001", "sf0.01") + "/documents.parquet").collect()]
+    got = families(spark, model, texts)
+    for i, t in enumerate(texts):
+        found = plain_scan(t)
+        assert {k for k, _ in found} == {k for k, f in got.get(i, []) if f != C.UNKNOWN} and all(f in {x for k, x in found if k == n} for n, f in got.get(i, []) if f != C.UNKNOWN)

@@ -2,10 +2,13 @@
 
 Lines with a licence word are classified by multinomial logistic regression over their word unigrams and bigrams, as far as
 templates have them; where a template runs over the line's borders, by the words of the template's place in the run of non-blank
-lines. Short lines that only name a licence are held against a list of names. The classifier is trained on damaged copies of the templates and, as the class ``unknown``, on sentences
-that speak of licences without granting one and on lines of a bounded sample of documents. A prediction counts from a
-probability on that no such line of a part kept for calibration reaches, and if the paragraph holds most words of a template of
-the family.
+lines. That a line does nothing but name a licence is one more feature. The classifier is trained on damaged copies of the
+templates and of such names and, as the class ``unknown``, on grants under made-up names, on sentences that speak of licences
+without granting one and on lines of a bounded sample of documents.
+
+A prediction counts from a probability on that is calibrated for each family: of unknown rows kept for it, and of the rows of whole
+families that a classifier has not been shown, at most one in a hundred reaches it. And the paragraph must hold most words of a
+template of the family, and half of what tells that template from all other families and from the unknown rows.
 """
 
 from __future__ import annotations
@@ -59,6 +62,16 @@ OTHER = [
     "The software license agreement was signed by both parties", "The restaurant lost its liquor license", "This copy of the book is in the public library", "The distribution of free food was permitted",
     "Please read the license before you install the program", "Is this work licensed", "The version of the file is free of charge", "All rights and duties were reserved for the king",
 ]
+# Grants whose licence is not on the list: sentences and names that nobody uses for one of the families.
+GRANTS = [
+    "Released under the {} License", "Licensed under the {} License", "Licensed under the {}, version 2", "Licensed under the {} License, version 2.0", "Released under the {} version 3",
+    "Distributed under the terms of the {} license", "SPDX-License-Identifier: {}", "made available under the terms of the {} License", "{} License", "License: {}",
+    "This work is licensed under the {} License, version 3", "This work is licensed under a {} 4.0 International License", "Licensed under {} 4.0",
+    "You may obtain a copy of the License at http://www.{}.org/licenses/", "you may redistribute this file in compliance with the {} License", "Released under the {} license version 2.1",
+    "This file is subject to the terms of the {} License, v. 2.0", "Dedicated to the public by {} 1.0", "Permission is granted to any person under the {} License",
+    "you may not use this {} except in compliance with its license", "you may copy this program under the {} license as published by its authors",
+]
+MADE_UP = ["Acme", "Python Software Foundation", "Harbor Public", "Zeta", "Open Widget Community", "Example General", "Foobar Commons", "Artistic"]
 # Names of licences as words, for lines that hold nothing else but words of FILLER, one of GRANT among them: fixed values.
 NAMES = {
     "MIT": ["mit", "expat"],
@@ -100,13 +113,29 @@ def _grams(w: Column) -> Column:
     return F.array_intersect(F.concat(w, F.coalesce(pairs, F.array().cast("array<string>"))), _vocabulary())
 
 
+def plain_grams(text: str) -> set[str]:
+    w = plain_words(text)
+    return {*w, *(f"{a} {b}" for a, b in zip(w, w[1:]))}
+
+
+def strange_texts() -> list[str]:
+    """Sentences of the class unknown: fixed ones, and every grant under every made-up name."""
+    return OTHER + [g.format(n) for g in GRANTS for n in MADE_UP]
+
+
+def telling() -> list[list[str]]:
+    """For each template, its words and word pairs that neither another family nor an unknown sentence has."""
+    strange = set().union(*map(plain_grams, strange_texts()))
+    of = {f: set().union(*map(plain_grams, texts)) for f, texts in TEMPLATES.items()}
+    out = []
+    for f, texts in TEMPLATES.items():
+        others = strange.union(*(g for k, g in of.items() if k != f))
+        out += [sorted(plain_grams(t) - others) for t in texts]
+    return out
+
+
 def _vocabulary() -> Column:
-    seen = set()
-    for texts in TEMPLATES.values():
-        for t in texts:
-            w = plain_words(t)
-            seen |= {*w, *(f"{a} {b}" for a, b in zip(w, w[1:]))}
-    return _texts(sorted(seen))
+    return _texts(sorted(set().union(*(plain_grams(t) for texts in TEMPLATES.values() for t in texts))))
 
 
 def _texts(values: list[str]) -> Column:
@@ -124,12 +153,13 @@ def _share(template: Column, w: Column) -> Column:
 
 
 def _declared(w: Column) -> Column:
-    """The family that a line names, if it does nothing else; null for other lines."""
+    """The family that a line names, if it does nothing else; null for other lines. A feature and a template, no verdict."""
     names = F.zip_with(_texts([f for f, names in NAMES.items() for _ in names]), _texts([n for names in NAMES.values() for n in names]),
                        lambda f, n: F.struct(f.alias("family"), F.split(n, " ").alias("n")))
     alone = lambda n: (F.size(F.array_except(n, w)) == 0) & (F.size(F.array_except(w, F.concat(n, _texts(FILLER)))) == 0)
     found = F.filter(names, lambda x: alone(x["n"]))
-    return F.when((F.size(w) <= 16) & F.arrays_overlap(w, _texts(GRANT)), F.get(found, F.lit(0))["family"])
+    known = _texts(sorted({*FILLER, *(x for names in NAMES.values() for n in names for x in n.split())}))
+    return F.when(F.arrays_overlap(w, _texts(GRANT)) & (F.size(F.array_except(w, known)) == 0), F.get(found, F.lit(0))["family"])
 
 
 def licence_lines(docs: DataFrame) -> DataFrame:
@@ -179,13 +209,14 @@ def _fixed(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
 
 
 def training_rows(docs: DataFrame, max_docs: int, max_lines: int) -> DataFrame:
-    """family and w (words): whole templates and copies with every third, fifth or seventh word missing; and unknown lines.
+    """family and w (words): whole templates, names and copies with every third, fifth or seventh word missing; and unknown lines.
 
     The sample of lines is of at most ``max_docs`` documents (smallest md5 of the id) and ``max_lines`` lines (smallest md5).
     """
     spark = docs.sparkSession
     known = [(f, t) for f, texts in TEMPLATES.items() for t in texts]
-    fixed = _fixed(spark, known + [(UNKNOWN, t) for t in OTHER]).select("family", words(F.col("text")).alias("w"))
+    named = [(f, g.format(n)) for f, names in NAMES.items() for n in names for g in ("{} license", "license: {}", "licensed under the {} license")]
+    fixed = _fixed(spark, known + named + [(UNKNOWN, t) for t in strange_texts()]).select("family", words(F.col("text")).alias("w"))
     holes = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.lit(r).alias("r")) for m in (3, 5, 7) for r in range(m)]))
     damaged = fixed.select("family", "w", holes.alias("h")).select("family", F.filter("w", lambda _, i: F.pmod(i, F.col("h.m")) != F.col("h.r")).alias("w"))
     ids = docs.filter("doc_id is not null").select("doc_id").distinct().orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(max_docs)
@@ -195,7 +226,9 @@ def training_rows(docs: DataFrame, max_docs: int, max_lines: int) -> DataFrame:
 
 
 def _vectors(rows: DataFrame) -> DataFrame:
-    return HashingTF(numFeatures=FEATURES, binary=True, inputCol="grams", outputCol="features").transform(rows.withColumn("grams", _grams(F.col("w"))))
+    rows = rows.withColumn("declared", _declared(F.col("w"))).withColumn("grams", _grams(F.col("w")))
+    rows = rows.withColumn("marks", F.when(F.col("declared").isNull(), F.col("grams")).otherwise(F.array_append("grams", F.concat(F.lit("names "), "declared"))))
+    return HashingTF(numFeatures=FEATURES, binary=True, inputCol="marks", outputCol="features").transform(rows)
 
 
 def _best(rows: DataFrame) -> DataFrame:
@@ -207,32 +240,62 @@ def _best(rows: DataFrame) -> DataFrame:
     return out.withColumn("top", F.when(F.col("top") > F.col("other"), F.col("top")).otherwise(0.0))
 
 
-def train(docs: DataFrame, max_docs: int = 200, max_lines: int = 500) -> tuple[LogisticRegressionModel, float]:
-    """The classifier and the least probability that counts: above all unknown rows of the quarter kept for calibration."""
-    code = F.create_map(*[F.lit(x) for i, f in enumerate([UNKNOWN, *TEMPLATES]) for x in (f, float(i))])
+FOLDS = 4  # families are left out by quarters
+
+
+def train(docs: DataFrame, max_docs: int = 200, max_lines: int = 500) -> tuple[LogisticRegressionModel, dict[str, float]]:
+    """The classifier and, for each family, the least probability that counts.
+
+    Classifiers that have not seen a quarter of the families judge these; with the unknown rows kept for calibration they are
+    strangers. A family's probability is the one that at most one in a hundred strangers reach, but none that more than a tenth of
+    the family's own rows kept for calibration miss, and no less than a half.
+    """
+    families = [UNKNOWN, *TEMPLATES]
+    code = F.create_map(*[F.lit(x) for i, f in enumerate(families) for x in (f, float(i))])
+    fold = F.create_map(*[F.lit(x) for i, f in enumerate(families) for x in (f, i % FOLDS if i else -1)])
     rows = _vectors(training_rows(pick(docs, ["doc_id", "text"]), max_docs, max_lines)).withColumn("label", F.element_at(code, F.col("family")))
-    rows = rows.withColumn("tune", F.pmod(F.xxhash64("w"), F.lit(4)) == 0).coalesce(1).cache()  # some thousand rows
-    fitted = LogisticRegression(family="multinomial", regParam=0.002, maxIter=50, featuresCol="features", labelCol="label").fit(rows.filter("not tune"))
-    worst = _best(fitted.transform(rows.filter(F.col("tune") & (F.col("family") == UNKNOWN)))).agg(F.max("top")).first()[0]
+    rows = rows.withColumns({"tune": F.pmod(F.xxhash64("w"), F.lit(4)) == 0, "fold": F.element_at(fold, F.col("family"))}).coalesce(1).cache()  # some thousand rows
+
+    def fit(shown: DataFrame) -> LogisticRegressionModel:
+        return LogisticRegression(family="multinomial", regParam=0.002, maxIter=50, featuresCol="features", labelCol="label").fit(shown)
+
+    strangers = None
+    for k in range(FOLDS):
+        judge = fit(rows.filter(~F.col("tune") & (F.col("fold") != k)))
+        told = _best(judge.transform(rows.filter((F.col("fold") == k) | (F.col("tune") & (F.col("family") == UNKNOWN))))).select("best", "top")
+        strangers = told if strangers is None else strangers.unionAll(told)
+    counted = strangers.groupBy("best").agg(F.sort_array(F.collect_list("top"), asc=False).alias("top")).collect()  # of the training rows alone
+    n = strangers.count()
+    fitted = fit(rows.filter("not tune"))
+    own = _best(fitted.transform(rows.filter("tune"))).filter("best = family")
+    own = {r["family"]: r["low"] for r in own.groupBy("family").agg(F.percentile("top", F.lit(0.1)).alias("low")).collect()}
+    least = {f: 0.5 for f in TEMPLATES}
+    for r in counted:
+        allowed = int(n * 0.01 / len(TEMPLATES))
+        if len(r["top"]) > allowed:
+            least[r["best"]] = max(0.5, min(r["top"][allowed], own.get(r["best"], 0.5)))
     rows.unpersist()
-    return fitted, max(0.5, float(worst or 0.0))
+    return fitted, least
 
 
-def scan(docs: DataFrame, model: LogisticRegressionModel, least: float, min_overlap: float = 0.7) -> DataFrame:
+def scan(docs: DataFrame, model: LogisticRegressionModel, least: dict[str, float], min_overlap: float = 0.7, min_told: float = 0.5) -> DataFrame:
     """doc_id, paragraph, family, probability, overlap and confirmed of every line with a licence word.
 
     ``paragraph`` counts lines from 1. A notice that is wrapped over lines is told at each of its lines with a licence word.
-    ``family`` is ``unknown`` below ``least`` or where no template of the family has ``min_overlap`` of its words in the line or
-    notice; ``confirmed`` tells the rest, and lines that only name a licence. Null, empty and other texts: no rows. Null ids and
-    repeated rows: scanned like any row. Extra columns are ignored.
+    ``family`` is ``unknown`` below the family's ``least`` or where no template of it has ``min_overlap`` of its words and
+    ``min_told`` of its ``telling`` ones in the line or notice; a line that only names a licence is a template of its own.
+    Null, empty and other texts, and an empty table: no rows. Very long lines: scanned whole. Families of equal probability: the first of the
+    list. Null ids and repeated rows: scanned like any row. Extra columns are ignored.
     """
-    found = _unwrapped(licence_lines(docs), min_overlap).select("doc_id", "paragraph", _declared(F.col("w")).alias("declared"), F.col("judged").alias("w"))
+    found = _unwrapped(licence_lines(docs), min_overlap).select("doc_id", "paragraph", F.col("judged").alias("w"))
     scored = _best(model.transform(_vectors(found)))
     owner = _texts([f for f, texts in TEMPLATES.items() for _ in texts])
-    shares = F.zip_with(owner, _templates(), lambda f, t: F.when(f == F.col("best"), _share(t, F.col("w"))))
-    named, families = F.col("declared").isNotNull(), F.array(*[F.lit(f) for f in TEMPLATES])
-    scored = scored.withColumn("overlap", F.when(named, 1.0).otherwise(F.array_max(shares)))
-    scored = scored.withColumn("confirmed", named | (F.col("top") >= least) & (F.col("overlap") >= min_overlap))
-    family = F.when(F.col("confirmed"), F.coalesce("declared", "best")).otherwise(UNKNOWN)
-    probability = F.when(named, F.get("p", F.array_position(families, F.col("declared")).cast("int") - 1)).otherwise(F.col("top"))
-    return scored.select("doc_id", "paragraph", family.alias("family"), probability.alias("probability"), "overlap", "confirmed")
+    marks = F.transform(_texts(["\x1e".join(t) for t in telling()]), lambda t: F.split(t, "\x1e"))
+    told = F.zip_with(owner, marks, lambda f, t: F.when(f == F.col("best"), F.size(F.array_intersect(t, F.col("grams"))) / F.size(t) >= min_told))
+    shares = F.zip_with(_templates(), told, lambda t, ok: F.when(ok, _share(t, F.col("w"))))
+    named = F.coalesce(F.col("declared") == F.col("best"), F.lit(False))
+    scored = scored.withColumn("overlap", F.when(named, 1.0).otherwise(F.coalesce(F.array_max(shares), F.lit(0.0))))
+    enough = F.element_at(F.create_map(*[F.lit(x) for f, v in least.items() for x in (f, v)]), F.col("best"))
+    scored = scored.withColumn("confirmed", (F.col("top") >= enough) & (F.col("overlap") >= min_overlap))
+    family = F.when(F.col("confirmed"), F.col("best")).otherwise(UNKNOWN)
+    return scored.select("doc_id", "paragraph", family.alias("family"), F.col("top").alias("probability"), "overlap", "confirmed")
