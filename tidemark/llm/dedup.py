@@ -334,16 +334,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     near = materialise(compare_nodes(small.join(sketched, "doc").withColumn("label", F.col("doc")), least, False), "near-rows")
     dense = materialise(dense, "dense-rows")
     pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    first = near.filter("partner is not null").select(F.col("partner").alias("a"), F.col("doc").alias("b")).unionAll(near_pivots)
-    first = materialise(first.filter("a <> b").select(*pair).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first-pairs")
+    likely = near.filter("partner is not null").select(F.col("partner").alias("a"), F.col("doc").alias("b")).unionAll(near_pivots)
+    likely = materialise(likely.filter("a <> b").select(*pair).distinct(), "likely-pairs")
+    first = materialise(likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first-pairs")
     wanted = near.select("doc").unionAll(dense.select("doc")).distinct()
     wanted = materialise(wanted.join(classes.select("doc", "rep", *KEYS), "doc"), "wanted")
     texts = co_located(_texts(docs, wanted, repeated, width), "candidate_texts", "doc")
     labels = materialise(components(confirm(first, texts, width, similarity)), "labels")
+    ends = [labels.select(F.col("id").alias(c), F.col("root").alias(f"r{c}")) for c in "ab"]
+    apart = likely.join(first, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left").filter("coalesce(ra, a) <> coalesce(rb, b)")
+    again = materialise(confirm(materialise(apart.select("a", "b"), "apart-pairs"), texts, width, similarity), "apart-links")
+    if again.head(1):
+        labels = materialise(_merged(labels, again), "labels")
 
     label = F.coalesce("root", "doc").alias("label")
     rest = compare_nodes(near.join(labels, near["doc"] == labels["id"], "left").select("node", "doc", label, *SKETCH), least, True)
-    rest = materialise(rest.filter("a <> b").select(*pair).distinct().join(first, ["a", "b"], "left_anti"), "second-pairs")
+    rest = materialise(rest.filter("a <> b").select(*pair).distinct().join(likely, ["a", "b"], "left_anti"), "second-pairs")
     dense = dense.join(labels, dense["doc"] == labels["id"], "left").select("node", "doc", label)
     more = materialise(confirm(rest, texts, width, similarity).unionAll(_across(dense, texts, width, similarity)), "second-links")
     discard(texts, sketched, near)
@@ -405,14 +411,14 @@ def _across(rows: DataFrame, texts: DataFrame, width: int, similarity: float) ->
     both = asked.unionAll(held).join(texts, "doc").select("family", "block", "salt", "role", "doc", "label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, queries, index = None, [], None
+        group, queries, index, met = None, [], None, set()
         for batch in batches:
             for part in slices(batch, 6):
                 key, first = shingles(part.column(6), width)
                 found = []
                 for i, (family, block, salt, role, doc, label) in enumerate(zip(*(part.column(k).to_pylist() for k in range(6)))):
                     if group != (family, block, salt):
-                        group, queries, index = (family, block, salt), [], None
+                        group, queries, index, met = (family, block, salt), [], None, set()
                     mine = key[first[i]:first[i + 1]]
                     if role == 0:
                         queries.append((doc, label, mine))
@@ -428,7 +434,10 @@ def _across(rows: DataFrame, texts: DataFrame, width: int, similarity: float) ->
                     at = np.repeat(left - (np.cumsum(n) - n), n) + np.arange(n.sum())
                     common = np.bincount(index[1][at], minlength=len(queries))
                     close = (common > 0) & (100 * common >= percent * (index[2] + len(mine) - common))
-                    found += [(queries[q][0], doc) for q in np.flatnonzero(close) if queries[q][1] != label]
+                    for q in np.flatnonzero(close).tolist():
+                        if queries[q][1] != label and (q, label) not in met:  # one link joins the query to all of a component
+                            met.add((q, label))
+                            found.append((queries[q][0], doc))
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], names=["a", "b"])
 
     keys = ["family", "block", "salt"]
