@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -39,6 +41,7 @@ def over_arrow(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch],
                 out = fn(part)
                 if out is not None:
                     yield out
+        give_back()
 
     return pick(df, columns).mapInArrow(run, schema)
 
@@ -64,6 +67,15 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Return what a task has freed to the system: Python workers live on, and what they keep counts against the executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim is not None:
+        trim(0)
+
+
 def co_located(df: DataFrame, label: str, column: str) -> DataFrame:
     """``df`` as a table in the shared folder, bucketed by ``column``: joins on it move the other side only."""
     spark = df.sparkSession

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import pick, slices
+from tidemark.llm.common import give_back, pick, slices
 from tidemark.session import materialise
 
 SLICE = 1 << 20  # bytes of text at a time
@@ -153,7 +153,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, with_ids:
                     out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([begin, [len(flat)]]).astype("int32")), pa.array(flat.view("<i4"))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(out, names=names)
-        tok.known.clear()  # the worker goes on to other stages
+        tok.known = {}  # the worker goes on to other stages
+        give_back()
 
     return pick(docs, ["doc_id", "text"]).mapInArrow(run, schema)
 
