@@ -114,3 +114,11 @@ def test_records_are_enough_for_trailing_stops(make_bars):
         xs, j = series[r["instrument"]], r["rn"]
         entry = max((k for k in range(3, j, 17)), default=None)
         assert r["_record"] == (entry is not None and all(xs[k - 1] < xs[j - 1] for k in range(entry + 1, j)))
+
+
+def test_no_join_on_trades_is_broadcast(spark, make_bars):
+    b = make_bars({1: [100, 90, 120, 80, 110, 60], 2: [50, 60, 40, 70]}).withColumn("buy", F.lit(1))
+    out = O.non_overlapping(O.outcomes(b, "buy", [O.StopLoss(10.0), O.TakeProfit(20.0), O.Hold(2)]))
+    log = out.select("instrument", "session_date", F.col("buy_price").alias("cash_flow"), F.lit(1).alias("share_change"))
+    plan = M.mark_to_market(log, b, 0.0)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
