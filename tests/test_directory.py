@@ -26,3 +26,16 @@ def test_initials(spark):
     from pyspark.sql import functions as F
 
     assert [r["i"] for r in df.select(D.initials(F.col("n")).alias("i")).collect()] == ["drw", "x", "", None]
+
+
+def test_index_is_never_broadcast(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"name {i}") for i in range(50)], "symbol int, name string")
+    terms = spark.createDataFrame([(x,) for x in ("ame", "me 7", *"0123456789")], "t string")
+    found = []
+    for few in (D.FEW, 3):
+        monkeypatch.setattr(D, "FEW", few)
+        out = D.search_terms(df, "symbol", ["name"], terms, "t")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert ("BroadcastHashJoin" in plan, "SortMergeJoin" in plan) == (few > 3, few <= 3) and "BuildRight" not in plan
+        found.append(sorted(map(tuple, out.collect())))
+    assert found[0] == found[1] and len(found[0]) > 51

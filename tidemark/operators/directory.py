@@ -7,7 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import materialise
+
 GRAM = 3
+FEW = 100_000  # terms that every task can hold
 
 
 def search_key(text: Column) -> Column:
@@ -47,15 +50,19 @@ def search_terms(rows: DataFrame, id: str, columns: Sequence[str], terms: DataFr
     """(term, rank, position, id) of all matches of a table of terms, ranked 0 exact, 1 prefix, 2 contains, then by id.
 
     Each term looks up the rarest of its substrings of ``GRAM`` letters (or itself, if it is shorter) and is held against the
-    aliases found there, so no term reads the whole directory. Terms are compared trimmed and in small letters; null and blank ones find nothing.
+    aliases found there, so no term reads the whole directory. These substrings are stored first: ``FEW`` of them at most
+    go to the index, which is then not shuffled. Terms are compared trimmed and in small letters; null and blank ones find nothing.
     """
     index = gram_index(rows, id, columns)
     asked = terms.select(search_key(F.col(term)).alias("term")).filter("term <> ''").distinct()
     size = F.least(F.lit(GRAM), F.length("term"))
     pieces = asked.select("term", F.explode(_grams(F.col("term"), size)).alias("gram"))
     held = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    rarest = pieces.join(held, "gram", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("m"))
-    near = rarest.filter("m.n > 0").select("term", F.col("m.gram").alias("gram")).join(index, "gram").filter(F.contains("key", "term"))
+    rarest = pieces.join(held.hint("merge"), "gram", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("m"))
+    rarest = materialise(rarest.filter("m.n > 0").select("term", F.col("m.gram").alias("gram")), "rarest-grams")
+    # the plan takes the index for as small as the directory's files and would broadcast it
+    few = rarest.limit(FEW + 1).count() <= FEW
+    near = rarest.hint("broadcast" if few else "merge").join(index, "gram").filter(F.contains("key", "term"))
     rank = F.when(F.col("key") == F.col("term"), 0).when(F.startswith("key", "term"), 1).otherwise(2)
     best = near.groupBy("term", id).agg(F.min(rank).alias("rank"))
     return best.withColumn("position", F.row_number().over(Window.partitionBy("term").orderBy("rank", id)))
