@@ -92,3 +92,15 @@ def test_last_windows_come_out(spark, batches):
     for _, _, kind, _, t in rows:
         want[kind, t[:13]] = want.get((kind, t[:13]), 0) + 1
     assert {(r["event_type"], str(r["bar_start"])[:13]): r["volume"] for r in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("buckets", [1, 5])
+def test_gate_groups_are_buckets_of_subjects(spark, monkeypatch, buckets):
+    progress, drain = [], S.drain
+    monkeypatch.setattr(S, "drain", lambda out, label: (done := drain(out, label), progress.append(done[1]))[0])
+    rows = [(i, i % 40, "a", 1.0, f"2024-01-01 {i % 24:02}:00:00") for i in range(120)]
+    got = S.gate_late(stream_of(spark, cut(rows, 3)), "30 hours", buckets).collect()
+    first = {u: min(t for _, v, _, _, t in rows if v == u) for _, u, _, _, _ in rows}
+    assert {r["event_id"]: (r["late"], r["open"]) for r in got} == {i: (t > first[u], True) for i, u, _, _, t in rows} and len(got) == 120
+    state = spark.read.format("statestore").option("stateVarName", "rows").load(progress[0])
+    assert state.select("key").distinct().count() <= buckets

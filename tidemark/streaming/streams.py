@@ -144,75 +144,68 @@ GATED = "event_id bigint, subject string, day bigint, late boolean, open boolean
 
 
 class Gate(StatefulProcessor):
-    """Holds the rows of a (subject, day) in state until the watermark passes the day's end, then routes them by its first instant.
+    """Holds the rows of a bucket of subjects and a day in state until the watermark passes the day's end, then routes them by
+    the first instant of their subject.
 
-    A row that arrives after that, for a day told or never heard of, is late and is given out at once. Rows are a list in the state
-    store, read back in pieces, so a busy day is never one object in memory.
+    A row that arrives after that, for a day told or never heard of, is late and is given out at once. A group is a bucket, not a
+    subject, since each group costs some round trips to the state store. Rows are a list of pieces there, as they came in Arrow
+    batches, so a busy day is never one object in memory; only the first instants of a bucket's subjects are.
     """
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.first = handle.getValueState("first", "at bigint")
-        self.rows = handle.getListState("rows", "event_id bigint, at bigint")
+        self.rows = handle.getListState("rows", "event_id array<bigint>, subject array<string>, at array<bigint>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        subject, day = key
-        end = (day + 1) * DAY_MS
+        end = (key[1] + 1) * DAY_MS
         if end <= timerValues.getCurrentWatermarkInMs():
             for chunk in rows:
-                yield self._routed(key, chunk["event_id"], True)
+                yield self._routed(key, chunk["event_id"], chunk["subject"], True)
             return
-        first = self.first.get()[0] if self.first.exists() else None
         for chunk in rows:
-            least = int(chunk["at"].min())
-            first = least if first is None else min(first, least)
-            self.rows.appendList(list(zip(chunk["event_id"].tolist(), chunk["at"].tolist())))
-        self.first.update((first,))
+            self.rows.appendValue((chunk["event_id"].tolist(), chunk["subject"].tolist(), chunk["at"].tolist()))
         self.handle.registerTimer(end)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        first, piece = self.first.get()[0], []
-        for row in self.rows.get():
-            piece.append(row)
-            if len(piece) == 10_000:
-                yield self._told(key, piece, first)
-                piece = []
-        if piece:
-            yield self._told(key, piece, first)
+        first: dict[str, int] = {}
+        for _, subjects, at in self.rows.get():
+            for subject, t in zip(subjects, at):
+                if t < first.get(subject, t + 1):
+                    first[subject] = t
+        for ids, subjects, at in self.rows.get():
+            yield self._routed(key, pd.Series(ids), pd.Series(subjects), pd.Series([t > first[s] for s, t in zip(subjects, at)]))
         self.rows.clear()
-        self.first.clear()
-
-    def _told(self, key, rows: list, first: int) -> pd.DataFrame:
-        return self._routed(key, pd.Series([r[0] for r in rows]), pd.Series([r[1] > first for r in rows]))
 
     @staticmethod
-    def _routed(key, ids: pd.Series, late: pd.Series | bool) -> pd.DataFrame:
-        return pd.DataFrame({"event_id": ids, "subject": key[0], "day": key[1], "late": late, "open": False})
+    def _routed(key, ids: pd.Series, subjects: pd.Series, late: pd.Series | bool) -> pd.DataFrame:
+        return pd.DataFrame({"event_id": ids, "subject": subjects, "day": key[1], "late": late, "open": False})
 
     def close(self) -> None:
         pass
 
 
-def gate_late(events: DataFrame, delay: str) -> DataFrame:
+def gate_late(events: DataFrame, delay: str, buckets: int = 64) -> DataFrame:
     """(event_id, user_id, day, late, open) of every row: late if it became known after its (subject, day) group's first row.
 
     Groups are told when the watermark passes the day's end; until then an earlier row still moves the decision point, after that
     nothing is rewritten. Rows of days still open when the source is exhausted are read from the state store and marked ``open``,
-    with ``late`` as far as is known. No row is in no output or in two.
+    with ``late`` as far as is known. No row is in no output or in two. Subjects share ``buckets`` groups a day.
     """
     spark = events.sparkSession
     at = F.unix_micros("at")
     # the processor gets the time as a number: Spark itself drops rows behind the watermark where the time column goes on;
-    # and subjects as text, since its groups must not have null keys
+    # and subjects as text, null as an empty one
     subject = F.coalesce(F.col("user_id").cast("string"), F.lit("")).alias("subject")
     rows = events.withWatermark("at", delay).select("event_id", subject, F.floor(at / (DAY_MS * 1000)).alias("day"), at.alias("at"))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("subject"), F.lit(buckets)))
     with _rocksdb(spark):
-        out = rows.groupBy("subject", "day").transformWithStateInPandas(
+        out = rows.groupBy("bucket", "day").transformWithStateInPandas(
             statefulProcessor=Gate(), outputStructType=GATED, outputMode="Append", timeMode="EventTime")
         path, progress = drain(out, "gate")
     told = spark.read.schema(GATED).parquet(path)
-    held = spark.read.format("statestore").option("stateVarName", "rows").load(progress).select("key.*", "list_element.*")
-    first = spark.read.format("statestore").option("stateVarName", "first").load(progress).select("key.*", F.col("value.at").alias("first"))
+    held = spark.read.format("statestore").option("stateVarName", "rows").load(progress).select("key.day", F.explode(F.arrays_zip(
+        *[F.col(f"list_element.{c}").alias(c) for c in ("event_id", "subject", "at")])).alias("r")).select("day", "r.*")
+    first = held.groupBy("subject", "day").agg(F.min("at").alias("first"))
     open_ = held.join(first, ["subject", "day"]).select("event_id", "subject", "day", (F.col("at") > F.col("first")).alias("late"), F.lit(True).alias("open"))
     named = F.when(F.col("subject") != "", F.col("subject")).cast("bigint").alias("user_id")
     return told.unionByName(open_).select("event_id", named, F.date_from_unix_date(F.col("day").cast("int")).alias("day"), "late", "open")
