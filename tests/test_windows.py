@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.recurrence import ema
 from tidemark.functions.windows import DAILY, TRADED, crosses_above
 from tidemark.operators import indicators as I
+from tidemark.plans.atoms import coded_bars
+from tidemark.sources import market
 
 
 @pytest.mark.parametrize("n", [1, 63, 64, 65, 300])
@@ -85,3 +87,11 @@ def test_catalog_matrix_and_prefix_stability(make_bars, id):
     assert {v for r in a for v in r} <= {True, False, None}
     assert any(v is not None for r in a for v in r)
     assert TRADED.keys == ("instrument", "tradable")
+
+
+@pytest.mark.parametrize("view", [market.bars_suspended, coded_bars])
+def test_windows_run_in_as_many_tasks_as_the_ticks_need(spark, monkeypatch, view):
+    monkeypatch.setattr(market, "TICKS_A_TASK", 2000)
+    bars = view(spark, "/root/testdata/sf0.01").withColumn("m", DAILY.mean("close", 5))
+    per_task = bars.groupBy(F.spark_partition_id().alias("task")).count().toPandas()
+    assert len(per_task) > 8 and per_task["count"].sum() == 53307

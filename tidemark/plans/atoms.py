@@ -10,7 +10,7 @@ from tidemark.operators.strategies import STRATEGIES, signals
 from tidemark.plans.indicators import MACD_CTES
 from tidemark.plans.registry import query
 from tidemark.plans.sql import BARS, NUMBERED, frame, lag, prior, recur, roll
-from tidemark.sources.market import bars_daily, listed_code, valuation
+from tidemark.sources.market import bars_by_instrument, bars_daily, listed_code, series_parts, valuation
 
 CODE = "['600', '300', '688', '830'][instrument % 4 + 1] || lpad(CAST(instrument AS VARCHAR), greatest(3, length(CAST(instrument AS VARCHAR)))::INTEGER, '0')"
 LIMIT = f"CASE WHEN substr({CODE}, 1, 3) IN ('300', '688') THEN 19.6 WHEN substr({CODE}, 1, 2) = '83' THEN 29.4 ELSE 9.8 END"
@@ -18,7 +18,7 @@ BASE = f"WITH RECURSIVE {BARS}, {NUMBERED}"
 
 
 def coded_bars(spark, folder):
-    return bars_daily(spark, folder).withColumns(
+    return bars_by_instrument(spark, folder).withColumns(
         {"stock_code": listed_code(), "turnover_rate": F.col("volume") / 10}
     )
 

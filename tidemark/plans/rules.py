@@ -61,7 +61,7 @@ publish_tree("p06_not", All((RISE, Not(Any((ABOVE, Not(BREAK)))))), "r AND NOT (
  close > open * 1.1 AS vs_scaled_field, close > {lag('close')} * 0.9 AS vs_scaled_previous FROM v""")
 def p07(spark, folder):
     """Right-hand operands: a field, its previous value, a constant, each with a multiplier."""
-    b = mk.bars_daily(spark, folder).withColumn("_p", DAILY.lag("close"))
+    b = mk.bars_by_instrument(spark, folder).withColumn("_p", DAILY.lag("close"))
     c = F.col("close")
     return b.select(*KEYS, (c > F.col("open")).alias("vs_field"), (c > F.col("_p")).alias("vs_previous_field"), (c > 4000).alias("vs_value"),
                     (c > F.col("open") * 1.1).alias("vs_scaled_field"), (c > F.col("_p") * 0.9).alias("vs_scaled_previous"))
@@ -114,7 +114,7 @@ def p12(spark, folder):
 
 @query("p13_limit_flags", f"{B} SELECT instrument, session_date, coalesce({CHG} >= {LIMIT}, false) AS is_limit_up, coalesce({CHG} <= -({LIMIT}), false) AS is_limit_down FROM v")
 def p13(spark, folder):
-    b = mk.bars_daily(spark, folder).withColumns({"_c": (F.col("close") / DAILY.lag("close") - 1) * 100, "_k": mk.listed_code()})
+    b = mk.bars_by_instrument(spark, folder).withColumns({"_c": (F.col("close") / DAILY.lag("close") - 1) * 100, "_k": mk.listed_code()})
     return b.select(*KEYS, R.is_limit_up(F.col("_c"), F.col("_k")).alias("is_limit_up"), R.is_limit_down(F.col("_c"), F.col("_k")).alias("is_limit_down"))
 
 
@@ -122,7 +122,7 @@ def p13(spark, folder):
 SELECT instrument, session_date, CASE WHEN session_date BETWEEN DATE '1997-01-01' AND DATE '1998-12-31' THEN CAST(x AS INT) ELSE 0 END AS signal FROM s""")
 def p14(spark, folder):
     """Windows see the full history; only then is the signal limited to the range."""
-    b = mk.bars_daily(spark, folder).withColumn("_x", F.coalesce(F.col("close") > DAILY.mean("close", 20), F.lit(False)).cast("int"))
+    b = mk.bars_by_instrument(spark, folder).withColumn("_x", F.coalesce(F.col("close") > DAILY.mean("close", 20), F.lit(False)).cast("int"))
     inside = F.col("session_date").between(F.lit("1997-01-01").cast("date"), F.lit("1998-12-31").cast("date"))
     return b.select(*KEYS, F.when(inside, F.col("_x")).otherwise(0).alias("signal"))
 
@@ -408,7 +408,7 @@ def violation(df, rule: str, when, *keys: str):
 @query("q01_ohlc", f"""{B}, x AS (SELECT * REPLACE (CASE WHEN instrument % 13 = 0 AND rn % 5 = 0 THEN low - 1 ELSE high END AS high) FROM v)
 SELECT 'ohlc' AS rule, instrument, session_date FROM x WHERE NOT (least(open, high, low, close) > 0 AND low <= least(open, close) AND high >= greatest(open, close))""")
 def q01(spark, folder):
-    b = mk.bars_daily(spark, folder).withColumn("rn", DAILY.row())
+    b = mk.bars_by_instrument(spark, folder).withColumn("rn", DAILY.row())
     b = b.withColumn("high", F.when((F.col("instrument") % 13 == 0) & (F.col("rn") % 5 == 0), F.col("low") - 1).otherwise(F.col("high")))
     good = (F.least("open", "high", "low", "close") > 0) & (F.col("low") <= F.least("open", "close")) & (F.col("high") >= F.greatest("open", "close"))
     return violation(b, "ohlc", ~good, *KEYS)
@@ -451,7 +451,7 @@ def q08(spark, folder):
 @query("q09_provenance", f"""{B}, x AS (SELECT instrument, session_date, CASE WHEN rn % 3 > 0 THEN volume END AS rate, CASE WHEN rn % 3 > 0 AND instrument % 5 > 0 THEN 'desk' END AS provider, CASE WHEN rn % 3 > 0 THEN 'm' END AS method FROM v)
 SELECT 'partial_provenance' AS rule, instrument, session_date FROM x WHERE CAST(rate IS NULL AS INT) + CAST(provider IS NULL AS INT) + CAST(method IS NULL AS INT) IN (1, 2)""")
 def q09(spark, folder):
-    b = mk.bars_daily(spark, folder).withColumn("rn", DAILY.row())
+    b = mk.bars_by_instrument(spark, folder).withColumn("rn", DAILY.row())
     some = F.col("rn") % 3 > 0
     parts = [F.when(some, F.col("volume")), F.when(some & (F.col("instrument") % 5 > 0), "desk"), F.when(some, "m")]
     missing = sum((p.isNull().cast("int") for p in parts), F.lit(0))
