@@ -142,3 +142,12 @@ def test_stated_flows_replace_or_contradict_derived_ones(spark):
     assert linked(spark, points, own=True)[1][0] == pytest.approx(160 / 150 - 1)
     assert linked(spark, points, [(2, 50.0, 0.0)], own=True)[1][2] is None
     assert [r[2] for r in linked(spark, points, [(2, 40.0, 0.0)], own=True)] == [None, "flow_conflict", "flow_conflict"]
+
+
+def test_forward_fill_runs_in_the_partitions_asked_for(spark):
+    from tidemark.operators.asof import forward_fill
+
+    left = spark.range(600).selectExpr("id % 60 as k", "id as day")
+    right = left.filter("day < 60").selectExpr("k", "day", "cast(k as double) as v")
+    out = forward_fill(left, right, ["k"], "day", ["v"], 20).selectExpr("*", "spark_partition_id() as task").toPandas()
+    assert out["task"].nunique() > 8 and len(out) == 600 and (out["v"] == out["k"]).all()

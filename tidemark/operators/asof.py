@@ -53,10 +53,14 @@ def latest_known(
     return both.select(*bars.columns, *[F.col(f"_m.{c}").alias(f"{prefix}{c}") for c in names])
 
 
-def forward_fill(left: DataFrame, right: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str]) -> DataFrame:
-    """Left join on (keys, order), then carry the last known value forward."""
+def forward_fill(left: DataFrame, right: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str],
+                 parts: int | None = None) -> DataFrame:
+    """Left join on (keys, order), then carry the last known value forward, in ``parts`` partitions by key."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    if parts is not None:
+        left, right = (side.repartition(parts, *keys, order) for side in (left, right))
     out = left.join(right, [*keys, order], "left")
+    out = out if parts is None else out.repartition(parts, *keys)
     return out.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
 
 

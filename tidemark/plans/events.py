@@ -278,7 +278,7 @@ def d03(spark, folder):
     The first row counts as no change; a zero mean loss leaves the value unknown.
     """
     ax = DAILY
-    df = mk.bars_daily(spark, folder).withColumns({"rn": ax.row(), "_d": F.col("close") - ax.lag("close")})
+    df = mk.bars_by_instrument(spark, folder).withColumns({"rn": ax.row(), "_d": F.col("close") - ax.lag("close")})
     a, zero = 13 / 14, F.lit(0.0)
     df = discounted_sums(df, ax, {
         "_g": (F.when(F.col("_d") > 0, F.col("_d")).otherwise(zero), a),
@@ -296,7 +296,7 @@ def d03_lines(spark, folder):
     """EMA and MACD of the alternative backend: every mean starts at its first value and is shown once its periods are full."""
     from tidemark.functions.recurrence import ema
 
-    df = mk.bars_daily(spark, folder).withColumn("rn", DAILY.row())
+    df = mk.bars_by_instrument(spark, folder).withColumn("rn", DAILY.row())
     df = ema(df, DAILY, {"fast": ("close", 2 / 13), "slow": ("close", 2 / 27), "e": ("close", 2 / 21)}, "rn").withColumn("d", F.col("fast") - F.col("slow"))
     df = ema(df, DAILY, {"s": ("d", 2 / 10)}, "rn")
     shown = lambda c, first, name: F.when(F.col("rn") >= first, F.round(c, 4)).alias(name)
@@ -315,7 +315,8 @@ def d05(spark, folder):
             df = df.withColumn("_m20c", ax.mean("close", 20))
             return df, {"cheap_uptrend": F.col("pe_ttm").between(1, 60) & (F.col("close") > F.col("_m20c"))}
 
-    bars = forward_fill(mk.bars_daily(spark, folder), mk.valuation(spark, folder), ["instrument"], "session_date", ["pe_ttm"])
+    bars = forward_fill(mk.bars_daily(spark, folder), mk.valuation(spark, folder), ["instrument"], "session_date", ["pe_ttm"],
+                        mk.series_parts(spark, folder))
     return A.with_atoms(bars, ["cheap_uptrend"]).select(*KEYS, "cheap_uptrend")
 
 
@@ -323,7 +324,7 @@ def d05(spark, folder):
 t AS (SELECT instrument, session_date, {cross('a', 'b', True)} AS crosses_above, {cross('a', 'b', False)} AS crosses_below, a > b AS above, a < 4000.0 AS below_value FROM s WHERE a IS NOT NULL AND b IS NOT NULL) SELECT * FROM t""")
 def d06(spark, folder):
     """Conditions over a long table of dated named values: series against series and against a number."""
-    base = mk.bars_daily(spark, folder)
+    base = mk.bars_by_instrument(spark, folder)
     wide = base.select(*KEYS, DAILY.mean("close", 5).alias("fast"), DAILY.mean("close", 10).alias("slow"))
     long = wide.select(*KEYS, F.explode(F.map_from_arrays(F.array(F.lit("fast"), F.lit("slow")), F.array("fast", "slow"))).alias("field", "value")).filter("value is not null")
     left = long.filter("field = 'fast'").select(*KEYS, F.col("value").alias("a"))

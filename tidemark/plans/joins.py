@@ -196,7 +196,8 @@ def j10(spark, folder):
 
 @query("j11_valuation_fill", f"WITH {BARS}, {NUMBERED}, {FFILL_PE} SELECT instrument, session_date, round(pe, 4) AS pe_ttm FROM vp")
 def j11(spark, folder):
-    out = asof.forward_fill(mk.bars_daily(spark, folder), mk.valuation(spark, folder), ["instrument"], "session_date", ["pe_ttm"])
+    out = asof.forward_fill(mk.bars_daily(spark, folder), mk.valuation(spark, folder), ["instrument"], "session_date", ["pe_ttm"],
+                            mk.series_parts(spark, folder))
     return out.select(*KEYS, F.round("pe_ttm", 4).alias("pe_ttm"))
 
 
@@ -389,7 +390,7 @@ def q05(spark, folder):
 @query("j21_future_bars", f"""WITH {TRIG} SELECT tr.instrument, tr.session_date, f.rn - tr.rn AS step, f.session_date AS bar_date, f.close
 FROM tr JOIN a f ON f.instrument = tr.instrument AND f.rn BETWEEN tr.rn + 1 AND tr.rn + 5""")
 def j21(spark, folder):
-    b = with_atoms(mk.bars_daily(spark, folder), [BUY]).withColumn("rn", DAILY.row())
+    b = with_atoms(mk.bars_by_instrument(spark, folder), [BUY]).withColumn("rn", DAILY.row())
     starts = b.filter(F.col(BUY) == 1).select(*KEYS, "rn")
     rows = b.select("instrument", "rn", F.col("session_date").alias("bar_date"), "close")
     return asof.future_rows(starts, rows, ["instrument"], "rn", 5).select(
