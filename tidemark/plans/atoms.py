@@ -133,7 +133,9 @@ _PEQ = ", ".join(
 
 @query("f01_pe_history", f"{BASE}, {FFILL_PE} SELECT instrument, session_date, {_PEQ} FROM vp")
 def f01(spark, folder):
-    bars = bars_daily(spark, folder).join(valuation(spark, folder), ["instrument", "session_date"], "left")
+    parts, day = series_parts(spark, folder), ["instrument", "session_date"]
+    bars, ratios = (side.repartition(parts, *day) for side in (bars_daily(spark, folder), valuation(spark, folder)))
+    bars = bars.join(ratios, day, "left").repartition(parts, "instrument")
     df, columns = A.pe_below_history(bars.withColumn("rn", DAILY.row()), DAILY, (10, 30), 250)
     return df.select("instrument", "session_date", *[
         ((F.col("rn") > 125) & F.coalesce(c, F.lit(False))).cast("int").alias(i) for i, c in columns.items()
