@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+from tidemark.llm import packing
 from tidemark.llm.packing import WordTokenizer, pack, plan_bins
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -22,6 +23,19 @@ def test_word_ids_equal_whole_text_ids():
         assert ids[at[i]:at[i + 1]].tolist() == whole.encode(t or "", add_special_tokens=False).ids, t
 
 
+def test_frequent_words_are_encoded_once_however_many_others_pass(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 60)
+    tok, whole, sent = WordTokenizer(PATH), Tokenizer.from_file(PATH), []
+    plain = tok._plain
+    monkeypatch.setattr(tok, "_plain", lambda texts: sent.extend(texts) or plain(texts))
+    for k in range(12):
+        texts = ["Alpha beta, gamma.", *[f"w{k}x{i}q; a^{k}" for i in range(40)], None, "beta,"]
+        ids, at = tok.encode(pa.array(texts))
+        for i, t in enumerate(texts):
+            assert ids[at[i]:at[i + 1]].tolist() == whole.encode(t or "", add_special_tokens=False).ids
+    assert sum(w == "beta" for t in sent for w in t.split()) == 1
+
+
 def brute(lengths, capacity):
     rooms = []
     for n in sorted(lengths, reverse=True):

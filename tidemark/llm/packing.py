@@ -9,7 +9,6 @@ piece passes through the driver.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import defaultdict, deque
 from collections.abc import Iterator
@@ -21,13 +20,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import give_back, pick, slices
+from tidemark.llm.common import give_back, pick, slices, text_bytes
 from tidemark.session import materialise
 
-SLICE = 1 << 20  # bytes of text at a time
-CACHE_WORDS = 200_000
+SLICE = 2 << 20  # bytes of text at a time
+CACHE_WORDS = 400_000
 _MARK = "^"
-_SPLIT = re.compile(r"([a-z])([!-&(-/:-@\[-`{-~]+)")
+_LOWER = np.arange(256, dtype="uint8")
+_LOWER[65:91] += 32
+_LOWER[[9, 10, 13]] = 32
+_LETTER, _MARKS = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[97:123] = True
+_MARKS[[i for i in range(33, 127) if not chr(i).isalnum() and i != 39]] = True  # all ASCII punctuation but the apostrophe
 
 
 class WordTokenizer:
@@ -35,7 +39,8 @@ class WordTokenizer:
 
     The tokenizer cuts texts at white space and never joins across it, so each distinct word of a batch is encoded once; a
     letter followed by ASCII punctuation is a cut as well, which leaves fewer distinct words. Texts with ``<|`` (perhaps a
-    special token) and words with the mark are encoded on their own.
+    special token) and words with the mark are encoded on their own. Words met before are looked up as Arrow columns, so only
+    new ones become Python strings; of more than ``CACHE_WORDS`` the half met in most batches stays.
     """
 
     def __init__(self, path: str):
@@ -43,57 +48,72 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids[0]
-        self.known: dict[str, bytes] = {}  # little-endian uint32 ids, for one task
+        self.forget()
+
+    def forget(self) -> None:
+        self.words = pa.array([], pa.large_string())
+        self.met = np.zeros(0, "int32")  # batches that hold the word
+        self.pool, self.at = np.zeros(0, "<u4"), np.zeros(1, "int64")  # ids of word i: pool[at[i]:at[i + 1]]
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _learn(self, atoms: list[str]) -> None:
-        alone = [a for a in atoms if _MARK in a]
-        self.known.update(zip(alone, (i.tobytes() for i in self._plain(alone))))
-        rest = [a for a in atoms if _MARK not in a]
-        for i in range(0, len(rest), 20_000):
-            chunk = rest[i:i + 20_000]
+    def _encoded(self, words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of words without white space, end to end, and how many each word has."""
+        ids, sizes = [], []
+        for i in range(0, len(words), 20_000):
+            chunk = words[i:i + 20_000]
             lines = [f" {_MARK} ".join(chunk[j:j + 200]) + f" {_MARK}" for j in range(0, len(chunk), 200)]
-            ids = np.concatenate(self._plain(lines))
-            ends = np.flatnonzero(ids == self.mark)
-            begins = np.concatenate([[0], ends[:-1] + 1])
-            raw = ids.tobytes()
-            self.known.update((a, raw[4 * s:4 * e]) for a, s, e in zip(chunk, begins.tolist(), ends.tolist()))
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of words without white space, lower-cased in ASCII."""
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        fresh = [w for w in words if w not in known]
-        if fresh:
-            cut = _SPLIT.sub(r"\1 \2", "\n".join(fresh)).split("\n")
-            atoms = {a for line in cut for a in line.split(" ")}
-            atoms = [a for a in atoms if a not in known]
-            self._learn(atoms)
-            joined = {w: b"".join([known[a] for a in line.split(" ")]) for w, line in zip(fresh, cut) if line != w}
-            return [joined[w] if w in joined else known[w] for w in words]
-        return [known[w] for w in words]
+            found = np.concatenate(self._plain(lines))
+            ends = found == self.mark
+            ids.append(found[~ends])
+            sizes.append(np.diff(np.flatnonzero(ends), prepend=-1) - 1)
+        return ids, sizes
+
+    def _trim(self) -> None:
+        if len(self.words) <= CACHE_WORDS:
+            return
+        keep = np.sort(np.argsort(-self.met, kind="stable")[:CACHE_WORDS // 2])
+        sizes = np.diff(self.at)
+        self.pool = _spans(self.pool, self.at[keep], sizes[keep])
+        self.at = np.concatenate([[0], np.cumsum(sizes[keep])])
+        self.words, self.met = self.words.take(pa.array(keep)), self.met[keep]
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Places of distinct words in the cache; new ones are encoded and added."""
+        self._trim()
+        place = pc.index_in(words, value_set=self.words)
+        fresh = words.filter(pc.is_null(place))
+        place = pc.fill_null(place, -1).to_numpy().astype("int64")
+        if len(fresh):
+            marked = pc.match_substring(fresh, _MARK)
+            fresh, alone = fresh.filter(pc.invert(marked)), fresh.filter(marked)
+            own = self._plain(alone.to_pylist())
+            ids, sizes = self._encoded(fresh.to_pylist())
+            self.pool = np.concatenate([self.pool, *ids, *own])
+            sizes = np.concatenate([np.diff(self.at), *sizes, [len(x) for x in own]]).astype("int64")
+            self.at = np.concatenate([[0], np.cumsum(sizes)])
+            new, marked, n = np.flatnonzero(place < 0), marked.to_numpy(zero_copy_only=False), len(self.words)
+            place[np.concatenate([new[~marked], new[marked]])] = np.arange(n, n + len(new))
+            self.words = pa.concat_arrays([self.words, fresh, alone])
+            self.met = np.concatenate([self.met, np.zeros(len(new), "int32")])
+        self.met[place] += 1
+        return place
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the n + 1 offsets of the rows; null counts as empty."""
         column = pc.fill_null(column.cast(pa.large_string()), "")
         special = pc.match_substring(column, "<|").to_numpy(zero_copy_only=False)
         plain = pc.if_else(pa.array(special), pa.scalar("", pa.large_string()), column)
-        for ch in "\n\t\r":
-            plain = pc.replace_substring(plain, ch, " ")
-        parts = pc.split_pattern(pc.ascii_lower(plain), " ")
+        parts = pc.split_pattern(_cut(plain), " ")
         coded = parts.flatten().dictionary_encode()
-        vocabulary = self._words(coded.dictionary.to_pylist())
-        lengths = np.fromiter(map(len, vocabulary), dtype="int64", count=len(vocabulary)) // 4
-        pool = np.frombuffer(b"".join(vocabulary), dtype="uint32")
-        pool_at = np.concatenate([[0], np.cumsum(lengths)])
+        place = self._places(coded.dictionary)
+        sizes = np.diff(self.at)[place]
         index = coded.indices.to_numpy(zero_copy_only=False)
         n_words = np.diff(parts.offsets.to_numpy())
-        size = lengths[index]
+        size = sizes[index]
         ends = np.concatenate([[0], np.cumsum(size)])
-        ids = pool[np.repeat(pool_at[index] - ends[:-1], size) + np.arange(ends[-1])]
+        ids = _spans(self.pool, self.at[place][index], size)
         row_at = ends[np.concatenate([[0], np.cumsum(n_words)])]
         if special.any():
             rows = [ids[a:b] for a, b in zip(row_at, row_at[1:])]
@@ -105,6 +125,26 @@ class WordTokenizer:
         return ids, row_at
 
 
+def _spans(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``pool[start:start + size]`` of all spans, end to end."""
+    upto = np.cumsum(size)
+    return pool[np.repeat(start - upto + size, size) + np.arange(upto[-1] if len(upto) else 0)]
+
+
+def _cut(texts: pa.Array) -> pa.Array:
+    """Texts, lower-cased in ASCII, with a space for each line break and tab and between a letter and ASCII punctuation after it."""
+    data, offsets = text_bytes(texts)
+    data = _LOWER[data]
+    cut = np.zeros(len(data) + 1, bool)
+    cut[1:-1] = _LETTER[data[:-1]] & _MARKS[data[1:]]
+    cut[offsets] = False
+    moved = np.arange(len(data) + 1) + np.cumsum(cut)
+    out = np.full(moved[-1], 32, dtype="uint8")
+    out[moved[:-1]] = data
+    offsets = moved[offsets]
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets), pa.py_buffer(out))
+
+
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
@@ -153,7 +193,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, with_ids:
                     out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([begin, [len(flat)]]).astype("int32")), pa.array(flat.view("<i4"))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(out, names=names)
-        tok.known = {}  # the worker goes on to other stages
+        tok.forget()  # the worker goes on to other stages
         give_back()
 
     return pick(docs, ["doc_id", "text"]).mapInArrow(run, schema)
