@@ -85,6 +85,31 @@ def sequential_fifo(rows):
     return out
 
 
+@pytest.mark.parametrize("small", [0, 25, 10**6])
+def test_fifo_of_small_and_large_keys(spark, monkeypatch, small):
+    monkeypatch.setattr(ledger, "SMALL", small)
+    rng = np.random.default_rng(31)
+    rows, seq = [], 0
+    for key, n in ((1, 60), (2, 20), (None, 40), (3, 5)):
+        for d in np.sort(rng.integers(0, 12, n)):
+            seq += 1
+            side = "sell" if rng.random() < 0.3 else "buy"
+            rows.append((key, day(d), seq, side, float(rng.integers(1, 30)), float(rng.integers(1, 900)) / 100, 0.25, "exact"))
+    df = spark.createDataFrame(rows, "account int, trade_date date, seq int, side string, quantity double, price double, fees double, precision string")
+    out = fifo(df.withColumn("symbol", F.lit(0)))
+    got = {r["seq"]: r["fifo_pnl"] for r in out.filter("side = 'sell' and account is not null").collect()}
+    want = {seq: v for (_, seq), v in sequential_fifo([r for r in rows if r[0] is not None]).items()}
+    assert got.keys() == want.keys()
+    for k, v in want.items():
+        assert got[k] == (None if v is None else pytest.approx(v, abs=1e-6))
+    assert out.filter("account is null and side = 'sell'").count() == sum(r[0] is None and r[3] == "sell" for r in rows)
+
+
+def test_fifo_of_small_keys_moves_trades_once(spark):
+    df = spark.createDataFrame([(1, 0, day(0), 1, "buy", 5.0, 1.0, 0.0, "exact")], "account int, symbol int, trade_date date, seq int, side string, quantity double, price double, fees double, precision string")
+    assert fifo(df)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
 @pytest.mark.parametrize("seed, slots", [(1, 64), (2, 1), (3, 0.1)])
 def test_fifo_equals_sequential_lots(spark, monkeypatch, seed, slots):
     monkeypatch.setattr(ledger, "SLOTS", slots)  # few trades a bucket: lots reach over many buckets

@@ -1,8 +1,8 @@
 """Ledger analytics for many accounts at once.
 
 A single account may hold a large share of all rows, so nothing here windows
-over a whole account: rows are aggregated to (account, symbol, day), running
-totals move across days, and the rows of one day are ordered inside that day.
+over a whole account of unbounded size: rows are aggregated to (account, symbol, day),
+running totals move across days, and the rows of one day are ordered inside that day.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ def buy_cost() -> Column:
 
 
 SLOTS = 64  # average trades in a bucket of the share axis
+SMALL = 100_000  # trades of a key that one window may hold
+TRADES_A_TASK = 250_000
 
 
 def fifo(trades: DataFrame, keys: Sequence[str] = ("account", "symbol"), day: str = "trade_date", seq: str = "seq") -> DataFrame:
@@ -46,13 +48,74 @@ def fifo(trades: DataFrame, keys: Sequence[str] = ("account", "symbol"), day: st
 
     With B(t), S(t) the shares bought and sold so far and C(x) the cost of the
     first x shares bought, a sell that takes the shares (S0, S1] costs
-    C(S1) - C(S0). The axis of shares is cut into buckets, long lots at their borders, so both ends of a sell find their
-    lot inside one bucket, and a busy key is as many tasks as it has buckets; no lot/sell pairs are formed.
+    C(S1) - C(S0), both found among the lots ordered by their first share; no lot/sell pairs are formed.
+
+    Keys of at most ``SMALL`` trades are dealt once by key, and all windows and sums stay where they are. The few larger ones
+    (their number is bounded by the trades over ``SMALL``) go by days and by buckets of shares, see ``_fifo_in_buckets``.
 
     A key becomes incomplete at its first uncovered sell, or on a day with both
     sides and a time known only to the day; from there on its P&L is NULL.
     """
     keys = list(keys)
+    sizes = materialise(trades.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "ledger-keys")
+    large = sizes.filter(F.col("_n") > SMALL).select(*keys)
+    total, n_large = sizes.agg(F.sum("_n"), F.count_if(F.col("_n") > SMALL)).first()
+    parts = max(trades.sparkSession.sparkContext.defaultParallelism, -(-(total or 0) // TRADES_A_TASK))
+    if not n_large:
+        return _fifo_by_key(trades, keys, day, seq, parts)
+    few = F.broadcast(large)
+    small = _fifo_by_key(_join(trades, few, keys, "left_anti"), keys, day, seq, parts)
+    return small.unionByName(_fifo_in_buckets(_join(trades, few, keys, "left_semi"), keys, day, seq))
+
+
+def _join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join by columns of the same names, of which a null equals a null."""
+    right = right.withColumnsRenamed({k: f"_r_{k}" for k in on})
+    return left.join(right, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in on], how).drop(*[f"_r_{k}" for k in on])
+
+
+def _lot() -> Column:
+    return F.struct((F.col("_b") - F.col("quantity")).alias("b0"), (F.col("_c") - buy_cost()).alias("c0"), F.try_divide(buy_cost(), F.col("quantity")).alias("unit"))
+
+
+def _realised(found: DataFrame, columns: list[str], keys: list[str], day: str, seq: str) -> DataFrame:
+    """One row a sell from its ends, each with the lot it lies in."""
+    at = F.col("_lot.c0") + (F.col("_x") - F.col("_lot.b0")) * F.col("_lot.unit")
+    rest = [c for c in [*columns, "complete"] if c not in (*keys, day, seq)]
+    # the other columns depend on the sell, so they can be grouping keys of a hash aggregate
+    out = found.groupBy(*keys, day, seq, *rest).agg(F.sum(F.when(F.col("_sign") != 0, F.col("_sign") * at)).alias("fifo_cost"))
+    pnl = F.col("quantity") * F.col("price") - F.col("fees") - F.col("fifo_cost")
+    return out.select(*columns, "complete", "fifo_cost", pnl.alias("fifo_pnl"))
+
+
+def _fifo_by_key(trades: DataFrame, keys: list[str], day: str, seq: str, parts: int) -> DataFrame:
+    """``fifo`` of keys that fit into a window each: one exchange, by key."""
+    so_far = Window.partitionBy(*keys).orderBy(day, seq)
+    whole_day = Window.partitionBy(*keys, day)
+    is_sell = F.col("side") == "sell"
+    t = trades.repartition(parts, *keys).withColumns({"_b": F.sum(qty("buy")).over(so_far), "_s": F.sum(qty("sell")).over(so_far), "_c": F.sum(buy_cost()).over(so_far)})
+    mixed = (F.sum(qty("buy")).over(whole_day) > 0) & (F.sum(qty("sell")).over(whole_day) > 0) & F.bool_or(F.col("precision") == "date_only").over(whole_day)
+    t = t.withColumn("_bad", mixed | (is_sell & (F.col("_s") > F.col("_b"))))
+    t = t.withColumn("complete", F.max(F.when(F.col("_bad"), 1)).over(so_far).isNull())
+
+    unsigned, no_lot = F.lit(None).cast("double"), F.lit(None).cast("struct<b0:double,c0:double,unit:double>")
+    event = lambda x, sign, lot: F.struct(x.alias("_x"), sign.alias("_sign"), lot.alias("_lot"))
+    last, first = F.col("_s"), F.col("_s") - F.col("quantity")
+    # a buy is a lot, a covered sell its two ends, any other sell passes through
+    events = (
+        F.when(~is_sell, F.array(event(F.col("_b") - F.col("quantity"), unsigned, _lot())))
+        .when(F.col("complete"), F.array(event(last, F.lit(1.0), no_lot), event(first, F.lit(-1.0), no_lot)))
+        .otherwise(F.array(event(unsigned, F.lit(0.0), no_lot)))
+    )
+    both = t.select(*trades.columns, "complete", F.explode(events).alias("_e")).select(*trades.columns, "complete", "_e.*")
+    by_position = Window.partitionBy(*keys).orderBy("_x", F.col("_sign").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_lot", F.last("_lot", ignorenulls=True).over(by_position)).filter(F.col("_sign").isNotNull())
+    return _realised(found, trades.columns, keys, day, seq)
+
+
+def _fifo_in_buckets(trades: DataFrame, keys: list[str], day: str, seq: str) -> DataFrame:
+    """``fifo`` of large keys. The axis of shares is cut into buckets, long lots at their borders, so both ends of a sell find their
+    lot inside one bucket, and a busy key is as many tasks as it has buckets."""
     date_only = F.col("precision") == "date_only"
     days = trades.groupBy(*keys, day).agg(
         F.sum(qty("buy")).alias("bq"), F.sum(qty("sell")).alias("sq"), F.sum(buy_cost()).alias("bc"), F.count(F.lit(1)).alias("_n"), F.bool_or(date_only).alias("_vague")
@@ -67,7 +130,7 @@ def fifo(trades: DataFrame, keys: Sequence[str] = ("account", "symbol"), day: st
     shares, n = days.agg(F.sum(F.col("bq") + F.col("sq")), F.sum("_n")).first()
     width = SLOTS * shares / n if shares else 1.0
     inside = Window.partitionBy(*keys, day).orderBy(seq)
-    t = trades.join(days.select(*keys, day, "b0", "s0", "c0", "_mixed"), [*keys, day])
+    t = _join(trades, days.select(*keys, day, "b0", "s0", "c0", "_mixed"), [*keys, day])
     t = t.withColumns(
         {
             "_b": F.col("b0") + F.sum(qty("buy")).over(inside),
@@ -80,12 +143,12 @@ def fifo(trades: DataFrame, keys: Sequence[str] = ("account", "symbol"), day: st
     # the first bad row of each day, then of the days before
     bad_days = t.groupBy(*keys, day).agg(F.max("_bad_here").alias("_bad"))
     bad_days = bad_days.select(*keys, day, F.max("_bad").over(w).alias("_bad_before"))
-    t = t.join(bad_days, [*keys, day]).withColumn("complete", F.coalesce("_bad_here", "_bad_before").isNull())
+    t = _join(t, bad_days, [*keys, day]).withColumn("complete", F.coalesce("_bad_here", "_bad_before").isNull())
 
     is_sell = F.col("side") == "sell"
     covered = is_sell & F.col("complete")
     kept = [c for c in trades.columns if c not in keys] + ["complete"]
-    lot = F.struct((F.col("_b") - F.col("quantity")).alias("b0"), (F.col("_c") - buy_cost()).alias("c0"), F.try_divide(buy_cost(), F.col("quantity")).alias("unit"))
+    lot = _lot()
     no_lot = F.lit(None).cast("struct<b0:double,c0:double,unit:double>")
     unsigned = F.lit(None).cast("double")
     left = lambda x: F.floor(x / width)  # noqa: E731  the bucket that begins at or before x
@@ -104,12 +167,7 @@ def fifo(trades: DataFrame, keys: Sequence[str] = ("account", "symbol"), day: st
     both = t.select(*keys, *kept, F.explode(F.when(~is_sell, as_lot).when(covered, as_ends).otherwise(as_is)).alias("_e")).select(*keys, *kept, "_e.*")
     by_position = Window.partitionBy(*keys, "_bucket").orderBy("_x", F.col("_sign").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("_lot", F.last("_lot", ignorenulls=True).over(by_position)).filter(F.col("_sign").isNotNull())
-    at = F.col("_lot.c0") + (F.col("_x") - F.col("_lot.b0")) * F.col("_lot.unit")
-    rest = [c for c in kept if c not in (day, seq)]
-    # the other columns depend on the sell, so they can be grouping keys of a hash aggregate
-    out = found.groupBy(*keys, day, seq, *rest).agg(F.sum(F.when(F.col("_sign") != 0, F.col("_sign") * at)).alias("fifo_cost"))
-    pnl = F.col("quantity") * F.col("price") - F.col("fees") - F.col("fifo_cost")
-    return out.select(*trades.columns, "complete", "fifo_cost", pnl.alias("fifo_pnl"))
+    return _realised(found, trades.columns, keys, day, seq)
 
 
 def oversold(trades: DataFrame, keys: Sequence[str] = ("account", "symbol")) -> DataFrame:
