@@ -2,6 +2,7 @@ import hashlib
 import json
 from datetime import date, datetime
 
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
@@ -120,3 +121,25 @@ def test_dates(spark):
 def test_ceil_second(spark):
     assert one(spark, datetime(2024, 1, 1, 0, 0, 0, 1), TX.ceil_second, "timestamp_ntz") == datetime(2024, 1, 1, 0, 0, 1)
     assert one(spark, datetime(2024, 1, 1), TX.ceil_second, "timestamp_ntz") == datetime(2024, 1, 1)
+
+
+def test_normalisation_holds_few_texts_as_python_strings(spark):
+    from tidemark.functions import text as TX
+
+    held, most = [], []
+
+    def fold(x):
+        held.append(x)
+        return x.upper()
+
+    texts = pa.array([None, "", *["é" * 300_000] * 12, None, "ab"])
+    real = pa.array
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(pa, "array", lambda values, *rest: (most.append(sum(len(x.encode()) for x in values if x)), real(values, *rest))[1])
+        out = TX.by_slices(texts, fold)
+    assert out.to_pylist() == [None if x is None else x.upper() for x in texts.to_pylist()]
+    assert max(most) <= TX.SLICE_BYTES + 600_000 and len(held) == 14
+    rows = [(0, None), (1, ""), (2, "ﬁx Ⅳ"), (3, "Straße")]
+    df = spark.createDataFrame(rows, "i int, t string")
+    got = {r["i"]: (r["a"], r["b"]) for r in df.select("i", TX.nfkc("t").alias("a"), TX.nfkc_fold("t").alias("b")).collect()}
+    assert got == {0: (None, None), 1: ("", ""), 2: ("fix IV", "fix iv"), 3: ("Straße", "strasse")}

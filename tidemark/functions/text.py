@@ -4,23 +4,37 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(s: pd.Series) -> pd.Series:
+SLICE_BYTES = 1 << 20  # of text that is a Python string at a time; a batch may hold 10,000 long texts
+
+
+def by_slices(texts: pa.Array, fn: Callable[[str], str]) -> pa.Array:
+    """``fn`` of each text that is not null, slice after slice, so that only one slice is held as Python strings."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype("int64")
+    edges = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // SLICE_BYTES)) + 1).tolist(), len(texts)]
+    done = [pa.array([None if x is None else fn(x) for x in texts.slice(a, b - a).to_pylist()], pa.string()) for a, b in zip(edges, edges[1:])]
+    return pa.concat_arrays(done)
+
+
+@F.arrow_udf(T.StringType())
+def nfkc(s: pa.Array) -> pa.Array:
     """Compatibility normalisation; Spark has no built-in for it."""
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+    return by_slices(s, lambda x: unicodedata.normalize("NFKC", x))
 
 
-@F.pandas_udf(T.StringType())
-def nfkc_fold(s: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def nfkc_fold(s: pa.Array) -> pa.Array:
     """Compatibility normalisation followed by full case folding."""
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold())
+    return by_slices(s, lambda x: unicodedata.normalize("NFKC", x).casefold())
 
 
 def title_key(text: Column) -> Column:
