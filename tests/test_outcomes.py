@@ -54,6 +54,19 @@ def test_outcomes_equal_scan_and_last_trigger_is_skipped(make_bars):
         assert r["return_pct"] == pytest.approx((xs[r["exit_rn"] - 1] / xs[i + 1] - 1) * 100)
 
 
+def test_only_thresholds_that_later_closes_reach_are_asked(make_bars, monkeypatch):
+    asked = []
+    real = O.first_passage
+    monkeypatch.setattr(O, "first_passage", lambda bars, starts, *rest: (asked.append(starts.count()), real(bars, starts, *rest))[1])
+    bars = make_bars({1: [10, 12, 11, 13, 9, 14, 15], 2: [10, 4, 10, 16, 5, 5, 5]}).withColumn("go", F.lit(1))
+    rules = [O.StopLoss(50.0), O.TakeProfit(50.0), O.TrailingStop(60.0)]
+    got = {(r["instrument"], r["rn"]): r["exit_rn"] for r in O.outcomes(bars, "go", rules).collect()}
+    for i, xs in ((1, [10, 12, 11, 13, 9, 14, 15]), (2, [10, 4, 10, 16, 5, 5, 5])):
+        assert [got[i, k + 1] - 1 for k in range(6)] == [brute(xs, k, rules) for k in range(6)]
+    # stops: 10, 10 and 16 of the second; profits: 10 and 9 of the first, 10, 4 and 10 of the second; trailing: the 16 that comes down to 5
+    assert asked == [9]
+
+
 def test_forced_close_keeps_its_reason(make_bars):
     bars = make_bars({1: [10, 11, 12, 13]}).withColumn("go", (F.col("close") == 10).cast("int"))
     r = O.outcomes(bars, "go", [O.StopLoss(50.0)]).first()
