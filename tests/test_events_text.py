@@ -143,3 +143,22 @@ def test_normalisation_holds_few_texts_as_python_strings(spark):
     df = spark.createDataFrame(rows, "i int, t string")
     got = {r["i"]: (r["a"], r["b"]) for r in df.select("i", TX.nfkc("t").alias("a"), TX.nfkc_fold("t").alias("b")).collect()}
     assert got == {0: (None, None), 1: ("", ""), 2: ("fix IV", "fix iv"), 3: ("Straße", "strasse")}
+
+
+def test_broker_rows_compile_to_short_methods(spark, folder):
+    """The JIT compiler leaves methods of more than 8,000 bytes interpreted."""
+    from tidemark.plans.text import l01
+
+    stages = l01(spark, folder)._jdf.queryExecution().debug().codegenToSeq()
+    assert max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())) < 8000
+
+
+def test_broker_codes_dates_and_words_of_odd_rows(spark):
+    codes = {"600001": "600001.SH", " 600001.sh ": "600001.SH", "600001.SZ": None, "302132": "302132.SZ", "302133": None, "920001.BJ": "920001.BJ",
+             "400001": "400001.BJ", "60000": None, "6000011": None, "600001.": None, "": None, None: None}
+    dates = {"20240105": "2024-01-05", "2024/1/5 09:31": "2024-01-05 09:31", "2024-1-15": "2024-01-15", "2024-11-5": "2024-11-05", "2024-1-1234": "2024-01-1234",
+             " 2024-01-05 ": "2024-01-05", "2024-123-4": "2024-123-4", "24-1-5": "24-1-5", "": "", None: None}
+    words = {"融资买入": True, "x融券y": True, "margin.call": True, "卖出": False, "": False, None: None}
+    for given, made in ((codes, BK.normalize_code), (dates, BK.normal_date_text), (words, lambda c: BK.has_any(c, BK.MARGIN_WORDS))):
+        rows = spark.createDataFrame([(i, k) for i, k in enumerate(given)], "i int, t string").select("i", made(F.col("t")).alias("v")).collect()
+        assert {r["i"]: r["v"] for r in rows} == dict(enumerate(given.values()))

@@ -57,7 +57,9 @@ def business_key(text: Column) -> Column:
 
 
 def has_any(key: Column, words: tuple[str, ...]) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(key, F.lit(w)) for w in words])
+    """Whether the key holds a word. A lambda, which keeps the projection out of whole-stage code: one method of a chain of terms
+    for each word is too long for the JIT compiler and runs interpreted."""
+    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(key, w))
 
 
 def side_of(k: Column) -> Column:
@@ -91,14 +93,11 @@ def fee_total(columns: dict[str, Column]) -> Column:
 
 
 def normal_date_text(text: Column) -> Column:
-    t = F.regexp_replace(F.trim(text), "/", "-")
+    t = F.translate(F.trim(text), "/", "-")
     compact = F.concat_ws("-", F.substring(t, 1, 4), F.substring(t, 5, 2), F.substring(t, 7, 2))
-    pattern = r"^(\d{4})-(\d{1,2})-(\d{1,2})(.*)$"
-    padded = F.concat(
-        F.regexp_extract(t, pattern, 1), F.lit("-"), F.lpad(F.regexp_extract(t, pattern, 2), 2, "0"), F.lit("-"),
-        F.lpad(F.regexp_extract(t, pattern, 3), 2, "0"), F.regexp_extract(t, pattern, 4),
-    )
-    return F.when(t.rlike(r"^\d{8}$"), compact).when(t.rlike(pattern), padded).otherwise(t)
+    month = F.regexp_replace(t, r"^(\d{4})-(\d)-", "$1-0$2-")
+    padded = F.regexp_replace(month, r"^(\d{4}-\d{2})-(\d)(?!\d)", "$1-0$2")
+    return F.when(t.rlike(r"^\d{8}$"), compact).when(t.rlike(r"^\d{4}-\d{1,2}-\d{1,2}.*$"), padded).otherwise(t)
 
 
 def occurred(text: Column, zone: Column) -> Column:
@@ -129,23 +128,21 @@ def market_hint(k: Column) -> tuple[Column, Column]:
 
 # Code spaces of the three exchanges.
 CODE_SPACES = {
-    "SH": r"^(600|601|603|605|688|689)\d{3}$",
-    "SZ": r"^((000|001|002|003|300|301)\d{3}|302132)$",
-    "BJ": r"^([48]\d{5}|920\d{3})$",
+    "SH": r"(?:600|601|603|605|688|689)\d{3}",
+    "SZ": r"(?:(?:000|001|002|003|300|301)\d{3}|302132)",
+    "BJ": r"(?:[48]\d{5}|920\d{3})",
 }
 
 
-def exchange_of(code: Column) -> Column:
-    """Exchange implied by a six-digit mainland code; NULL outside the known spaces."""
-    return F.coalesce(*[F.when(code.rlike(p), F.lit(x)) for x, p in CODE_SPACES.items()])
-
-
 def normalize_code(text: Column) -> Column:
     """``dddddd.SH/SZ/BJ``; NULL for malformed codes and for a suffix that contradicts the code."""
-    t = F.upper(F.trim(text))
-    code, given = F.regexp_extract(t, r"^(\d{6})(?:\.(SH|SZ|BJ))?$", 1), F.regexp_extract(t, r"^(\d{6})(?:\.(SH|SZ|BJ))?$", 2)
-    implied = exchange_of(code)
-    return F.when((code != "") & implied.isNotNull() & ((given == "") | (given == implied)), F.concat(code, F.lit("."), implied))
+    return _full_code(F.upper(F.trim(text)))
+
+
+def _full_code(t: Column) -> Column:
+    """One pattern for each exchange: its codes, alone or with its own suffix."""
+    found = [F.when(t.rlike(rf"^{p}(?:\.{x})?$"), F.lit(f".{x}")) for x, p in CODE_SPACES.items()]
+    return F.concat(F.substring(t, 1, 6), F.coalesce(*found))
 
 
 def infer_market(rows: DataFrame, code: str, market: str) -> DataFrame:
@@ -188,8 +185,9 @@ def infer_market(rows: DataFrame, code: str, market: str) -> DataFrame:
         }
     )
     m = F.col("_market")
-    df = df.withColumn("_cn", normalize_code(F.when(m == "CN_A", F.col("_full")).when(m == "?", s)))
+    df = df.withColumn("_asked", F.upper(F.trim(F.when(m == "CN_A", F.col("_full")).when(m == "?", s))))
+    df = df.withColumn("_cn", _full_code(F.col("_asked")))
     bare = F.coalesce(F.col("_cn"), F.when(c.rlike(r"^\d{5}$"), F.concat(c, F.lit(".HK"))))
     df = df.withColumn("symbol", F.when(m == "HK", F.col("_hk")).when(m == "CN_A", F.col("_cn")).when(m == "?", bare))
     df = df.withColumn("market", F.when(F.col("symbol").endswith(".HK"), "HK").when(F.col("symbol").isNotNull(), "CN_A"))
-    return df.drop("_s", "_hm", "_hs", "_given", "_code", "_own", "_market", "_hk", "_full", "_cn")
+    return df.drop("_s", "_hm", "_hs", "_given", "_code", "_own", "_market", "_hk", "_full", "_asked", "_cn")
