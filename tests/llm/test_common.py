@@ -45,3 +45,13 @@ def test_uniform_is_spread(spark):
 
     u = np.array([r["u"] for r in spark.range(2000).select(C.uniform(F.lit(1), "id").alias("u")).collect()])
     assert 0 <= u.min() and u.max() < 1 and abs(u.mean() - 0.5) < 0.03
+
+
+def test_discarding_lets_the_driver_collect_its_garbage(spark):
+    from tidemark.session import discard, materialise
+
+    beans = list(spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans())
+    made = materialise(spark.range(3), "made")
+    before = sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    discard(made)
+    assert sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName()) > before

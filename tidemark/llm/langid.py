@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import mix, over_arrow, pick, text_bytes
+from tidemark.llm.common import give_back, mix, over_arrow, pick, text_bytes
 
 SIZES = (3, 4)
 SLICE = 1 << 20  # bytes of text at a time: each byte has two windows of some dozen bytes of numbers
@@ -131,7 +131,10 @@ def train(docs: DataFrame, usable: Column, max_docs: int = 3000, buckets: int =
     rows = list(zip(*columns))
     rows.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes()))  # whatever order tasks end in
     rows = [r for r in rows if len(r[1])]
-    return fit(rows, buckets, dim, min_steps, rate, seed) if rows else None
+    model = fit(rows, buckets, dim, min_steps, rate, seed) if rows else None
+    del table, columns, rows
+    give_back()  # the driver's Python lives on as well
+    return model
 
 
 def _scores(model: Model | None, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
