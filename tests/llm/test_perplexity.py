@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import perplexity as P
+from tidemark.llm import wordmodel as M
 from tidemark.llm.queries.op4 import op4
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -129,3 +130,80 @@ def test_fences_without_junk_are_those_of_quartiles():
 
 def test_empty_table(spark):
     assert P.quality(spark.createDataFrame([], "doc_id bigint, text string, lang string")).count() == 0
+
+
+def words_of(text):
+    return [re.sub("[A-Z]+", lambda m: m[0].lower(), w) for w in WORD.findall(text or "")] + ["\n"]
+
+
+def left_out(texts, spelt):
+    """Word scores by their definition: for each text, counts of all others."""
+    pairs = [collections.Counter(zip(["\n", *words_of(t)], words_of(t))) for t in texts]
+    every = sum(pairs, collections.Counter())
+    tally = lambda c: P.discounts(np.array(list(c.values())))
+    d, e = tally(every), tally(collections.Counter(w for _, w in every))
+    out = []
+    for t, own in zip(texts, pairs):
+        rest = every - own
+        before, total, words = collections.Counter(w for _, w in rest), collections.Counter(), collections.Counter()
+        for (u, w), n in rest.items():
+            total[u] += n
+            words[w] += n
+        mass = sum(e[min(n, 3)] for n in before.values())
+        log, order = 0.0, 0.0
+        for u, w in zip(["\n", *words_of(t)], words_of(t)):
+            p1 = (before[w] - e[min(before[w], 3)] + mass * spelt(w)) / len(rest) if rest else spelt(w)
+            n, p = rest[u, w], p1
+            if total[u]:
+                p = (n - d[min(n, 3)] + p1 * sum(d[min(x, 3)] for (a, _), x in rest.items() if a == u)) / total[u]
+            log += np.log10(p)
+            order += np.log10(p) - np.log10(words[w] / sum(words.values()) if words[w] else p1)
+        size = len(words_of(t))
+        out.append((log / size, order / size) if size > 1 else (None, None))
+    return out
+
+
+@pytest.mark.parametrize("chunk, block", [(2_000_000, 400_000), (40, 25)])
+def test_words_are_scored_by_the_other_texts(spark, monkeypatch, chunk, block):
+    monkeypatch.setattr(M, "CHUNK_TOKENS", chunk)
+    monkeypatch.setattr(M, "BLOCK_TOKENS", block)
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["a", "A", "ab", "É", "c,", "dd", "e" * rng.randint(1, 9)]) for _ in range(rng.randint(1, 40))) for _ in range(25)]
+    texts += [texts[0], texts[1], None, "", "only here", "a"]
+    spell = lambda data, offsets: -np.diff(offsets) / 2.0  # noqa: E731  half a power of ten for each byte and the two blanks
+
+    def describe(batch):
+        return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64())], names=["doc_id"])
+
+    for some in (texts, texts[:1]):
+        df = spark.createDataFrame(list(enumerate(some)), "doc_id bigint, text string").withColumn("lang", F.lit("xx")).repartition(3)
+        got = {r["doc_id"]: (r["word_log"], r["order_log"]) for r in M.word_scores(df, describe, "doc_id bigint", spell, P.discounts_of)[0].collect()}
+        want = left_out(some, lambda w: 10.0 ** (-(len(w.strip().encode()) + 2) / 2))
+        assert len(got) == len(some)
+        for i, w in enumerate(want):
+            assert got[i] == pytest.approx(w, abs=1e-9) if w[0] is not None else got[i] == w, some[i]
+
+
+def test_senseless_order_is_rejected_and_copies_are_kept(spark):
+    """Classes of bytes, the only model before, see the spelling of the right words and keep these texts."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice(["na", "ti", "re", "so", "lu"]) for _ in range(3))
+    after = {w: rng.sample(range(90), 3) for w in range(90)}
+    words = [word() for _ in after]
+
+    def text():
+        at, out = rng.randrange(90), []
+        for _ in range(80):
+            out.append(words[at])
+            at = rng.choice(after[at])
+        return out
+
+    good = [text() for _ in range(160)]
+    odd = [rng.sample(t, len(t)) for t in (text() for _ in range(12))]
+    rows = [(i, " ".join(t), "xx") for i, t in enumerate(good)] + [(1000 + i, " ".join(t), "xx") for i, t in enumerate(good[:40])] + [(2000 + i, " ".join(t), "xx") for i, t in enumerate(odd)]
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 160, 2)], "doc_id bigint, quality int")
+    out = {r["doc_id"]: r for r in P.quality(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), labels=labels).collect()}
+    assert not any(r["kept"] for i, r in out.items() if i >= 2000)
+    assert all(r["low"] <= r["bin"] <= r["high"] for i, r in out.items() if i >= 2000)  # what the classes say
+    assert np.mean([r["kept"] for i, r in out.items() if i < 1000]) > 0.95
+    assert np.mean([r["kept"] for i, r in out.items() if 1000 <= i < 2000]) > 0.95
